@@ -15,6 +15,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,8 +27,14 @@ from pyspark.sql import functions as F
 from .packing import tokenizer_file
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Parts of texts and words that a worker keeps encoded, and the length from which a part isn't kept.
-CACHED, LONG = 500_000, 100
+#: Parts of texts that a worker keeps encoded (half as many words), and the length from which one isn't kept.
+CACHED, LONG = 400_000, 100
+#: Pairs of tokens that a worker keeps judged.
+PAIRS = 500_000
+#: Parts of these characters are cut by WORD, which there agrees with the tokenizer's own splitter.
+PLAIN = re.compile("[ \n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+WORD = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTER}]+| ?[0-9]+| ?[^ \n0-9{_LETTER}]+|[ \n]+(?![^ \n])|[ \n]+")
 
 
 @functools.cache
@@ -64,10 +72,12 @@ class Bpe:
                 self.made[whole], self.parts[whole] = n, (self.ids[left], self.ids[right])
         if any(len(t) > 1 and i not in self.parts for t, i in self.ids.items()):
             raise ValueError("the vocabulary has tokens that no merge makes")
-        self.longest = max(map(len, self.ids))
+        #: Every end of a token's bytes, and the token it is, if any.
+        self.ends = {t[i:]: -1 for t in self.ids for i in range(len(t))} | self.ids
         self.follows: dict[int, bool] = {}
         self._library = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        self._to_byte = {c: b for b, c in _byte_chars().items()}
+        self.words: dict[bytes, bytes] = {}
         self.known: dict[str, bytes] = {}
 
     def may_follow(self, left: int, right: int) -> bool:
@@ -75,7 +85,7 @@ class Bpe:
         key = left << 32 | right
         found = self.follows.get(key)
         if found is None:
-            if len(self.follows) > 2_000_000:
+            if len(self.follows) > PAIRS:
                 self.follows.clear()
             found = self.follows[key] = self._may_follow(left, right)
         return found
@@ -98,7 +108,7 @@ class Bpe:
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """The ids of distinct words as little-endian unsigned 32-bit integers: a walk over their trie."""
         out: dict[bytes, bytes] = {}
-        ids, longest, follow = self.ids, self.longest, self.may_follow
+        ends, follow = self.ends.get, self.may_follow
         before = b""
         last: list[int] = [-1]  # the last token of each prefix of the word walked
         size: list[int] = [0]  # and its length
@@ -108,17 +118,22 @@ class Bpe:
                 shared += 1
             del last[shared + 1 :], size[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ids.get(word[start:end])
-                    if token is not None and (start == 0 and self._alone(token) or start and follow(last[start], token)):
+                may, start = [], end - 1
+                while start >= 0 and (token := ends(word[start:end])) is not None:
+                    if token >= 0:
+                        may.append((start, token))
+                    start -= 1
+                for start, token in reversed(may):
+                    if follow(last[start], token) if start else self._alone(token):
                         last.append(token)
                         size.append(end - start)
                         break
-            tokens, at = [], len(word)
+            tokens, at = array("I"), len(word)
             while at:
                 tokens.append(last[at])
                 at -= size[at]
-            out[word] = np.array(tokens[::-1], "<u4").tobytes()
+            tokens.reverse()
+            out[word] = tokens.tobytes()
             before = word
         return out
 
@@ -148,41 +163,46 @@ class Bpe:
             if at < left_taken and at <= right_taken and at < merge:
                 return False
 
-    def _cut(self, text: str) -> list[str]:
-        """The words of a text without special tokens, in byte characters, as the tokenizer's own splitter has them."""
-        return [w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(text)] if text else []
+    def _cut(self, text: str) -> list[bytes]:
+        """The words of a text without special tokens, as the tokenizer's own splitter has them."""
+        if PLAIN.fullmatch(text):
+            return [w.encode() for w in WORD.findall(text)]
+        return [bytes(map(self._to_byte.__getitem__, w)) for w, _ in self._library.pre_tokenizer.pre_tokenize_str(text)]
 
     def _segments(self, text: str) -> Iterator[tuple[str, int | None]]:
         """A text's stretches without special tokens, and special tokens, leftmost and then longest first."""
-        while True:
+        while text:
             hits = [(text.find(t), -len(t), t) for t in self.special if t in text]
             if not hits:
-                yield text, None
-                return
+                break
             at, _, token = min(hits)
             yield text[:at], None
             yield token, self.special[token]
             text = text[at + len(token) :]
+        yield text, None
 
     def _learn(self, parts: Iterable[str]) -> dict[str, bytes]:
         """The ids of distinct parts of texts."""
-        cut = {p: [(None, i) if i is not None else (w, None) for s, i in self._segments(p) for w in (self._cut(s) if i is None else [s])] for p in parts}
-        new = {w for ws in cut.values() for w, i in ws if i is None and w not in self.words}
-        to_byte = {c: b for b, c in _byte_chars().items()}
-        raw = {bytes(to_byte[c] for c in w): w for w in new}
-        fresh = {raw[b]: ids for b, ids in self.encode_words(raw).items()}
-        known = fresh if len(self.words) + len(fresh) > CACHED else self.words
-        if known is self.words:
-            known.update(fresh)
-        else:
-            for ws in cut.values():  # what this call needs of the old cache goes along
-                known.update({w: self.words[w] for w, i in ws if i is None and w in self.words})
-            self.words = {w: x for w, x in known.items() if len(w) <= LONG}
-        out = {p: b"".join(i.to_bytes(4, "little") if i is not None else known[w] for w, i in ws) for p, ws in cut.items()}
-        for w in [w for w in fresh if len(w) > LONG]:
-            self.words.pop(w, None)
+        cut: dict[str, list[bytes | int]] = {}
+        for p in parts:
+            if not self._odd(p):
+                cut[p] = self._cut(p)
+            else:
+                cut[p] = [w for s, i in self._segments(p) for w in (self._cut(s) if i is None else [i])]
+        used = {w for ws in cut.values() for w in ws if type(w) is bytes}
+        if len(self.words) + len(used) > CACHED // 2:
+            self.words = {w: self.words[w] for w in used if w in self.words}
+        self.words.update(self.encode_words(used.difference(self.words)))
+        words = self.words
+        out = {p: b"".join([words[w] if type(w) is bytes else w.to_bytes(4, "little") for w in ws]) for p, ws in cut.items()}
+        for w in used:
+            if len(w) > LONG:
+                del words[w]
         return out
 
+    def _odd(self, text: str) -> bool:
+        return any(t in text for t in self.special)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.
 
