@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, pii, quality, secret_scan, simhash
+from . import bpe, chat, packing, pii, quality, secret_scan, simhash, urls
 from .sql import CHAT_SQL, PII_SQL, QUALITY_SQL, SECRETS_SQL
 
 
@@ -27,6 +27,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urls.filtered(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash": op2_simhash,
     "op3_quality_rules": op3_quality_rules,
+    "op4_url_filter": op4_url_filter,
     "op5_bpe_trie": op5_bpe_trie,
     "op8_chat_format": op8_chat_format,
     "op9_personal_data": op9_personal_data,
