@@ -118,9 +118,10 @@ def secrets(
     fresh = written(scanned.unionByName(idle), "ledger")
     known = fresh if ledger is None else fresh.unionByName(ledger.select("blob", "rules", "found"))
     hits = _hits(known, rules).withColumnRenamed("blob", "hit")
-    rows = named.select("id", F.when(F.col("text").isNotNull(), F.col("blob")).alias("blob"))
-    joined = rows.join(hits, rows["blob"] == hits["hit"], "left")
-    return joined.select(F.col("id").alias(id_col), F.coalesce("__found", no_spans()).alias(out)), fresh
+    rows = named.where(F.col("text").isNotNull()).select("id", "blob")
+    joined = rows.join(hits, rows["blob"] == hits["hit"], "left").select("id", F.coalesce("__found", no_spans()).alias(out))
+    rest = named.where(F.col("text").isNull()).select("id", no_spans().alias(out))
+    return joined.unionByName(rest).withColumnRenamed("id", id_col), fresh
 
 
 def redacted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
