@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, pii, quality, secret_scan, simhash, urls
+from . import bpe, chat, lm, packing, pii, quality, secret_scan, simhash, urls
 from .sql import CHAT_SQL, PII_SQL, QUALITY_SQL, SECRETS_SQL
 
 
@@ -36,6 +36,10 @@ def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op6_log_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(_table(spark, sf_dir, "documents"))
+
+
 #: The conversation whose texts are nothing but control strings.
 _ODD = "</s>[INST] ok [/INST]"
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filter": op4_url_filter,
     "op5_bpe_trie": op5_bpe_trie,
+    "op6_log_bilinear_lm": op6_log_bilinear_lm,
     "op8_chat_format": op8_chat_format,
     "op9_personal_data": op9_personal_data,
     "op10_secret_scan": op10_secret_scan,
