@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lm, packing, pii, quality, secret_scan, simhash, urls
+from . import bpe, chat, lm, media, packing, pii, quality, secret_scan, simhash, urls
 from .sql import CHAT_SQL, PII_SQL, QUALITY_SQL, SECRETS_SQL
 
 
@@ -40,6 +40,12 @@ def op6_log_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(_table(spark, sf_dir, "documents"))
 
 
+def op7_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """There is no table of recordings: each vector of ``embeddings`` is one, played as a tune."""
+    prints = media.fingerprints(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", media.read_tune)
+    return media.search(prints, "vec_id", F.col("vec_id") % 50 == 0)
+
+
 #: The conversation whose texts are nothing but control strings.
 _ODD = "</s>[INST] ok [/INST]"
 
@@ -71,6 +77,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_bpe_trie": op5_bpe_trie,
     "op6_log_bilinear_lm": op6_log_bilinear_lm,
+    "op7_chroma_fingerprints": op7_chroma_fingerprints,
     "op8_chat_format": op8_chat_format,
     "op9_personal_data": op9_personal_data,
     "op10_secret_scan": op10_secret_scan,
