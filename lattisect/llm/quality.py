@@ -66,7 +66,7 @@ def _covered(hashes: Column) -> Column:
 
 
 def measured(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep``, the text as ``__text`` and what the rules are written in, for every row.
+    """The columns ``keep``, the text as ``__text``, its words as ``__words`` and what the rules are written in, for every row.
 
     Null texts count as empty: no words, no lines. Columns of ``docs`` that are not in ``keep`` are
     left out, so their names cannot clash.
@@ -81,6 +81,7 @@ def measured(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("do
     return base.select(
         *keep,
         "__text",
+        "__words",
         F.size("__words").cast("long").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -94,11 +95,12 @@ def base_failed() -> Column:
 
 
 #: Asked beside the base rules. Each is about junk that runs through a text: tables and symbol noise,
-#: shouting, text without letters, boilerplate lines.
+#: shouting, text without letters, boilerplate lines, words said again and again.
 RULES = (
     Rule("symbols", lambda: 100 * F.col("n_symbols") > 25 * F.col("n_words")),
     Rule("word_length", lambda: (F.col("word_chars") > 20 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words"))),
     Rule("lines", lambda: (F.col("__lines.all") >= 4) & (100 * F.col("n_dup_lines") > 50 * F.col("__lines.all"))),
+    Rule("stutter", lambda: 100 * F.size(F.filter(F.zip_with(F.slice("__words", 2, F.size("__words")), F.col("__words"), lambda b, a: a == b), lambda x: x)) > 30 * F.col("n_words")),
     Rule("shouting", lambda: 100 * F.regexp_count(F.coalesce("__text", F.lit("")), F.lit("[A-Z]")) > 50 * F.col("word_chars")),
     Rule("exclaims", lambda: 100 * F.regexp_count(F.coalesce("__text", F.lit("")), F.lit("[!?]")) > 30 * F.col("n_words")),
     Rule("letters", lambda: 100 * F.regexp_count(F.coalesce("__text", F.lit("")), F.lit(r"[\p{L}]")) < 50 * F.col("word_chars")),

@@ -6,7 +6,7 @@ QUALITY_SQL = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '{_WORD}+') AS ws,
         list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{_WORD}')) AS ls FROM t),
-f AS (SELECT doc_id, text, ls, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+f AS (SELECT doc_id, text, ls, len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS stutters, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
         CASE WHEN len(ws) < 8 THEN [] ELSE list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' ')) END AS wins FROM w),
@@ -20,6 +20,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT (base_failed OR 100 * n_symbols > 25 * n_words
     OR word_chars > 20 * n_words OR word_chars < 2 * n_words
     OR (len(ls) >= 4 AND 100 * n_dup_lines > 50 * len(ls))
+    OR 100 * stutters > 30 * n_words
     OR 100 * len(regexp_extract_all(text, '[A-Z]')) > 50 * word_chars
     OR 100 * len(regexp_extract_all(text, '[!?]')) > 30 * n_words
     OR 100 * len(regexp_extract_all(text, '\p{{L}}')) < 50 * word_chars) AS kept
