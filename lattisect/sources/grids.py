@@ -183,46 +183,47 @@ def healpix(n: int) -> RowGrid:
 FACE_PLACES = (1, 3, 5, 7, 0, 2, 4, 6, 1, 3, 5, 7)
 
 
-def nested(cell: Column, n: int) -> Column:
-    """The number in nested order of a cell in ring order, for n a power of two above one: bit operations alone."""
+def nested(cells: DataFrame, n: int, cell: str = "cell") -> DataFrame:
+    """``cells`` with the ring-order numbers in ``cell`` as numbers in nested order, for n a power of two above one.
+
+    Integer and bit operations alone, a projection for each step: what a step uses twice is computed once.
+    """
     k = n.bit_length() - 1
     if n < 2 or 1 << k != n:
         raise BadGrid("nested order needs a power of two, two or more")
     cap, total = 2 * n * (n - 1), 12 * n * n
-    whole_root = lambda x: F.floor(F.sqrt(x.cast("double"))).cast("bigint")  # noqa: E731  exact: below 2**52 for n up to 2**24
-
-    def spread(x: Column) -> Column:
-        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
-        return x
-
-    def placed(face: Column, ring: Column, width: Column, place: Column, odd: Column) -> Column:
-        r = (F.shiftright(face, 2) + 2) * n - ring - 1
-        p = 2 * place - F.element_at(F.array(*[F.lit(v) for v in FACE_PLACES]), (face + 1).cast("int")) * width - odd - 1
-        p = F.when(p >= 2 * n, p - 8 * n).otherwise(p)
-        return face * (n * n) + spread(F.shiftright(r + p, 1)) + 2 * spread(F.shiftright(r - p, 1))
-
-    zero = F.lit(0).cast("bigint")
-    c = cell.cast("bigint")
-    width_n = F.shiftright(whole_root(2 * c + 1) + 1, 1)
-    place_n = c + 1 - 2 * width_n * (width_n - 1)
-    north = placed(F.floor((place_n - 1) / width_n).cast("bigint"), width_n, width_n, place_n, zero)
-    width_s = F.shiftright(whole_root(2 * total - 2 * c - 1) + 1, 1)
-    place_s = c + 1 + 2 * width_s * (width_s - 1) + 4 * width_s - total
-    south = placed(F.floor((place_s - 1) / width_s).cast("bigint") + 8, 4 * n - width_s, width_s, place_s, zero)
-    at = c - cap
-    belt = F.floor(at / (4 * n)).cast("bigint")
-    place_b = at - 4 * n * belt + 1
-    down = F.shiftright(place_b - 1 - F.shiftright(belt + 1, 1), k) + 1
-    up = F.shiftright(place_b - 1 - F.shiftright(1 - belt + 2 * n, 1), k) + 1
-    face = F.when(up == down, up.bitwiseOR(F.lit(4))).when(up < down, up).otherwise(down + 8)
-    middle = placed(face.cast("bigint"), belt + n, F.lit(n).cast("bigint"), place_b, (belt + n).bitwiseAND(F.lit(1)))
-    return F.when(c < cap, north).when(c >= total - cap, south).otherwise(middle)
+    c, v = F.col(cell).cast("bigint"), lambda name: F.col(f"__{name}")
+    whole_root = lambda x: F.floor(F.sqrt(x.cast("double"))).cast("bigint")  # noqa: E731  exact below 2**52
+    north, south = c < cap, c >= total - cap
+    pick = lambda a, b, m: F.when(north, a).when(south, b).otherwise(m).cast("bigint")
+
+    def step(df: DataFrame, **columns: Column) -> DataFrame:
+        return df.withColumns({f"__{name}": column for name, column in columns.items()})
+
+    root = F.shiftright(whole_root(F.when(north, 2 * c + 1).otherwise(F.abs(2 * total - 2 * c - 1))) + 1, 1)
+    out = step(cells, width=F.when(north | south, root).otherwise(n).cast("bigint"), belt=F.floor((c - cap) / (4 * n)).cast("bigint"))
+    polar = 2 * v("width") * (v("width") - 1)
+    out = step(out, place=pick(c + 1 - polar, c + 1 + polar + 4 * v("width") - total, c - cap - 4 * n * v("belt") + 1))
+    down = F.shiftright(v("place") - 1 - F.shiftright(v("belt") + 1, 1), k) + 1
+    up = F.shiftright(v("place") - 1 - F.shiftright(1 - v("belt") + 2 * n, 1), k) + 1
+    out = step(out, down=down, up=up)
+    middle = F.when(v("up") == v("down"), v("up").bitwiseOR(F.lit(4))).when(v("up") < v("down"), v("up")).otherwise(v("down") + 8)
+    quarter = F.floor((v("place") - 1) / v("width"))
+    ring = pick(v("width"), 4 * n - v("width"), v("belt") + n)
+    out = step(out, face=pick(quarter, quarter + 8, middle), ring=ring, odd=F.when(north | south, 0).otherwise((v("belt") + n) % 2).cast("bigint"))
+    first = F.element_at(F.array(*[F.lit(x) for x in FACE_PLACES]), (v("face") + 1).cast("int"))
+    out = step(out, r=(F.shiftright(v("face"), 2) + 2) * n - v("ring") - 1, p=2 * v("place") - first * v("width") - v("odd") - 1)
+    out = step(out, p=F.when(v("p") >= 2 * n, v("p") - 8 * n).otherwise(v("p")))
+    out = step(out, x=F.shiftright(v("r") + v("p"), 1), y=F.shiftright(v("r") - v("p"), 1))
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        out = step(out, **{z: v(z).bitwiseOR(F.shiftleft(v(z), shift)).bitwiseAND(F.lit(mask)) for z in ("x", "y")})
+    made = out.withColumn(cell, v("face") * (n * n) + v("x") + 2 * v("y"))
+    return made.select(*cells.columns)
 
 
 def healpix_nested_cells(spark: SparkSession, n: int, lat: tuple[float, float] | None = None, lon: tuple[float, float] | None = None) -> DataFrame:
     """As ``healpix(n).cells`` with ``cell`` in nested order."""
-    return healpix(n).cells(spark, lat, lon).withColumn("cell", nested(F.col("cell"), n))
+    return nested(healpix(n).cells(spark, lat, lon), n)
 
 
 @dataclass(frozen=True)
