@@ -24,11 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import tokenizer_file
+from .packing import CACHED, LONG, encoded, tokenizer_file
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Parts of texts that a worker keeps encoded (half as many words), and the length from which one isn't kept.
-CACHED, LONG = 400_000, 100
 #: Pairs of tokens that a worker keeps judged.
 PAIRS = 500_000
 #: Parts of these characters are cut by WORD, which there agrees with the tokenizer's own splitter.
@@ -209,18 +207,7 @@ class Bpe:
         A text is cut before each space that stands between two characters that are no white space, or after one
         that is: the splitter never joins what stands on either side. Distinct parts are encoded once.
         """
-        cut = [_parts(t) for t in texts]
-        new = set().union(*cut).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > CACHED:
-                self.known.clear()
-                new = set().union(*cut)
-            self.known.update(self._learn(new))
-        out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        for p in new:
-            if len(p) > LONG:
-                del self.known[p]
-        return out
+        return encoded([_parts(t) for t in texts], self.known, self._learn)
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: the bytes of all tokens, special ones included, together; what is no UTF-8 becomes U+FFFD."""

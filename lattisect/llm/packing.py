@@ -9,6 +9,7 @@ than its bound, partitions with gaps give up their unfilled sequences; the piece
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -30,8 +31,12 @@ ROUNDS = 5
 #: A sequence gives up its pieces if at least one in so many of its tokens is free.
 FREE_PART = 128
 #: Words kept encoded by a worker, and the length from which a word isn't kept.
-CACHED, LONG = 600_000, 100
+CACHED, LONG = 500_000, 100
 _MARK = "\x01"
+#: Words of these characters are cut by TOKENS once they are in lower case, as the tokenizer does.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+_LETTER = "a-z\u00df-\u00f6\u00f8-\u024f"
+TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^0-9{_LETTER}]+")
 
 _encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
 
@@ -45,12 +50,28 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def encoded(texts: list[list[str]], known: dict[str, bytes], learn: Callable[[list[str]], dict[str, bytes]]) -> list[bytes]:
+    """The ids of texts that are cut into parts: what ``known`` lacks is learned at once, and kept up to CACHED parts."""
+    found = [list(map(known.get, parts)) for parts in texts]
+    some = [i for i, ids in enumerate(found) if None in ids]
+    new = {p for i in some for p, ids in zip(texts[i], found[i]) if ids is None}
+    if new:
+        fresh = learn(list(new))
+        for i in some:
+            found[i] = [fresh[p] if ids is None else ids for p, ids in zip(texts[i], found[i])]
+        if len(known) + len(fresh) > CACHED:
+            known.clear()
+        known.update({p: ids for p, ids in fresh.items() if len(p) <= LONG})
+    return list(map(b"".join, found))
+
+
 def word_encoder(name: str = TOKENIZER) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids, each as little-endian unsigned 32-bit integers.
 
     For a tokenizer that drops white space and never joins what stands on either side of it, as this one:
     then the ids of a text are those of the parts between its spaces and line ends, and each distinct part is
-    encoded once. New parts are encoded together, in one text, with a mark between them.
+    encoded once. Plain parts are cut further, into the words that the tokenizer encodes on their own. What is new is
+    encoded together, in one text, with a mark between.
     """
     if name in _encoders:
         return _encoders[name]
@@ -61,12 +82,22 @@ def word_encoder(name: str = TOKENIZER) -> Callable[[list[str]], list[bytes]]:
     tok.no_truncation()
     tok.no_padding()
     known: dict[str, bytes] = {}
-    encode = lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, "<u4")
+    words: dict[str, bytes] = {}
+    encode = lambda text: np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
     mark = encode(_MARK)
     if len(mark) != 1 or not np.array_equal(encode("a b"), np.concatenate([encode("a"), encode("b")])):
         raise ValueError("the tokenizer doesn't encode the parts between spaces on their own")
 
     def learn(parts: list[str]) -> dict[str, bytes]:
+        cut = {p: TOKENS.findall(p.lower()) for p in parts if len(p) <= LONG and PLAIN.fullmatch(p) and "<|" not in p}
+        need = set().union(*cut.values())
+        if len(words) + len(need) > CACHED // 2:
+            words.clear()
+        words.update(whole(list(need.difference(words))))
+        out = {p: b"".join(map(words.__getitem__, ws)) for p, ws in cut.items()}
+        return out | whole([p for p in parts if p not in cut])
+
+    def whole(parts: list[str]) -> dict[str, bytes]:
         out = {p: encode(p).tobytes() for p in parts if _MARK in p or len(p) > LONG}
         rest = [p for p in parts if p not in out]
         for at in range(0, len(rest), 5000):
@@ -81,18 +112,7 @@ def word_encoder(name: str = TOKENIZER) -> Callable[[list[str]], list[bytes]]:
         return out
 
     def of(texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*parts).difference(known)
-        if new:
-            if len(known) + len(new) > CACHED:
-                known.clear()
-                new = set().union(*parts)
-            known.update(learn(list(new)))
-        out = [b"".join(map(known.__getitem__, p)) for p in parts]
-        for p in new:
-            if len(p) > LONG:
-                del known[p]
-        return out
+        return encoded([t.replace("\n", " ").split(" ") for t in texts], known, learn)
 
     _encoders[name] = of
     return of

@@ -10,6 +10,7 @@ from lattisect.llm import packing
 ODD = [
     None, "", " ", "\n\n", "Hello  World", "don't we'll", "a\tb\x0bc d e", "é é ́x", "ΣΑΣ σας", "x" * 3000, "<|endoftext|> a<|startoftext|>b",
     "\x01 a \x01b", "12 345 6", "日本語 テキスト 👩‍👩‍👧", "word " * 9000, "İ İ", "tail\x1c\x1d x\x85y",
+    "l'été c'est d'accord", "!'s 's' ''t it's", "ÀÉÎ Straße ǅ İx Ÿ ×÷ a×b", "a1b2 3.14 <| <|start", "ñ n\u0303 e\u0301",
 ]
 
 
@@ -23,6 +24,13 @@ def test_encoder_is_the_librarys():
     assert got == library(ODD)
 
 
+def test_encoder_on_words_of_every_shape():
+    rng = random.Random(11)
+    some = ["'s", "'", "'ll", "ab", "É", "ß", "ǆ", "Z", "7", "!", "-", "<|", "|>", "İ", "ĳ", "_", "\x1d", "\u0301", "д", "."]
+    texts = [" ".join("".join(rng.choice(some) for _ in range(rng.randrange(1, 6))) for _ in range(20)) for _ in range(300)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in packing.word_encoder()(texts)] == library(texts)
+
+
 def test_packs_whole_table(spark):
     rng = random.Random(3)
     texts = ODD + [" ".join(rng.choice(["alpha", "beta", "xq", "z9!"]) for _ in range(rng.randrange(1, 900))) for _ in range(150)] + ["same text"] * 40
