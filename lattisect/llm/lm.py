@@ -67,6 +67,24 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(of, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> tuple[list[str], np.ndarray]:
+    """Words and counts by decreasing count: all words above a count that so leaves ``most`` of them or fewer.
+
+    How many words have each count (rounded, above 4096) tells which; so no task sends more than is kept.
+    """
+    step = F.when(F.col("n") <= 4096, F.col("n")).otherwise(4096 + F.floor(F.log2(F.col("n") / 4096) * 64)).cast("bigint")
+    left, least = most, 1 << 62
+    for row in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["step"]):
+        left -= row["words"]
+        if left < 0:
+            break
+        least = row["step"]
+    top = counts.where(step >= least).select("word", "n").toArrow()
+    words, n = top.column("word").to_pylist(), top.column("n").to_pylist()
+    order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
+    return [words[i] for i in order], np.array([n[i] for i in order], np.int64)
+
+
 def count_pairs(texts: DataFrame, names: list[str], vocabulary: int = VOCABULARY) -> np.ndarray:
     """counts[before, after] over the column ``text``, of the end, the class of other words and ``names``.
 
@@ -200,8 +218,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     counts = written(count_words(training), "counts")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = int(totals[0]), int(totals[1])
-    top = counts.where(F.col("word") != END_WORD).orderBy(F.desc("n"), "word").limit(head).toArrow()
-    frequent, number = top.column("word").to_pylist(), top.column("n").to_numpy().astype(np.int64)
+    frequent, number = most_frequent(counts.where(F.col("word") != END_WORD), head)
     ends = counts.where(F.col("word") == END_WORD).first()
     ends = int(ends["n"]) if ends else 0
     names = frequent[: vocabulary - 2]
