@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .axes import SPARK, Axis, double, quoted
 from .errors import AxisNotFound, BadRequest, MissingValue
-from .plans.request import Branch, Request, prune_branches
-from .shapes import Point, Select, Shape
+from .plans.request import ENGINES, Branch, Request, prune_branches
+from .shapes import Point, Product, Select, Shape, Span, opened
 
 #: A period is repeated at most so often on one side before a request is refused.
 LAPS = 10_000
@@ -32,6 +32,7 @@ class Cube:
         values: Sequence[str] = (),
         branches: Sequence[Branch] = (),
         fixed: Mapping[str, str | float] | None = None,
+        engines: Mapping[str, str] | None = None,
     ) -> None:
         types = {f.name: f.dataType for f in df.schema.fields}
         own = {}
@@ -46,7 +47,10 @@ class Cube:
         if not own:
             raise BadRequest("a cube needs an axis")
         self.axes: dict[str, Axis] = own
-        self.values, self.branches = tuple(values), tuple(branches)
+        self.values, self.branches, self.engines = tuple(values), tuple(branches), dict(engines or {})
+        for e in self.engines.values():
+            if e not in ENGINES:
+                raise BadRequest(f"no engine: {e}")
         self.df = df if not fixed else df.where(" AND ".join(f"`{k}` = {quoted(v) if isinstance(v, str) else double(v)}" for k, v in fixed.items()))
 
     @staticmethod
@@ -58,7 +62,7 @@ class Cube:
         return Cube(spark.table(name), axes, values, **more)  # type: ignore[arg-type]
 
     def _with(self, df: DataFrame, axes: Sequence[Axis]) -> Cube:
-        return Cube(df, axes, self.values, self.branches)
+        return Cube(df, axes, self.values, self.branches, engines=self.engines)
 
     def without_empty_axes(self) -> Cube:
         """Without the categorical axes whose only value is the empty text."""
@@ -72,6 +76,10 @@ class Cube:
         """The distinct values of an axis."""
         return self.df.select(axis).distinct()
 
+    def indices(self, axis: str, lower: object, upper: object) -> DataFrame:
+        """The distinct values of an axis between two."""
+        return self.df.where(Span(axis, lower, upper).sql(self.axes)).select(axis).distinct()
+
     def has_index(self, axis: str, value: object) -> bool:
         return not self.df.where(Select(axis, [value]).sql(self.axes)).select(axis).isEmpty()
 
@@ -85,7 +93,14 @@ class Cube:
         for s in request.shapes:
             if check_values and isinstance(s, Select) and axes[s.axes[0]].kind == "category":
                 self._check_values(s)
-        return Request(*[self._snapped(s) for s in request.shapes]), axes
+        return Request(*[self._bordered(self._snapped(s)) for s in request.shapes]), axes
+
+    def _bordered(self, shape: Shape) -> Shape:
+        """Without its border if the engine of its two axes tests points strictly."""
+        own = {self.engines.get(a, "hull") for a in shape.axes}
+        if len(shape.axes) != 2 or isinstance(shape, (Point, Product)) or any(ENGINES[e]["border"] for e in own):
+            return shape
+        return opened(shape)
 
     def _check_values(self, select: Select) -> None:
         axis = select.axes[0]
@@ -103,8 +118,6 @@ class Cube:
         for axis, v in wanted:
             by_axis.setdefault(axis, []).append(float(v))  # type: ignore[arg-type]
         parts = [Select(a, self.around(a, vs) if shape.method == "surrounding" else self.nearest(a, vs)) for a, vs in by_axis.items()]
-        from .shapes import Product
-
         return parts[0] if len(parts) == 1 else Product(*parts)
 
     def around(self, axis: str, values: Sequence[float]) -> list[float]:

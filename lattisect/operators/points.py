@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from ..axes import Axis
 from ..plans.request import ENGINES
-from ..shapes import ConvexHull, Polygon, Shape
-from .. import geometry
+from ..shapes import Shape, opened
 
 
 def points_in(points: DataFrame, shape: Shape, engine: str = "hull") -> DataFrame:
@@ -20,17 +19,7 @@ def points_in(points: DataFrame, shape: Shape, engine: str = "hull") -> DataFram
     The bounding box is compared by columns and reaches the scan; there is no index to build.
     """
     axes = {a: Axis.of(a, points.schema[a].dataType) for a in shape.axes}
-    if ENGINES[engine]["border"]:
-        return points.where(shape.sql(axes))
-    if isinstance(shape, ConvexHull):
-        if geometry.half_spaces(shape.points).flat.size:
-            return points.where("1 = 0")
-        shape = Polygon(shape.axes, geometry.convex_ring(shape.points).tolist(), border=False)
-    elif isinstance(shape, Polygon):
-        shape = Polygon(shape.axes, shape.points.tolist(), border=False)
-    else:
-        raise ValueError("points are tested strictly against hulls and polygons")
-    return points.where(shape.sql(axes))
+    return points.where((shape if ENGINES[engine]["border"] else opened(shape)).sql(axes))
 
 
 def haversine(lat1: F.Column, lon1: F.Column, lat2: F.Column, lon2: F.Column, radius: float = 6371.0) -> F.Column:

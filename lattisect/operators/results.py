@@ -55,6 +55,13 @@ def compressed(rows: DataFrame, path: Sequence[str], leaf: Sequence[str]) -> Dat
     return rows.groupBy(*path).agg(*[F.sort_array(F.collect_set(a)).alias(a) for a in leaf], F.count("*").alias("cells"))
 
 
+def decompressed(leaves: DataFrame, leaf: Sequence[str]) -> DataFrame:
+    """All combinations of the values that compressed leaves hold: one exact request for each row. Repeated ones come once."""
+    for a in leaf:
+        leaves = leaves.withColumn(a, F.explode(a))
+    return leaves.distinct()
+
+
 def leaf_count(rows: DataFrame, axes: Sequence[str], squeezed: Sequence[str]) -> int:
     """How many leaves a tree of these rows has when some axes are compressed (the last one always is)."""
     path = [a for a in axes if a not in squeezed and a != axes[-1]]

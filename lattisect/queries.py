@@ -342,6 +342,42 @@ def compressed_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves.select(FLAG, "cells", F.size(QTY).cast("bigint").alias("quantities"), F.array_min(QTY).alias("low"), F.array_max(QTY).alias("high"))
 
 
+@_query("decompressed_requests", f"""SELECT f AS l_returnflag, q AS l_quantity, t AS l_tax FROM (SELECT DISTINCT {FLAG} AS f, {QTY} AS q FROM lineitem WHERE {_SHIP})
+  JOIN (SELECT DISTINCT {FLAG} AS g, {TAX} AS t FROM lineitem WHERE {_SHIP}) ON f = g""")
+def decompressed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = Cube(_table(spark, sf_dir, "lineitem"), [FLAG, QTY, DISC], [TAX]).retrieve(Request(All(FLAG), *_CELLS.shapes))
+    return results.decompressed(results.compressed(cells, [FLAG], [QTY, TAX]).drop("cells"), [QTY, TAX])
+
+
+@_query("axis_indices", f"SELECT DISTINCT {DATE} FROM lineitem WHERE {YEARS}")
+def axis_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cube(spark, sf_dir, "lineitem", [DATE]).indices(DATE, Y97, Y98)
+
+
+@_query("empty_axis_dropped", f"SELECT {QTY}, l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE {QTY} = 17")
+def empty_axis_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").withColumn("domain", F.lit(""))
+    return Cube(rows, ["domain", QTY], VALUES["lineitem"]).without_empty_axes().retrieve(Request(Select(QTY, [17])))
+
+
+@_query("open_engine", "SELECT p_size, p_retailprice, p_partkey FROM part WHERE p_size > 10 AND p_size < 20 AND p_retailprice > 910 AND p_retailprice < 950")
+def open_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    axes = ["p_size", "p_retailprice"]
+    cube = Cube(_table(spark, sf_dir, "part"), axes, ["p_partkey"], engines=dict.fromkeys(axes, "point_in_polygon"))
+    return cube.retrieve(Request(Box(axes, [10, 910], [20, 950])))
+
+
+@_query("wrapped_values", """SELECT event_id, round(CASE WHEN x < -1e-12 THEN x + (floor((-x - 1e-12) / 7e0) + 1) * 7 WHEN x <= 7 + 1e-12 THEN x
+  ELSE x - (floor((x - 7) / 7e0) + 1) * 7 END, 6) AS wrapped FROM (SELECT event_id, value * 10 AS x FROM events)""")
+def wrapped_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", F.round(transforms.wrapped(F.col("value") * 10, 0.0, 7.0), 6).alias("wrapped"))
+
+
+@_query("fixed_path", f"SELECT {QTY}, l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE {FLAG} = 'A' AND {QTY} = 2")
+def fixed_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Cube(_table(spark, sf_dir, "lineitem"), [QTY], VALUES["lineitem"], fixed={FLAG: "A"}).retrieve(Request(Select(QTY, [2])))
+
+
 @_query("planned_left_join", f"SELECT d.x::DOUBLE AS l_quantity, n FROM range(48, 54) d(x) LEFT JOIN (SELECT {QTY}, count(*)::DOUBLE AS n FROM lineitem GROUP BY {QTY}) ON {QTY} = x")
 def planned_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = spark.range(48, 54).select(F.col("id").cast("double").alias(QTY))

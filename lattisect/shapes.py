@@ -389,6 +389,19 @@ class Polygon(Shape):
         return "(" + " AND ".join([*self._within(axes, dialect), test]) + ")"
 
 
+def opened(shape: Shape) -> Shape:
+    """A shape in a plane without its border; flat ones are empty then."""
+    if isinstance(shape, Polygon):
+        return Polygon(shape.axes, shape.points.tolist(), border=False)
+    if isinstance(shape, Union):
+        return Union(shape.axes, *[opened(s) for s in shape.shapes])
+    if len(shape.axes) != 2 or not isinstance(shape, (ConvexHull, Box)):
+        raise ValueError("only hulls, boxes and polygons in a plane have a border that can be left out")
+    if geometry.half_spaces(shape.points).flat.size:
+        return Polygon(shape.axes, [], border=False)
+    return Polygon(shape.axes, geometry.convex_ring(shape.points).tolist(), border=False)
+
+
 #: Shapes by name, for requests that come as data.
 SHAPES: dict[str, Callable[..., Shape]] = {
     "hull": ConvexHull, "select": Select, "point": Point, "span": Span, "all": All, "box": Box, "disk": Disk,

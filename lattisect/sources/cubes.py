@@ -216,4 +216,4 @@ def configured(df: DataFrame, axes: Sequence[str], values: Sequence[str], option
         if (c := o.find(Cyclic)) is not None:
             more.setdefault(o.axis_name, {})["period"] = tuple(float(x) for x in c.range)
     types = {f.name: f.dataType for f in df.schema.fields}
-    return Cube(df, [Axis.of(n, types[n], **more.get(n, {})) for n in names], values)
+    return Cube(df, [Axis.of(n, types[n], **more.get(n, {})) for n in names], values, engines=options.engine_options)
