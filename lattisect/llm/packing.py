@@ -31,7 +31,7 @@ ROUNDS = 5
 #: A sequence gives up its pieces if at least one in so many of its tokens is free.
 FREE_PART = 128
 #: Words kept encoded by a worker, and the length from which a word isn't kept.
-CACHED, LONG = 500_000, 100
+CACHED, LONG = 1_000_000, 100
 _MARK = "\x01"
 #: Words of these characters are cut by TOKENS once they are in lower case, as the tokenizer does.
 PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
@@ -70,8 +70,8 @@ def word_encoder(name: str = TOKENIZER) -> Callable[[list[str]], list[bytes]]:
 
     For a tokenizer that drops white space and never joins what stands on either side of it, as this one:
     then the ids of a text are those of the parts between its spaces and line ends, and each distinct part is
-    encoded once. Plain parts are cut further, into the words that the tokenizer encodes on their own. What is new is
-    encoded together, in one text, with a mark between.
+    encoded once. Plain parts are cut further, into the words that the tokenizer encodes on their own, and what is new is
+    encoded together: the last id of a word tells that it ends. Other new parts are encoded with a mark between them.
     """
     if name in _encoders:
         return _encoders[name]
@@ -85,6 +85,8 @@ def word_encoder(name: str = TOKENIZER) -> Callable[[list[str]], list[bytes]]:
     words: dict[str, bytes] = {}
     encode = lambda text: np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
     mark = encode(_MARK)
+    last = np.zeros(tok.get_vocab_size() + 1, bool)
+    last[[i for t, i in tok.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
     if len(mark) != 1 or not np.array_equal(encode("a b"), np.concatenate([encode("a"), encode("b")])):
         raise ValueError("the tokenizer doesn't encode the parts between spaces on their own")
 
@@ -93,10 +95,23 @@ def word_encoder(name: str = TOKENIZER) -> Callable[[list[str]], list[bytes]]:
         need = set().union(*cut.values())
         if len(words) + len(need) > CACHED // 2:
             words.clear()
-        words.update(whole(list(need.difference(words))))
+        words.update(plain(list(need.difference(words))))
         out = {p: b"".join(map(words.__getitem__, ws)) for p, ws in cut.items()}
         return out | whole([p for p in parts if p not in cut])
 
+    def plain(new: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        for at in range(0, len(new), 5000):
+            some = new[at : at + 5000]
+            ids = encode(" ".join(some))
+            cuts = (np.flatnonzero(last[ids]) + 1).tolist()
+            if len(cuts) != len(some):  # the file's words don't end in this way
+                out |= whole(some)
+                continue
+            data = ids.tobytes()
+            out |= {p: data[4 * a : 4 * b] for p, a, b in zip(some, [0, *cuts], cuts)}
+        return out
+
     def whole(parts: list[str]) -> dict[str, bytes]:
         out = {p: encode(p).tobytes() for p in parts if _MARK in p or len(p) > LONG}
         rest = [p for p in parts if p not in out]
