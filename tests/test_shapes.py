@@ -174,5 +174,6 @@ def test_hulls_against_brute_force():
 def test_bounds_reach_the_scan(spark, tmp_path):
     mock(spark, {"x": 50, "y": 50}).df.selectExpr("cast(x as double) x", "cast(y as double) y", "value").write.parquet(str(tmp_path / "c"))
     cube = L.Cube.from_parquet(spark, str(tmp_path / "c"), ["x", "y"], ["value"])
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     plan = cube.retrieve(L.Request(L.Disk(["x", "y"], [20, 20], [5, 5])))._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(x" in plan and "LessThanOrEqual(y" in plan and "Exchange" not in plan
