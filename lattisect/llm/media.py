@@ -2,8 +2,8 @@
 
 Frames of a recording become the energies of the twelve pitch classes; sums over rectangles of these, taken from an
 integral image, are compared by a bank of filters, and each filter gives two bits of the packed integer of a
-position. Recordings share integers where they sound alike: a histogram of the offsets at which they do aligns two
-of them, and the share of differing bits under that offset tells whether they match.
+position. Two recordings are laid over each other at every offset, and the share of differing bits where they overlap
+tells whether they match at it; no offset and no pair is left out.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import written
 
 #: Seconds of a frame and between frames; the band that is heard.
 FRAME, HOP, BAND = 0.256, 0.064, (100.0, 1900.0)
@@ -31,8 +31,11 @@ WIDTH = max(f[3] for f in FILTERS)
 #: A filter's two bits tell which of the four ranges between these its logarithmic ratio is in, in Gray code.
 #: The middle one is just above what equal sums give, whatever their rounding.
 CUTS = (-0.25, 1e-6, 0.25)
-#: Pairs of integers that two recordings share at one offset, at least; positions that overlap, at least; differing bits, at most.
-VOTES, OVERLAP, ERRORS = 2, 16, 0.25
+#: Positions that overlap, at least; differing bits, at most. The best of all offsets is often good by chance where few
+#: positions overlap, so the bits may differ only in those beyond the first OVERLAP: ERRORS * 32 * (overlap - OVERLAP).
+OVERLAP, ERRORS = 16, 0.25
+#: Integers of the recordings that are sent together to be compared; numbers that a step of comparing holds at once.
+PACK, HELD = 250_000, 4_000_000
 
 
 def read_wav(data: bytes | None) -> tuple[np.ndarray, int]:
@@ -123,31 +126,100 @@ def fingerprints(rows: DataFrame, id_col: str, media_col: str, decode: Callable
     return rows.select(F.col(id_col), F.col(media_col)).mapInArrow(of, f"`{id_col}` {id_type}, codes array<int>")
 
 
-def _marks(prints: DataFrame) -> DataFrame:
-    """(rep, at, mark): a mark for each position, of its integer and the one two on; of equal neighbours, the first."""
-    marks = F.transform(
-        F.sequence(F.lit(0), F.size("codes") - 3), lambda i: F.struct(i.alias("at"), F.xxhash64(F.col("codes")[i], F.col("codes")[i + 2]).alias("mark"))
-    )
-    fresh = let(marks, lambda m: F.filter(m, lambda x, i: F.when(i == 0, True).otherwise(x["mark"] != m[F.greatest(i - 1, F.lit(0))]["mark"])))
-    return prints.where(F.size("codes") >= 3).select("rep", F.explode(fresh).alias("m")).select("rep", "m.at", "m.mark")
+def allowed(overlap: np.ndarray) -> np.ndarray:
+    """Differing bits of a match, at most, by the positions that overlap; below none for fewer than OVERLAP."""
+    return np.floor(ERRORS * 32 * (np.asarray(overlap) - OVERLAP)).astype(np.int64)
+
+
+def _spectra(codes: list[np.ndarray], size: int) -> np.ndarray:
+    """(frequency, bit, recording): the transforms of the bits as -1 and 1, zero beyond the end."""
+    signs = np.zeros((len(codes), 32, size), np.float32)
+    for i, c in enumerate(codes):
+        bits = np.unpackbits(np.ascontiguousarray(c, "<u4").view(np.uint8).reshape(-1, 4), axis=1)
+        signs[i, :, : len(c)] = bits.T * np.float32(2) - 1
+    return np.ascontiguousarray(np.fft.rfft(signs, axis=2).transpose(2, 1, 0))
 
 
-def _differing(a: Column, b: Column, shift: Column) -> Column:
-    """(overlapping positions, differing bits) of two arrays of codes, the second ``shift`` positions on."""
-    first = F.greatest(-shift, F.lit(0))
-    count = F.greatest(F.least(F.size(a), F.size(b) - shift) - first, F.lit(0))
-    bits = F.aggregate(
-        F.zip_with(F.slice(a, first + 1, count), F.slice(b, first + shift + 1, count), lambda x, y: F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(0xFFFFFFFF)))),
-        F.lit(0), lambda s, x: s + x,
-    )
-    return F.struct(count.alias("overlap"), bits.alias("bits"))
+def compared(first: list[np.ndarray], second: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(i, j, shift, overlap, bits) of all pairs that match at some offset, at the one of the least share of bits (then the least).
+
+    Bits agreeing at all offsets of a pair are the correlation of its signs, summed over the bits: whole numbers, to
+    which the transforms come within a small part of one.
+    """
+    found: list[tuple[np.ndarray, ...]] = []
+    lengths = [np.array([len(c) for c in side], np.int64) for side in (first, second)]
+    for to in _steps(lengths[1], 256):
+        m = lengths[1][to]
+        for at in _steps(lengths[0], 64):
+            n = lengths[0][at]
+            size = 1 << int(n.max() + m.max() - 1).bit_length()
+            a, b = _spectra([first[i] for i in at], size), _spectra([second[j] for j in to], size)
+            product = np.ascontiguousarray(a.conj().transpose(0, 2, 1)) @ b
+            agree = np.fft.irfft(np.ascontiguousarray(product.transpose(1, 2, 0)), n=size, axis=2)
+            shift = np.arange(size)
+            shift = np.where(shift < m.max(), shift, shift - size)
+            for length in np.unique(m):
+                own = np.flatnonzero(m == length)
+                overlap = np.minimum(n[:, None], length - shift) - np.maximum(-shift, 0)  # by first and shift
+                least = np.where(overlap >= OVERLAP, 32 * overlap - 2 * allowed(overlap), np.iinfo(np.int32).max)
+                here = agree[:, own] if len(own) < len(m) else agree
+                i, j, s = np.nonzero(here >= least.astype(np.float32)[:, None, :] - 0.5)
+                if len(i):
+                    over = overlap[i, s]
+                    found.append((at[i], to[own[j]], shift[s], over, (32 * over - np.rint(here[i, j, s]).astype(np.int64)) // 2))
+    if not found:
+        return tuple(np.empty(0, np.int64) for _ in range(5))
+    i, j, shift, over, bits = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((shift, bits / over, j, i))
+    i, j, shift, over, bits = (x[order] for x in (i, j, shift, over, bits))
+    top = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+    return i[top], j[top], shift[top], over[top], bits[top]
+
+
+def _steps(lengths: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """The numbers of the recordings by length, in runs of ``most`` or, where they are long, fewer."""
+    order = np.argsort(lengths, kind="stable")[::-1]
+    order = order[lengths[order] >= OVERLAP]
+    at = 0
+    while at < len(order):
+        count = int(np.clip(HELD // (64 * lengths[order[at]]), 1, most))
+        yield order[at : at + count]
+        at += count
+
+
+def _packs(prints: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """(number, recordings): the rows of ``prints`` (rep, codes) in packs of about PACK integers."""
+    total = prints.agg(F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()[0]
+    number = F.pmod(F.xxhash64("rep"), F.lit(max(1, -(-total // PACK))))
+    return prints.groupBy(number.alias(names[0])).agg(F.collect_list(F.struct("rep", "codes")).alias(names[1]))
+
+
+def _matches(named: DataFrame) -> DataFrame:
+    """(q, rep, shift, errors): each recording with ``asks`` and each other one that it matches."""
+    id_type = named.schema["rep"].dataType.simpleString()
+    asked = written(_packs(named.where("asks").select("rep", "codes"), ("a", "asked")), "asked")
+    others = written(_packs(named.select("rep", "codes"), ("b", "others")), "others")
+
+    def of(pair: pa.Table) -> pa.Table:
+        sides = [pair.column(c).combine_chunks().flatten() for c in ("asked", "others")]
+        ids = [side.field("rep") for side in sides]
+        codes = []
+        for side in sides:
+            lists = side.field("codes")
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint32)
+            codes.append([flat[x:y] for x, y in zip(ends[:-1], ends[1:])])
+        i, j, shift, overlap, bits = compared(*codes)
+        return pa.table([ids[0].take(pa.array(i)), ids[1].take(pa.array(j)), pa.array(shift.astype(np.int32)), pa.array(bits / (32 * np.maximum(overlap, 1)))], names=["q", "rep", "shift", "errors"])
+
+    pairs = asked.crossJoin(others).groupBy("a", "b").applyInArrow(of, f"q {id_type}, rep {id_type}, shift int, errors double")
+    return pairs.where("q <> rep")
 
 
 def search(prints: DataFrame, id_col: str, is_query: Column) -> DataFrame:
     """One row for each row of ``prints`` (id, codes): its class and, for queries, what they match.
 
     Recordings with the same codes are a class, named by the least id; those without codes are classes of their own
-    and match nothing. The representatives of the queries' classes are looked for among all representatives: n_matches other
+    and match nothing. The representatives of the queries' classes are compared with all representatives at all offsets: n_matches other
     classes match, best_match (least differing bits; then the least id) at best_offset, with best_errors. Repeated
     rows come out as often as they went in. A null id stays in its class and is no query.
     """
@@ -155,14 +227,7 @@ def search(prints: DataFrame, id_col: str, is_query: Column) -> DataFrame:
     some = F.size("codes") > 0
     classes = written(rows.where(some).groupBy("same").agg(F.min("id").alias("rep"), F.max("asks").alias("asks"), F.first("codes").alias("codes")), "classes")
     named = classes.where("rep is not null")
-    marks = _marks(named)
-    asked = _marks(named.where("asks")).select(F.col("rep").alias("q"), F.col("at").alias("q_at"), "mark")
-    votes = asked.join(marks, "mark").where("q <> rep").groupBy("q", "rep", (F.col("at") - F.col("q_at")).alias("shift")).agg(F.count("*").alias("n"))
-    best = votes.where(F.col("n") >= VOTES).groupBy("q", "rep").agg(F.max(F.struct("n", -F.abs("shift"), "shift"))["shift"].alias("shift"))
-    q_codes, t_codes = named.select(F.col("rep").alias("q"), F.col("codes").alias("q_codes")), named.select("rep", F.col("codes").alias("t_codes"))
-    seen = best.join(q_codes, "q").join(t_codes, "rep").select("q", "rep", "shift", _differing(F.col("q_codes"), F.col("t_codes"), F.col("shift")).alias("d"))
-    errors = F.col("d.bits") / (32 * F.col("d.overlap"))
-    hits = seen.where(F.col("d.overlap") >= OVERLAP).select("q", "rep", "shift", errors.alias("errors")).where(F.col("errors") <= ERRORS)
+    hits = _matches(named)
     top = hits.groupBy("q").agg(F.count("*").alias("n_matches"), F.min(F.struct("errors", "rep", "shift")).alias("best"))
     of_class = classes.join(top, classes["rep"] == top["q"], "left").select(F.col("same").alias("of"), "rep", "n_matches", "best")
     out = rows.where(some).join(of_class, rows["same"] == of_class["of"])

@@ -68,3 +68,34 @@ def test_search_finds_copies(spark):
     assert found[200].class_id == 5 and found[201].class_id == 30 and found[None].class_id == 7
     assert [found[i].n_codes for i in (300, 301, 302)] == [0, 0, 0] and found[300].class_id == 300 and found[300].n_matches is None
     assert media.search(media.fingerprints(df.limit(0), "id", "audio"), "id", F.lit(True)).count() == 0
+
+
+def test_compares_all_pairs_at_all_offsets():
+    rng = np.random.default_rng(4)
+    parts = [rng.integers(0, 2**32, n, dtype=np.uint32) for n in (0, 15, 16, 17, 40, 90, 90, 200)]
+    noisy = [p ^ np.uint32(0x00810101) for p in parts]  # no integer is left as it was
+    parts += [noisy[4][3:38], np.concatenate([noisy[6][55:], parts[1]]), np.tile(parts[1], 4)]
+    want = {}
+    for i, a in enumerate(parts):
+        for j, b in enumerate(parts):
+            for shift in range(-len(a), len(b)):
+                first = max(-shift, 0)
+                n = min(len(a), len(b) - shift) - first
+                if n >= media.OVERLAP:
+                    bits = int(np.bitwise_count(a[first : first + n] ^ b[first + shift : first + shift + n]).sum())
+                    if bits <= media.ERRORS * 32 * (n - media.OVERLAP):
+                        want[i, j] = min(want.get((i, j), (9,)), (bits / n, shift, n, bits))
+    i, j, shift, overlap, bits = (x.tolist() for x in media.compared(parts, parts))
+    assert {(a, b): (d / c, s, c, d) for a, b, s, c, d in zip(i, j, shift, overlap, bits)} == want
+    assert (4, 8) in want and (6, 9) in want
+
+
+def test_search_finds_copies_cut_off_the_grid(spark):
+    rng = np.random.default_rng(6)
+    tunes = [media.read_wav(media.tune(rng.normal(0, 0.125, 64).tolist()))[0] for _ in range(12)]
+    rows = [(i, wav(t)) for i, t in enumerate(tunes)]
+    rows += [(100 + i, wav(np.clip(t[1280 + 128 :] + rng.normal(0, 0.05, len(t) - 1408), -1, 1))) for i, t in enumerate(tunes)]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "id bigint, audio binary")
+    found = {r.id: r for r in media.search(media.fingerprints(df, "id", "audio"), "id", F.col("id") < 12).collect()}
+    assert [(found[i].n_matches, found[i].best_match) for i in range(12)] == [(1, 100 + i) for i in range(12)]
+    assert all(found[i].best_offset in (-5, -6) and found[i].best_errors <= media.ERRORS for i in range(12))
