@@ -1,29 +1,53 @@
 """A cube is a DataFrame with a row for each cell, a column for each axis, and value columns.
 
 A request becomes one filter: bounding ranges that reach the scan, and the inequalities of the shapes. Nothing is
-shuffled unless the caller asks for distinct coordinates or an order.
+shuffled unless the caller asks for distinct coordinates or an order. Axes that a grid makes of numbers of cells are
+computed from these, so a region is a few ranges of numbers to the scan and no join.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import itertools
+import logging
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .axes import SPARK, Axis, double, quoted
+from .axes import SPARK, Axis, double, number, quoted
 from .errors import AxisNotFound, BadRequest, MissingValue
 from .plans.request import ENGINES, Branch, Request, prune_branches
-from .shapes import Point, Product, Select, Shape, Span, opened
+from .shapes import Bounds, Point, Product, Select, Shape, Span, Union, opened
+
+log = logging.getLogger(__name__)
 
 #: A period is repeated at most so often on one side before a request is refused.
 LAPS = 10_000
+EVERYWHERE = (-math.inf, math.inf)
+
+
+@dataclass(frozen=True)
+class Mapped:
+    """Two axes that come of the numbers of cells in the column ``cell``.
+
+    Either a ``grid`` computes them and knows its neighbours, or ``points`` is a table of them.
+    """
+
+    cell: str
+    axes: tuple[str, str]
+    grid: Any = None
+    points: DataFrame | None = None
 
 
 class Cube:
-    """An immutable cube. ``axes`` are names or ``Axis`` objects; ``values`` are the columns that are read."""
+    """An immutable cube. ``axes`` are names or ``Axis`` objects; ``values`` are the columns that are read.
+
+    ``known`` has all values of some axes; these are then looked up without a look into the store.
+    """
 
     def __init__(
         self,
@@ -33,6 +57,8 @@ class Cube:
         branches: Sequence[Branch] = (),
         fixed: Mapping[str, str | float] | None = None,
         engines: Mapping[str, str] | None = None,
+        mapped: Sequence[Mapped] = (),
+        known: Mapping[str, Sequence[object]] | None = None,
     ) -> None:
         types = {f.name: f.dataType for f in df.schema.fields}
         own = {}
@@ -47,11 +73,13 @@ class Cube:
         if not own:
             raise BadRequest("a cube needs an axis")
         self.axes: dict[str, Axis] = own
-        self.values, self.branches, self.engines = tuple(values), tuple(branches), dict(engines or {})
+        self.values, self.branches, self.engines, self.mapped = tuple(values), tuple(branches), dict(engines or {}), tuple(mapped)
+        self.known = {a: tuple(number(v) for v in vs) for a, vs in (known or {}).items()}
         for e in self.engines.values():
             if e not in ENGINES:
                 raise BadRequest(f"no engine: {e}")
         self.df = df if not fixed else df.where(" AND ".join(f"`{k}` = {quoted(v) if isinstance(v, str) else double(v)}" for k, v in fixed.items()))
+        self._ends: dict[str, bool] = {}
 
     @staticmethod
     def from_parquet(spark: SparkSession, path: str, axes: Sequence[str | Axis], values: Sequence[str] = (), **more: object) -> Cube:
@@ -62,7 +90,7 @@ class Cube:
         return Cube(spark.table(name), axes, values, **more)  # type: ignore[arg-type]
 
     def _with(self, df: DataFrame, axes: Sequence[Axis]) -> Cube:
-        return Cube(df, axes, self.values, self.branches, engines=self.engines)
+        return Cube(df, axes, self.values, self.branches, engines=self.engines, mapped=self.mapped, known=self.known)
 
     def without_empty_axes(self) -> Cube:
         """Without the categorical axes whose only value is the empty text."""
@@ -93,7 +121,8 @@ class Cube:
         for s in request.shapes:
             if check_values and isinstance(s, Select) and axes[s.axes[0]].kind == "category":
                 self._check_values(s)
-        return Request(*[self._bordered(self._snapped(s)) for s in request.shapes]), axes
+        snapped = self._looked_up([w for s in request.shapes for w in self._wanted(s)])
+        return Request(*[self._bordered(self._snapped(s, snapped)) for s in request.shapes]), axes
 
     def _bordered(self, shape: Shape) -> Shape:
         """Without its border if the engine of its two axes tests points strictly."""
@@ -104,52 +133,133 @@ class Cube:
 
     def _check_values(self, select: Select) -> None:
         axis = select.axes[0]
-        found = {r[0] for r in self.df.where(F.col(axis).isin(*select.values)).select(axis).distinct().collect()}  # as many as asked for
+        if axis in self.known:
+            found = set(self.known[axis])
+        else:
+            found = {r[0] for r in self.df.where(F.col(axis).isin(*select.values)).select(axis).distinct().collect()}  # as many as asked for
         for v in select.values:
             if v not in found:
                 raise MissingValue(f"axis {axis} has no value {v}")
 
-    def _snapped(self, shape: Shape) -> Shape:
+    # --- snapping -----------------------------------------------------------------------------------------
+
+    def _plane(self, shape: Shape) -> Mapped | None:
+        """Where the points of a shape are looked for as pairs: a grid, a table of points, or the cube under an engine of points."""
+        for m in self.mapped:
+            if set(m.axes) == set(shape.axes):
+                return m
+        if len(shape.axes) == 2 and all(self.engines.get(a, "hull") != "hull" for a in shape.axes):
+            return Mapped("", tuple(shape.axes), points=self.df)  # type: ignore[arg-type]
+        return None
+
+    def _wanted(self, shape: Shape) -> list[tuple[str, str, float]]:
+        """(method, axis, value) of what is snapped one axis at a time."""
+        if isinstance(shape, (Union, Product)):
+            return [w for s in shape.shapes for w in self._wanted(s)]
+        if shape.method is None or not isinstance(shape, (Select, Point)) or self._plane(shape):
+            return []
+        pairs = [(shape.axes[0], v) for v in shape.values] if isinstance(shape, Select) else list(zip(shape.axes, shape.point))
+        return [(shape.method, a, float(v)) for a, v in pairs]  # type: ignore[arg-type]
+
+    def _snapped(self, shape: Shape, found: Mapping[tuple[str, str, float], list[float]]) -> Shape:
         """Shapes with ``surrounding`` or ``nearest`` as selections of the values that those are."""
+        if isinstance(shape, (Union, Product)):
+            parts = [self._snapped(s, found) for s in shape.shapes]
+            return Union(shape.axes, *parts) if isinstance(shape, Union) else Product(*parts)
         if shape.method is None or not isinstance(shape, (Select, Point)):
             return shape
-        wanted = [(shape.axes[0], v) for v in shape.values] if isinstance(shape, Select) else list(zip(shape.axes, shape.point))
+        plane = self._plane(shape)
+        if plane and isinstance(shape, Point):
+            at = tuple(self._wrapped(self.axes[a], float(shape.point[shape.axes.index(a)])) for a in plane.axes)  # type: ignore[arg-type]
+            return Union(plane.axes, *[Point(plane.axes, [p]) for p in self._around_point(plane, at, shape.method, shape.k)])
         by_axis: dict[str, list[float]] = {}
-        for axis, v in wanted:
-            by_axis.setdefault(axis, []).append(float(v))  # type: ignore[arg-type]
-        parts = [Select(a, self.around(a, vs) if shape.method == "surrounding" else self.nearest(a, vs)) for a, vs in by_axis.items()]
+        for want in self._wanted(shape):
+            by_axis.setdefault(want[1], []).extend(found[want])
+        parts = [Select(a, sorted(set(vs))) for a, vs in by_axis.items()]
         return parts[0] if len(parts) == 1 else Product(*parts)
 
-    def around(self, axis: str, values: Sequence[float]) -> list[float]:
-        """For each value the stored ones that are equal, the last one below and the first one above.
+    def _around_point(self, plane: Mapped, at: tuple[float, float], method: str, k: int) -> list[tuple[float, float]]:
+        """The pairs that a point of a plane is snapped to.
 
-        One aggregate over the axis finds them; the answer is a few literals and the request stays a plain filter.
-        On a cyclic axis the values before the first and after the last are those of the neighbouring laps, wrapped.
+        On a structured grid arithmetic finds them, and ``k`` counts as one; in a table of points they are its ``k``
+        nearest in squared degrees, of those as near the ones with the least coordinates first.
         """
-        a = self.axes[axis]
-        x = F.expr(a.numeric())
-        wide = a.tolerance
-        calls: list[Column] = [F.min(x), F.max(x)]
-        wrapped = [self._wrapped(a, v) for v in values]
-        for v in wrapped:
-            calls += [F.max(F.when(x < v - wide, x)), F.min(F.when(x > v + wide, x)), F.max(F.when(F.abs(x - v) <= wide, x))]
+        if plane.grid is not None:
+            if method == "surrounding":
+                return plane.grid.around(*at)
+            if k != 1:
+                log.warning("the %d nearest points aren't supported on a structured grid: the nearest is taken", k)
+            return plane.grid.nearest(*at)
+        x, y = (F.expr(self.axes[a].numeric()) for a in plane.axes)
+        dx, dy = x - at[0], y - at[1]
+        period = self.axes[plane.axes[1]].period
+        if period:  # the short way round
+            size = period[1] - period[0]
+            dy = F.least(F.abs(dy), F.lit(size) - F.abs(dy))
+        rows = plane.points.select(x.alias("x"), y.alias("y"), (dx * dx + dy * dy).alias("d")).where("d is not null")
+        if k == 1:
+            best = rows.agg(F.min(F.struct("d", "x", "y")).alias("m")).first()["m"]
+            return [(best["x"], best["y"])] if best else []
+        return [(r["x"], r["y"]) for r in rows.distinct().orderBy("d", "x", "y").limit(k).collect()]
+
+    def _looked_up(self, wanted: Iterable[tuple[str, str, float]]) -> dict[tuple[str, str, float], list[float]]:
+        """For each (method, axis, value) the stored values it stands for: one aggregate for all of them.
+
+        ``nearest`` is the value next to it, of two as near the lower; ``surrounding`` are the equal, the last one below
+        and the first one above. On a cyclic axis the values before the first and after the last are those of the
+        neighbouring laps, wrapped. Axes with known values and axes of grids are looked up in those.
+        """
+        todo = list(dict.fromkeys(wanted))
+        listed = {a: sorted(float(v) for v in self._values_of(a)) for _, a, _ in todo if self._values_of(a) is not None}
+        out = {w: self._beside(self.axes[w[1]], listed[w[1]], w[0], w[2]) for w in todo if w[1] in listed}
+        rest = [w for w in todo if w not in out]
+        if not rest:
+            return out
+        calls = []
+        for method, axis, value in rest:
+            a = self.axes[axis]
+            x, v, wide = F.expr(a.numeric()), self._wrapped(a, value), a.tolerance
+            if method == "nearest":
+                near = F.when(x.isNotNull(), F.struct(F.abs(x - v).alias("d"), x.alias("x")))
+                calls += [F.min(near)["x"]] + [F.lit(None)] * 4
+            else:
+                calls += [F.min(x), F.max(x), F.max(F.when(x < v - wide, x)), F.min(F.when(x > v + wide, x)), F.max(F.when(F.abs(x - v) <= wide, x))]
         row = self.df.agg(*[c.alias(f"c{i}") for i, c in enumerate(calls)]).first()
-        out: list[float] = []
-        for i in range(len(wrapped)):
-            below, above, same = row[2 + 3 * i : 5 + 3 * i]
-            if a.period:
-                below = row[1] if below is None else below
-                above = row[0] if above is None else above
-            out += [float(z) for z in (below, same, above) if z is not None]
-        return sorted(set(out))
+        for i, want in enumerate(rest):
+            first, last, below, above, same = row[5 * i : 5 * i + 5]
+            if want[0] == "nearest":
+                found = [first]
+            else:
+                below, above = (last if below is None else below, first if above is None else above) if self.axes[want[1]].period else (below, above)
+                found = [below, same, above]
+            out[want] = sorted({float(z) for z in found if z is not None})
+        return out
+
+    def _values_of(self, axis: str) -> Sequence[float] | None:
+        if axis in self.known:
+            return self.known[axis]  # type: ignore[return-value]
+        for m in self.mapped:
+            if axis in m.axes and m.grid is not None and m.grid.axis_values(m.axes.index(axis)) is not None:
+                return m.grid.axis_values(m.axes.index(axis))
+        return None
+
+    def _beside(self, a: Axis, values: Sequence[float], method: str, value: float) -> list[float]:
+        v = self._wrapped(a, value)
+        if not values:
+            return []
+        if method == "nearest":
+            return [min(values, key=lambda x: (abs(x - v), x))]
+        below = [x for x in values if x < v - a.tolerance] or ([values[-1]] if a.period else [])
+        above = [x for x in values if x > v + a.tolerance] or ([values[0]] if a.period else [])
+        return sorted({*below[-1:], *[x for x in values if abs(x - v) <= a.tolerance], *above[:1]})
+
+    def around(self, axis: str, values: Sequence[float]) -> list[float]:
+        """For each value the stored ones that are equal, the last one below and the first one above."""
+        return sorted({x for found in self._looked_up(("surrounding", axis, float(v)) for v in values).values() for x in found})
 
     def nearest(self, axis: str, values: Sequence[float]) -> list[float]:
         """For each value the stored one next to it; of two as near, the lower."""
-        a = self.axes[axis]
-        x = F.expr(a.numeric())
-        calls = [F.min(F.struct(F.abs(x - self._wrapped(a, v)).alias("d"), x.alias("x")))["x"].alias(f"c{i}") for i, v in enumerate(values)]
-        row = self.df.where(x.isNotNull()).agg(*calls).first()
-        return sorted({float(z) for z in row if z is not None})
+        return sorted({x for found in self._looked_up(("nearest", axis, float(v)) for v in values).values() for x in found})
 
     @staticmethod
     def _wrapped(axis: Axis, value: float) -> float:
@@ -170,32 +280,40 @@ class Cube:
         """
         planned, axes = self.plan(request, check_values)
         cyclic = [a for a in axes.values() if a.period and a.name in planned.bounds()]
-        names = [*axes, *self.values]
+        names, rows = [*axes, *self.values], self._narrowed(planned)
         if not cyclic:
-            return self.df.where(planned.sql(axes)).select(*names)
-        rows = self.df
+            return rows.where(planned.sql(axes)).select(*names)
         for a in cyclic:
             rows = self._lapped(rows, a, planned.bounds()[a.name], distinct)
         unwrapped = {n: dataclasses.replace(a, name=f"{n}_unwrapped") if a in cyclic else a for n, a in axes.items()}
         if not distinct:
             return rows.where(planned.sql(unwrapped)).select(*names, *[f"{a.name}_unwrapped" for a in cyclic])
         # a cell is in the request if any lap's copy is: an OR over the laps, no explode and no exchange
-        tests = [""]
-        for a in cyclic:
-            lap = self._laps(a, planned.bounds()[a.name])
-            tests = [f"{t}|{a.name}:{k}" for t in tests for k in lap]
-        parts = []
-        for t in tests:
-            moved = planned.sql(unwrapped)
-            for piece in filter(None, t.split("|")):
-                name, _, k = piece.rpartition(":")
-                low, high = self.axes[name].period  # type: ignore[misc]
-                place = f"`{name}`" if k == "0" else f"round(`{name}` + {double(int(k) * (high - low))}, 12)"
-                moved = moved.replace(f"`{name}_unwrapped`", place)
-                moved = f"({self._lap_holds(self.axes[name], int(k))} AND {moved})"
+        text, parts = planned.sql(unwrapped), []
+        for laps in itertools.product(*[self._laps(a, planned.bounds()[a.name]) for a in cyclic]):
+            moved = text
+            for a, k in zip(cyclic, laps):
+                low, high = a.period  # type: ignore[misc]
+                place = f"`{a.name}`" if k == 0 else f"round(`{a.name}` + {double(k * (high - low))}, 12)"
+                moved = moved.replace(f"`{a.name}_unwrapped`", place)
+                moved = f"({self._lap_holds(a, k)} AND {moved})"
             parts.append(moved)
         return rows.where(" OR ".join(parts)).select(*names)
 
+    def _narrowed(self, planned: Request) -> DataFrame:
+        """The rows of the cells that mapped axes may be asked for, as ranges of cell numbers that reach the scan."""
+        rows = self.df
+        for m in self.mapped:
+            if m.grid is None:
+                continue
+            asked = [regions(s) for s in planned.shapes if set(s.axes) & set(m.axes)]
+            boxes = [tuple(next((b[a] for b in own if a in b), EVERYWHERE) for a in m.axes) for own in itertools.product(*asked)]
+            ranges = m.grid.cell_ranges(boxes)
+            if ranges is not None:
+                test = " OR ".join(f"(`{m.cell}` >= {first} AND `{m.cell}` < {stop})" for first, stop in ranges)
+                rows = rows.where(test or "false")
+        return rows
+
     def _laps(self, a: Axis, bounds: tuple[float, float]) -> range:
         low, high = a.period  # type: ignore[misc]
         if math.isinf(bounds[0]) or math.isinf(bounds[1]):
@@ -203,23 +321,32 @@ class Cube:
         first, last = math.floor((bounds[0] - high) / (high - low)), math.ceil((bounds[1] - low) / (high - low))
         if last - first > LAPS:
             raise BadRequest(f"a range of {last - first} laps on axis {a.name}")
-        return range(first, last + 1)
+        # a lap counts if it has more of the range than its seam
+        inside = [k for k in range(first, last + 1) if bounds[0] <= high + k * (high - low) + a.tolerance and bounds[1] >= low + k * (high - low) - a.tolerance]
+        return range(inside[0], inside[-1] + 1) if inside else range(0)
 
     def _both_ends(self, a: Axis) -> bool:
-        low, high = a.period  # type: ignore[misc]
-        x = F.expr(a.numeric())
-        row = self.df.agg(F.min(x), F.max(x)).first()
-        return row[0] is not None and row[0] <= low + a.tolerance and row[1] >= high - a.tolerance
+        """Whether both ends of a period are stored: looked up once for an axis."""
+        if a.name not in self._ends:
+            low, high = a.period  # type: ignore[misc]
+            values = self._values_of(a.name)
+            if values is None and any(a.name in m.axes and m.grid is not None for m in self.mapped):
+                ends = (low, low)  # a circle of a grid has its first point once
+            elif values is not None:
+                ends = (min(values, default=None), max(values, default=None))
+            else:
+                x = F.expr(a.numeric())
+                ends = tuple(self.df.agg(F.min(x), F.max(x)).first())
+            self._ends[a.name] = ends[0] is not None and ends[0] <= low + a.tolerance and ends[1] >= high - a.tolerance
+        return self._ends[a.name]
 
     def _lap_holds(self, a: Axis, k: int) -> str:
         """Which cells lap ``k`` has: with both ends stored, a seam is one point, and it is taken from the lower end
         except at the end of the period itself."""
-        if not self._both_ends(a):
+        if k == 0 or not self._both_ends(a):
             return "(1 = 1)"
         low, high = a.period  # type: ignore[misc]
         c = a.column()
-        if k == 0:
-            return "(1 = 1)"
         upper = f"({c} < {double(high - a.tolerance)})"
         return f"({upper} AND {c} > {double(low + a.tolerance)})" if k == 1 else upper
 
@@ -228,9 +355,10 @@ class Cube:
             return rows
         low, high = a.period  # type: ignore[misc]
         laps = self._laps(a, bounds)
-        lap = F.explode(F.sequence(F.lit(laps[0]), F.lit(laps[-1])))
-        rows = rows.withColumn("__lap", lap)
-        if self._both_ends(a):
+        if not laps:
+            return rows.where("false").withColumn(f"{a.name}_unwrapped", F.col(a.name).cast("double"))
+        rows = rows.withColumn("__lap", F.explode(F.sequence(F.lit(laps[0]), F.lit(laps[-1]))))
+        if laps != range(1) and self._both_ends(a):
             x = F.col(a.name)
             rows = rows.where((F.col("__lap") == 0) | ((x < high - a.tolerance) & ((F.col("__lap") != 1) | (x > low + a.tolerance))))
         return rows.withColumn(f"{a.name}_unwrapped", F.round(F.col(a.name) + F.col("__lap") * F.lit(float(high - low)), 12)).drop("__lap")
@@ -246,6 +374,17 @@ class Cube:
         return self._with(self.df.where(test), [x for n, x in self.axes.items() if n not in values])
 
 
+def regions(shape: Shape, most: int = 10_000) -> list[Bounds]:
+    """Boxes with the shape in their union: those of a union's members, else the one around it."""
+    if isinstance(shape, Union) and len(shape.shapes) <= most:
+        return [b for s in shape.shapes for b in regions(s, most)]
+    if isinstance(shape, Product):
+        return [shape.bounds()]
+    if isinstance(shape, Select) and shape.bounds() and len(shape.values) <= 100:
+        return [{shape.axes[0]: (float(v), float(v))} for v in shape.values]  # type: ignore[arg-type]
+    return [shape.bounds()]
+
+
 def wrap(value: float, low: float, high: float, tolerance: float = 1e-12) -> float:
     """A value in the period from ``low`` to ``high``; both ends stay as they are."""
     size = high - low

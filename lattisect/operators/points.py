@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -61,6 +60,3 @@ def nearest_to_each(points: DataFrame, queries: DataFrame, radius: float, k: int
     order = Window.partitionBy(query).orderBy("dist2", idx)
     return met.select(query, idx, lat, lon, "dist2").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-
-def l2(a: Sequence[float], b: Sequence[float]) -> float:
-    return math.dist(a, b)

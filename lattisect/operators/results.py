@@ -19,20 +19,31 @@ def index_ranges(cells: DataFrame, idx: str = "cell", path: Sequence[str] = ())
         order = Window.partitionBy(*path).orderBy(idx)
         runs = once.withColumn("__run", F.col(idx) - F.row_number().over(order))
         return runs.groupBy(*path, "__run").agg(F.min(idx).alias("start"), (F.max(idx) + 1).alias("stop"), F.count("*").alias("cells")).drop("__run")
-    # without a path one sorted run of all numbers would be one task's work: runs are made in blocks of numbers, then joined at the seams
-    block = 1 << 20
-    cut = once.withColumn("__block", F.floor(F.col(idx) / block))
+    # without a path one sorted run of all numbers would be one task's work: runs are made in blocks, then joined at the
+    # seams of these, then of blocks of a million blocks
+    cut = once.withColumn("__block", F.floor(F.col(idx) / BLOCKS[0]))
     order = Window.partitionBy("__block").orderBy(idx)
     parts = cut.withColumn("__run", F.col(idx) - F.row_number().over(order)).groupBy("__block", "__run").agg(
         F.min(idx).alias("start"), (F.max(idx) + 1).alias("stop"), F.count("*").alias("cells")
     )
-    seam = (F.col("start") % block == 0) | (F.col("stop") % block == 0)
-    inner, edge = parts.where(~seam).select("start", "stop", "cells"), parts.where(seam).select("start", "stop", "cells")
-    alone = Window.orderBy("start")  # two runs for each block of a million numbers at most
-    fresh = F.when(F.col("start") == F.lag("stop").over(alone), 0).otherwise(1)
-    joined = edge.withColumn("__new", fresh).withColumn("__run", F.sum("__new").over(alone))
-    joined = joined.groupBy("__run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("cells").alias("cells")).drop("__run")
-    return inner.unionByName(joined)
+    runs = parts.select("start", "stop", "cells")
+    for block, wider in zip(BLOCKS, [*BLOCKS[1:], None]):
+        seam = (F.col("start") % block == 0) | (F.col("stop") % block == 0)
+        runs = runs.where(~seam).unionByName(_joined(runs.where(seam), wider))
+    return runs
+
+
+#: Numbers in a block of each level; the last one has a block or a few for any store.
+BLOCKS = (1 << 20, 1 << 40)
+
+
+def _joined(edge: DataFrame, block: int | None) -> DataFrame:
+    """Runs that follow each other joined, in each block (all runs, of which there are two for each block before, without one)."""
+    edge = edge.withColumn("__block", F.floor(F.col("start") / block) if block else F.lit(0))
+    along = Window.partitionBy("__block").orderBy("start")
+    fresh = F.when(F.col("start") == F.lag("stop").over(along), 0).otherwise(1)
+    joined = edge.withColumn("__new", fresh).withColumn("__run", F.sum("__new").over(along))
+    return joined.groupBy("__block", "__run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("cells").alias("cells")).select("start", "stop", "cells")
 
 
 def in_ranges(facts: DataFrame, ranges: DataFrame, idx: str = "cell", path: Sequence[str] = (), width: int = 4096) -> DataFrame:

@@ -23,13 +23,22 @@ def expand_range(value: Any) -> Any:
     if isinstance(value, str):
         parts = value.split("/")
         if len(parts) == 5 and parts[1].lower() == "to" and parts[3].lower() == "by":
-            return _steps(_scalar(parts[0]), _scalar(parts[2]), _scalar(parts[4]))
+            ends = (parts[0], parts[2]) if all(_is_day(p) for p in (parts[0], parts[2])) else (_scalar(parts[0]), _scalar(parts[2]))
+            return _steps(*ends, _scalar(parts[4]))
         if len(parts) == 3 and parts[1].lower() == "to":
             return _steps(_scalar(parts[0]), _scalar(parts[2]), None)
         return [_scalar(p) for p in parts]
     return list(value) if isinstance(value, (list, tuple)) else [value]
 
 
+def _is_day(text: str) -> bool:
+    """Whether a text is a day as eight digits: such ends are stepped through the calendar."""
+    try:
+        return len(text) == 8 and text.isdigit() and dt.datetime.strptime(text, "%Y%m%d").year >= 1000
+    except ValueError:
+        return False
+
+
 def _scalar(text: str) -> Any:
     for kind in (int, float):
         try:
@@ -42,11 +51,13 @@ def _scalar(text: str) -> Any:
 def _steps(start: Any, end: Any, by: Any) -> Any:
     if by is None:
         return (start, end)
+    if isinstance(by, str) or by <= 0:
+        raise BadRequest("an interval is a number above zero")
     if isinstance(start, str):
+        if not (_is_day(str(start)) and _is_day(str(end))):
+            raise BadRequest(f"{start} and {end} are no days")
         first, last, day = dt.datetime.strptime(str(start), "%Y%m%d"), dt.datetime.strptime(str(end), "%Y%m%d"), dt.timedelta(days=int(by))
         return [f"{first + i * day:%Y%m%d}" for i in range((last - first) // day + 1)]
-    if by <= 0:
-        raise BadRequest("an interval is more than zero")
     count = int((end - start) / by + 1e-9)
     return [start + i * by for i in range(count + 1)]
 
@@ -79,9 +90,12 @@ def _along(feature: Mapping[str, Any], body: Mapping[str, Any], axis: str) -> Sh
 
 
 def feature_request(feature: Mapping[str, Any], body: Mapping[str, Any], geo: Sequence[str] = GEO) -> Request:
-    """The request of a feature; ``body`` has the values of all other axes."""
+    """The request of a feature; ``body`` has the values of all other axes.
+
+    Points of a timeseries, a profile or a position are those of the cube that are nearest, unless ``method`` says otherwise.
+    """
     kind = feature.get("type")
-    method, used = None, set()
+    method, used = "nearest", set()
     if kind == "timeseries":
         _need(feature, ["points", "time_axis"], ["range", "method"])
         shapes = [_points(geo, feature["points"], feature.get("method", method)), _along(feature, body, feature["time_axis"])]

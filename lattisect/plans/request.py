@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from ..axes import SPARK, Axis
@@ -97,4 +97,3 @@ ENGINES: dict[str, dict[str, bool]] = {
     "point_in_polygon": {"border": False},
     "point_in_polygon_bbox": {"border": False},
 }
-Planner = Callable[[Request], Request]

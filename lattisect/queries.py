@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import datetime as dt
 
-from .axes import DUCKDB, Axis
+from .axes import Axis
 from .cube import Cube
 from .operators import points, results, transforms
 from .plans import features
@@ -43,8 +43,8 @@ def _cube(spark: SparkSession, sf_dir: str, table: str, axes: Sequence[str]) ->
     return Cube(_table(spark, sf_dir, table), list(axes), VALUES[table])
 
 
-def _cut(name: str, table: str, *shapes: Shape, sql: str | None = None) -> None:
-    """Registers a request over a table; ``sql`` is its condition by hand, else that of the shapes for DuckDB."""
+def _cut(name: str, table: str, *shapes: Shape, sql: str) -> None:
+    """Registers a request over a table; ``sql`` is its condition, written by hand and not made of the shapes."""
     request = Request(*shapes)
     axes = [a for a in AXES[table] if a in request.axes]
 
@@ -52,13 +52,82 @@ def _cut(name: str, table: str, *shapes: Shape, sql: str | None = None) -> None:
         return _cube(spark, sf_dir, table, axes).retrieve(request)
 
     QUERIES[name] = run
-    where = sql if sql is not None else request.sql(AXES[table], DUCKDB)
-    ORACLES[name] = f"SELECT {', '.join([*axes, *VALUES[table]])} FROM {table} WHERE {where}"
+    ORACLES[name] = f"SELECT {', '.join([*axes, *VALUES[table]])} FROM {table} WHERE {sql}"
 
 
 E12 = "1e-12"
 near = lambda c, *vs: "(" + " OR ".join(f"abs({c} - {v!r}::DOUBLE) <= {E12}" for v in vs) + ")"
 within = lambda c, a, b: f"{c} BETWEEN {a!r}::DOUBLE - {E12}::DOUBLE AND {b!r}::DOUBLE + {E12}::DOUBLE"
+PRICE = "p_retailprice"
+SLACK = "1e-9::DOUBLE"
+
+
+def _turns(k: str = "k") -> tuple[str, str]:
+    """The normal of the k-th side of the polygon with twelve sides around the unit circle: the sides touch it."""
+    return f"cos(radians(15 + 30 * {k}))", f"sin(radians(15 + 30 * {k}))"
+
+
+def _gon(x: str, y: str, cx: float, cy: float, rx: float, ry: float) -> str:
+    """On the inner side of all twelve sides around an ellipse."""
+    c, s = _turns()
+    return f"list_max(list_transform(range(12), lambda k: {c} * ({x} - {cx}) / {rx}::DOUBLE + {s} * ({y} - {cy}) / {ry}::DOUBLE)) <= 1 + {SLACK}"
+
+
+def _swept_box(x: str, y: str, half: tuple[float, float], way: Sequence[tuple[float, float]]) -> str:
+    """In a box with some half sides at some moment of its way."""
+    out = []
+    for (x0, y0), (x1, y1) in zip(way, way[1:]):
+        dx, dy, (hx, hy) = x1 - x0, y1 - y0, half
+        near = lambda v, at, d, h, sign: f"({v} - {at} - {sign * h} * sign({d})) / ({d})::DOUBLE"
+        firsts = [near(x, x0, dx, hx, 1), *([near(y, y0, dy, hy, 1)] if dy else [])]
+        lasts = [near(x, x0, dx, hx, -1), *([near(y, y0, dy, hy, -1)] if dy else [])]
+        out.append(f"(greatest(0, {', '.join(firsts)}) <= least(1, {', '.join(lasts)}) + {SLACK})")
+    return " OR ".join(out)
+
+
+def _swept_gon(x: str, y: str, radius: tuple[float, float], way: Sequence[tuple[float, float]]) -> str:
+    """In the polygon with twelve sides around an ellipse at some moment of its way: each side gives a bound of the moment."""
+    out, (c, s), (rx, ry) = [], _turns(), radius
+    for (x0, y0), (x1, y1) in zip(way, way[1:]):
+        out_by = f"({c} * ({x} - {x0}) / {rx}::DOUBLE + {s} * ({y} - {y0}) / {ry}::DOUBLE - 1)"
+        along = f"({c} * ({x1 - x0}) / {rx}::DOUBLE + {s} * ({y1 - y0}) / {ry}::DOUBLE)"
+        low = f"list_max(list_transform(range(12), lambda k: CASE WHEN {along} > 1e-12 THEN {out_by} / {along} ELSE 0 END))"
+        high = f"list_min(list_transform(range(12), lambda k: CASE WHEN {along} < -1e-12 THEN {out_by} / {along} ELSE 1 END))"
+        still = f"list_max(list_transform(range(12), lambda k: CASE WHEN abs({along}) <= 1e-12 THEN {out_by} ELSE -1 END)) <= {SLACK}"
+        out.append(f"(greatest({low}, 0) <= least({high}, 1) + {SLACK} AND {still})")
+    return " OR ".join(out)
+
+
+def _hulled(x: str, y: str, box: tuple, gon: tuple) -> str:
+    """In the hull of a box and a polygon with twelve sides: some mixture of both has the point on the inner side of all sides of either."""
+    ((x0, x1), (y0, y1)), ((cx, cy), (rx, ry)) = box, gon
+    c, s = _turns()
+    normals = f"list_concat([[1e0, 0e0], [-1e0, 0e0], [0e0, 1e0], [0e0, -1e0]], list_transform(range(12), lambda k: [{c}, {s}]))"
+    u = lambda v, at, r: f"(({v} - {at}) / {r}::DOUBLE)"
+    of_box = f"(greatest(n[1] * {u(x0, cx, rx)}, n[1] * {u(x1, cx, rx)}) + greatest(n[2] * {u(y0, cy, ry)}, n[2] * {u(y1, cy, ry)}))"
+    of_gon = "list_max(list_transform(range(12), lambda k: (n[1] * cos(radians(30 * k)) + n[2] * sin(radians(30 * k))) / cos(radians(15))))"
+    a, b = f"(n[1] * {u(x, cx, rx)} + n[2] * {u(y, cy, ry)} - {of_box})", f"({of_gon} - {of_box})"
+    low = f"list_max(list_transform({normals}, lambda n: CASE WHEN {b} > 1e-12 THEN {a} / {b} ELSE 0 END))"
+    high = f"list_min(list_transform({normals}, lambda n: CASE WHEN {b} < -1e-12 THEN {a} / {b} ELSE 1 END))"
+    still = f"list_max(list_transform({normals}, lambda n: CASE WHEN abs({b}) <= 1e-12 THEN {a} ELSE -1 END)) <= {SLACK}"
+    return f"(greatest({low}, 0) <= least({high}, 1) + {SLACK} AND {still})"
+
+
+def _grown(x: str, y: str, boxes: Sequence[tuple]) -> str:
+    """In the hull of two boxes that follow each other: their sides move evenly from the one's to the other's."""
+    out = []
+    for first, second in zip(boxes, boxes[1:]):
+        firsts, lasts, still = ["0"], ["1"], ["true"]
+        for v, (a0, a1), (b0, b1) in zip((x, y), first, second):
+            # a0 + t (b0 - a0) <= v <= a1 + t (b1 - a1)
+            for sign, a, b in ((1, a0, b0), (-1, a1, b1)):
+                d = round(sign * (b - a), 12)  # sign * (v - a) >= t * d
+                at = f"(({v} - {a}::DOUBLE) * {sign} / {d}::DOUBLE)"
+                (lasts if d > 0 else firsts if d < 0 else still).append(at if d else f"({v} - {a}) * {sign} >= -1e-12")
+        out.append(f"(greatest({', '.join(firsts)}) <= least({', '.join(lasts)}) + {SLACK} AND {' AND '.join(still)})")
+    return " OR ".join(out)
+
+
 Y97, Y98 = dt.datetime(1997, 1, 1), dt.datetime(1998, 12, 31)
 YEARS = f"{DATE} BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-12-31'"
 
@@ -70,6 +139,7 @@ _cut("box_3d", "lineitem", Box([QTY, DISC, TAX], [10, 0.02, 0.01], [20, 0.06, 0.
 _cut("box_4d", "lineitem", Box([QTY, DISC, TAX, DATE], [5, 0.0, 0.02, Y97], [30, 0.05, 0.06, Y98]),
      sql=f"{within(QTY, 5.0, 30.0)} AND {within(DISC, 0.0, .05)} AND {within(TAX, .02, .06)} AND {YEARS}")
 _cut("select_numeric", "lineitem", Select(DISC, [0.01, 0.07]), Span(QTY, 1, 3), sql=f"{near(DISC, .01, .07)} AND {within(QTY, 1.0, 3.0)}")
+_cut("select_many", "lineitem", Select(QTY, [x / 2 for x in range(1, 90)]), Select(DISC, [0.03]), sql=f"{QTY} * 2 = floor({QTY} * 2) AND {QTY} <= 44.5 AND {near(DISC, .03)}")
 _cut("select_categorical", "lineitem", Select(FLAG, ["A", "N"]), Select(STATUS, ["F"]), Select(QTY, [7]),
      sql=f"{FLAG} IN ('A', 'N') AND {STATUS} = 'F' AND {QTY} = 7")
 _cut("select_duplicates", "lineitem", Select(QTY, [50, 50.0, 50]), sql=f"{QTY} = 50")
@@ -81,28 +151,45 @@ _cut("all_axis", "part", All("p_size"), Span("p_retailprice", 900, 910), sql=f"p
 _cut("point_2d", "lineitem", Point([QTY, DISC], [[25, 0.06]]), sql=f"{QTY} = 25 AND {near(DISC, .06)}")
 _cut("product", "lineitem", Product(Select(FLAG, ["R"]), Span(QTY, 40, 42)), Box([DISC], [0.0], [0.01]),
      sql=f"{FLAG} = 'R' AND {QTY} BETWEEN 40 AND 42 AND {within(DISC, 0.0, .01)}")
-_cut("disk", "lineitem", Disk([QTY, DISC], [15, 0.05], [6, 0.03]))
+_cut("disk", "lineitem", Disk([QTY, DISC], [15, 0.05], [6, 0.03]), sql=_gon(QTY, DISC, 15, 0.05, 6, 0.03))
 _cut("disk_exact", "part", Disk(["p_size", "p_retailprice"], [25, 950], [10, 30], exact=True),
      sql="pow((p_size - 25) / 10e0, 2) + pow((p_retailprice - 950e0) / 30e0, 2) <= 1 + 1e-9")
-_cut("disk_time", "events", Disk(["ts", "user_id"], [dt.datetime(2024, 1, 10), 50], [5 * 86400, 20]))
-_cut("disk_flat", "part", Disk(["p_size", "p_retailprice"], [25, 950], [0, 30]))
-_cut("ellipsoid", "lineitem", Ellipsoid([QTY, DISC, TAX], [25, 0.05, 0.04], [10, 0.03, 0.02]))
-_cut("convex_hull", "part", ConvexHull(["p_size", "p_retailprice"], [[5, 905], [40, 920], [30, 990], [10, 960], [20, 930]]))
+_cut("disk_time", "events", Disk(["ts", "user_id"], [dt.datetime(2024, 1, 10), 50], [5 * 86400, 20]),
+     sql=_gon("(epoch_us(ts) / 1e6)", "user_id", 1704844800, 50, 432000, 20))
+_cut("disk_flat", "part", Disk(["p_size", PRICE], [25, 950], [0, 30]), sql=f"p_size = 25 AND abs({PRICE} - 950) <= 30 / cos(radians(15)) + 1e-9")
+# the normals of an icosahedron are the corners of a dodecahedron; its inner radius is that of an edge of 2 sqrt(3) / tan(half of 138.19 degrees)
+_cut("ellipsoid", "lineitem", Ellipsoid([QTY, DISC, TAX], [25, 0.05, 0.04], [10, 0.03, 0.02]),
+     sql=f"""(SELECT greatest(u + v + w, v * g + w / g, u / g + w * g, u * g + v / g) FROM (SELECT (1 + sqrt(5)) / 2 AS g,
+       abs({QTY} - 25) / 10 AS u, abs({DISC} - 0.05::DOUBLE) / 0.03::DOUBLE AS v, abs({TAX} - 0.04::DOUBLE) / 0.02::DOUBLE AS w))
+       <= sqrt(3) * (3 + sqrt(5)) / (4 * sqrt(3)) * 2 * sqrt(3) / tan(radians(138.19 / 2)) + {SLACK}""")
+_cut("convex_hull", "part", ConvexHull(["p_size", "p_retailprice"], [[5, 905], [40, 920], [30, 990], [10, 960], [20, 930]]),
+     sql=f"""35 * ({PRICE} - 905) - 15 * (p_size - 5) >= -1e-6 AND -10 * ({PRICE} - 920) - 70 * (p_size - 40) >= -1e-6
+       AND -20 * ({PRICE} - 990) + 30 * (p_size - 30) >= -1e-6 AND -5 * ({PRICE} - 960) + 55 * (p_size - 10) >= -1e-6""")
 _cut("convex_hull_4d", "lineitem", ConvexHull([QTY, DISC, TAX, DATE], [
-    [10, 0.0, 0.0, Y97], [40, 0.02, 0.01, Y97], [20, 0.1, 0.02, Y97], [15, 0.03, 0.08, Y97], [25, 0.05, 0.04, dt.datetime(2001, 1, 1)]]))
-_cut("polygon_concave", "part", Polygon(["p_size", "p_retailprice"], [[5, 905], [45, 905], [25, 940], [45, 990], [5, 990]]))
-_cut("polygon_crossing", "part", Polygon(["p_size", "p_retailprice"], [[5, 905], [45, 990], [45, 905], [5, 990]]))
+    [10, 0.0, 0.0, Y97], [40, 0.02, 0.01, Y97], [20, 0.1, 0.02, Y97], [15, 0.03, 0.08, Y97], [25, 0.05, 0.04, dt.datetime(2001, 1, 1)]]),
+     sql=f"""(SELECT least(s, a, b, c, 1 - s - a - b - c) FROM (SELECT s, (74 * x - 7 * y - 2 * z) / 206 AS a, (-13 * x + 23.5 * y - 8 * z) / 206 AS b, (-6 * x - 5 * y + 28 * z) / 206 AS c
+       FROM (SELECT s, {QTY} / 10 - 2.5 * s - (1 - s) AS x, {DISC} * 100 - 5 * s AS y, {TAX} * 100 - 4 * s AS z
+       FROM (SELECT (epoch_us({DATE}) - 852076800000000) / 126230400000000e0 AS s)))) >= -1e-9""")
+_cut("polygon_concave", "part", Polygon(["p_size", "p_retailprice"], [[5, 905], [45, 905], [25, 940], [45, 990], [5, 990]]),
+     sql=f"p_size >= 5 AND {PRICE} BETWEEN 905 AND 990 AND p_size <= 25 + 20 * CASE WHEN {PRICE} < 940 THEN (940 - {PRICE}) / 35 ELSE ({PRICE} - 940) / 50 END + 1e-7")
+_cut("polygon_crossing", "part", Polygon(["p_size", "p_retailprice"], [[5, 905], [45, 990], [45, 905], [5, 990]]),
+     sql=f"p_size BETWEEN 5 AND 45 AND abs({PRICE} - 947.5) / 42.5 <= abs(p_size - 25) / 20 + 1e-9")
 _cut("polygon_degenerate", "part", Polygon(["p_size", "p_retailprice"], [[10, 910], [10, 960], [10, 910]]), sql="p_size = 10 AND p_retailprice BETWEEN 910 AND 960")
 _cut("union_overlap", "lineitem", Union([QTY, DISC], Box([QTY, DISC], [10, 0.0], [20, 0.03]), Box([QTY, DISC], [15, 0.02], [25, 0.05])),
      sql=f"({within(QTY, 10.0, 20.0)} AND {within(DISC, 0.0, .03)}) OR ({within(QTY, 15.0, 25.0)} AND {within(DISC, .02, .05)})")
 _cut("union_disjoint", "lineitem", Union([QTY], Span(QTY, 1, 2), Span(QTY, 49, 50)), Select(FLAG, ["N"]), sql=f"({QTY} <= 2 OR {QTY} >= 49) AND {FLAG} = 'N'")
 HUNDRED = [((3 + 7 * i) % 49 + 1, round((i % 11) / 100, 2)) for i in range(100)]
-_cut("union_hundred_boxes", "lineitem", Union([QTY, DISC], *[Box([QTY, DISC], [q, d], [q + 0.5, d + 0.005]) for q, d in HUNDRED]))
-_cut("path_segment_box", "lineitem", PathSegment([QTY, DISC], Box([QTY, DISC], [-2, -0.01], [2, 0.01]), [10, 0.02], [40, 0.08]))
-_cut("path_box", "lineitem", Path([QTY, DISC], Box([QTY, DISC], [-1, -0.01], [1, 0.01]), [5, 0.0], [25, 0.1], [45, 0.0]))
-_cut("path_closed", "lineitem", Path([QTY, DISC], Disk([QTY, DISC], [0, 0], [2, 0.01]), [10, 0.02], [40, 0.02], [25, 0.09], closed=True))
-_cut("segment", "lineitem", Segment([QTY, DISC], Box([QTY, DISC], [5, 0.0], [10, 0.02]), Disk([QTY, DISC], [40, 0.08], [5, 0.02])))
-_cut("shape_path", "lineitem", ShapePath([QTY, DISC], Box([QTY, DISC], [5, 0.0], [8, 0.02]), Box([QTY, DISC], [20, 0.05], [24, 0.07]), Box([QTY, DISC], [40, 0.0], [44, 0.02])))
+_cut("union_hundred_boxes", "lineitem", Union([QTY, DISC], *[Box([QTY, DISC], [q, d], [q + 0.5, d + 0.005]) for q, d in HUNDRED]),
+     sql=f"""EXISTS (SELECT 1 FROM range(100) r(i) WHERE {QTY} BETWEEN (3 + 7 * i) % 49 + 1 AND (3 + 7 * i) % 49 + 1.5
+       AND {DISC} BETWEEN (i % 11) / 100 - {E12} AND (i % 11) / 100 + 0.005::DOUBLE + {E12})""")
+_cut("path_segment_box", "lineitem", PathSegment([QTY, DISC], Box([QTY, DISC], [-2, -0.01], [2, 0.01]), [10, 0.02], [40, 0.08]), sql=_swept_box(QTY, DISC, (2, 0.01), [(10, 0.02), (40, 0.08)]))
+_cut("path_box", "lineitem", Path([QTY, DISC], Box([QTY, DISC], [-1, -0.01], [1, 0.01]), [5, 0.0], [25, 0.1], [45, 0.0]), sql=_swept_box(QTY, DISC, (1, 0.01), [(5, 0.0), (25, 0.1), (45, 0.0)]))
+_cut("path_closed", "lineitem", Path([QTY, DISC], Disk([QTY, DISC], [0, 0], [2, 0.01]), [10, 0.02], [40, 0.02], [25, 0.09], closed=True),
+     sql=_swept_gon(QTY, DISC, (2, 0.01), [(10, 0.02), (40, 0.02), (25, 0.09), (10, 0.02)]))
+_cut("segment", "lineitem", Segment([QTY, DISC], Box([QTY, DISC], [5, 0.0], [10, 0.02]), Disk([QTY, DISC], [40, 0.08], [5, 0.02])),
+     sql=_hulled(QTY, DISC, ((5, 10), (0.0, 0.02)), ((40, 0.08), (5, 0.02))))
+_cut("shape_path", "lineitem", ShapePath([QTY, DISC], Box([QTY, DISC], [5, 0.0], [8, 0.02]), Box([QTY, DISC], [20, 0.05], [24, 0.07]), Box([QTY, DISC], [40, 0.0], [44, 0.02])),
+     sql=_grown(QTY, DISC, [((5, 8), (0.0, 0.02)), ((20, 24), (0.05, 0.07)), ((40, 44), (0.0, 0.02))]))
 
 
 def _query(name: str, sql: str | None = None) -> Callable:
@@ -135,11 +222,10 @@ _snap("nearest_1d", 933.337, "nearest", """SELECT p_size, p_retailprice, p_partk
   (SELECT p_retailprice FROM part ORDER BY abs(p_retailprice - 933.337::DOUBLE), p_retailprice LIMIT 1)""")
 
 
-@_query("surrounding_point", """SELECT p_size, p_retailprice, p_partkey FROM part WHERE p_size IN (24, 25, 26)
-  AND p_retailprice IN ((SELECT max(p_retailprice) FROM part WHERE p_retailprice < 920.005::DOUBLE), (SELECT min(p_retailprice) FROM part WHERE p_retailprice > 920.005::DOUBLE))""")
+@_query("surrounding_point", f"""SELECT {QTY}, {DISC}, l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE {QTY} IN (25, 26)
+  AND {DISC} IN ((SELECT max({DISC}) FROM lineitem WHERE {DISC} < 0.065::DOUBLE), (SELECT min({DISC}) FROM lineitem WHERE {DISC} > 0.065::DOUBLE))""")
 def surrounding_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cube = _cube(spark, sf_dir, "part", ["p_size", "p_retailprice"])
-    return cube.retrieve(Request(Point(["p_size", "p_retailprice"], [[25, 920.005]], method="surrounding")))
+    return _cube(spark, sf_dir, "lineitem", [QTY, DISC]).retrieve(Request(Point([QTY, DISC], [[25.5, 0.065]], method="surrounding")))
 
 
 # --- axis transformations -------------------------------------------------------------------------------------
@@ -225,12 +311,6 @@ def _rounded(cells: DataFrame) -> DataFrame:
     return cells.select("cell", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
-def _row_sql(grid: grids.RowGrid, where: str) -> str:
-    rows = ", ".join(f"({a!r}::DOUBLE, {n}, {f!r}::DOUBLE, {s!r}::DOUBLE, {b})" for a, n, f, s, b in zip(grid.lats, grid.points, grid.first_lons, grid.steps, grid.bases.tolist()))
-    return f"""SELECT (base + j)::BIGINT AS cell, round(lat, 6) AS lat, round(first + j * step, 6) AS lon
-      FROM (VALUES {rows}) r(lat, n, first, step, base), LATERAL (SELECT unnest(range(n)) AS j) WHERE {where}"""
-
-
 @_query("grid_regular", """SELECT (i * 64 + j)::BIGINT AS cell, round(90 - i * 5.625, 6)::DOUBLE AS lat, round(j * 5.625, 6)::DOUBLE AS lon FROM range(32) a(i), range(64) b(j)
   WHERE 90 - i * 5.625 BETWEEN -20 AND 45 AND (j * 5.625 >= 350 OR j * 5.625 <= 30)""")
 def grid_regular(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,27 +322,126 @@ def grid_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(grids.local_regular([-10, 10, 30, 60], (10, 20)).cells(spark, (-10, 10), (20, 40)))
 
 
-def _grid(name: str, make: Callable[[], grids.RowGrid], lat: tuple[float, float], lon: tuple[float, float]) -> None:
-    QUERIES[name] = lambda spark, sf_dir: _rounded(make().cells(spark, lat, lon))
-    ORACLES[name] = _row_sql(make(), f"lat BETWEEN {lat[0]} AND {lat[1]} AND first + j * step BETWEEN {lon[0]} AND {lon[1]}")
+#: The positive nodes of Gauss-Legendre quadrature with 16 and 32 points, as tables have them.
+NODES_16 = (
+    0.9894009349916499, 0.9445750230732326, 0.8656312023878318, 0.7554044083550030,
+    0.6178762444026438, 0.4580167776572274, 0.2816035507792589, 0.0950125098376374,
+)
+NODES_32 = (
+    0.9972638618494816, 0.9856115115452684, 0.9647622555875064, 0.9349060759377397, 0.8963211557660521, 0.8493676137325700,
+    0.7944837959679424, 0.7321821187402897, 0.6630442669302152, 0.5877157572407623, 0.5068999089322294, 0.4213512761306353,
+    0.3318686022821277, 0.2392873622521371, 0.1444719615827965, 0.0483076656877383,
+)
+
+
+def _gaussian(nodes: Sequence[float], counts: Sequence[int]) -> str:
+    """(lat, n, base) of each row of a Gaussian grid, from published nodes and the points of its northern rows."""
+    rows = [(z, c) for z, c in zip(nodes, counts)]
+    rows += [(-z, c) for z, c in reversed(rows)]
+    listed = ", ".join(f"({i}, {z!r}::DOUBLE, {c})" for i, (z, c) in enumerate(rows))
+    return f"SELECT degrees(asin(z)) AS lat, n, (sum(n) OVER (ORDER BY i) - n)::BIGINT AS base FROM (VALUES {listed}) r(i, z, n)"
+
 
+_OCTAHEDRAL_16 = _gaussian(NODES_32, range(20, 84, 4))
+_REDUCED = (2, 6, 12, 18, 20, 18, 12, 6, 2)
+_REDUCED_LL = f"""SELECT 90 - i * 22.5::DOUBLE AS lat, n, (sum(n) OVER (ORDER BY i) - n)::BIGINT AS base FROM (VALUES {', '.join(f'({i}, {n})' for i, n in enumerate(_REDUCED))}) r(i, n)"""
 
-_grid("grid_octahedral", lambda: grids.octahedral(16), (10, 60), (100, 200))
-_grid("grid_reduced_gaussian", lambda: grids.reduced_gaussian(8, [18, 25, 36, 40, 45, 54, 60, 64]), (-50, 50), (0, 90))
-_grid("grid_reduced_ll", lambda: grids.reduced_ll([2, 6, 12, 18, 20, 18, 12, 6, 2]), (-90, 90), (0, 180))
-_grid("grid_healpix", lambda: grids.healpix(8), (-30, 70), (10, 300))
 
+def _around(rows: str) -> str:
+    """(cell, lat, lon) of rows around the circle that start at the first meridian."""
+    return f"SELECT (base + j)::BIGINT AS cell, lat, j * 360e0 / n AS lon FROM ({rows}), LATERAL (SELECT unnest(range(n)) AS j)"
 
-@_query("grid_healpix_nested")
-def grid_healpix_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(grids.healpix_nested_cells(spark, 8, (-30, 70), (10, 300)))
 
+def _healpix(n: int) -> str:
+    """(cell, lat, lon) in ring order: the height of a ring is quadratic in its number in the caps and linear between them."""
+    ring = f"SELECT i, least(i, {n}, {4 * n} - i) AS w FROM range(1, {4 * n}) r(i)"
+    height = f"CASE WHEN i < {n} THEN 1 - i * i / {3 * n * n}e0 WHEN i <= {3 * n} THEN {4 / 3!r} - 2 * i / {3 * n}e0 ELSE ({4 * n} - i) * ({4 * n} - i) / {3 * n * n}e0 - 1 END"
+    rows = f"SELECT i, w, degrees(asin({height})) AS lat, (sum(4 * w) OVER (ORDER BY i) - 4 * w)::BIGINT AS base, CASE WHEN w < {n} OR (i - {n}) % 2 = 0 THEN 0.5 ELSE 0 END AS shift FROM ({ring})"
+    return f"SELECT (base + j)::BIGINT AS cell, lat, (j + shift) * 90e0 / w AS lon FROM ({rows}), LATERAL (SELECT unnest(range(4 * w)) AS j)"
+
+
+def _nested_healpix(n: int) -> str:
+    """(cell, lat, lon) in nested order, from the bits of the number: face, then those of the two diagonals in turn."""
+    bits = n.bit_length() - 1
+    pick = lambda side: " + ".join(f"((c >> {2 * i + side}) & 1) * {1 << i}" for i in range(bits))
+    cells = f"SELECT c, c // {n * n} AS f, {pick(0)} AS x, {pick(1)} AS y FROM range({12 * n * n}) r(c)"
+    rings = f"SELECT c, f, x, y, (f // 4 + 2) * {n} - x - y - 1 AS i FROM ({cells})"
+    rings = f"SELECT *, least(i, {n}, {4 * n} - i) AS w FROM ({rings})"
+    height = f"CASE WHEN i < {n} THEN 1 - i * i / {3 * n * n}e0 WHEN i <= {3 * n} THEN {4 / 3!r} - 2 * i / {3 * n}e0 ELSE ({4 * n} - i) * ({4 * n} - i) / {3 * n * n}e0 - 1 END"
+    turn = "CASE WHEN f BETWEEN 4 AND 7 THEN 2 * (f - 4) ELSE 2 * (f % 4) + 1 END"
+    lon = f"(({turn}) + (x - y) / w::DOUBLE) * 45"
+    return f"SELECT c::BIGINT AS cell, degrees(asin({height})) AS lat, CASE WHEN {lon} < 0 THEN {lon} + 360 ELSE {lon} END AS lon FROM ({rings})"
+
+
+#: A conformal cone that touches the sphere at 45 degrees: its angles are those of longitude times sin(45).
+_LAMBERT = """WITH k AS (SELECT sqrt(0.5) AS n, 6371229e0 AS r), c AS (SELECT n, r / tan(radians(45)) AS top, r / tan(radians(45)) * pow(tan(radians(67.5)), n) AS f FROM k),
+  o AS (SELECT n, top, f, f / pow(tan(radians(60)), n) AS rho, n * radians(-20) AS turn FROM c),
+  g AS (SELECT j * 60 + i AS cell, n, top, f, rho * sin(turn) + i * 50000 AS x, top - rho * cos(turn) + j * 50000 AS y FROM o, range(60) a(i), range(50) b(j))
+  SELECT cell::BIGINT AS cell, degrees(2 * atan(pow(f / sqrt(x * x + (top - y) * (top - y)), 1 / n))) - 90 AS lat,
+  (degrees(atan2(x, top - y) / n) + 10 + 360) % 360 AS lon FROM g"""
+
+
+def _grid(name: str, make: Callable, lat: tuple[float, float], lon: tuple[float, float], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _rounded(make().cells(spark, lat, lon))
+    ORACLES[name] = f"SELECT cell, round(lat, 6) AS lat, round(lon, 6) AS lon FROM ({sql}) WHERE lat BETWEEN {lat[0] - 1e-9} AND {lat[1] + 1e-9} AND lon BETWEEN {lon[0] - 1e-9} AND {lon[1] + 1e-9}"
 
-@_query("grid_lambert")
+
+_grid("grid_octahedral", lambda: grids.octahedral(16), (10, 60), (100, 200), _around(_OCTAHEDRAL_16))
+_grid("grid_reduced_gaussian", lambda: grids.reduced_gaussian(8, [18, 25, 36, 40, 45, 54, 60, 64]), (-50, 50), (0, 90), _around(_gaussian(NODES_16, [18, 25, 36, 40, 45, 54, 60, 64])))
+_grid("grid_reduced_ll", lambda: grids.reduced_ll(_REDUCED), (-90, 90), (0, 180), _around(_REDUCED_LL))
+_grid("grid_healpix", lambda: grids.healpix(8), (-30, 70), (10, 300), _healpix(8))
+_grid("grid_healpix_nested", lambda: grids.Nested(8), (-30, 70), (10, 300), _nested_healpix(8))
+
+
+@_query("grid_lambert", f"SELECT cell, round(lat, 6) AS lat, round(lon, 6) AS lon FROM ({_LAMBERT})")
 def grid_lambert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(grids.Lambert(60, 50, 50_000, 50_000, 30.0, 350.0, 45.0, 10.0, 45.0, 45.0).cells(spark))
 
 
+# --- cubes whose cells a grid numbers -------------------------------------------------------------------------
+
+
+def _gridded(spark: SparkSession, sf_dir: str, mapper: dict, engines: dict | None = None, cyclic: bool = False) -> Cube:
+    """Orders as fields: the number of an order is that of a cell, its priority another axis."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    axes: list[dict] = [{"axis_name": "o_orderkey", "transformations": [{"name": "mapper", "axes": ["lat", "lon"], **mapper}]}]
+    if cyclic:
+        axes.append({"axis_name": "lon", "transformations": [{"name": "cyclic", "range": [0, 360]}]})
+    options = cubes.Options.parse({"axis_config": axes, "engine_options": engines or {}})
+    return cubes.configured(orders, ["o_orderpriority", "o_orderkey"], ["o_orderkey", "o_totalprice"], options)
+
+
+def _on_grid(name: str, mapper: dict, *shapes: Shape, cells: str, sql: str, cyclic: bool = False) -> None:
+    @_query(name, f"SELECT o_orderpriority, round(lat, 6) AS lat, round(lon, 6) AS lon, o_orderkey, o_totalprice FROM orders JOIN ({cells}) ON cell = o_orderkey WHERE {sql}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = _gridded(spark, sf_dir, mapper, cyclic=cyclic).retrieve(Request(All("o_orderpriority"), *shapes))
+        return found.withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
+
+
+_O16, _H16 = {"type": "octahedral", "resolution": 16}, {"type": "healpix", "resolution": 16}
+_on_grid("gridded_box", _O16, Box(["lat", "lon"], [10, 20], [50, 80]), cells=_around(_OCTAHEDRAL_16), sql="lat BETWEEN 10 AND 50 AND lon BETWEEN 20 AND 80")
+_on_grid("gridded_seam", _O16, Span("lat", -30, 30), Span("lon", -40, 10), cells=_around(_OCTAHEDRAL_16), sql="lat BETWEEN -30 AND 30 AND (lon >= 320 OR lon <= 10 + 1e-9)", cyclic=True)
+_on_grid("gridded_disk", _H16, Disk(["lat", "lon"], [20, 180], [25, 60]), cells=_healpix(16), sql=_gon("lat", "lon", 20, 180, 25, 60))
+_on_grid("gridded_nested", {"type": "healpix_nested", "resolution": 16}, Union(["lat", "lon"], Box(["lat", "lon"], [-20, 30], [10, 90]), Box(["lat", "lon"], [60, 200], [85, 330])),
+         cells=_nested_healpix(16), sql="(lat BETWEEN -20 AND 10 AND lon BETWEEN 30 AND 90) OR (lat BETWEEN 60 AND 85 AND lon BETWEEN 200 AND 330)")
+_on_grid("gridded_reduced_ll", {"type": "reduced_ll", "counts": list(_REDUCED)}, Box(["lat", "lon"], [-50, 0], [50, 200]), cells=_around(_REDUCED_LL), sql="lat BETWEEN -50 AND 50 AND lon BETWEEN 0 AND 200")
+_on_grid("gridded_lambert", {"type": "lambert_conformal", "parameters": {"nx": 60, "ny": 50, "dx": 50_000, "dy": 50_000, "first_lat": 30.0, "first_lon": 350.0, "lad": 45.0, "lov": 10.0, "latin1": 45.0, "latin2": 45.0}},
+         Box(["lat", "lon"], [35, 2], [45, 14]), cells=_LAMBERT, sql="lat BETWEEN 35 AND 45 AND lon BETWEEN 2 AND 14")
+# the nearest of all cells, around the circle; of two as near the one with the least coordinates
+_NEAR = "(lat - ({a})) * (lat - ({a})) + pow(least(abs(lon - {o}), 360 - abs(lon - {o})), 2)"
+_nearest = lambda a, o: f"cell IN (SELECT cell FROM ({_around(_OCTAHEDRAL_16)}) ORDER BY round({_NEAR.format(a=a, o=o)}, 9), lat, lon LIMIT 1)"
+_on_grid("gridded_nearest", _O16, Union(["lat", "lon"], *[Point(["lat", "lon"], [p], method="nearest") for p in ([39, -76.45], [0.16, 359.9], [-61.5, 200])]),
+         cells=_around(_OCTAHEDRAL_16), sql=" OR ".join(_nearest(a, o) for a, o in ((39, 283.55), (0.16, 359.9), (-61.5, 200))), cyclic=True)
+
+
+@_query("nearest_of_cloud", "SELECT * FROM (" + " UNION ".join(
+    f"(SELECT lat, lon, idx FROM ({{cloud}}) ORDER BY (lat - ({a})) * (lat - ({a})) + (lon - ({o})) * (lon - ({o})), lat, lon LIMIT {k})" for a, o, k in ((1, 2, 3), (-9.5, 31, 1))) + ")")
+def nearest_of_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest of one point and the nearest of another, under an engine of points."""
+    cube = Cube(_cloud(spark, sf_dir), ["lat", "lon"], ["idx"], engines={"lat": "quadtree", "lon": "quadtree"})
+    return cube.retrieve(Request(Union(["lat", "lon"], Point(["lat", "lon"], [[1, 2]], "nearest", 3), Point(["lat", "lon"], [[-9.5, 31]], "nearest"))))
+
+
 @_query("grid_locate", "SELECT p_partkey, (p_size * 32 + p_partkey % 32)::BIGINT AS cell FROM part WHERE p_size < 16")
 def grid_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = 11.25
@@ -273,6 +452,7 @@ def grid_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- points in a plane ----------------------------------------------------------------------------------------
 
 _CLOUD = "SELECT vec_id AS idx, round(90 * embedding[1]::DOUBLE, 6) AS lat, round(180 * embedding[2]::DOUBLE, 6) AS lon FROM embeddings"
+ORACLES["nearest_of_cloud"] = ORACLES["nearest_of_cloud"].replace("{cloud}", _CLOUD)
 _AREA = Polygon(["lat", "lon"], [[-10, -20], [12, -25], [4, 0], [15, 30], [-12, 25]])
 
 
@@ -286,9 +466,10 @@ def _in(name: str, shape: Shape, engine: str, sql: str) -> None:
     ORACLES[name] = f"SELECT * FROM ({_CLOUD}) WHERE {sql}"
 
 
-_PLANE = {"lat": Axis("lat"), "lon": Axis("lon")}
-_in("points_closed", _AREA, "quadtree", _AREA.sql(_PLANE, DUCKDB))
-_in("points_open", _AREA, "point_in_polygon", Polygon(["lat", "lon"], _AREA.points.tolist(), border=False).sql(_PLANE, DUCKDB))
+_LOWER = "CASE WHEN lon < -20 THEN -10 - 22 * (lon + 20) / 5 WHEN lon <= 25 THEN -10 - 2 * (lon + 20) / 45 ELSE -12 + 27 * (lon - 25) / 5 END"
+_UPPER = "CASE WHEN lon < 0 THEN 4 - 8 * lon / 25 ELSE 4 + 11 * lon / 30 END"
+_in("points_closed", _AREA, "quadtree", f"lon BETWEEN -25 AND 30 AND lat BETWEEN {_LOWER} - 1e-9 AND {_UPPER} + 1e-9")
+_in("points_open", _AREA, "point_in_polygon", f"lon > -25 AND lon < 30 AND lat > {_LOWER} + 1e-7 AND lat < {_UPPER} - 1e-7")
 _in("points_bbox", Box(["lat", "lon"], [-5, -10], [5, 10]), "quadtree_bbox", "lat BETWEEN -5 AND 5 AND lon BETWEEN -10 AND 10")
 _in("points_hull_open", ConvexHull(["lat", "lon"], [[-5, -10], [5, -10], [5, 10], [-5, 10]]), "point_in_polygon_bbox", "lat > -5 AND lat < 5 AND lon > -10 AND lon < 10")
 
@@ -463,14 +644,24 @@ _AT1 = f"{QTY} = 25 AND {near(DISC, .06)}"
 _feature("feature_timeseries", {"type": "timeseries", "points": [[25, 0.06]], "time_axis": DATE, "range": {"start": Y97, "end": Y98}}, {}, [QTY, DISC, DATE], _PAIR, f"{_AT1} AND {YEARS}")
 _feature("feature_profile", {"type": "verticalprofile", "points": [[25, 0.06]], "axes": TAX, "range": "0.02/to/0.05"}, {}, [QTY, DISC, TAX], _PAIR, f"{_AT1} AND {within(TAX, .02, .05)}")
 _feature("feature_bbox", {"type": "boundingbox", "points": [[10, 0.02], [12, 0.04]]}, {FLAG: "A/R"}, [QTY, DISC, FLAG], _PAIR, f"{QTY} BETWEEN 10 AND 12 AND {within(DISC, .02, .04)} AND {FLAG} IN ('A', 'R')")
-_cut("feature_circle", "part", *features.feature_request({"type": "circle", "center": [[25, 940]], "radius": 9}, {}, ("p_size", "p_retailprice")).shapes)
+_cut("feature_circle", "part", *features.feature_request({"type": "circle", "center": [[25, 940]], "radius": 9}, {}, ("p_size", "p_retailprice")).shapes, sql=_gon("p_size", PRICE, 25, 940, 9, 9))
 _feature("feature_position", {"type": "position", "points": [[25, 0.06], [26, 0.07]]}, {}, [QTY, DISC], _PAIR, f"({_AT1}) OR ({QTY} = 26 AND {near(DISC, .07)})")
 _feature("feature_polygon", {"type": "polygon", "shape": [[5, 0.0], [45, 0.0], [25, 0.05], [45, 0.1], [5, 0.1]]}, {}, [QTY, DISC], _PAIR,
-         Polygon(_PAIR, [[5, 0.0], [45, 0.0], [25, 0.05], [45, 0.1], [5, 0.1]]).sql(AXES["lineitem"], DUCKDB))
+         f"{QTY} >= 5 AND {within(DISC, 0.0, .1)} AND {QTY} <= 25 + 20 * abs({DISC} - 0.05::DOUBLE) / 0.05::DOUBLE + 1e-7")
 _feature("feature_trajectory", {"type": "trajectory", "points": [[5, 0.0], [25, 0.1], [45, 0.0]], "inflation": [1, 0.01], "inflate": "box"}, {}, [QTY, DISC], _PAIR,
-         Path(_PAIR, Box(_PAIR, [-1, -0.01], [1, 0.01]), [5, 0.0], [25, 0.1], [45, 0.0]).sql(AXES["lineitem"], DUCKDB))
+         _swept_box(QTY, DISC, (1, 0.01), [(5, 0.0), (25, 0.1), (45, 0.0)]))
 _feature("feature_trajectory_round", {"type": "trajectory", "points": [[5, 0.0], [25, 0.1]], "inflation": [2, 0.02]}, {}, [QTY, DISC], _PAIR,
-         Path(_PAIR, Disk(_PAIR, [0, 0], [2, 0.02]), [5, 0.0], [25, 0.1]).sql(AXES["lineitem"], DUCKDB))
+         _swept_gon(QTY, DISC, (2, 0.02), [(5, 0.0), (25, 0.1)]))
+
+
+
+@_query("feature_days", "SELECT strftime(ts, '%Y%m%d') AS day, user_id, event_id FROM events WHERE user_id = 7 AND strftime(ts, '%Y%m%d') IN ('20240105', '20240107', '20240109')")
+def feature_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of days with a step: every other day of five."""
+    rows = _table(spark, sf_dir, "events").select("user_id", "event_id", F.date_format("ts", "yyyyMMdd").alias("day"))
+    days = features.axis_shape("day", "20240105/to/20240109/by/2")
+    return Cube(rows, ["day", "user_id"], ["event_id"]).retrieve(Request(days, Select("user_id", [7])), check_values=False)
+
 
 # --- what composition with Spark gives ------------------------------------------------------------------------
 
@@ -488,4 +679,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _query("flagship", f"""SELECT {FLAG}, {DISC}, {QTY}, {DATE}, l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE {FLAG} = 'R' AND {YEARS}
-  AND {Disk([DISC, QTY], [0.05, 15], [0.03, 6]).sql(AXES['lineitem'], DUCKDB)}""")(flagship)
+  AND {_gon(DISC, QTY, 0.05, 15, 0.03, 6)}""")(flagship)

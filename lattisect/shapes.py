@@ -16,6 +16,38 @@ from .errors import Unsliceable
 
 Bounds = dict[str, tuple[float, float]]
 METHODS = (None, "surrounding", "nearest")
+#: Alternatives of one axis or box that are written out; more are looked up in a literal table.
+FEW = 16
+
+
+def _table(lists: Sequence[Sequence[Sequence[float]]]) -> str:
+    """A literal of lists of rows of numbers, as Spark's SQL has it; it is folded into one constant."""
+    rows = [", ".join(f"array({', '.join(double(x) for x in row)})" for row in rows) for rows in lists]
+    return "array(" + ", ".join(f"array({r})" if r else "cast(array() as array<array<double>>)" for r in rows) + ")"
+
+
+def _binned(lows: np.ndarray, highs: np.ndarray, most: int = 512) -> tuple[float, float, list[np.ndarray]]:
+    """(first, width, members by bin): bins of one width over some intervals, and which of these reach into each."""
+    first, last = float(lows.min()), float(highs.max())
+    count = int(min(most, 2 * len(lows)))
+    width = max((last - first) / count, 1e-300, abs(last) * 1e-15)
+    at = np.clip(np.floor((lows - first) / width - 1e-6), 0, count - 1).astype(int)
+    to = np.clip(np.floor((highs - first) / width + 1e-6), 0, count - 1).astype(int)
+    return first, width, [np.flatnonzero((at <= i) & (to >= i)) for i in range(count)]
+
+
+def _in_bin(x: str, first: float, width: float, count: int, table: str, test: str) -> str:
+    """Whether any row ``b`` of the bin that ``x`` is in passes a test."""
+    at = f"CAST(least(greatest(floor(({x} - {double(first)}) / {double(width)}), 0), {count - 1}) AS INT)"
+    return f"exists(try_element_at({table}, {at} + 1), b -> {test})"
+
+
+def _met(axis: Axis, values: Sequence[float]) -> str:
+    """Whether an axis has one of many values, within its tolerance."""
+    lows, highs = np.array(values) - axis.tolerance, np.array(values) + axis.tolerance
+    first, width, bins = _binned(lows, highs)
+    table = _table([[(lows[i], highs[i]) for i in own] for own in bins])
+    return _in_bin(axis.numeric(), first, width, len(bins), table, f"{axis.numeric()} >= b[0] AND {axis.numeric()} <= b[1]")
 
 
 class Shape:
@@ -53,8 +85,8 @@ def _point(values: Sequence[object]) -> tuple[float, ...]:
 class ConvexHull(Shape):
     """The convex hull of points; they need not be extreme and may lie in a plane, on a line or be one point."""
 
-    def __init__(self, axes: Sequence[str], points: Sequence[Sequence[object]], method: str | None = None, k: int = 1) -> None:
-        self.axes, self.method, self.k = _axes(axes), method, k
+    def __init__(self, axes: Sequence[str], points: Sequence[Sequence[object]]) -> None:
+        self.axes = _axes(axes)
         self.points = np.array([_point(p) for p in points], float).reshape(-1, len(self.axes))
 
     def extents(self, axis: str) -> tuple[float, float]:
@@ -115,13 +147,13 @@ class Select(Shape):
             write = quoted if dialect == SPARK else lambda t: "'" + t.replace("'", "''") + "'"
             return f"({axis.column(dialect)} IN ({', '.join(write(str(v)) for v in self.values)}))"
         values = sorted(float(v) for v in self.values)
-        if axis.tolerance == 0 or len(values) > 50:
-            # many values: one set look-up; a tolerance is met by rounding
-            if axis.tolerance == 0:
-                return f"({axis.column(dialect)} IN ({', '.join(axis.literal(v, dialect) for v in values)}))"
-            rounded = ", ".join(double(round(v, 11)) for v in values)
-            return f"({axis.between(values[0], values[-1], dialect)} AND round({axis.numeric(dialect)}, 11) IN ({rounded}))"
-        return "(" + " OR ".join(axis.between(v, v, dialect) for v in values) + ")"
+        if axis.tolerance == 0:
+            return f"({axis.column(dialect)} IN ({', '.join(axis.literal(v, dialect) for v in values)}))"
+        exact = [axis.between(v, v, dialect) for v in values]
+        if len(values) <= FEW or dialect != SPARK:
+            return "(" + " OR ".join(exact) + ")"
+        # the same test, one set look-up and a comparison with the value that it finds: as many values as there are
+        return f"({axis.between(values[0], values[-1], dialect)} AND {_met(axis, values)})"
 
 
 class Point(Shape):
@@ -130,6 +162,8 @@ class Point(Shape):
     def __init__(self, axes: Sequence[str], points: Sequence[Sequence[object]], method: str | None = None, k: int = 1) -> None:
         if len(points) != 1:
             raise ValueError("a point shape has one point")
+        if method not in METHODS or k < 1:
+            raise ValueError(f"no method: {method}, or no {k} points")
         self.axes, self.method, self.k = _axes(axes), method, k
         self.point = tuple(number(v) for v in points[0])
 
@@ -235,9 +269,26 @@ class Union(Shape):
     def sql(self, axes: Mapping[str, Axis], dialect: str = SPARK) -> str:
         if not self.shapes:
             return "(1 = 0)"
-        members = " OR ".join(dict.fromkeys(s.sql(axes, dialect) for s in self.shapes))
+        boxes = [s for s in self.shapes if isinstance(s, Box)]
+        if dialect == SPARK and len(boxes) > FEW and all(np.isfinite([s.low, s.high]).all() for s in boxes):
+            rest = [s for s in self.shapes if not isinstance(s, Box)]
+            members = " OR ".join([self._any_box(boxes, axes), *dict.fromkeys(s.sql(axes, dialect) for s in rest)])
+        else:
+            members = " OR ".join(dict.fromkeys(s.sql(axes, dialect) for s in self.shapes))
         return "(" + " AND ".join([*self._within(axes, dialect), f"({members})"]) + ")"
 
+    def _any_box(self, boxes: Sequence[Box], axes: Mapping[str, Axis]) -> str:
+        """Many boxes: only those in the bin of the first axis that a row is in are compared with it."""
+        self._ordered(axes)
+        wide = np.array([axes[a].tolerance for a in self.axes])
+        lows = np.array([[b.low[b.axes.index(a)] for a in self.axes] for b in boxes]) - wide
+        highs = np.array([[b.high[b.axes.index(a)] for a in self.axes] for b in boxes]) + wide
+        first, width, bins = _binned(lows[:, 0], highs[:, 0])
+        table = _table([[np.stack([lows[i], highs[i]], axis=1).ravel() for i in own] for own in bins])
+        x = [axes[a].numeric() for a in self.axes]
+        test = " AND ".join(f"{c} >= b[{2 * i}] AND {c} <= b[{2 * i + 1}]" for i, c in enumerate(x))
+        return _in_bin(x[0], first, width, len(bins), table, test)
+
 
 class Product(Shape):
     """Points whose parts are in each of some shapes over different axes."""
@@ -332,9 +383,7 @@ class Polygon(Shape):
         if len(ring) > 1 and ring[0] == ring[-1]:
             ring.pop()
         self.points = np.array(ring, float).reshape(-1, 2)
-        x, y = self.points.T if len(ring) else np.empty((2, 0))
         self.flat = len(ring) < 3 or np.linalg.matrix_rank(self.points - self.points[0], tol=1e-12) < 2
-        del x, y
 
     def bounds(self) -> Bounds:
         return {a: (float(v.min()), float(v.max())) for a, v in zip(self.axes, self.points.T)} if len(self.points) else {}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..axes import Axis
-from ..cube import Cube
+from ..cube import Cube, Mapped
 from ..errors import BadRequest
 from ..operators import transforms
 from . import grids
@@ -39,8 +39,15 @@ def dense(spark: SparkSession, axes: Mapping[str, Sequence[object]], value: str
     return Cube(listed.select(*picked, value), names, [value])
 
 
-def discovered_axes(df: DataFrame, axes: Sequence[str]) -> dict[str, list[object]]:
-    """The values of each axis, for the small categorical axes of a store; none for some axis is an error."""
+def discovered_axes(df: DataFrame, axes: Sequence[str], most: int = 100_000) -> dict[str, list[object]]:
+    """The values of each axis, for the small categorical axes of a store; none for some axis is an error.
+
+    An axis of more than ``most`` values is refused before they are sent: such an axis is asked by ranges.
+    """
+    sizes = df.agg(*[F.approx_count_distinct(a).alias(a) for a in axes]).first()
+    for a in axes:
+        if sizes[a] > most:
+            raise BadRequest(f"axis {a} has about {sizes[a]} values, more than {most}")
     row = df.agg(*[F.sort_array(F.collect_set(a)).alias(a) for a in axes]).first()
     out = {a: list(row[a]) for a in axes}
     if not all(out.values()):
@@ -101,7 +108,7 @@ class Mapper:
         elif self.type in ("unstructured", "icon"):
             return self.points
         else:
-            made = grids.GRIDS[self.type](self.resolution)  # type: ignore[operator]
+            made = grids.GRIDS[self.type](int(self.resolution))  # type: ignore[operator,call-overload]
         return made.require_hash(self.hash)
 
 
@@ -146,6 +153,14 @@ class AxisOptions:
         return next((t for t in self.transformations if isinstance(t, kind)), None)
 
 
+@dataclass(frozen=True)
+class KnownAxis:
+    """All values of an axis, given in place of those that the store would be asked for."""
+
+    axis_name: str
+    values: tuple[Any, ...]
+
+
 @dataclass(frozen=True)
 class Options:
     axis_config: tuple[AxisOptions, ...] = ()
@@ -153,11 +168,13 @@ class Options:
     pre_path: Mapping[str, Any] = field(default_factory=dict)
     engine_options: Mapping[str, str] = field(default_factory=dict)
     dynamic_grid: bool = False
+    alternative_axes: tuple[KnownAxis, ...] = ()
 
     @staticmethod
     def parse(data: Mapping[str, Any]) -> Options:
         made = dict(data)
         made["axis_config"] = tuple(AxisOptions.parse(a) for a in data.get("axis_config", ()))
+        made["alternative_axes"] = tuple(_strict(KnownAxis, {k: tuple(v) if isinstance(v, list) else v for k, v in a.items()}) for a in data.get("alternative_axes", ()))
         made["compressed_axes_config"] = tuple(data.get("compressed_axes_config", ()))
         return _strict(Options, made)
 
@@ -175,18 +192,20 @@ class Options:
             swap = not done and a.find(Mapper) is not None
             done = done or swap
             axes.append(AxisOptions(a.axis_name, tuple(found if swap and isinstance(t, Mapper) else t for t in a.transformations)))
-        return Options(tuple(axes), self.compressed_axes_config, self.pre_path, self.engine_options, self.dynamic_grid)
+        return Options(tuple(axes), self.compressed_axes_config, self.pre_path, self.engine_options, self.dynamic_grid, self.alternative_axes)
 
 
 def configured(df: DataFrame, axes: Sequence[str], values: Sequence[str], options: Options) -> Cube:
     """A cube of stored columns under options. Transformations apply in one order: merge, type change, mapper, reverse, cyclic."""
     names = list(axes)
     more: dict[str, dict[str, Any]] = {}
+    mapped: list[Mapped] = []
     known = {o.axis_name for o in options.axis_config}
     for k, v in options.pre_path.items():
         df = df.where(F.col(k).isin(list(v) if isinstance(v, (list, tuple)) else [v]))
+    made_axes = {a for o in options.axis_config if (g := o.find(Mapper)) is not None for a in g.axes}
     for name in known:
-        if name not in names:
+        if name not in names and name not in made_axes:
             raise BadRequest(f"options for axis {name}, which the cube doesn't have")
     for o in options.axis_config:
         if (m := o.find(Merge)) is not None:
@@ -197,17 +216,15 @@ def configured(df: DataFrame, axes: Sequence[str], values: Sequence[str], option
             df = transforms.retyped(df, o.axis_name, t.type)
     for o in options.axis_config:
         if (g := o.find(Mapper)) is not None:
-            spark = df.sparkSession
-            made = g.grid()
-            if isinstance(made, grids.RowGrid):
-                cells = made.cells(spark)
-            elif isinstance(made, grids.Lambert):
-                cells = made.cells(spark)
-            else:
-                cells = grids.unstructured(spark, made)
-            first, second = g.axes
-            cells = cells.select(F.col("cell").alias(o.axis_name), F.col("lat").alias(first), F.col("lon").alias(second))
-            df = df.join(cells, o.axis_name)  # co-located if the store is bucketed by cell; broadcast if the grid is small
+            made, (first, second) = g.grid(), g.axes
+            if isinstance(made, (grids.RowGrid, grids.Nested, grids.Lambert)):
+                lat, lon = made.places(f"`{o.axis_name}`")
+                df = df.select("*", F.expr(lat).alias(first), F.expr(lon).alias(second)).where(F.col(first).isNotNull())
+                mapped.append(Mapped(o.axis_name, (first, second), made))
+            else:  # co-located if the store is bucketed by cell; Spark broadcasts the points if they are few
+                cells = grids.unstructured(df.sparkSession, made).select(F.col("cell").alias(o.axis_name), F.col("lat").alias(first), F.col("lon").alias(second))
+                df = df.join(cells, o.axis_name)
+                mapped.append(Mapped(o.axis_name, (first, second), points=cells))
             at = names.index(o.axis_name)
             names[at : at + 1] = [first, second]
     for o in options.axis_config:
@@ -216,4 +233,8 @@ def configured(df: DataFrame, axes: Sequence[str], values: Sequence[str], option
         if (c := o.find(Cyclic)) is not None:
             more.setdefault(o.axis_name, {})["period"] = tuple(float(x) for x in c.range)
     types = {f.name: f.dataType for f in df.schema.fields}
-    return Cube(df, [Axis.of(n, types[n], **more.get(n, {})) for n in names], values, engines=options.engine_options)
+    listed = {a.axis_name: a.values for a in options.alternative_axes}
+    for a in listed:
+        if a not in names:
+            raise BadRequest(f"values for axis {a}, which the cube doesn't have")
+    return Cube(df, [Axis.of(n, types[n], **more.get(n, {})) for n in names], values, engines=options.engine_options, mapped=mapped, known=listed)
