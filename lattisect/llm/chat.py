@@ -65,21 +65,20 @@ def formatted(
     )
     sorted_turns = rows.groupBy(id_col).agg(F.array_sort(F.collect_list("__turn")).alias("__turns"))
 
-    def piece(t: Column, i: Column, all_turns: Column) -> Column:
-        role, text = t["role"], escaped(t["text"])
-        starts = F.when(i == 0, True).otherwise(all_turns[F.greatest(i - 1, F.lit(0))]["role"] != role)
-        ends = F.when(i == F.size(all_turns) - 1, True).otherwise(all_turns[F.least(i + 1, F.size(all_turns) - 1)]["role"] != role)
+    def merged(all_turns: Column) -> Column:
+        """The runs of turns of one role, in order, each as an array: what stands between two starts."""
+        n = F.size(all_turns)
+        places = F.sequence(F.lit(0), n - 1)
+        begins = F.filter(places, lambda i: F.when(i == 0, True).otherwise(all_turns[F.greatest(i - 1, F.lit(0))]["role"] != all_turns[i]["role"]))
+        return let(begins, lambda at: F.transform(at, lambda i, k: F.slice(all_turns, i + 1, F.when(k + 1 < F.size(at), at[F.least(k + 1, F.size(at) - 1)]).otherwise(n) - i)))
+
+    def told(block: Column) -> Column:
+        """A run as one text: its marks, and its turns with a mark between them."""
+        role = block[0]["role"]
         head = _by_role(role, OPEN, F.concat(F.lit(OTHER_OPEN), escaped(role), F.lit(NEXT)))
-        return F.concat(
-            F.when(starts, head).otherwise(NEXT),
-            text,
-            F.when(ends, _by_role(role, CLOSE, OTHER_CLOSE)).otherwise(""),
-        )
+        return F.concat(head, F.array_join(F.transform(block, lambda t: escaped(t["text"])), NEXT), _by_role(role, CLOSE, OTHER_CLOSE))
 
-    return sorted_turns.select(
-        F.col(id_col),
-        let(F.col("__turns"), lambda a: F.array_join(F.transform(a, lambda t, i: piece(t, i, a)), "")).alias(out),
-    )
+    return sorted_turns.select(F.col(id_col), F.array_join(F.transform(let(F.col("__turns"), merged), told), "").alias(out))
 
 
 def parsed(chats: DataFrame, id_col: str = "conv_id", out: str = "formatted", into: str = "turns") -> DataFrame:

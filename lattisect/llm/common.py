@@ -17,7 +17,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that the driver and every executor see.
+    """A fresh folder that the driver and every executor see, in one of the application's own.
 
     It lies under ``spark.checkpoint.dir``. Only a local master may do without that setting; it
     gets a temporary folder, since there the driver and the executor are one process.
@@ -27,7 +27,13 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "lattisect-checkpoints")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def cleaned(spark: SparkSession) -> None:
+    """Removes all that this application has written under ``shared_folder``: once its results have been read or written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.dirname(shared_folder(spark)))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -22,6 +22,8 @@ from .common import written
 
 #: Seconds of a frame and between frames; the band that is heard.
 FRAME, HOP, BAND = 0.256, 0.064, (100.0, 1900.0)
+#: Samples a second that a recording may have.
+RATES = (1_000, 400_000)
 #: (kind, first pitch class, pitch classes, frames): halves one above the other, halves in turn, or the middle against the sides.
 FILTERS = (
     (0, 0, 12, 4), (0, 0, 6, 4), (0, 6, 6, 4), (0, 3, 6, 4), (1, 0, 4, 8), (1, 4, 4, 8), (1, 8, 4, 8), (1, 0, 12, 8),
@@ -39,15 +41,21 @@ PACK, HELD = 250_000, 4_000_000
 
 
 def read_wav(data: bytes | None) -> tuple[np.ndarray, int]:
-    """Samples (mono, -1 to 1) and rate of a 16-bit PCM file; none for a null or what is no such file."""
+    """Samples (mono, -1 to 1) and rate of a 16-bit PCM file; none for a null or what is no such file.
+
+    A file that is cut off, or whose header promises more than there is, gives the whole samples that it has.
+    """
+    none = np.empty(0), 8000
     try:
         with wave.open(io.BytesIO(data or b"")) as f:
-            if f.getsampwidth() != 2:
-                return np.empty(0), 8000
-            samples = np.frombuffer(f.readframes(f.getnframes()), "<i2").astype(float) / 32768
-            return samples[: len(samples) // f.getnchannels() * f.getnchannels()].reshape(-1, f.getnchannels()).mean(axis=1), f.getframerate()
-    except (wave.Error, EOFError, ZeroDivisionError):
-        return np.empty(0), 8000
+            rate, channels = f.getframerate(), f.getnchannels()
+            if f.getsampwidth() != 2 or channels < 1 or not RATES[0] <= rate <= RATES[1]:
+                return none
+            raw = f.readframes(f.getnframes())
+    except (wave.Error, EOFError, ValueError, ZeroDivisionError, OverflowError, MemoryError):
+        return none
+    whole = len(raw) // (2 * channels) * 2 * channels
+    return np.frombuffer(raw[:whole], "<i2").reshape(-1, channels).mean(axis=1) / 32768, rate
 
 
 @functools.lru_cache(maxsize=16)

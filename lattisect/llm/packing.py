@@ -1,13 +1,14 @@
 """Best-fit packing of tokenized documents into sequences, with certified bounds.
 
 Pieces are dealt over partitions of a bounded size and each is packed by best-fit decreasing. Dual-feasible
-functions bound from below how many sequences a partition, and the whole, must have. While the whole has more
-than its bound, partitions with gaps give up their unfilled sequences; the pieces of these are exchanged
-(dealt anew, over fewer partitions) and packed again.
+functions bound from below how many sequences a partition, and the whole, must have. A partition that meets its bound is
+certified and stays as it is. While the whole has more than its bound, those with a gap give up their unfilled sequences, and
+as many of certified ones join them as it takes to fill these; their pieces are exchanged (dealt anew) and packed again.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -26,8 +27,6 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Pieces that one task packs.
 GROUP = 40_000
-#: Rounds of exchange at most; one that saves no sequence is the last.
-ROUNDS = 5
 #: A sequence gives up its pieces if at least one in so many of its tokens is free.
 FREE_PART = 128
 #: Words kept encoded by a worker, and the length from which a word isn't kept.
@@ -236,7 +235,7 @@ def _round(rows: DataFrame, number: int, groups: int, capacity: int) -> DataFram
     return dealt.groupBy("group").applyInPandas(of, f"{schema}, sequence_id bigint, offset bigint, free bigint, group bigint, bins bigint, bound bigint")
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> tuple[DataFrame, dict[str, int]]:
+def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> tuple[DataFrame, dict[str, int]]:
     """(``rows`` with sequence_id and offset, {"sequences", "bound"}) for rows with a column ``length`` of 1 to ``capacity``.
 
     Repeated rows are packed as often as they stand there; equal lengths go in the order of their rows. An empty
@@ -253,22 +252,28 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
     total, least = int(counts.sum()), bound(counts)
     done, used, before, previous = [], 0, 0, None
     room = max(1, capacity // FREE_PART)
-    for number in range(rounds + 1):
+    for number in itertools.count():  # a round that saves no sequence is the last
         groups = max(1, -(-total // group))
         packed = written(_round(left.select(*inner.values(), "length", "row"), number, groups, capacity), "packed")
-        made = packed.groupBy("group").agg(F.first("bins").alias("bins")).agg(F.sum("bins")).first()[0] or 0
-        if previous is not None and made >= before:  # nothing saved: the last packing stands
+        # a row for each group of so many pieces
+        made = packed.groupBy("group").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound")).agg(F.sum("bins").alias("bins"), F.sum(F.when(F.col("bins") > F.col("bound"), 1).otherwise(0)).alias("gaps")).first()
+        count, gaps = made["bins"] or 0, made["gaps"] or 0
+        if previous is not None and count >= before:  # nothing saved: the last packing stands
             done.append(previous)
             used += before
             break
-        if used + made <= least or number == rounds:
+        if used + count <= least or (groups == 1 and number):
             done.append(packed)
-            used += made
+            used += count
             break
-        stay, previous = packed.where(F.col("free") < room), packed.where(F.col("free") >= room)
+        # unfilled sequences of groups with a gap; where all groups are certified, what each has left over is the gap of the whole
+        given = F.col("free") >= room
+        if gaps:
+            given = given & ((F.col("bins") > F.col("bound")) | (F.col("free") >= capacity // 2))
+        stay, previous = packed.where(~given), packed.where(given)
         kept = stay.agg(F.count_distinct("sequence_id")).first()[0]
         done.append(stay)
-        used, before, left = used + kept, made - kept, previous
+        used, before, left = used + kept, count - kept, previous
         total = left.count()
     out = done[0]
     for more in done[1:]:

@@ -18,15 +18,62 @@ from .common import let, words
 #: The sample on which rules are ordered has at most so many rows; each is judged REPEATS times.
 SAMPLE_ROWS = 300
 REPEATS = 10
+#: Of so large a part of the first rows that hold the sample, it is drawn.
+SAMPLE_SHARE = 0.05
 WINDOW = 8
 
 
+class Measures:
+    """What rules are written in, as columns: of a text and its words, or by ``bound``, of columns that are there already."""
+
+    def __init__(self, text: Column, all_words: Column) -> None:
+        self.text, self.words = F.coalesce(text, F.lit("")), all_words
+
+    @property
+    def n_words(self) -> Column:
+        return F.size(self.words).cast("long")
+
+    @property
+    def word_chars(self) -> Column:
+        return F.length(F.array_join(self.words, "")).cast("long")
+
+    @property
+    def n_symbols(self) -> Column:
+        return F.regexp_count(self.text, F.lit(r"[#*$%&|<>]")).cast("long")
+
+    @property
+    def lines(self) -> Column:
+        """Lines with a word (``all``), and how many of them differ (``own``)."""
+        count = lambda x: F.struct(F.size(x).cast("long").alias("all"), F.size(F.array_distinct(x)).cast("long").alias("own"))
+        return let(F.filter(F.split(self.text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), count)
+
+    @property
+    def n_repeat_words(self) -> Column:
+        return _repeated_words(self.words)
+
+    def count(self, pattern: str) -> Column:
+        return F.regexp_count(self.text, F.lit(pattern))
+
+
+class Bound(Measures):
+    """The measures as the columns of ``measured``."""
+
+    def __init__(self) -> None:
+        super().__init__(F.col("__text"), F.col("__words"))
+
+    n_words = property(lambda self: F.col("n_words"))
+    word_chars = property(lambda self: F.col("word_chars"))
+    n_symbols = property(lambda self: F.col("n_symbols"))
+    lines = property(lambda self: F.col("__lines"))
+    n_repeat_words = property(lambda self: F.col("n_repeat_words"))
+
+
 @dataclass(frozen=True)
 class Rule:
-    """Rejects a row where ``rejects`` is true; the columns of ``measured`` are there to be used."""
+    """Rejects a row where ``rejects`` is true."""
 
     name: str
-    rejects: Callable[[], Column]
+    rejects: Callable[[Measures], Column]
 
 
 def _repeated_words(all_words: Column) -> Column:
@@ -72,52 +119,53 @@ def measured(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("do
     left out, so their names cannot clash.
     """
     base = docs.select(*keep, F.col(text_col).alias("__text"), words(F.col(text_col)).alias("__words"))
-    text = F.coalesce(F.col("__text"), F.lit(""))
-
-    def line_count(lines: Column) -> Column:
-        return F.struct(F.size(lines).cast("long").alias("all"), F.size(F.array_distinct(lines)).cast("long").alias("own"))
-
-    lines = let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), line_count)
+    m = Measures(F.col("__text"), F.col("__words"))
     return base.select(
         *keep,
         "__text",
         "__words",
-        F.size("__words").cast("long").alias("n_words"),
-        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        lines.alias("__lines"),
-        _repeated_words(F.col("__words")).alias("n_repeat_words"),
+        m.n_words.alias("n_words"),
+        m.word_chars.alias("word_chars"),
+        m.n_symbols.alias("n_symbols"),
+        m.lines.alias("__lines"),
+        m.n_repeat_words.alias("n_repeat_words"),
     ).withColumn("n_dup_lines", F.col("__lines.all") - F.col("__lines.own"))
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-
-
+#: The base rules: the contract has them fail whatever the others say.
+BASE = (
+    Rule("few_words", lambda m: m.n_words < 20),
+    Rule("repeats", lambda m: 100 * m.n_repeat_words > 30 * m.n_words),
+)
 #: Asked beside the base rules. Each is about junk that runs through a text: tables and symbol noise,
 #: shouting, text without letters, boilerplate lines, words said again and again.
 RULES = (
-    Rule("symbols", lambda: 100 * F.col("n_symbols") > 25 * F.col("n_words")),
-    Rule("word_length", lambda: (F.col("word_chars") > 20 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words"))),
-    Rule("lines", lambda: (F.col("__lines.all") >= 4) & (100 * F.col("n_dup_lines") > 50 * F.col("__lines.all"))),
-    Rule("stutter", lambda: 100 * F.size(F.filter(F.zip_with(F.slice("__words", 2, F.size("__words")), F.col("__words"), lambda b, a: a == b), lambda x: x)) > 30 * F.col("n_words")),
-    Rule("shouting", lambda: 100 * F.regexp_count(F.coalesce("__text", F.lit("")), F.lit("[A-Z]")) > 50 * F.col("word_chars")),
-    Rule("exclaims", lambda: 100 * F.regexp_count(F.coalesce("__text", F.lit("")), F.lit("[!?]")) > 30 * F.col("n_words")),
-    Rule("letters", lambda: 100 * F.regexp_count(F.coalesce("__text", F.lit("")), F.lit(r"[\p{L}]")) < 50 * F.col("word_chars")),
+    Rule("symbols", lambda m: 100 * m.n_symbols > 25 * m.n_words),
+    Rule("word_length", lambda m: (m.word_chars > 20 * m.n_words) | (m.word_chars < 2 * m.n_words)),
+    Rule("lines", lambda m: let(m.lines, lambda x: (x["all"] >= 4) & (100 * (x["all"] - x["own"]) > 50 * x["all"]))),
+    Rule("stutter", lambda m: 100 * F.size(F.filter(F.zip_with(F.slice(m.words, 2, F.size(m.words)), m.words, lambda b, a: a == b), lambda x: x)) > 30 * m.n_words),
+    Rule("shouting", lambda m: 100 * m.count("[A-Z]") > 50 * m.word_chars),
+    Rule("exclaims", lambda m: 100 * m.count("[!?]") > 30 * m.n_words),
+    Rule("letters", lambda m: 100 * m.count(r"[\p{L}]") < 50 * m.word_chars),
 )
 
 
 def order_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """``rules``, by rejections per second on the first ``sample_rows`` rows of ``docs``, best first.
+    """``rules``, by rejections per second on at most ``sample_rows`` sampled rows of ``docs``, best first.
 
-    Each rule is timed alone on the measured sample, less what a constant takes. Only the sample reaches the
-    driver, and only as many partitions are read as hold it. Ties and an empty sample keep the order given.
+    Each rule is timed alone on the words and texts of the sample, with all that it measures, less what a constant takes.
+    Only the sample reaches the driver, and only as many partitions are read as hold it. Ties and an empty sample
+    keep the order given.
     """
-    texts = docs.select(F.col(text_col).alias("text")).limit(sample_rows).collect() if len(rules) > 1 else []
+    if len(rules) < 2:
+        return list(rules)
+    text = docs.select(F.col(text_col).alias("text"))
+    texts = text.sample(SAMPLE_SHARE, seed=1).limit(sample_rows).collect() or text.limit(sample_rows).collect()
     if not texts:
         return list(rules)
     some = docs.sparkSession.createDataFrame(texts, "text string").select("text", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
-    sample = measured(some, keep=()).persist()
+    sample = some.select("text", words(F.col("text")).alias("words")).persist()
+    m = Measures(F.col("text"), F.col("words"))
     try:
 
         def timed(test: Column) -> tuple[float, int]:
@@ -128,26 +176,47 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text",
                 took.append(time.perf_counter() - began)
             return took[-1], n  # the first run compiles the code
 
-        idle, _ = timed(F.col("n_words") < -1)
-        figures = [timed(r.rejects()) for r in rules]
+        idle, _ = timed(F.size("words") < -1)
+        figures = [timed(r.rejects(m)) for r in rules]
     finally:
         sample.unpersist()
     rate = [-n / max(took - idle, 1e-3) for took, n in figures]
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (rate[i], i))]
 
 
+def cascade(rules: Sequence[Rule], m: Measures) -> Column:
+    """The first rule that rejects, or null: one CASE, of which no later branch is evaluated once one holds."""
+    out = None
+    for rule in rules:
+        out = F.when(rule.rejects(m), rule.name) if out is None else out.when(rule.rejects(m), rule.name)
+    return F.lit(None).cast("string") if out is None else out
+
+
 def judged(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",), rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``measured`` and ``base_failed``, ``rejected_by`` (the first rule that rejects, or null) and ``kept``.
+    """``measured`` and ``base_failed``, ``rejected_by`` (``base``, or the first rule that rejects, or null) and ``kept``.
 
-    The rules become one CASE in their order, of which no later branch is evaluated once one holds.
+    All measures are results here, so the order of the rules saves what they need beside them. ``passed`` measures no
+    more than it takes to reject.
     """
     rows = measured(docs, text_col, keep)
-    cascade = None
-    for rule in order_rules(docs, rules, text_col, sample_rows):
-        cascade = F.when(rule.rejects(), rule.name) if cascade is None else cascade.when(rule.rejects(), rule.name)
-    verdict = F.lit(None).cast("string") if cascade is None else cascade
+    m = Bound()
+    failed = BASE[0].rejects(m)
+    for rule in BASE[1:]:
+        failed = failed | rule.rejects(m)
+    verdict = cascade(order_rules(docs, rules, text_col, sample_rows), m)
     return (
-        rows.withColumn("base_failed", base_failed())
+        rows.withColumn("base_failed", failed)
         .withColumn("rejected_by", F.when(F.col("base_failed"), "base").otherwise(verdict))
         .withColumn("kept", F.col("rejected_by").isNull())
     )
+
+
+def passed(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = (*BASE, *RULES), sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``docs`` without the rows that a rule rejects; all columns stay, whatever their names, and null texts count as empty.
+
+    A text is cut into words once, and the cascade is one expression over it: what a rule measures isn't measured for
+    texts that an earlier one rejects.
+    """
+    order = order_rules(docs, rules, text_col, sample_rows)
+    text = F.col(f"`{text_col}`")
+    return docs.where(let(words(text), lambda w: cascade(order, Measures(text, w))).isNull())

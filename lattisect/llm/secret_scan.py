@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .spans import SPAN, as_text, count_kind, in_order, matches, no_spans, replaced
+from .spans import SPAN, as_text, count_kind, matches, no_spans, replaced
 
 #: Kinds in the order that breaks ties of position; the first three are always kept.
 BASE = ("assign", "access", "hex")
@@ -43,7 +43,9 @@ RULES = (
     Rule("github", 1, r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}+", 4, "gh[pousr]_"),
     Rule("jwt", 1, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 5, "eyJ"),
 )
-LEDGER = f"blob string, rules array<string>, found {SPAN}"
+#: What a ledger's row holds: a blob, the rule versions it was scanned for, and under which of them what was found.
+FOUND = "array<struct<rule:string,span:struct<start:bigint,rank:int,stop:bigint,kind:string,score:double>>>"
+LEDGER = f"blob string, rules array<string>, found {FOUND}"
 
 
 def _scan(text: Column, rule: Rule) -> Column:
@@ -82,14 +84,19 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFr
         left = F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>")))
         blobs = blobs.join(seen, "blob", "left").select("blob", "text", left.alias("rules")).where(F.size("rules") > 0)
     found = [F.when(F.array_contains("rules", r.key), _scan(F.col("text"), r)).otherwise(no_spans()) for r in rules]
-    return blobs.select("blob", "rules", in_order(found).alias("found"))
+    under = lambda spans, key: F.transform(spans, lambda s: F.struct(F.lit(key).alias("rule"), s.alias("span")))
+    return blobs.select("blob", "rules", F.concat(*[under(spans, r.key) for r, spans in zip(rules, found)]).cast(FOUND).alias("found"))
 
 
-def _hits(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob, __found): what the ledger holds for these rules, of blobs with findings."""
-    kinds = [r.kind for r in rules]
-    found = F.filter(F.flatten(F.collect_list("found")), lambda s: s["kind"].isin(kinds))
-    return ledger.where(F.size("found") > 0).groupBy("blob").agg(F.array_sort(found).alias("__found"))
+def _hits(fresh: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """(hit, __found): what the ledger holds under just these rule versions, of blobs with findings, each finding once."""
+    keys = [r.key for r in rules]
+    spans = lambda c: F.array_sort(F.array_distinct(F.transform(F.filter(c, lambda f: f["rule"].isin(keys)), lambda f: f["span"])))
+    if ledger is None:
+        return fresh.where(F.size("found") > 0).select(F.col("blob").alias("hit"), spans(F.col("found")).alias("__found"))
+    both = fresh.select("blob", "found").unionByName(ledger.select("blob", "found")).where(F.size("found") > 0)
+    # written, for Spark splits a hot blob's rows only where nothing but the join wants them together
+    return written(both.groupBy("blob").agg(spans(F.flatten(F.collect_list("found"))).alias("__found")).withColumnRenamed("blob", "hit"), "hits")
 
 
 def secrets(
@@ -116,8 +123,7 @@ def secrets(
     idle = named.where(F.col("text").isNull()).select("blob").distinct()
     idle = scan_blobs(idle.withColumn("text", F.lit("")), rules, ledger)
     fresh = written(scanned.unionByName(idle), "ledger")
-    known = fresh if ledger is None else fresh.unionByName(ledger.select("blob", "rules", "found"))
-    hits = _hits(known, rules).withColumnRenamed("blob", "hit")
+    hits = _hits(fresh, ledger, rules)
     rows = named.where(F.col("text").isNotNull()).select("id", "blob")
     joined = rows.join(hits, rows["blob"] == hits["hit"], "left").select("id", F.coalesce("__found", no_spans()).alias(out))
     rest = named.where(F.col("text").isNull()).select("id", no_spans().alias(out))
@@ -130,17 +136,18 @@ def redacted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     Texts in which no rule can match stay where they are; the others meet the ledger by their blob.
     A null text stays null.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    named = docs.select(*docs.columns, F.sha2(text, 256).alias("__blob"), _guards(text, rules).alias("__can"))
-    plain, able = named.where(~F.col("__can")), named.where(F.col("__can"))
-    blobs = able.select(F.col("__blob").alias("blob"), F.col(text_col).alias("text")).dropDuplicates(["blob"])
+    own = F.col(f"`{text_col}`")
+    text = F.coalesce(own, F.lit(""))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.sha2(text, 256).alias("blob"), _guards(text, rules).alias("can"))
+    plain, able = named.where(~F.col("can")).select("doc"), named.where(F.col("can")).select("doc", "blob")
+    blobs = able.select("blob", F.col("doc").getField(text_col).alias("text")).dropDuplicates(["blob"])
     fresh = written(scan_blobs(blobs, rules, ledger), "ledger")
-    known = fresh if ledger is None else fresh.unionByName(ledger.select("blob", "rules", "found"))
-    hits = _hits(known, rules)
-    mended = able.join(hits, able["__blob"] == hits["blob"], "left").withColumn(
-        text_col, replaced(F.col(text_col), F.coalesce("__found", no_spans()))
-    )
-    return plain.select(*docs.columns).unionByName(mended.select(*docs.columns))
+    hits = _hits(fresh, ledger, rules)
+    text = F.col("doc").getField(text_col)
+    mended = able.join(hits, able["blob"] == hits["hit"], "left").select("doc", replaced(text, F.coalesce("__found", no_spans())).alias("text"))
+    back = lambda c: F.col("doc").getField(c)
+    clean = mended.select(*[F.col("text").alias(c) if c == text_col else back(c).alias(c) for c in docs.columns])
+    return plain.select(*[back(c).alias(c) for c in docs.columns]).unionByName(clean)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id", out: str = "found") -> DataFrame:

@@ -34,6 +34,8 @@ RADIUS = 4
 SEGMENTS = 16  # of two bits, in each half
 #: Fingerprints of one cell that a task compares with each other; larger cells are cut.
 BLOCK = 8192
+#: Rows of cells that a task holds, about.
+TASK_ROWS = 1_000_000
 _FIELDS, _ALL = 0x55555555, 0x5555555555555555
 
 
@@ -213,7 +215,9 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
         raise ValueError("the grid holds for a radius of at most 4")
     rows = _dealt(fps, block)
     key = F.xxhash64("half", "cell", "i", "j")
-    dealt = rows.select(key.alias("key"), "half", "cell", "fp").repartition(F.col("key"))
+    # a task holds its rows, so their number follows that of the fingerprints
+    count = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() * 2 * (2 * SEGMENTS + 1) // TASK_ROWS))
+    dealt = rows.select(key.alias("key"), "half", "cell", "fp").repartition(count, F.col("key"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(4)] for b in batches]
@@ -285,7 +289,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links(distinct.select("fp"), radius))
     top = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     top = written(top, "classes")
-    ids = top.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, for Spark splits a hot root's rows only where nothing but the join wants them together
+    ids = written(top.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     by_print = top.select("fp", "root").join(ids, "root").select(F.col("fp").alias("__fp"), "component_id")
     joined = prints.join(by_print, prints["fp"] == by_print["__fp"])
     return joined.select(F.col("id").alias(id_col), "fp", "component_id")

@@ -110,7 +110,7 @@ def test_quality(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, rep)
         assert r.base_failed == (n < 20 or 100 * rep > 30 * n) and not (r.kept and r.base_failed)
     assert quality.judged(df.limit(0)).count() == 0
-    order = quality.order_rules(df, [quality.Rule("never", lambda: F.lit(False)), quality.Rule("short", lambda: F.col("n_words") < 20)])
+    order = quality.order_rules(df, [quality.Rule("never", lambda m: F.lit(False)), quality.Rule("short", lambda m: m.n_words < 20)])
     assert [r.name for r in order] == ["short", "never"]
 
 
