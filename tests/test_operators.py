@@ -99,11 +99,10 @@ def test_row_grids(spark):
 
 
 def test_nested_order_is_a_bijection(spark):
-    for n in (2, 8):
-        cells = grids.nested(spark.range(12 * n * n).withColumnRenamed("id", "cell"), n)
-        assert sorted(r.cell for r in cells.collect()) == list(range(12 * n * n))
+    for n in (1, 2, 8):
+        assert sorted(r.cell for r in grids.Nested(n).cells(spark).collect()) == list(range(12 * n * n))
     with pytest.raises(BadGrid):
-        grids.nested(spark.range(1).withColumnRenamed("id", "cell"), 1)
+        grids.Nested(3)
 
 
 def test_lambert(spark):
@@ -182,7 +181,11 @@ def test_options(spark):
 def test_features():
     assert features.expand_range("0/to/10/by/5") == [0, 5, 10] and features.expand_range("1/2/3") == [1, 2, 3]
     assert features.expand_range({"start": 1, "end": 4}) == (1, 4)
-    assert features.expand_range("20200130/to/20200202/by/1") == [20200130 + i for i in range(73)]
+    assert features.expand_range("20200130/to/20200202/by/1") == ["20200130", "20200131", "20200201", "20200202"]
+    assert features.expand_range("20200130/to/20200202/by/2") == features.expand_range({"start": "20200130", "end": "20200202", "interval": 2}) == ["20200130", "20200201"]
+    for bad in ("20200130/to/soon/by/1", "0/to/10/by/0", "0/to/10/by/x"):
+        with pytest.raises((BadRequest, TypeError)):
+            features.expand_range(bad)
     with pytest.raises(BadRequest):
         features.feature_request({"type": "timeseries", "points": [[0, 0]], "time_axis": "step", "range": [1]}, {"step": [1]})
     for bad in ({"type": "frame"}, {"type": "circle", "center": [0, 0]}, {"type": "position", "points": [[0, 0]], "colour": 1}):
