@@ -2,14 +2,16 @@
 
 Frames of a recording become the energies of the twelve pitch classes; sums over rectangles of these, taken from an
 integral image, are compared by a bank of filters, and each filter gives two bits of the packed integer of a
-position. Two recordings are laid over each other at every offset, and the share of differing bits where they overlap
-tells whether they match at it; no offset and no pair is left out.
+position. Positions whose integers agree in three quarters of the filters vote for the offset between them. A histogram
+of all offsets of all recordings tells where two may lie over each other, and the share of differing bits in the whole overlap
+whether they match there. No vote is left out, however common its sound.
 """
 
 from __future__ import annotations
 
 import functools
 import io
+import itertools
 import wave
 from collections.abc import Callable, Iterator
 
@@ -36,8 +38,13 @@ CUTS = (-0.25, 1e-6, 0.25)
 #: Positions that overlap, at least; differing bits, at most. The best of all offsets is often good by chance where few
 #: positions overlap, so the bits may differ only in those beyond the first OVERLAP: ERRORS * 32 * (overlap - OVERLAP).
 OVERLAP, ERRORS = 16, 0.25
+#: Marks: the integers without every fourth filter, which agree if all differing bits are in one of four groups of filters, and two of
+#: the groups at two positions LAG apart, which agree if some filters differ throughout. So many marks that agree at one offset make it one to verify.
+GROUPS = tuple(sum(3 << 2 * (len(FILTERS) - 1 - f) for f in range(k, len(FILTERS), 4)) for k in range(4))
+MARKS = tuple((sum(g), 0) for g in itertools.combinations(GROUPS, 3)) + tuple((sum(g), 1) for g in itertools.combinations(GROUPS, 2))
+LAG, VOTES = 8, 6
 #: Integers of the recordings that are sent together to be compared; numbers that a step of comparing holds at once.
-PACK, HELD = 250_000, 4_000_000
+PACK, HELD = 250_000, 1_000_000
 
 
 def read_wav(data: bytes | None) -> tuple[np.ndarray, int]:
@@ -139,62 +146,112 @@ def allowed(overlap: np.ndarray) -> np.ndarray:
     return np.floor(ERRORS * 32 * (np.asarray(overlap) - OVERLAP)).astype(np.int64)
 
 
-def _spectra(codes: list[np.ndarray], size: int) -> np.ndarray:
-    """(frequency, bit, recording): the transforms of the bits as -1 and 1, zero beyond the end."""
-    signs = np.zeros((len(codes), 32, size), np.float32)
-    for i, c in enumerate(codes):
-        bits = np.unpackbits(np.ascontiguousarray(c, "<u4").view(np.uint8).reshape(-1, 4), axis=1)
-        signs[i, :, : len(c)] = bits.T * np.float32(2) - 1
-    return np.ascontiguousarray(np.fft.rfft(signs, axis=2).transpose(2, 1, 0))
-
-
-def compared(first: list[np.ndarray], second: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """(i, j, shift, overlap, bits) of all pairs that match at some offset, at the one of the least share of bits (then the least).
-
-    Bits agreeing at all offsets of a pair are the correlation of its signs, summed over the bits: whole numbers, to
-    which the transforms come within a small part of one.
+def _runs(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Neighbours in runs whose sizes sum to ``most`` or less; a larger one is a run of its own."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield slice(at, to)
+        at = to
+
+
+def _flat(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``counts`` of them, one start after the other."""
+    return np.arange(int(counts.sum())) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+
+
+def _marks(codes: np.ndarray, at: np.ndarray, mask: int, lagged: int) -> np.ndarray:
+    own = codes[at] & np.uint32(mask)
+    return own.astype(np.uint64) << np.uint64(32) | codes[at + LAG] & np.uint32(mask) if lagged else own
+
+
+class _Index:
+    """Recordings laid end to end, and for each mask their positions in the order of the masked integers."""
+
+    def __init__(self, codes: list[np.ndarray]) -> None:
+        self.flat = np.concatenate(codes).astype(np.uint32)
+        self.lengths = np.array([len(c) for c in codes], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.own = np.repeat(np.arange(len(codes)), self.lengths)
+        room = np.repeat(self.starts + self.lengths, self.lengths) - np.arange(len(self.flat))
+        self.sorted = []
+        for mask, lagged in MARKS:
+            at = np.flatnonzero(room > LAG * lagged)
+            marks = _marks(self.flat, at, mask, lagged)
+            order = np.argsort(marks, kind="stable")
+            self.sorted.append((marks[order], at[order]))
+        self.at = np.concatenate([at for _, at in self.sorted])
+        self.based = (-1, self.at)
+
+    def base(self, n: int) -> np.ndarray:
+        """For each mark in order, the first of its bins with a query of ``n`` positions."""
+        if self.based[0] != n:
+            self.based = n, self.at + n * self.own[self.at]
+        return self.based[1]
+
+    def offsets(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(recording, shift) where at least VOTES marks of both agree: a histogram of all offsets of all recordings."""
+        n, bins = len(query), len(self.flat) + len(self.lengths) * len(query)  # n bins more than positions for each
+        low, count, back, done = [], [], [], 0
+        for (mask, lagged), (marks, _) in zip(MARKS, self.sorted):
+            own = np.arange(n - LAG * lagged)
+            asked = _marks(query, own, mask, lagged)
+            first = np.searchsorted(marks, asked, "left")
+            count.append(np.searchsorted(marks, asked, "right") - first)
+            low.append(first + done)
+            back.append(n - 1 - own)
+            done += len(marks)
+        low, count, back = np.concatenate(low), np.concatenate(count), np.concatenate(back)
+        votes = np.zeros(0, np.int64)
+        for run in _runs(count, HELD):
+            more = np.bincount(self.base(n)[_flat(low[run], count[run])] + np.repeat(back[run], count[run]), minlength=bins)
+            votes = votes + more if len(votes) else more
+        bins = np.flatnonzero(votes >= VOTES)
+        firsts = self.starts + n * np.arange(len(self.lengths))
+        found = np.searchsorted(firsts, bins, "right") - 1
+        return found, bins - firsts[found] - (n - 1)
+
+    def verified(self, query: np.ndarray, found: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(recording, shift, overlap, bits) of those offsets at which the differing bits allow a match."""
+        first = np.maximum(-shift, 0)
+        overlap = np.minimum(len(query), self.lengths[found] - shift) - first
+        out = []
+        enough = np.flatnonzero(overlap >= OVERLAP)
+        for run in _runs(overlap[enough], HELD):
+            some = enough[run]
+            over = overlap[some]
+            ours, theirs = _flat(first[some], over), _flat(self.starts[found[some]] + first[some] + shift[some], over)
+            bits = np.add.reduceat(np.bitwise_count(query[ours] ^ self.flat[theirs]), np.cumsum(over) - over, dtype=np.int64)
+            good = bits <= allowed(over)
+            out.append((found[some][good], shift[some][good], over[good], bits[good]))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.empty(0, np.int64) for _ in range(4))
+
+
+def aligned(first: list[np.ndarray], second: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(i, j, shift, overlap, bits) of the pairs that match at some offset, at the one of the least share of bits (then the least).
+
+    Each of ``first`` votes for offsets of all ``second``, and every offset with VOTES votes is verified by all its bits.
     """
+    asked = [i for i, c in enumerate(first) if len(c) >= OVERLAP]
+    others = np.array([j for j, c in enumerate(second) if len(c) >= OVERLAP], np.int64)
+    longest = max((len(first[i]) for i in asked), default=0)
     found: list[tuple[np.ndarray, ...]] = []
-    lengths = [np.array([len(c) for c in side], np.int64) for side in (first, second)]
-    for to in _steps(lengths[1], 256):
-        m = lengths[1][to]
-        for at in _steps(lengths[0], 64):
-            n = lengths[0][at]
-            size = 1 << int(n.max() + m.max() - 1).bit_length()
-            a, b = _spectra([first[i] for i in at], size), _spectra([second[j] for j in to], size)
-            product = np.ascontiguousarray(a.conj().transpose(0, 2, 1)) @ b
-            agree = np.fft.irfft(np.ascontiguousarray(product.transpose(1, 2, 0)), n=size, axis=2)
-            shift = np.arange(size)
-            shift = np.where(shift < m.max(), shift, shift - size)
-            for length in np.unique(m):
-                own = np.flatnonzero(m == length)
-                overlap = np.minimum(n[:, None], length - shift) - np.maximum(-shift, 0)  # by first and shift
-                least = np.where(overlap >= OVERLAP, 32 * overlap - 2 * allowed(overlap), np.iinfo(np.int32).max)
-                here = agree[:, own] if len(own) < len(m) else agree
-                i, j, s = np.nonzero(here >= least.astype(np.float32)[:, None, :] - 0.5)
-                if len(i):
-                    over = overlap[i, s]
-                    found.append((at[i], to[own[j]], shift[s], over, (32 * over - np.rint(here[i, j, s]).astype(np.int64)) // 2))
+    for run in _runs(np.array([len(second[j]) + longest for j in others], np.int64), HELD) if asked else ():
+        to = others[run]
+        index = _Index([second[j] for j in to])
+        for i in asked:
+            query = first[i].astype(np.uint32)
+            j, shift, over, bits = index.verified(query, *index.offsets(query))
+            found.append((np.full(len(j), i), to[j], shift, over, bits))
     if not found:
         return tuple(np.empty(0, np.int64) for _ in range(5))
     i, j, shift, over, bits = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((shift, bits / over, j, i))
+    order = np.lexsort((shift, bits / np.maximum(over, 1), j, i))
     i, j, shift, over, bits = (x[order] for x in (i, j, shift, over, bits))
-    top = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+    top = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1]))[: len(i)])
     return i[top], j[top], shift[top], over[top], bits[top]
 
 
-def _steps(lengths: np.ndarray, most: int) -> Iterator[np.ndarray]:
-    """The numbers of the recordings by length, in runs of ``most`` or, where they are long, fewer."""
-    order = np.argsort(lengths, kind="stable")[::-1]
-    order = order[lengths[order] >= OVERLAP]
-    at = 0
-    while at < len(order):
-        count = int(np.clip(HELD // (64 * lengths[order[at]]), 1, most))
-        yield order[at : at + count]
-        at += count
-
-
 def _packs(prints: DataFrame, names: tuple[str, str]) -> DataFrame:
     """(number, recordings): the rows of ``prints`` (rep, codes) in packs of about PACK integers."""
     total = prints.agg(F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()[0]
@@ -216,7 +273,7 @@ def _matches(named: DataFrame) -> DataFrame:
             lists = side.field("codes")
             ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint32)
             codes.append([flat[x:y] for x, y in zip(ends[:-1], ends[1:])])
-        i, j, shift, overlap, bits = compared(*codes)
+        i, j, shift, overlap, bits = aligned(*codes)
         return pa.table([ids[0].take(pa.array(i)), ids[1].take(pa.array(j)), pa.array(shift.astype(np.int32)), pa.array(bits / (32 * np.maximum(overlap, 1)))], names=["q", "rep", "shift", "errors"])
 
     pairs = asked.crossJoin(others).groupBy("a", "b").applyInArrow(of, f"q {id_type}, rep {id_type}, shift int, errors double")
@@ -227,7 +284,7 @@ def search(prints: DataFrame, id_col: str, is_query: Column) -> DataFrame:
     """One row for each row of ``prints`` (id, codes): its class and, for queries, what they match.
 
     Recordings with the same codes are a class, named by the least id; those without codes are classes of their own
-    and match nothing. The representatives of the queries' classes are compared with all representatives at all offsets: n_matches other
+    and match nothing. The representatives of the queries' classes vote for offsets of all representatives: n_matches other
     classes match, best_match (least differing bits; then the least id) at best_offset, with best_errors. Repeated
     rows come out as often as they went in. A null id stays in its class and is no query.
     """

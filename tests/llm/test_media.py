@@ -70,7 +70,7 @@ def test_search_finds_copies(spark):
     assert media.search(media.fingerprints(df.limit(0), "id", "audio"), "id", F.lit(True)).count() == 0
 
 
-def test_compares_all_pairs_at_all_offsets():
+def test_aligns_as_a_comparison_at_all_offsets_does():
     rng = np.random.default_rng(4)
     parts = [rng.integers(0, 2**32, n, dtype=np.uint32) for n in (0, 15, 16, 17, 40, 90, 90, 200)]
     noisy = [p ^ np.uint32(0x00810101) for p in parts]  # no integer is left as it was
@@ -85,7 +85,7 @@ def test_compares_all_pairs_at_all_offsets():
                     bits = int(np.bitwise_count(a[first : first + n] ^ b[first + shift : first + shift + n]).sum())
                     if bits <= media.ERRORS * 32 * (n - media.OVERLAP):
                         want[i, j] = min(want.get((i, j), (9,)), (bits / n, shift, n, bits))
-    i, j, shift, overlap, bits = (x.tolist() for x in media.compared(parts, parts))
+    i, j, shift, overlap, bits = (x.tolist() for x in media.aligned(parts, parts))
     assert {(a, b): (d / c, s, c, d) for a, b, s, c, d in zip(i, j, shift, overlap, bits)} == want
     assert (4, 8) in want and (6, 9) in want
 
