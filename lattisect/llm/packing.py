@@ -31,6 +31,8 @@ GROUP = 40_000
 FREE_PART = 128
 #: Words kept encoded by a worker, and the length from which a word isn't kept.
 CACHED, LONG = 1_000_000, 100
+#: New words that are learned together.
+STEP = 10_000
 _MARK = "\x01"
 #: Words of these characters are cut by TOKENS once they are in lower case, as the tokenizer does.
 PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
@@ -51,17 +53,17 @@ def tokenizer_file(name: str) -> str:
 
 def encoded(texts: list[list[str]], known: dict[str, bytes], learn: Callable[[list[str]], dict[str, bytes]]) -> list[bytes]:
     """The ids of texts that are cut into parts: what ``known`` lacks is learned at once, and kept up to CACHED parts."""
-    found = [list(map(known.get, parts)) for parts in texts]
-    some = [i for i, ids in enumerate(found) if None in ids]
-    new = {p for i in some for p, ids in zip(texts[i], found[i]) if ids is None}
+    new = list(set().union(*texts).difference(known))
     if new:
-        fresh = learn(list(new))
-        for i in some:
-            found[i] = [fresh[p] if ids is None else ids for p, ids in zip(texts[i], found[i])]
-        if len(known) + len(fresh) > CACHED:
-            known.clear()
-        known.update({p: ids for p, ids in fresh.items() if len(p) <= LONG})
-    return list(map(b"".join, found))
+        known.update(learn(new))
+    out = [b"".join(map(known.__getitem__, parts)) for parts in texts]
+    if len(known) > CACHED:
+        known.clear()
+    else:
+        for part in new:
+            if len(part) > LONG:
+                del known[part]
+    return out
 
 
 def word_encoder(name: str = TOKENIZER) -> Callable[[list[str]], list[bytes]]:
@@ -90,13 +92,17 @@ def word_encoder(name: str = TOKENIZER) -> Callable[[list[str]], list[bytes]]:
         raise ValueError("the tokenizer doesn't encode the parts between spaces on their own")
 
     def learn(parts: list[str]) -> dict[str, bytes]:
-        cut = {p: TOKENS.findall(p.lower()) for p in parts if len(p) <= LONG and PLAIN.fullmatch(p) and "<|" not in p}
-        need = set().union(*cut.values())
-        if len(words) + len(need) > CACHED // 2:
-            words.clear()
-        words.update(plain(list(need.difference(words))))
-        out = {p: b"".join(map(words.__getitem__, ws)) for p, ws in cut.items()}
-        return out | whole([p for p in parts if p not in cut])
+        out: dict[str, bytes] = {}
+        for at in range(0, len(parts), STEP):  # few lists of words live at once: collections of garbage stay short
+            some = parts[at : at + STEP]
+            cut = {p: TOKENS.findall(p.lower()) for p in some if len(p) <= LONG and PLAIN.fullmatch(p) and "<|" not in p}
+            need = set().union(*cut.values())
+            if len(words) + len(need) > CACHED // 2:
+                words.clear()
+            words.update(plain(list(need.difference(words))))
+            out.update({p: words[ws[0]] if len(ws) == 1 else b"".join(map(words.__getitem__, ws)) for p, ws in cut.items()})
+            out.update(whole([p for p in some if p not in cut]))
+        return out
 
     def plain(new: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
