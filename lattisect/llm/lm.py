@@ -1,9 +1,13 @@
 """Scores of texts by a log-bilinear language model, and by smoothed word counts.
 
-The corpus is read three times. Its words are counted; then the pairs of neighbouring words, where only the most
-frequent words have names and the others are one class; from these counts, which hold all training text, the
-log-bilinear model is trained by noise-contrastive estimation with exact expectations in place of samples; then
-every text is scored. A word that has no name is scored as the class and then by its share in the class.
+Words of the training text are counted. The most frequent get states of their own; each other word belongs to a state
+of words with its last two bytes, or, where that ending is uncommon, to one of all others, and is scored as that state
+and then by its share in it. States are dealt into classes of equal size by frequency, so a token's probability is its
+class's and its own in the class: both are normalised by matrix products over a batch.
+
+The model is trained by noise-contrastive estimation on all training text. Each task takes its text through minibatches with
+sampled noise, starting from the parameters of the round before; the changes, weighted by how often a task used a
+row of parameters, are averaged by an aggregate over rows.
 
 Counts of the ``HEAD`` most frequent words go to every worker, a bounded table. The rest, which no text holds
 often, is joined: one row for each different rare word of a text.
@@ -13,24 +17,28 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
-#: Words the model knows by name, with the end and the class of all others; length of its vectors.
-VOCABULARY, SIZE = 1024, 32
-#: Noise words for each word of the text; steps of training.
-NOISE, STEPS = 10, 120
+#: States of the model, those of endings among them; words of context; length of vectors.
+VOCABULARY, ENDINGS, CONTEXT, SIZE = 16_384, 255, 3, 24
+#: Noise classes for a minibatch, noise words for a token, tokens of a minibatch, and the rate of learning.
+NOISE_CLASSES, NOISE_WORDS, BATCH, RATE = 32, 2, 1024, 0.1
+#: The training text is dealt into rounds, with an average after each, and goes through them so many times. A task takes
+#: about so many tokens.
+ROUNDS, PASSES, TASK_TOKENS = 2, 1, 8_000_000
 #: Words whose counts every worker has.
 HEAD = 150_000
 #: Different words that a task counts before it passes them on.
 COUNTED = 200_000
-END, OTHER = 0, 1
 #: The token that ends a text, as a word: no word is empty.
 END_WORD = ""
 
@@ -85,135 +93,301 @@ def most_frequent(counts: DataFrame, most: int) -> tuple[list[str], np.ndarray]:
     return [words[i] for i in order], np.array([n[i] for i in order], np.int64)
 
 
-def count_pairs(texts: DataFrame, names: list[str], vocabulary: int = VOCABULARY) -> np.ndarray:
-    """counts[before, after] over the column ``text``, of the end, the class of other words and ``names``.
+@dataclass
+class States:
+    """The states of the model by number, most frequent first, and how a word finds its own.
 
-    A text starts after an end. The table has ``vocabulary`` squared entries, whatever the input.
+    ``tokens`` counts the training tokens of a state; ``weight`` is the mass of a state of several words: tokens, words, and
+    one for what was never seen. It is 0 for a state of one word.
     """
-    ids = {w.encode(): i + 2 for i, w in enumerate(names)}
-    shared = texts.sparkSession.sparkContext.broadcast(ids)
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, total = shared.value.get, np.zeros(vocabulary * vocabulary, np.int64)
-        waiting: list[int] = [END]
+    names: dict[bytes, int]
+    endings: dict[bytes, int]
+    end: int
+    other: int
+    tokens: np.ndarray
+    weight: np.ndarray
+
+    @staticmethod
+    def of(names: list[tuple[str, int]], endings: list[tuple[bytes, int, int]], other: tuple[int, int], ends: int) -> States:
+        """From words and counts; from endings with their tokens and words; tokens and words of all others; texts."""
+        found = [(-ends, 0, b"", 0), (-other[0], 1, b"", other[0] + other[1] + 1)]
+        found += [(-n, 2, e, n + v + 1) for e, n, v in endings]
+        found += [(-n, 3, w.encode(), 0) for w, n in names]
+        found.sort()
+        by_kind: list[dict[bytes, int]] = [{}, {}, {}, {}]
+        for number, (_, kind, word, _) in enumerate(found):
+            by_kind[kind][word] = number
+        return States(
+            by_kind[3], by_kind[2], by_kind[0][b""], by_kind[1][b""],
+            np.array([-f[0] for f in found], np.float64), np.array([f[3] for f in found], np.float64),
+        )
+
+    def numbers(self, words: list[bytes]) -> list[int]:
+        name, ending, other = self.names.get, self.endings.get, self.other
+        return [i if (i := name(w)) is not None else ending(w[-2:], other) for w in words]
 
-        def add() -> None:
-            np_ids = np.array(waiting, np.int64)
-            np.add(total, np.bincount(np_ids[:-1] * vocabulary + np_ids[1:], minlength=len(total)), out=total)
-            del waiting[:-1]
-
-        for batch in batches:
-            for text in batch.column(0):
-                waiting += [get(w, OTHER) for w in _words(text.as_py())]
-                waiting.append(END)
-                if len(waiting) > 2_000_000:
-                    add()
-        add()
-        at = np.flatnonzero(total)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["pair", "n"])
 
-    found = texts.select("text").mapInArrow(of, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(vocabulary * vocabulary, np.int64)
-    out[found.column("pair").to_numpy()] = found.column("n").to_numpy()
-    return out.reshape(vocabulary, vocabulary)
+class LogBilinear:
+    """Vectors of words before a token, turned by a matrix for each place, meet the vectors of classes and of states.
 
+    All parameters are rows of one matrix, so that rows can be averaged: contexts, states, classes, then the matrices of the places.
+    The column after the vector is the row's bias, the last one the sum of squared slopes that slows its learning.
+    """
 
-@dataclass
-class LogBilinear:
-    """The score of a word is the product of its vector and the context's, which a matrix has turned, and its bias."""
-
-    context: np.ndarray
-    turn: np.ndarray
-    target: np.ndarray
-    bias: np.ndarray
-
-    def log10_table(self) -> np.ndarray:
-        """log10 P(after | before), normalised over all words, for all pairs: matrix products by blocks of contexts."""
-        out = np.empty((len(self.context), len(self.target)), np.float32)
-        for at in range(0, len(out), 256):
-            scores = (self.context[at : at + 256] @ self.turn) @ self.target.T + self.bias
+    def __init__(self, tokens: np.ndarray, context: int = CONTEXT, size: int = SIZE, seed: int = 5):
+        n, self.context, self.size = len(tokens), context, size
+        self.width = max(2, int(np.ceil(np.sqrt(n))))
+        self.classes = -(-n // self.width)
+        v = self.width * self.classes
+        self.first_state, self.first_class, self.first_place = v, 2 * v, 2 * v + self.classes
+        mass = np.zeros((self.classes, self.width))
+        mass.ravel()[:n] = tokens + 1.0
+        self.class_share = mass.sum(axis=1) / mass.sum()
+        self.share = (mass / mass.sum(axis=1, keepdims=True)).ravel()
+        log = lambda x: np.where(x > 0, np.log(np.maximum(x, 1e-300)), -1e4).astype(np.float32)
+        rng = np.random.default_rng(seed)
+        self.rows = np.zeros((self.first_place + context * size, size + 2), np.float32)
+        self.rows[:v, :size] = rng.normal(0, 0.3, (v, size))
+        self.rows[self.first_state : self.first_class, size] = log(self.share)
+        self.rows[self.first_class : self.first_place, size] = log(self.class_share)
+        for j in range(context):
+            self.rows[self.first_place + j * size :][:size, :size] = np.eye(size) / (j + 1)
+        self.log_share, self.log_class_share = log(self.share), log(self.class_share)
+
+    def places(self) -> np.ndarray:
+        return self.rows[self.first_place :, : self.size].reshape(self.context, self.size, self.size)
+
+    def predicted(self, before: np.ndarray) -> np.ndarray:
+        """The context's vector for each row of the numbers of the words before, nearest first."""
+        return sum(self.rows.take(before[:, j], axis=0)[:, : self.size] @ m for j, m in enumerate(self.places()))
+
+    def log10(self, before: np.ndarray, state: np.ndarray, block: int = 8192) -> np.ndarray:
+        """log10 P(state | before), normalised over all classes and over the states of the class."""
+        out = np.empty(len(state))
+        classes, states = self.rows[self.first_class : self.first_place], self.rows[self.first_state : self.first_class]
+        size, width = self.size, self.width
+
+        def chosen(q: np.ndarray, among: np.ndarray, which: np.ndarray) -> np.ndarray:
+            scores = q @ among[:, :size].T + among[:, size]
             scores -= scores.max(axis=1, keepdims=True)
-            out[at : at + 256] = (scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))) / np.log(10)
-        return out
+            picked = scores[np.arange(len(which)), which]
+            return picked - np.log(np.exp(scores, out=scores).sum(axis=1))
 
+        for at in range(0, len(state), block):
+            here = state[at : at + block]
+            q, group = self.predicted(before[at : at + block]), here // width
+            found = chosen(q, classes, group)
+            order = np.argsort(group, kind="stable")
+            q, within = q[order], here[order] % width
+            for c, start, stop in _runs(group[order]):
+                found[order[start:stop]] += chosen(q[start:stop], states[c * width : (c + 1) * width], within[start:stop])
+            out[at : at + block] = found
+        return out / np.log(10)
 
-def trained(pairs: np.ndarray, size: int = SIZE, noise: int = NOISE, steps: int = STEPS, seed: int = 5) -> LogBilinear:
-    """A model from the counts of pairs, by noise-contrastive estimation.
 
-    Each word of the text is to be told from ``noise`` words drawn from the word frequencies. As the counts of pairs
-    are all there is to know about the text here, both kinds enter with their exact expectations, and a step goes
-    over all pairs. Without any pair the model is the smoothed frequencies.
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, start, stop) of each run of a sorted array."""
+    starts = np.flatnonzero(np.diff(values, prepend=-1))
+    yield from zip(values[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(values)])
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+class Trainer:
+    """Noise-contrastive estimation, minibatch by minibatch, on a copy of a model; ``used`` counts the uses of each row.
+
+    A token's class is to be told from classes drawn by frequency (the same for a whole minibatch), and its state from
+    states of its class drawn by frequency. Each row learns the slower the steeper it has been.
     """
-    n = len(pairs)
-    rng = np.random.default_rng(seed)
-    frequency = ((pairs.sum(axis=0) + 1) / (pairs.sum() + n)).astype(np.float32)
-    small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-    p = [small(n, size), np.eye(size, dtype=np.float32), small(n, size), np.log(frequency)]
-    if not pairs.sum():
-        return LogBilinear(p[0] * 0, *p[1:])
-    data = (pairs / pairs.sum()).astype(np.float32)
-    drawn = noise * data.sum(axis=1, keepdims=True) * frequency
-    shift = np.log(noise * frequency)
-    mean, spread = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
-    for step in range(1, steps + 1):
-        turned = p[0] @ p[1]
-        chance = turned @ p[2].T + (p[3] - shift)  # the log odds that a word is the text's
-        np.clip(chance, -30, 30, out=chance)
-        np.negative(chance, out=chance)
-        np.exp(chance, out=chance)
-        chance += 1
-        np.reciprocal(chance, out=chance)
-        pull = data - (data + drawn) * chance
-        by_turned = pull @ p[2]
-        slopes = [by_turned @ p[1].T, p[0].T @ by_turned, pull.T @ turned, pull.sum(axis=0)]
-        for x, slope, m, s in zip(p, slopes, mean, spread):  # Adam
-            m += 0.1 * (slope - m)
-            s += 0.001 * (slope * slope - s)
-            x += 0.03 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-9)
-    return LogBilinear(*p)
+
+    DRAWS = 4096
+
+    def __init__(self, model: LogBilinear, seed: int):
+        self.model, self.rng = copy(model), np.random.default_rng(seed)
+        self.model.rows = model.rows.copy()
+        self.used = np.zeros(len(model.rows), np.int64)
+        at = (np.arange(self.DRAWS) + 0.5) / self.DRAWS
+        table = [np.searchsorted(np.cumsum(s), at) for s in model.share.reshape(model.classes, model.width)]
+        self.draws = np.minimum(np.array(table), model.width - 1) + np.arange(model.classes)[:, None] * model.width
+        self.draws = self.draws.astype(np.int32)
+        self.class_ends = np.cumsum(model.class_share)
+
+    def step(self, before: np.ndarray, state: np.ndarray) -> None:
+        m, rows, size, n = self.model, self.model.rows, self.model.size, len(state)
+        group = state // m.width
+        words = [rows.take(before[:, j], axis=0)[:, :size] for j in range(m.context)]
+        places = m.places().copy()
+        q = sum(w @ p for w, p in zip(words, places))
+
+        noise = np.minimum(np.searchsorted(self.class_ends, self.rng.random(NOISE_CLASSES)), m.classes - 1)
+        shift = m.log_class_share + np.float32(np.log(NOISE_CLASSES))
+        own, drawn = rows.take(m.first_class + group, axis=0), rows.take(m.first_class + noise, axis=0)
+        pull = _sigmoid(-(np.einsum("ns,ns->n", q, own[:, :size]) + own[:, size] - shift[group]))
+        push = -_sigmoid(q @ drawn[:, :size].T + (drawn[:, size] - shift[noise]))
+        slope_q = pull[:, None] * own[:, :size] + push @ drawn[:, :size]
+
+        tried = np.empty((n, 1 + NOISE_WORDS), np.int64)
+        tried[:, 0] = state
+        tried[:, 1:] = self.draws[group[:, None], self.rng.integers(0, self.DRAWS, (n, NOISE_WORDS))]
+        met = rows.take(m.first_state + tried, axis=0)
+        odds = np.einsum("nks,ns->nk", met[:, :, :size], q) + met[:, :, size]
+        odds -= m.log_share[tried] + np.float32(np.log(NOISE_WORDS))
+        both = -_sigmoid(odds)
+        both[:, 0] += 1
+        slope_q += np.einsum("nk,nks->ns", both, met[:, :, :size])
+
+        parts = [(before[:, j], slope_q @ p.T, None) for j, p in enumerate(places)]
+        parts.append((m.first_state + tried.ravel(), (both[:, :, None] * q[:, None, :]).reshape(-1, size), both.ravel()))
+        parts.append((m.first_class + group, pull[:, None] * q, pull))
+        parts.append((m.first_class + noise, push.T @ q, push.sum(axis=0)))
+        index = np.concatenate([p[0] for p in parts])
+        slopes = np.zeros((len(index), size + 1), np.float32)
+        at = 0
+        for where, vector, bias in parts:
+            slopes[at : at + len(where), :size] = vector
+            if bias is not None:
+                slopes[at : at + len(where), size] = bias
+            at += len(where)
+        order = np.argsort(index)
+        index = index[order]
+        first = np.flatnonzero(np.diff(index, prepend=-1))
+        sums = np.add.reduceat(np.ascontiguousarray(slopes.take(order, axis=0).T), first, axis=1).T
+        self._move(index[first], sums, np.diff(first, append=len(index)))
+        turned = np.zeros((m.context * size, size + 1), np.float32)
+        turned[:, :size] = np.concatenate([w.T @ slope_q for w in words])
+        self._move(np.arange(m.first_place, len(rows)), turned, n)
+
+    def _move(self, at: np.ndarray, slopes: np.ndarray, uses: np.ndarray | int) -> None:
+        """Moves rows along the sums of their slopes."""
+        rows = self.model.rows.take(at, axis=0)
+        rows[:, -1] += np.einsum("rc,rc->r", slopes, slopes) / slopes.shape[1]
+        rows[:, :-1] += (RATE / np.sqrt(rows[:, -1:] + 1e-6)) * slopes
+        self.model.rows[at] = rows
+        self.used[at] += uses
+
+
+class _Tokens:
+    """Gathers texts as states; gives for all tokens gathered the states before them, nearest first, and their own."""
+
+    def __init__(self, end: int, context: int):
+        self.start, self.end, self.context = [end] * context, end, context
+        self.clear()
+
+    def clear(self) -> None:
+        self.flat: list[int] = []
+        self.lengths: list[int] = []
+
+    def add(self, states: list[int]) -> None:
+        self.flat += self.start
+        self.flat += states
+        self.flat.append(self.end)
+        self.lengths.append(len(states) + 1)
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        flat, lengths = np.array(self.flat, np.int64), np.array(self.lengths, np.int64)
+        at = np.arange(lengths.sum()) + np.repeat(self.context * np.arange(1, len(lengths) + 1), lengths)
+        return np.stack([flat[at - j] for j in range(1, self.context + 1)], axis=1), flat[at]
+
+
+def found_states(counts: DataFrame, frequent: list[str], number: np.ndarray, ends: int, vocabulary: int = VOCABULARY, endings: int = ENDINGS) -> States:
+    """The states of a model: the most frequent words, the endings that most of the other tokens have, the end, and all others."""
+    kept = max(vocabulary - endings - 2, 0)
+    names = list(zip(frequent[:kept], number[:kept].tolist()))
+    named = counts.sparkSession.createDataFrame([(w,) for w, _ in names], "named string")
+    others = counts.where(F.col("word") != END_WORD).join(F.broadcast(named), F.col("word") == F.col("named"), "left_anti")
+    tail = F.substring(F.col("word").cast("binary"), -2, 2).alias("ending")
+    # two bytes: no more than 65,536 + 256 rows
+    rows = others.groupBy(tail).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()
+    rows = sorted(((bytes(r["ending"]), int(r["n"]), int(r["words"])) for r in rows), key=lambda r: (-r[1], r[0]))
+    rest = rows[endings:]
+    return States.of(names, rows[:endings], (sum(r[1] for r in rest), sum(r[2] for r in rest)), ends)
+
+
+def trained(texts: DataFrame, states: States, tokens: int, passes: int = PASSES, rounds: int = ROUNDS) -> LogBilinear:
+    """A model of the column ``text``, which holds about so many tokens: every text is in one of the rounds.
+
+    A round's tasks start from the same parameters. A row moves by the mean of its changes, each weighted by its uses in the task;
+    the sums are Spark's, made in each task before they are exchanged, and the driver gets one line for a row of parameters.
+    Without any text the model is the smoothed frequencies.
+    """
+    context = texts.sparkSession.sparkContext
+    model = LogBilinear(states.tokens)
+    fields = [f"d{i}" for i in range(model.rows.shape[1])]
+    schema = "row int, uses bigint, " + ", ".join(f"{f} float" for f in fields)
+    parts = max(1, round(tokens / TASK_TOKENS / rounds))
+    for turn in range(passes * rounds):
+        shared = context.broadcast((states, model))
+
+        def of(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+            numbers, start = shared.value
+            trainer = Trainer(start, seed=(TaskContext.get().partitionId() << 16) + turn)
+            held = _Tokens(numbers.end, start.context)
+
+            def learn() -> None:
+                before, own = held.arrays()
+                held.clear()
+                for at in range(0, len(own), BATCH):
+                    trainer.step(before[at : at + BATCH], own[at : at + BATCH])
+
+            for batch in batches:
+                for text in batch.column(0):
+                    held.add(numbers.numbers(_words(text.as_py())))
+                    if len(held.flat) > 200_000:
+                        learn()
+            if held.lengths:
+                learn()
+            at = np.flatnonzero(trainer.used)
+            moved = trainer.model.rows[at] - start.rows[at]
+            for i in range(0, len(at), 4096):
+                columns = [pa.array(c) for c in np.ascontiguousarray(moved[i : i + 4096].T)]
+                yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 4096].astype(np.int32)), pa.array(trainer.used[at[i : i + 4096]]), *columns], names=["row", "uses", *fields])
+
+        mine = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn % rounds) if rounds > 1 else texts
+        means = [(F.sum(F.col(f) * F.col("uses")) / F.sum("uses")).cast("float").alias(f) for f in fields]
+        found = mine.select("text").coalesce(parts).mapInArrow(of, schema).groupBy("row").agg(*means).toArrow()
+        shared.unpersist()
+        if found.num_rows:
+            model.rows[found.column("row").to_numpy()] += np.stack([found.column(f).to_numpy() for f in fields], axis=1)
+    return model
 
 
 @dataclass
 class _Scorer:
-    """What a worker needs: frequent words by frequency, their counts, and the model."""
+    """What a worker needs: frequent words by frequency, their counts, the states and the model."""
 
     words: list[bytes]
     counts: np.ndarray
     all_tokens: int
     all_words: int
-    other_tokens: int
-    other_words: int
-    named: int
+    states: States
     model: LogBilinear
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1) / (self.all_tokens + self.all_words + 1))
 
-    def share(self, c: np.ndarray) -> np.ndarray:
-        """Of a word in the class of words without names; one that was never seen shares what is left."""
-        return np.log10((c + 1) / (self.other_tokens + self.other_words + 1))
-
-    def ready(self) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
-        """The numbers of words, and by number: base score, score beside the model's, and the model's table.
-
-        The number after the last is that of rare words; their share comes later."""
+    def ready(self) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The numbers of words, and by number: base score, score of the word in its state, and state. The number after the last
+        is that of rare words. Last, by state: what a rare word's score loses to the state's mass."""
         ids = {w: i for i, w in enumerate(self.words)}
-        base = np.append(self.base(self.counts), 0.0)
-        own = np.append(self.share(self.counts), 0.0)
-        own[: self.named] = 0
-        return ids, base, own, self.model.log10_table()
+        mass = np.log10(np.maximum(self.states.weight, 1))
+        state = np.array(self.states.numbers(self.words), np.int64)
+        several = self.states.weight[state] > 0
+        own = np.where(several, np.log10(self.counts + 1) - mass[state], 0.0)
+        return ids, np.append(self.base(self.counts), 0.0), np.append(own, 0.0), state, mass
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, head: int = HEAD) -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, head: int = HEAD, endings: int = ENDINGS, passes: int = PASSES) -> DataFrame:
     """``id_col``, held_out, n_tokens, n_known, train_tokens, base_score and score for every row.
 
     Tokens are the words, A-Z in lower case, and one end. A null text counts as empty and has the end alone.
     Repeated rows count as often as they stand there, and each gets its scores. With no training text all words
-    are unknown. Other columns are left out, whatever their names.
+    are unknown. Other columns are left out, whatever their names. A small corpus may need more ``passes``.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("out"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     training = texts.where(~F.col("out"))
     counts = written(count_words(training), "counts")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -221,38 +395,43 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     frequent, number = most_frequent(counts.where(F.col("word") != END_WORD), head)
     ends = counts.where(F.col("word") == END_WORD).first()
     ends = int(ends["n"]) if ends else 0
-    names = frequent[: vocabulary - 2]
-    model = trained(count_pairs(training, names, vocabulary))
-    scorer = _Scorer(
-        [w.encode() for w in frequent], number, n, v,
-        n - ends - int(number[: len(names)].sum()), v - len(names) - bool(ends), len(names), model,
-    )
+    states = found_states(counts, frequent, number, ends, vocabulary, endings)
+    scorer = _Scorer([w.encode() for w in frequent], number, n, v, states, trained(training, states, n, passes))
     shared = spark.sparkContext.broadcast(scorer)
     id_type = docs.schema[id_col].dataType.simpleString()
     end_base, end_known = float(scorer.base(np.array(ends))), int(ends > 0)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        ids, base, share, table = own.ready()
-        rare, named = len(own.words), own.named
+        ids, base, share, state, mass = own.ready()
+        rare = len(own.words)
+        held = _Tokens(own.states.end, own.model.context)
         for whole in batches:
             for first in range(0, whole.num_rows, 500):
                 batch = whole.slice(first, 500)
-                made: list[list] = [[], [], [], [], [], []]
-                for text in batch.column(2):
+                made: list[list] = [[], [], [], [], []]
+                outside = np.zeros(batch.num_rows)
+                for i, text in enumerate(batch.column(2)):
                     words = _words(text.as_py())
                     at = np.fromiter((ids.get(w, rare) for w in words), np.int64, len(words))
-                    seen = at[at < rare]
-                    states = np.concatenate(([END], np.where(at < named, at + 2, OTHER), [END]))
-                    left = Counter([w for w, i in zip(words, at.tolist()) if i == rare])
+                    seen, mine = at[at < rare], np.empty(len(at), np.int64)
+                    mine[at < rare] = state[seen]
+                    tail = [words[k] for k in np.flatnonzero(at == rare)]
+                    mine[at == rare] = numbers = own.states.numbers(tail)
+                    held.add(mine.tolist())
+                    left = Counter(tail)
                     made[0].append(len(words) + 1)
                     made[1].append(len(seen) + end_known)
                     made[2].append(float(base[seen].sum()) + end_base)
-                    made[3].append(float(table[states[:-1], states[1:]].sum(dtype=np.float64) + share[seen].sum()))
-                    made[4].append([w.decode() for w in left])
-                    made[5].append(list(left.values()))
-                types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+                    made[3].append([w.decode() for w in left])
+                    made[4].append(list(left.values()))
+                    outside[i] = share[seen].sum() - mass[numbers].sum()
+                starts = np.cumsum([0, *held.lengths[:-1]])
+                inside = np.add.reduceat(own.model.log10(*held.arrays()), starts)
+                held.clear()
+                types = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64())]
                 arrays = [pa.array(m, t) for m, t in zip(made, types)]
+                arrays.insert(3, pa.array(inside + outside))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["id", "out", "tokens", "known", "base", "score", "rare", "times"])
 
     schema = f"id {id_type}, out boolean, tokens bigint, known bigint, base double, score double, rare array<string>, times array<bigint>"
@@ -263,7 +442,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     sums = joined.groupBy(F.col("row").alias("of")).agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"),
         F.sum(F.col("times") * F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))).alias("more_base"),
-        F.sum(F.col("times") * F.log10((F.col("c") + 1) / F.lit(float(scorer.other_tokens + scorer.other_words + 1)))).alias("more_score"),
+        F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_score"),
     )
     return found.join(sums, found["row"] == sums["of"], "left").select(
         F.col("id").alias(id_col),

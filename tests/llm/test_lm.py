@@ -40,7 +40,7 @@ def plain(rows):
 def test_scores(spark, head):
     rows = rows_of(250, 8) + [(300, None), (301, ""), (302, "É nur NEU\x1cx \n"), (303, "new " * 5000), (5, "the cat sat"), (5, "the cat sat"), (None, "the dog")]
     df = spark.createDataFrame([(i, t, 0.0) for i, t in rows], "doc_id bigint, text string, score double")
-    got = lm.scores(df, vocabulary=12, head=max(head, 10)).collect()
+    got = lm.scores(df, vocabulary=18, head=max(head, 10), endings=6, passes=4).collect()
     key = lambda r: tuple((x is not None, x) for x in r[:5])
     got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=key)
     want = sorted(plain(rows), key=key)
@@ -53,17 +53,84 @@ def test_scores(spark, head):
 def test_no_training_text(spark):
     ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
     df = spark.createDataFrame([(i, "some words") for i in ids], "doc_id bigint, text string")
-    for r in lm.scores(df, vocabulary=8, head=10).collect():
+    for r in lm.scores(df, vocabulary=8, head=10, endings=3).collect():
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 3, 0, 0, 0.0) and r.score < 0
-    assert lm.scores(df.limit(0), vocabulary=8, head=10).count() == 0
-
-
-def test_table_is_normalised_and_nears_the_frequencies():
-    rng = np.random.default_rng(9)
-    pairs = rng.integers(0, 50, (20, 20)) * (rng.random((20, 20)) < 0.3)
-    table = 10 ** lm.trained(pairs, size=16, steps=400).log10_table().astype(float)
-    assert np.allclose(table.sum(axis=1), 1, atol=1e-5)
-    loss = lambda p: -(pairs * np.log(p)).sum() / pairs.sum()
-    flat = (pairs.sum(axis=0) + 1) / (pairs.sum() + 20)
-    best = (pairs + 1e-9) / (pairs + 1e-9).sum(axis=1, keepdims=True)
-    assert loss(table) < loss(best) + 0.25 * (loss(flat[None, :]) - loss(best))
+    assert lm.scores(df.limit(0), vocabulary=8, head=10, endings=3).count() == 0
+
+
+def chain(n, seed, words=18):
+    """States in which each is followed by one of three, and the same as the model's input."""
+    rng = np.random.default_rng(seed)
+    own = [0]
+    for _ in range(n):
+        own.append((own[-1] * 3 + rng.integers(1, 4)) % words)
+    own = np.array(own)
+    return np.stack([own[1:-1], own[:-2]], axis=1), own[2:]
+
+
+def test_model_is_normalised_and_learns():
+    before, own = chain(30_000, 9)
+    model = lm.LogBilinear(np.bincount(own, minlength=18), context=2, size=8)
+    assert model.width * model.classes > 18  # some states are only there to fill the classes
+    def checked():
+        for b in before[:5]:
+            every = np.arange(18)
+            assert np.isclose((10 ** model.log10(np.repeat(b[None], 18, axis=0), every)).sum(), 1, atol=1e-5)
+        return model.log10(before, own).mean()
+
+    flat = checked()
+    trainer = lm.Trainer(model, 3)
+    for at in range(0, len(own), 256):
+        trainer.step(before[at : at + 256], own[at : at + 256])
+    assert np.array_equal(checked(), flat)  # the model itself is as it was
+    model = trainer.model
+    assert trainer.used[: model.first_state].sum() == 2 * len(own)
+    assert checked() > flat + 0.6 * (math.log10(1 / 3) - flat)
+
+
+def test_log_probabilities_by_plain_loops():
+    rng = np.random.default_rng(2)
+    model = lm.LogBilinear(rng.integers(1, 50, 11), context=3, size=4)
+    model.rows[:, :5] += rng.normal(0, 0.5, model.rows[:, :5].shape)
+    before, own = rng.integers(0, 11, (40, 3)), rng.integers(0, 11, 40)
+    vector = lambda r: [float(x) for x in model.rows[r, :4]]
+    for b, w, got in zip(before, own, model.log10(before, own, block=7)):
+        q = [0.0] * 4
+        for j in range(3):
+            for i, x in enumerate(vector(b[j])):
+                for k in range(4):
+                    q[k] += x * float(model.rows[model.first_place + 4 * j + i, k])
+        score = lambda r: sum(a * c for a, c in zip(q, vector(r))) + float(model.rows[r, 4])
+        of = w // model.width
+        classes = [math.exp(score(model.first_class + c)) for c in range(model.classes)]
+        states = [math.exp(score(model.first_state + of * model.width + k)) for k in range(model.width)]
+        assert math.isclose(10**got, classes[of] / sum(classes) * states[w % model.width] / sum(states), rel_tol=1e-4)
+
+
+def test_words_of_all_states_sum_to_one():
+    counts = {"aa": 9, "ba": 5, "ca": 3, "db": 2, "eb": 1, "x": 1, "é": 1}
+    states = lm.States.of([("aa", 9)], [(b"ba", 5, 1), (b"ca", 3, 1)], (5, 4), 4)
+    assert states.numbers([b"aa", b"ba", b"zzba", b"x", "é".encode()])[1:3] == [states.endings[b"ba"]] * 2
+    for state in {*states.endings.values(), states.other}:
+        inside = [w for w in counts if states.numbers([w.encode()]) == [state]]
+        assert math.isclose(sum((counts[w] + 1) / states.weight[state] for w in inside) + 1 / states.weight[state], 1)
+    assert list(states.tokens) == sorted(states.tokens, reverse=True)
+
+
+def test_scores_by_plain_loops(spark, monkeypatch):
+    """A text's score is the sum over its tokens of the state's log probability and of the word's share of its state."""
+    rows = rows_of(120, 4)
+    kept = {}
+    real = lm.trained
+    monkeypatch.setattr(lm, "trained", lambda texts, states, *more: kept.setdefault("model", real(texts, kept.setdefault("states", states), *more)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in lm.scores(df, vocabulary=20, head=30, endings=4).collect()}
+    counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in t.encode().lower().split())
+    states, model = kept["states"], kept["model"]
+    for i, text in rows[:30]:
+        words = text.encode().lower().split()
+        numbers = [states.end] * 3 + states.numbers(words) + [states.end]
+        want = sum(math.log10((counts[w] + 1) / states.weight[s]) for w, s in zip(words, numbers[3:]) if states.weight[s])
+        for at in range(3, len(numbers)):
+            want += float(model.log10(np.array([[numbers[at - 1], numbers[at - 2], numbers[at - 3]]]), np.array([numbers[at]]))[0])
+        assert math.isclose(got[i], want, rel_tol=1e-6)
