@@ -1,5 +1,7 @@
 """DuckDB SQL with the results of the queries that SQL can express."""
 
+from .pii import IBAN
+
 _WORD = r"[^\x20\x09-\x0D]"
 
 QUALITY_SQL = rf"""
@@ -69,7 +71,7 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 {_placed("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "t")},
 {_placed("card", r"[0-9](?:[\x20-]?[0-9])+", "t")},
 {_placed("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "t")},
-{_placed("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", "t")},
+{_placed("iban", rf"\b(?:{IBAN})\b", "t")},
 {_placed("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "t")},
 s AS (
   SELECT doc_id, 0 AS k, 'email' AS kind, a, b FROM email_m

@@ -4,9 +4,10 @@ import hashlib
 import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
-from lattisect.llm import chat, common, pii, quality, secret_scan, spans
+from lattisect.llm import chat, common, pii, quality, secret_scan, spans, sql
 
 sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
 RNG = random.Random(12)
@@ -69,6 +70,17 @@ def test_personal_data(spark):
     assert pii.personal_data(df.limit(0)).count() == 0
 
 
+def test_account_numbers_end_where_their_country_says(spark):
+    texts = ["IBAN DE89370400440532013000 BIC COBADEFFXXX", "GB82WEST12345698765432 A B", "NO93 8601 1117 947 AND MORE", "to FR1420041010050500013M02606, MT84MALT011000012345MTLCAST001S.", "DE893704004405320130001", "QQ89370400440532013000"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("iban")] for r in pii.digest(pii.personal_data(df)).collect()}
+    assert got == {0: ["iban:5:27"], 1: ["iban:0:22"], 2: ["iban:0:18"], 3: ["iban:3:30", "iban:32:63"], 4: [], 5: []}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id INT, text TEXT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    assert sorted(con.sql(sql.PII_SQL).fetchall()) == sorted(tuple(r) for r in pii.digest(pii.personal_data(df)).collect())
+
+
 def test_secrets_and_their_ledger(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     found, ledger = secret_scan.secrets(df)
