@@ -34,7 +34,7 @@ VOCABULARY, ENDINGS, CONTEXT, SIZE = 16_384, 255, 3, 24
 NOISE_CLASSES, NOISE_WORDS, BATCH, RATE = 32, 2, 1024, 0.1
 #: The training text is dealt into rounds, with an average after each, and goes through them so many times. A task takes
 #: about so many tokens.
-ROUNDS, PASSES, TASK_TOKENS = 2, 1, 8_000_000
+ROUNDS, PASSES, TASK_TOKENS = 2, 1, 4_000_000
 #: Words whose counts every worker has.
 HEAD = 150_000
 #: Different words that a task counts before it passes them on.
@@ -168,20 +168,27 @@ class LogBilinear:
         classes, states = self.rows[self.first_class : self.first_place], self.rows[self.first_state : self.first_class]
         size, width = self.size, self.width
 
-        def chosen(q: np.ndarray, among: np.ndarray, which: np.ndarray) -> np.ndarray:
-            scores = q @ among[:, :size].T + among[:, size]
-            scores -= scores.max(axis=1, keepdims=True)
+        largest = [np.sqrt(np.square(x[:, :size]).sum(axis=1).max()) for x in (classes, states)]
+        biases = [np.abs(x[x[:, size] > -1e3, size]).max() for x in (classes, states)]
+
+        def chosen(q: np.ndarray, among: np.ndarray, which: np.ndarray, safe: bool) -> np.ndarray:
+            scores = q @ among[:, : size + 1].T
+            if not safe:
+                scores -= scores.max(axis=1, keepdims=True)
             picked = scores[np.arange(len(which)), which]
             return picked - np.log(np.exp(scores, out=scores).sum(axis=1))
 
         for at in range(0, len(state), block):
             here = state[at : at + block]
-            q, group = self.predicted(before[at : at + block]), here // width
-            found = chosen(q, classes, group)
+            q, group = np.ones((len(here), size + 1), np.float32), here // width  # the one is for the bias
+            q[:, :size] = self.predicted(before[at : at + block])
+            longest = np.sqrt(np.square(q[:, :size]).sum(axis=1).max())
+            safe = [longest * r + b < 80 for r, b in zip(largest, biases)]  # no exponential can leave the numbers' range
+            found = chosen(q, classes, group, safe[0])
             order = np.argsort(group, kind="stable")
             q, within = q[order], here[order] % width
             for c, start, stop in _runs(group[order]):
-                found[order[start:stop]] += chosen(q[start:stop], states[c * width : (c + 1) * width], within[start:stop])
+                found[order[start:stop]] += chosen(q[start:stop], states[c * width : (c + 1) * width], within[start:stop], safe[1])
             out[at : at + block] = found
         return out / np.log(10)
 
