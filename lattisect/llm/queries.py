@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lm, media, packing, pii, quality, secret_scan, simhash, urls
+from . import bpe, chat, lm, media, packing, pieces, pii, quality, secret_scan, simhash, urls
 from .sql import CHAT_SQL, PII_SQL, QUALITY_SQL, SECRETS_SQL
 
 
@@ -70,6 +70,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(found)
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash": op2_simhash,
@@ -81,6 +85,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_personal_data": op9_personal_data,
     "op10_secret_scan": op10_secret_scan,
+    "op11_sentencepiece": op11_sentencepiece,
 }
 ORACLES = {
     "op3_quality_rules": QUALITY_SQL,
