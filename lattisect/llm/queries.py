@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lm, media, packing, pieces, pii, quality, secret_scan, simhash, urls
-from .sql import CHAT_SQL, PII_SQL, QUALITY_SQL, SECRETS_SQL
+from . import bpe, chat, clusters, collocations, lm, media, packing, pieces, pii, quality, secret_scan, simhash, urls
+from .sql import CHAT_SQL, CLUSTERS_SQL, COLLOCATIONS_SQL, PII_SQL, QUALITY_SQL, SECRETS_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,14 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(_table(spark, sf_dir, "documents"))
 
 
+def op12_heap_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.digest(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.ranked(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash": op2_simhash,
@@ -86,10 +94,14 @@ QUERIES = {
     "op9_personal_data": op9_personal_data,
     "op10_secret_scan": op10_secret_scan,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_heap_kmeans": op12_heap_kmeans,
+    "op13_collocations": op13_collocations,
 }
 ORACLES = {
     "op3_quality_rules": QUALITY_SQL,
     "op8_chat_format": CHAT_SQL,
     "op9_personal_data": PII_SQL,
     "op10_secret_scan": SECRETS_SQL,
+    "op12_heap_kmeans": CLUSTERS_SQL,
+    "op13_collocations": COLLOCATIONS_SQL,
 }

@@ -113,3 +113,53 @@ SELECT t.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM t LEFT JOIN j ON t.doc_id = j.doc_id
 """
+
+
+def _nearest(number: int) -> str:
+    """Each vector's cluster and squared distance by the centroids of round ``number``."""
+    return f"""
+d{number} AS MATERIALIZED (SELECT row, c, list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept CROSS JOIN c{number}),
+a{number} AS MATERIALIZED (SELECT row, min(struct_pack(d := d, c := c)) AS best FROM d{number} GROUP BY row)"""
+
+
+def _moved(number: int) -> str:
+    """The centroids of round ``number``, from the round before."""
+    return f"""
+s{number} AS (SELECT best.c AS c, i, sum(v[i]) AS s, count(*) AS n FROM a{number - 1} JOIN kept USING (row), range(1, 65) AS r(i) GROUP BY best.c, i),
+n{number} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS m FROM s{number} GROUP BY c),
+c{number} AS MATERIALIZED (SELECT c, coalesce(n.m, o.m) AS m FROM c{number - 1} AS o LEFT JOIN n{number} AS n USING (c))"""
+
+
+CLUSTERS_SQL = f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = 64),
+f AS (SELECT v, sha256('1:' || vec_id) AS h FROM kept ORDER BY h LIMIT 16),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS m FROM f),
+{_nearest(0)}, {_moved(1)}, {_nearest(1)}, {_moved(2)}, {_nearest(2)}, {_moved(3)}, {_nearest(3)}
+SELECT vec_id, best.c::INT AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a3 JOIN kept USING (row) JOIN c3 ON c3.c = best.c
+"""
+
+_CUTS = ", ".join(f"CASE WHEN len(ws) > {k} THEN {{'part': {k}, 'first': array_to_string(ws[1:{k}], ' '), 'rest': array_to_string(ws[{k + 1}:], ' ')}} END" for k in range(1, 5))
+
+COLLOCATIONS_SQL = rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?
+-
+]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) AS r(k) WHERE len(ws) >= k),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT * FROM f WHERE k > 1 AND a >= 100),
+inner_ AS (SELECT lang, k AS longer, a AS b, array_to_string(string_split(phrase, ' ')[i:j], ' ') AS phrase FROM c, range(1, 5) AS x(i), range(2, 6) AS y(j) WHERE j > i AND j <= k AND j - i + 1 < k),
+hidden AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN inner_ AS o ON c.lang = o.lang AND c.phrase = o.phrase AND c.k < o.longer AND 100 * o.b >= 100 * c.a),
+left_ AS (SELECT c.lang, c.phrase, c.a, string_split(c.phrase, ' ') AS ws FROM c ANTI JOIN hidden AS h ON c.lang = h.lang AND c.phrase = h.phrase),
+cut AS (SELECT lang, phrase, a, unnest([x FOR x IN [{_CUTS}] IF x IS NOT NULL]) AS x FROM left_),
+s AS (SELECT cut.lang, cut.phrase, cut.a, x.part AS part, l.a AS l, r.a AS r, n.n AS n, (1000::HUGEINT * cut.a * n.n) // (l.a::HUGEINT * r.a) AS score
+  FROM cut JOIN f AS l ON l.lang = cut.lang AND l.phrase = x.first JOIN f AS r ON r.lang = cut.lang AND r.phrase = x.rest JOIN n ON n.lang = cut.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, part) AS place FROM s),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b WHERE place = 1)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM o WHERE rank <= 2000
+"""
