@@ -7,6 +7,7 @@ a sketch counts far more than most come last, so that a common passage brings fe
 
 Equal sets are made one first, so copies cost nothing here. Where up to ``SMALL`` sets meet, all pairs are candidates.
 Where more do, first each with the least; only if that leaves them in several components, all with all, in blocks.
+Where more than ``HOT`` do, a join brings the least to each, so no task holds all that meet at a shingle.
 A sketch of each set, a count for each of a few classes of hashes, bounds from above what two sets share; it leaves few
 pairs that can't be similar, and only the texts of the others are brought together.
 """
@@ -19,17 +20,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import written
-from .simhash import SEED, _Forest, components
+from .simhash import SEED, _Forest, components, fingerprint
+from .simhash import links as print_links
 
 SHINGLE = 5
 #: Cells of the sketch; sets that meet at a shingle and are paired at once; sets in a block; shingles of a step.
 CELLS, SMALL, BLOCK, STEP = 1 << 17, 64, 512, 1024
+#: Shingles of sets that a task holds, about; sets at a shingle from which no task holds them together.
+TASK_ROWS, HOT = 1_000_000, 250_000
 #: Counts of sketches that are compared at once.
 HELD = 2_000_000
 #: Words whose hashes a task keeps.
@@ -91,8 +96,8 @@ def _node(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
 
 
-def _crowded(docs: DataFrame, text_col: str) -> np.ndarray:
-    """Whether each cell of the sketch counts more than twice the mean and 64."""
+def _crowded(docs: DataFrame, text_col: str) -> tuple[np.ndarray, DataFrame]:
+    """(whether each cell of the sketch counts more than twice the mean and 64, the counts (cell, n))."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
@@ -108,7 +113,7 @@ def _crowded(docs: DataFrame, text_col: str) -> np.ndarray:
     total = counts.agg(F.sum("n")).first()[0] or 0
     out = np.zeros(CELLS, bool)
     out[[r["cell"] for r in counts.where(F.col("n") > 2 * total / CELLS + 64).collect()]] = True
-    return out
+    return out, counts
 
 
 def sketched(found: np.ndarray) -> bytes:
@@ -132,8 +137,8 @@ def bounded(a: bytes, b: bytes) -> int:
 
 
 def _sets(docs: DataFrame, place: str, text_col: str, id_col: str, crowded: np.ndarray) -> DataFrame:
-    """(key, node, size, first, sketch) for every row of ``_placed``: its id and place; its set's name, size, shingles of which a
-    similar one has some, and sketch."""
+    """(key, node, size, first, sketch, fp) for every row of ``_placed``: its id and place; its set's name, size, shingles of which a
+    similar one has some, and sketch; its text's SimHash."""
     shared = docs.sparkSession.sparkContext.broadcast(crowded)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,39 +146,83 @@ def _sets(docs: DataFrame, place: str, text_col: str, id_col: str, crowded: np.n
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
-                nodes, sizes, firsts, sketches = [], [], [], []
-                for text in batch.column(1):
-                    found = shingles(text.as_py())
+                nodes, sizes, firsts, sketches, prints = [], [], [], [], []
+                for text in batch.column(1).to_pylist():
+                    found = shingles(text)
+                    prints.append(fingerprint(text))
                     last = late[found & (CELLS - 1)]
                     nodes.append(_node(found))
                     sizes.append(len(found))
                     firsts.append(np.concatenate([found[~last], found[last]])[: len(found) - -(-4 * len(found) // 5) + 1])
                     sketches.append(sketched(found))
-                made = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["key", "node", "size", "first", "sketch"])
+                made = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["key", "node", "size", "first", "sketch", "fp"])
         _forgotten()
 
     own = F.col(f"`{id_col}`")
     rows = docs.select(F.struct(own.isNull().alias("none"), own.alias("id"), F.col(f"{place}.file").alias("file"), F.col(f"{place}.row").alias("row")).alias("key"), F.col(f"`{text_col}`").alias("text"))
-    schema = T.StructType([rows.schema["key"], *T.StructType.fromDDL("node bigint, size int, first array<bigint>, sketch binary").fields])
+    schema = T.StructType([rows.schema["key"], *T.StructType.fromDDL("node bigint, size int, first array<bigint>, sketch binary, fp bigint").fields])
     return rows.mapInArrow(of, schema)
 
 
+def _bare(docs: DataFrame) -> bool:
+    """Whether a plan is projections and filters over a scan of files and nothing else, no file being named twice: then each row is one
+    row of a file, and the same one whenever it is read."""
+    try:
+        plan = docs._jdf.queryExecution().analyzed()
+        if not plan.deterministic():
+            return False
+        while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+            plan = plan.children().head()
+        if plan.nodeName() != "LogicalRelation":
+            return False
+        roots = plan.relation().location().rootPaths()
+        names = [roots.apply(i).toString().rstrip("/") + "/" for i in range(roots.size())]
+    except Py4JError:  # a relation without files
+        return False
+    return not any(i != j and a.startswith(b) for i, a in enumerate(names) for j, b in enumerate(names))
+
+
 def _placed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """(``docs`` with one more column, its name): where a row stands (the hash of its file's name, and its number there), which is
-    the same whenever it is read. What isn't read from files is written first."""
+    """(``docs`` with one more column, its name): a struct (file, row) that no other row has and that is the same whenever the row is read.
+
+    Rows of a bare scan are told apart by where they stand: the hash of their file's name, and their number there. All else may make
+    several rows of one (joins, explodes, a file read twice), so it is written with a number for each row first.
+    """
     names, own = [F.col(f"`{c}`") for c in docs.columns], "__place"
     while own in docs.columns:
         own += "_"
+    if _bare(docs):
+        try:
+            meta = docs.metadataColumn("_metadata")
+            return docs.select(*names, F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("row")).alias(own)), own
+        except AnalysisException:  # files without numbers of rows
+            pass
+    number = F.struct(F.lit(0).cast("bigint").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return written(docs.select(*names, number.alias(own)), "docs"), own
 
-    def place(rows: DataFrame) -> DataFrame:
-        meta = rows.metadataColumn("_metadata")
-        return rows.select(*names, F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("row")).alias(own))
 
-    try:
-        return place(docs), own
-    except AnalysisException:  # no such column: it has no files
-        return place(written(docs, "docs")), own
+def _hot(entries: DataFrame, cells: DataFrame, hot: int) -> DataFrame | None:
+    """(shingle, least), where more than ``hot`` of ``entries`` meet: the least of them. None if no cell counts so many.
+
+    Only shingles of cells that count so many are counted themselves.
+    """
+    full = written(cells.where(F.col("n") > hot).select("cell"), "full")  # of CELLS at most
+    if full.isEmpty():
+        return None
+    some = entries.withColumn("cell", F.col("shingle").bitwiseAND(F.lit(CELLS - 1)).cast("int")).join(F.broadcast(full), "cell")
+    met = some.groupBy("shingle").agg(F.count("*").alias("n"), F.min(F.struct("node", "size", "at")).alias("least")).where(F.col("n") > hot)
+    found = written(met.select("shingle", "least"), "hot")
+    return None if found.isEmpty() else found
+
+
+def _with_least(entries: DataFrame, hot: DataFrame) -> DataFrame:
+    """As ``_pairs`` for the shingles of ``hot``: each with the least that it meets, by a join whose large keys Spark splits."""
+    met = entries.join(hot, "shingle")
+    rest = lambda c: F.col(f"{c}size") - F.col(f"{c}at")
+    ok = (F.col("node") != F.col("least.node")) & (9 * F.least(rest(""), rest("least.")) >= 4 * (F.col("size") + F.col("least.size")))
+    both = F.array(F.struct(F.col("least.node").alias("a"), F.when(ok, F.col("node")).alias("b"), F.lit(None).cast("bigint").alias("shingle")), F.struct(F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), F.col("shingle").alias("shingle")))
+    return met.select(F.explode(both).alias("p")).select("p.a", "p.b", "p.shingle").where("b is not null or shingle is not null")
 
 
 def _pairs(entries: DataFrame, small: int) -> DataFrame:
@@ -212,7 +261,18 @@ def _pairs(entries: DataFrame, small: int) -> DataFrame:
         if large.any():
             yield pa.RecordBatch.from_arrays([pa.array(node[large]), pa.nulls(int(large.sum()), pa.int64()), pa.array(key[large])], names=["a", "b", "shingle"])
 
-    return entries.repartition(F.col("shingle")).mapInArrow(of, "a bigint, b bigint, shingle bigint")
+    # a task holds its rows, so their number follows that of the entries
+    count = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // TASK_ROWS))
+    return entries.repartition(count, F.col("shingle")).mapInArrow(of, "a bigint, b bigint, shingle bigint")
+
+
+def _all_pairs(entries: DataFrame, cells: DataFrame, small: int, hot: int) -> DataFrame:
+    """As ``_pairs``, with what meets at hot shingles brought together by a join."""
+    many = _hot(entries, cells, hot)
+    if many is None:
+        return _pairs(entries, small)
+    sent = _sent(many)
+    return _pairs(entries.join(sent.select("shingle"), "shingle", "left_anti"), small).unionByName(_with_least(entries, sent))
 
 
 def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -337,19 +397,33 @@ def _among(entries: DataFrame, roots: DataFrame, sets: DataFrame, texts: DataFra
     return left.groupBy("shingle", "i", "j").applyInArrow(of, "a bigint, b bigint")
 
 
-def _classes(docs: DataFrame, place: str, id_col: str, text_col: str, small: int, block: int) -> tuple[DataFrame, DataFrame]:
+def _printed(prints: DataFrame, bits: int) -> DataFrame:
+    """(a, b): links between sets of which some texts have SimHashes within ``bits`` of each other, as a forest of these."""
+    marks = written(prints.select("node", "fp").distinct(), "marks")
+    named = written(marks.groupBy("fp").agg(F.min("node").alias("rep")), "named")
+    same = marks.join(named, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    ends = [named.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "ab"]
+    near = written(print_links(named.select("fp"), bits), "near").join(ends[0], "a").join(ends[1], "b").where("rep_a <> rep_b")
+    return same.unionByName(near.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+
+
+def _classes(docs: DataFrame, place: str, id_col: str, text_col: str, small: int, block: int, hot: int, bits: int | None) -> tuple[DataFrame, DataFrame]:
     """(``_sets``, (node, least): the least key of each set's component) of rows with their places."""
-    prints = written(_sets(docs, place, text_col, id_col, _crowded(docs, text_col)), "prints")
+    crowded, cells = _crowded(docs, text_col)
+    prints = written(_sets(docs, place, text_col, id_col, crowded), "prints")
     distinct = written(prints.groupBy("node").agg(F.min("key").alias("least"), F.first("size").alias("size"), F.first("first").alias("first"), F.first("sketch").alias("sketch")), "distinct")
     entries = distinct.select(F.posexplode("first").alias("at", "shingle"), "node", "size").select("shingle", "node", "size", "at")
-    found = written(_pairs(entries, small), "pairs")
+    found = written(_all_pairs(entries, cells, small, hot), "pairs")
     pairs, crowded = found.where("b is not null").select("a", "b").distinct(), found.where("b is null").select("shingle", F.col("a").alias("node"))
     pairs = written(_possible(pairs, distinct), "possible")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded.select("node")).distinct()
     one = _sent(written(distinct.select("node", F.col("least.file").alias("file"), F.col("least.row").alias("row")).join(asked, "node", "left_semi"), "asked"))
     texts = docs.select(f"{place}.file", f"{place}.row", F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).join(one, ["file", "row"]).select("node", "text")
     texts = written(texts, "texts")
-    links = written(_verified(pairs, texts), "links")
+    links = _verified(pairs, texts)
+    if bits is not None:
+        links = links.unionByName(_printed(prints, bits))
+    links = written(links, "links")
     roots = components(links)
     if not crowded.isEmpty():
         more = written(_among(crowded, roots, distinct, texts, block), "more")
@@ -361,24 +435,25 @@ def _classes(docs: DataFrame, place: str, id_col: str, text_col: str, small: int
     return prints, written(top.select("node", "root").join(ids, "root").select("node", "least"), "named")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, block: int = BLOCK, hot: int = HOT, bits: int | None = None) -> DataFrame:
     """``id_col`` and ``component_id`` (the least id reachable by links, its own included) for every row.
 
-    Texts without words are copies of each other. Repeated rows come out as often as they went in; a null id never
+    With ``bits``, texts whose SimHashes differ in so many bits at most are linked too, by the grid of ``simhash``. Texts without words are copies of each other. Repeated rows come out as often as they went in; a null id never
     becomes a component's id unless all its ids are null.
     """
-    prints, named = _classes(*_placed(docs), id_col, text_col, small, block)
+    prints, named = _classes(*_placed(docs), id_col, text_col, small, block, hot, bits)
     return prints.select("key", "node").join(named, "node").select(F.col("key.id").alias(id_col), F.col("least.id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """``docs`` with one row of each component, that of the least id (a null id comes last; of rows with one id, any).
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, block: int = BLOCK, hot: int = HOT, bits: int | None = None) -> DataFrame:
+    """``docs`` with one row of each component of ``near_duplicates``, that of the least id (a null id comes last; of rows with one id, any).
 
-    Rows are told apart by numbers of their own, so it does no harm if an id stands for several texts. All columns
+    Rows are told apart by their places in their files or, unless ``docs`` is a bare scan, by numbers that they are written with
+    first; so it does no harm if an id stands for several texts or one stored row became several. All columns
     stay, whatever their names. Rows without words are copies of each other, and one of them stays.
     """
     placed, place = _placed(docs)
-    prints, named = _classes(placed, place, id_col, text_col, small, block)
+    prints, named = _classes(placed, place, id_col, text_col, small, block, hot, bits)
     again = prints.select("key", "node").join(named, "node").where("key <> least").select(F.col("key.file").alias("file"), F.col("key.row").alias("row"))
     again = _sent(written(again, "again"))
     kept = placed.join(again, (F.col(f"{place}.file") == again["file"]) & (F.col(f"{place}.row") == again["row"]), "left_anti")

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import let, words
 
-#: The sample on which rules are ordered has at most so many rows; each is judged REPEATS times.
-SAMPLE_ROWS = 300
+#: The sample on which rules are ordered has at most so many rows, of at most so many bytes each; each is judged REPEATS times.
+SAMPLE_ROWS, SAMPLE_BYTES = 300, 20_000
 REPEATS = 10
 #: Of so large a part of the first rows that hold the sample, it is drawn.
 SAMPLE_SHARE = 0.05
@@ -154,12 +154,12 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text",
     """``rules``, by rejections per second on at most ``sample_rows`` sampled rows of ``docs``, best first.
 
     Each rule is timed alone on the words and texts of the sample, with all that it measures, less what a constant takes.
-    Only the sample reaches the driver, and only as many partitions are read as hold it. Ties and an empty sample
-    keep the order given.
+    Only the sample reaches the driver, SAMPLE_ROWS * SAMPLE_BYTES bytes at most, and only as many partitions are read as hold it:
+    texts longer than SAMPLE_BYTES aren't timed, which changes no verdict. Ties and an empty sample keep the order given.
     """
     if len(rules) < 2:
         return list(rules)
-    text = docs.select(F.col(text_col).alias("text"))
+    text = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNull() | (F.octet_length("text") <= SAMPLE_BYTES))
     texts = text.sample(SAMPLE_SHARE, seed=1).limit(sample_rows).collect() or text.limit(sample_rows).collect()
     if not texts:
         return list(rules)

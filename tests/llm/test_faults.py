@@ -101,3 +101,60 @@ def test_neighbours_of_one_role_are_merged(spark):
     made = chat.formatted(spark.createDataFrame(turns, "conv_id int, turn int, role string, text string"))
     assert made.first().formatted == "[INST]a[NEXT]b[/INST]<s>c[NEXT]</s>[ROLE]tool[NEXT]d[NEXT][\\NEXT][/ROLE][INST]e[/INST]"
     assert [(t.role, t.text) for t in chat.parsed(made).first().turns] == [t[2:] for t in turns]
+
+
+def test_near_dedup_tells_rows_apart_however_they_are_made(spark, tmp_path):
+    """Rows that plans make of one stored row are rows of their own."""
+    a, b, c, d = texts(4, 8)
+    arrays = spark.createDataFrame([(1, [a, b, c]), (2, [a, d])], "doc_id bigint, many array<string>")
+    arrays.coalesce(1).write.parquet(str(tmp_path / "arrays"))
+    plain = spark.createDataFrame([(1, a), (2, b), (3, a + " tail")], "doc_id bigint, text string")
+    plain.coalesce(1).write.parquet(str(tmp_path / "plain"))
+    path = str(tmp_path / "plain")
+    read = spark.read.parquet(path)
+    two = spark.createDataFrame([(1,), (2,)], "n int")
+    kept = lambda df: sorted(r.text for r in near.one_of_each(df).collect())
+    exploded = spark.read.parquet(str(tmp_path / "arrays")).select("doc_id", F.explode("many").alias("text"))
+    assert kept(exploded) == sorted([a, b, c, d])
+    assert kept(exploded.where("length(text) > 0").withColumn("n", F.lit(1))) == sorted([a, b, c, d])
+    assert kept(read) == kept(spark.read.parquet(path, path)) == kept(spark.read.parquet(path, str(next((tmp_path / "plain").glob("*.parquet"))))) == sorted([a, b])
+    assert kept(read.crossJoin(two)) == kept(read.join(two, F.lit(True))) == kept(read.unionByName(read)) == sorted([a, b])
+    assert kept(read.unionByName(plain)) == kept(read.limit(3)) == kept(read.where(F.rand() >= 0)) == kept(read.orderBy("text")) == sorted([a, b])
+    assert near._bare(read.where("doc_id > 0").select("text", "doc_id")) and not near._bare(read.crossJoin(two)) and not near._bare(plain)
+    read.write.json(str(tmp_path / "json"))
+    assert kept(spark.read.schema("doc_id bigint, text string").json(str(tmp_path / "json"))) == sorted([a, b])
+
+
+def test_near_dedup_with_hot_shingles_joins_them(spark):
+    """As many links whether a task holds what meets at a shingle or a join brings it together."""
+    rng = random.Random(21)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([4, 12, 50]))]
+        rows.append((i, " ".join(passage[:50] + own if i % 2 else own + passage)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted(tuple(r) for r in near.near_duplicates(df).collect())
+    assert 10 < len({c for _, c in want}) < 90
+    for hot, small in ((5, 3), (40, 64), (2, 1)):
+        assert sorted(tuple(r) for r in near.near_duplicates(df, small=small, hot=hot, block=20).collect()) == want
+
+
+def test_near_dedup_links_by_simhash_too(spark):
+    """Texts of repeated words have one or few shingles, and SimHash counts them."""
+    from lattisect.llm import simhash
+
+    rng = random.Random(22)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+    rows = [(i, " ".join(base[:k] + ["x"] + base[k:])) for i, k in enumerate(range(0, 900, 90))] + [(50 + i, t) for i, t in enumerate(texts(20, 9))]
+    rows += [(80, "a b c d e f " * 40), (81, "a b c d e f " * 41), (82, None), (83, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    jaccard = dict(tuple(r) for r in near.near_duplicates(df).collect())
+    prints = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    both = dict(tuple(r) for r in near.near_duplicates(df, bits=simhash.RADIUS).collect())
+    root = {i: i for i, _ in rows}
+    for links in (jaccard, prints):
+        for i, c in links.items():
+            a, b = root[i], root[c]
+            root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+    assert both == root
