@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattisect.llm import common, near, packing, quality, secret_scan
+from lattisect.llm import common, near, packing, quality, secret_scan, simhash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,8 +16,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (five-word shingles, similarity 0.8), that with the least id."""
-    return near.one_of_each(docs)
+    """One row of each group of near copies, that with the least id: texts are linked by their SimHashes, and where these are too
+    far apart for the grid, by a similarity of 0.8 in five-word shingles."""
+    return near.one_of_each(docs, bits=simhash.RADIUS)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
