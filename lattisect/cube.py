@@ -15,11 +15,13 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .axes import SPARK, Axis, double, number, quoted
 from .errors import AxisNotFound, BadRequest, MissingValue
+from .operators.neighbours import nearest_join
+from .plans.ranges import Ranged
 from .plans.request import ENGINES, Branch, Request, prune_branches
 from .shapes import Bounds, Point, Product, Select, Shape, Span, Union, opened
 
@@ -27,6 +29,8 @@ log = logging.getLogger(__name__)
 
 #: A period is repeated at most so often on one side before a request is refused.
 LAPS = 10_000
+#: Places that are looked up in a table of points by one scan; more are joined with it.
+FEW = 32
 EVERYWHERE = (-math.inf, math.inf)
 
 
@@ -114,14 +118,15 @@ class Cube:
     # --- planning -----------------------------------------------------------------------------------------
 
     def plan(self, request: Request, check_values: bool = True) -> tuple[Request, dict[str, Axis]]:
-        """The request as it is filtered by: pruned to its branch, validated, snapped."""
+        """The request as it is filtered by: its ranges read by the kinds of their axes, pruned to its branch, validated, snapped."""
+        request = Request(*[s.bound(self.axes[s.axes[0]]) if isinstance(s, Ranged) and s.axes[0] in self.axes else s for s in request.shapes])
         request, names = prune_branches(request, list(self.axes), self.branches)
         request.validate(names)
         axes = {a: self.axes[a] for a in names}
         for s in request.shapes:
-            if check_values and isinstance(s, Select) and axes[s.axes[0]].kind == "category":
+            if check_values and isinstance(s, Select) and s.checked and axes[s.axes[0]].kind == "category":
                 self._check_values(s)
-        snapped = self._looked_up([w for s in request.shapes for w in self._wanted(s)])
+        snapped: dict[tuple, list] = {**self._looked_up([w for s in request.shapes for w in self._wanted(s)]), **self._paired([p for s in request.shapes for p in self._planar(s)])}
         return Request(*[self._bordered(self._snapped(s, snapped)) for s in request.shapes]), axes
 
     def _bordered(self, shape: Shape) -> Shape:
@@ -158,49 +163,86 @@ class Cube:
             return [w for s in shape.shapes for w in self._wanted(s)]
         if shape.method is None or not isinstance(shape, (Select, Point)) or self._plane(shape):
             return []
+        if shape.k != 1:
+            raise BadRequest(f"the {shape.k} nearest are looked for as pairs only: of two axes under an engine of points, or of a list of points")
         pairs = [(shape.axes[0], v) for v in shape.values] if isinstance(shape, Select) else list(zip(shape.axes, shape.point))
         return [(shape.method, a, float(v)) for a, v in pairs]  # type: ignore[arg-type]
 
-    def _snapped(self, shape: Shape, found: Mapping[tuple[str, str, float], list[float]]) -> Shape:
+    def _planar(self, shape: Shape) -> list[tuple[tuple[str, str], tuple[float, float], int]]:
+        """(axes, place, k) of what is looked for in tables of points."""
+        if isinstance(shape, (Union, Product)):
+            return [p for s in shape.shapes for p in self._planar(s)]
+        if shape.method is None or not isinstance(shape, Point) or (plane := self._plane(shape)) is None or plane.grid is not None:
+            return []
+        return [(plane.axes, self._at(plane, shape), shape.k)]
+
+    def _at(self, plane: Mapped, point: Point) -> tuple[float, float]:
+        return tuple(self._wrapped(self.axes[a], float(point.point[point.axes.index(a)])) for a in plane.axes)  # type: ignore[arg-type,return-value]
+
+    def _snapped(self, shape: Shape, found: Mapping[tuple, list]) -> Shape:
         """Shapes with ``surrounding`` or ``nearest`` as selections of the values that those are."""
         if isinstance(shape, (Union, Product)):
             parts = [self._snapped(s, found) for s in shape.shapes]
-            return Union(shape.axes, *parts) if isinstance(shape, Union) else Product(*parts)
+            if isinstance(shape, Product):
+                return Product(*parts)
+            # the members that were one point each stay so, however many pairs they became
+            flat = [m for p, s in zip(parts, shape.shapes) for m in (p.shapes if isinstance(p, Union) and not isinstance(s, Union) else (p,))]
+            return Union(shape.axes, *flat)
         if shape.method is None or not isinstance(shape, (Select, Point)):
             return shape
         plane = self._plane(shape)
         if plane and isinstance(shape, Point):
-            at = tuple(self._wrapped(self.axes[a], float(shape.point[shape.axes.index(a)])) for a in plane.axes)  # type: ignore[arg-type]
-            return Union(plane.axes, *[Point(plane.axes, [p]) for p in self._around_point(plane, at, shape.method, shape.k)])
+            at = self._at(plane, shape)
+            pairs = found[plane.axes, at, shape.k] if plane.grid is None else self._around_point(plane, at, shape.method, shape.k)
+            return Union(plane.axes, *[Point(plane.axes, [p]) for p in pairs])
         by_axis: dict[str, list[float]] = {}
         for want in self._wanted(shape):
             by_axis.setdefault(want[1], []).extend(found[want])
         parts = [Select(a, sorted(set(vs))) for a, vs in by_axis.items()]
         return parts[0] if len(parts) == 1 else Product(*parts)
 
-    def _around_point(self, plane: Mapped, at: tuple[float, float], method: str, k: int) -> list[tuple[float, float]]:
-        """The pairs that a point of a plane is snapped to.
-
-        On a structured grid arithmetic finds them, and ``k`` counts as one; in a table of points they are its ``k``
-        nearest in squared degrees, of those as near the ones with the least coordinates first.
+    @staticmethod
+    def _around_point(plane: Mapped, at: tuple[float, float], method: str, k: int) -> list[tuple[float, float]]:
+        """The pairs of a structured grid that a point is snapped to, by arithmetic; ``k`` counts as one."""
+        if method == "surrounding":
+            return plane.grid.around(*at)
+        if k != 1:
+            log.warning("the %d nearest points aren't supported on a structured grid: the nearest is taken", k)
+        return plane.grid.nearest(*at)
+
+    def _paired(self, wanted: Iterable[tuple[tuple[str, str], tuple[float, float], int]]) -> dict[tuple, list[tuple[float, float]]]:
+        """For each (axes, place, k) the k nearest pairs in a table of points, in squared degrees; of those as near, the ones with the least
+        coordinates first.
+
+        All places with the same k are looked up together: a few in one scan, where each task keeps k pairs for each place, and more by
+        the join of ``nearest_join``. So the number of jobs doesn't follow that of the places.
         """
-        if plane.grid is not None:
-            if method == "surrounding":
-                return plane.grid.around(*at)
-            if k != 1:
-                log.warning("the %d nearest points aren't supported on a structured grid: the nearest is taken", k)
-            return plane.grid.nearest(*at)
-        x, y = (F.expr(self.axes[a].numeric()) for a in plane.axes)
-        dx, dy = x - at[0], y - at[1]
-        period = self.axes[plane.axes[1]].period
-        if period:  # the short way round
-            size = period[1] - period[0]
-            dy = F.least(F.abs(dy), F.lit(size) - F.abs(dy))
-        rows = plane.points.select(x.alias("x"), y.alias("y"), (dx * dx + dy * dy).alias("d")).where("d is not null")
-        if k == 1:
-            best = rows.agg(F.min(F.struct("d", "x", "y")).alias("m")).first()["m"]
-            return [(best["x"], best["y"])] if best else []
-        return [(r["x"], r["y"]) for r in rows.distinct().orderBy("d", "x", "y").limit(k).collect()]
+        out: dict[tuple, list[tuple[float, float]]] = {w: [] for w in wanted}
+        groups: dict[tuple, list[tuple[float, float]]] = {}
+        for axes, at, k in out:
+            groups.setdefault((axes, k), []).append(at)
+        for (axes, k), places in groups.items():
+            plane = next((m for m in self.mapped if m.axes == axes), None)
+            x, y = (F.expr(self.axes[a].numeric()) for a in axes)
+            rows = (plane.points if plane else self.df).select(x.alias("x"), y.alias("y")).where("x is not null and y is not null")
+            period = self.axes[axes[1]].period
+            if len(places) > FEW:
+                asked = rows.sparkSession.createDataFrame([(i, *at) for i, at in enumerate(places)], "query int, x double, y double")
+                best = nearest_join(rows.distinct(), asked, k, F.struct("x", "y"), "x", "y", period=period).select("query", F.col("idx.x").alias("x"), F.col("idx.y").alias("y"), "dist2")
+            else:
+                each = F.explode(F.array(*[F.struct(F.lit(i).alias("query"), F.lit(a).alias("a"), F.lit(o).alias("o")) for i, (a, o) in enumerate(places)])).alias("q")
+                dx, dy = F.col("x") - F.col("q.a"), F.abs(F.col("y") - F.col("q.o"))
+                if period:  # the short way round
+                    dy = F.least(dy, F.lit(period[1] - period[0]) - dy)
+                met = (rows if k == 1 else rows.distinct()).select("x", "y", each).select(F.col("q.query").alias("query"), "x", "y", (dx * dx + dy * dy).alias("dist2"))
+                if k == 1:
+                    best = met.groupBy("query").agg(F.min(F.struct("dist2", "x", "y")).alias("m")).select("query", "m.x", "m.y", "m.dist2")
+                else:
+                    order = Window.partitionBy("query").orderBy("dist2", "x", "y")
+                    best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            for r in sorted(best.collect(), key=lambda r: (r["query"], r["dist2"], r["x"], r["y"])):  # k for each place that was asked for
+                out[axes, places[r["query"]], k].append((r["x"], r["y"]))
+        return out
 
     def _looked_up(self, wanted: Iterable[tuple[str, str, float]]) -> dict[tuple[str, str, float], list[float]]:
         """For each (method, axis, value) the stored values it stands for: one aggregate for all of them.

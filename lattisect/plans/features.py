@@ -8,35 +8,27 @@ from collections.abc import Mapping, Sequence
 from typing import Any
 
 from ..errors import BadRequest
-from ..shapes import All, Box, Disk, Ellipsoid, Path, Point, Polygon, Select, Shape, Span, Union
+from ..shapes import All, Box, Disk, Ellipsoid, Path, Point, Polygon, Shape, Union
+from .ranges import Ranged, is_day, parts, stepped
 from .request import Request
 
 GEO = ("lat", "lon")
 
 
 def expand_range(value: Any) -> Any:
-    """A range as a list or as (start, end): ``{start, end, interval}``, a list, ``a/to/b/by/c``, ``a/to/b`` or ``a/b/c``."""
-    if isinstance(value, Mapping):
-        if set(value) - {"start", "end", "interval"} or not {"start", "end"} <= set(value):
-            raise BadRequest(f"a range has a start, an end and perhaps an interval, not {sorted(value)}")
-        return _steps(value["start"], value["end"], value.get("interval"))
-    if isinstance(value, str):
-        parts = value.split("/")
-        if len(parts) == 5 and parts[1].lower() == "to" and parts[3].lower() == "by":
-            ends = (parts[0], parts[2]) if all(_is_day(p) for p in (parts[0], parts[2])) else (_scalar(parts[0]), _scalar(parts[2]))
-            return _steps(*ends, _scalar(parts[4]))
-        if len(parts) == 3 and parts[1].lower() == "to":
-            return _steps(_scalar(parts[0]), _scalar(parts[2]), None)
-        return [_scalar(p) for p in parts]
-    return list(value) if isinstance(value, (list, tuple)) else [value]
-
-
-def _is_day(text: str) -> bool:
-    """Whether a text is a day as eight digits: such ends are stepped through the calendar."""
-    try:
-        return len(text) == 8 and text.isdigit() and dt.datetime.strptime(text, "%Y%m%d").year >= 1000
-    except ValueError:
-        return False
+    """A range as a list or as (start, end), its texts read by how they look: what ``Ranged`` does once it knows its axis, for none."""
+    made = parts(value)
+    if isinstance(made, list):
+        return [_scalar(v) if isinstance(value, str) else v for v in made]
+    start, end, by = made
+    if isinstance(value, str) and not (by is not None and is_day(start) and is_day(end)):
+        start, end = _scalar(start), _scalar(end)
+    by = _scalar(by) if isinstance(by, str) else by
+    if by is None:
+        return (start, end)
+    if isinstance(start, str):
+        return stepped("category", start, end, by)
+    return stepped("number", start, end, by)
 
 
 def _scalar(text: str) -> Any:
@@ -48,24 +40,9 @@ def _scalar(text: str) -> Any:
     return text
 
 
-def _steps(start: Any, end: Any, by: Any) -> Any:
-    if by is None:
-        return (start, end)
-    if isinstance(by, str) or by <= 0:
-        raise BadRequest("an interval is a number above zero")
-    if isinstance(start, str):
-        if not (_is_day(str(start)) and _is_day(str(end))):
-            raise BadRequest(f"{start} and {end} are no days")
-        first, last, day = dt.datetime.strptime(str(start), "%Y%m%d"), dt.datetime.strptime(str(end), "%Y%m%d"), dt.timedelta(days=int(by))
-        return [f"{first + i * day:%Y%m%d}" for i in range((last - first) // day + 1)]
-    count = int((end - start) / by + 1e-9)
-    return [start + i * by for i in range(count + 1)]
-
-
 def axis_shape(axis: str, value: Any) -> Shape:
-    """A span for (start, end), else a selection."""
-    made = expand_range(value)
-    return Span(axis, *made) if isinstance(made, tuple) else Select(axis, made)
+    """A range of an axis in a request's own words."""
+    return Ranged(axis, value)
 
 
 def _need(feature: Mapping[str, Any], required: Sequence[str], allowed: Sequence[str] = ()) -> None:

@@ -15,7 +15,7 @@ import datetime as dt
 
 from .axes import Axis
 from .cube import Cube
-from .operators import points, results, transforms
+from .operators import areas, neighbours, points, results, transforms
 from .plans import features
 from .plans.request import Branch, Request, alternatives
 from .shapes import All, Box, ConvexHull, Disk, Ellipsoid, Path, PathSegment, Point, Polygon, Product, Segment, Select, Shape, ShapePath, Span, Union
@@ -490,6 +490,43 @@ def knn_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.nearest_to_each(cloud, asked, radius=6.0, k=3)
 
 
+@_query("knn_join", f"""SELECT * FROM (SELECT q.idx AS query, p.*, (p.lat - q.lat) * (p.lat - q.lat) + (p.lon - q.lon) * (p.lon - q.lon) AS dist2,
+  (row_number() OVER (PARTITION BY q.idx ORDER BY (p.lat - q.lat) * (p.lat - q.lat) + (p.lon - q.lon) * (p.lon - q.lon), p.idx))::INT AS rank
+  FROM ({_CLOUD}) p JOIN ({_CLOUD}) q ON q.idx % 50 = 0) WHERE rank <= 3""")
+def knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``knn_within``, without a radius."""
+    cloud = _cloud(spark, sf_dir)
+    return neighbours.nearest_join(cloud, cloud.where("idx % 50 = 0").select(F.col("idx").alias("query"), "lat", "lon"), k=3)
+
+
+@_query("nearest_many", f"""SELECT DISTINCT lat, lon, idx FROM (SELECT p.*, row_number() OVER (PARTITION BY i ORDER BY (lat - a) * (lat - a) + (lon - o) * (lon - o), lat, lon) AS rank
+  FROM ({_CLOUD}) p, (SELECT i, i * 0.4 - 30 AS a, i * 7 % 100 - 50.25 AS o FROM range(150) r(i))) WHERE rank <= 2""")
+def nearest_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two nearest of each of 150 places in one request: their look-up is one join."""
+    cube = Cube(_cloud(spark, sf_dir), ["lat", "lon"], ["idx"], engines={"lat": "quadtree", "lon": "quadtree"})
+    return cube.retrieve(Request(Union(["lat", "lon"], *[Point(["lat", "lon"], [[i * 0.4 - 30, i * 7 % 100 - 50.25]], "nearest", 2) for i in range(150)])))
+
+
+@_query("polygons_join", f"""SELECT p.*, c_custkey AS area FROM ({_CLOUD}) p JOIN (SELECT c_custkey, c_custkey * 37 % 1000 / 20e0 - 25 AS a, c_custkey * 91 % 1000 / 10e0 - 50 AS o, 0.5 + c_custkey % 5 AS r FROM customer)
+  ON abs(lat - a) / r + abs(lon - o) / (2 * r) <= 1 + 1e-9""")
+def polygons_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in the areas of a table, a rhombus for each customer."""
+    key = F.col("c_custkey")
+    a, o, r = key * 37 % 1000 / 20 - 25, key * 91 % 1000 / 10 - 50, (key % 5 + 0.5).cast("double")
+    ring = F.array(*[F.array(a + i * r, o + j * 2 * r) for i, j in ((1, 0), (0, 1), (-1, 0), (0, -1))])
+    return areas.in_areas(_cloud(spark, sf_dir), _table(spark, sf_dir, "customer").select(key.alias("area"), ring.alias("ring")))
+
+
+@_query("path_of_many_segments", f"""SELECT {QTY}, {DISC}, l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE EXISTS (SELECT 1 FROM range(200) r(i)
+  WHERE least(({QTY} - (i / 4e0 - 0.1)) * 4, 1) - greatest(({QTY} - (i / 4e0 + 0.1)) * 4, 0) >= -1e-9
+    AND {DISC} BETWEEN i % 20 / 200e0 - 0.006 - 1e-12 AND i % 20 / 200e0 + 0.006 + 1e-12)""")
+def path_of_many_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A union of 200 sweeps of a box, each of a quarter to the right: a row meets those in its bin."""
+    box = Box([QTY, DISC], [-0.1, -0.006], [0.1, 0.006])
+    way = [PathSegment([QTY, DISC], box, [i / 4, i % 20 / 200], [(i + 1) / 4, i % 20 / 200]) for i in range(200)]
+    return _cube(spark, sf_dir, "lineitem", [QTY, DISC]).retrieve(Request(Union([QTY, DISC], *way)))
+
+
 # --- results --------------------------------------------------------------------------------------------------
 
 _SHIP = f"{QTY} BETWEEN 10 AND 11 AND {within(DISC, .02, .03)}"
@@ -663,6 +700,33 @@ def feature_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Cube(rows, ["day", "user_id"], ["event_id"]).retrieve(Request(days, Select("user_id", [7])), check_values=False)
 
 
+def _asked(name: str, columns: dict[str, str], body: dict, sql: str) -> None:
+    """A request in a user's own words over the events, ``columns`` being its axes as SQL."""
+
+    @_query(name, f"SELECT * FROM (SELECT {', '.join(f'{c} AS {n}' for n, c in _DUCK[name].items())}, event_id FROM events) WHERE {sql}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _table(spark, sf_dir, "events").selectExpr(*[f"{c} AS {n}" for n, c in columns.items()], "event_id")
+        request = features.feature_request({"type": "boundingbox", "points": [[0], [1e9]], "axes": ["event"]}, body, ())
+        return Cube(rows.withColumn("event", F.col("event_id")), [*columns, "event"], ["event_id"]).retrieve(request).select(*columns, "event_id")
+
+
+_CODE, _DAY = "lpad(cast(user_id AS string), 4, '0')", "date_format(ts, 'yyyyMMdd')"
+_DUCK = {
+    "feature_time_range": {"ts": "ts", "user_id": "user_id"},
+    "feature_time_steps": {"hour": "date_trunc('hour', ts)", "user_id": "user_id"},
+    "feature_codes": {"day": "strftime(ts, '%Y%m%d')", "code": "lpad(user_id::VARCHAR, 4, '0')"},
+    "feature_range_text": {"day": "strftime(ts, '%Y%m%d')", "code": "lpad(user_id::VARCHAR, 4, '0')"},
+    "feature_day_steps": {"day": "strftime(ts, '%Y%m%d')", "code": "lpad(user_id::VARCHAR, 4, '0')"},
+}
+_asked("feature_time_range", {"ts": "ts", "user_id": "user_id"}, {"ts": "20240103/to/20240105", "user_id": "5/to/9"},
+       "ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-05' AND user_id BETWEEN 5 AND 9")
+_asked("feature_time_steps", {"hour": "date_trunc('hour', ts)", "user_id": "user_id"}, {"hour": {"start": "2024-01-03", "end": "2024-01-05T12:00", "interval": "6h"}, "user_id": {"start": 1, "end": 99, "interval": 2}},
+       "hour BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-05 12:00:00' AND hour(hour) % 6 = 0 AND user_id BETWEEN 1 AND 99 AND user_id % 2 = 1")
+_asked("feature_codes", {"day": _DAY, "code": _CODE}, {"day": "20240103/20240105", "code": ["0007", "0012"]}, "day IN ('20240103', '20240105') AND code IN ('0007', '0012')")
+_asked("feature_range_text", {"day": _DAY, "code": _CODE}, {"day": {"start": "20240103", "end": "20240105"}, "code": "0005/to/0012"}, "day BETWEEN '20240103' AND '20240105' AND code BETWEEN '0005' AND '0012'")
+_asked("feature_day_steps", {"day": _DAY, "code": _CODE}, {"day": "20231230/to/20240112/by/3", "code": "0002/to/0020/by/6"}, "day IN ('20231230', '20240102', '20240105', '20240108', '20240111') AND code IN ('0002', '0008', '0014', '0020')")
+
+
 # --- what composition with Spark gives ------------------------------------------------------------------------
 
 

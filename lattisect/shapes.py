@@ -126,12 +126,12 @@ class ConvexHull(Shape):
 
 
 class Select(Shape):
-    """Some values of one axis; the only shape for a categorical one."""
+    """Some values of one axis, a categorical one too; with ``checked``, texts that aren't stored are an error."""
 
-    def __init__(self, axis: str, values: Sequence[object], method: str | None = None, k: int = 1) -> None:
+    def __init__(self, axis: str, values: Sequence[object], method: str | None = None, k: int = 1, checked: bool = True) -> None:
         if method not in METHODS:
             raise ValueError(f"no method: {method}")
-        self.axes, self.method, self.k = (axis,), method, k
+        self.axes, self.method, self.k, self.checked = (axis,), method, k, checked
         self.values = tuple(dict.fromkeys(number(v) for v in values))
 
     def bounds(self) -> Bounds:
@@ -269,25 +269,89 @@ class Union(Shape):
     def sql(self, axes: Mapping[str, Axis], dialect: str = SPARK) -> str:
         if not self.shapes:
             return "(1 = 0)"
-        boxes = [s for s in self.shapes if isinstance(s, Box)]
-        if dialect == SPARK and len(boxes) > FEW and all(np.isfinite([s.low, s.high]).all() for s in boxes):
-            rest = [s for s in self.shapes if not isinstance(s, Box)]
-            members = " OR ".join([self._any_box(boxes, axes), *dict.fromkeys(s.sql(axes, dialect) for s in rest)])
+        convex = [s for s in self.shapes if dialect == SPARK and _is_convex(s)]
+        if len(convex) > FEW:
+            rest = [s for s in self.shapes if not _is_convex(s)]
+            members = " OR ".join([self._any_convex(convex, axes), *dict.fromkeys(s.sql(axes, dialect) for s in rest)])
         else:
             members = " OR ".join(dict.fromkeys(s.sql(axes, dialect) for s in self.shapes))
         return "(" + " AND ".join([*self._within(axes, dialect), f"({members})"]) + ")"
 
-    def _any_box(self, boxes: Sequence[Box], axes: Mapping[str, Axis]) -> str:
-        """Many boxes: only those in the bin of the first axis that a row is in are compared with it."""
+    def _any_convex(self, members: Sequence[Shape], axes: Mapping[str, Axis]) -> str:
+        """Many boxes, hulls and sweeps of boxes: only those in the bin of the first two axes that a row is in are compared with it.
+
+        The text has each member's half-spaces once, and their numbers for each bin. Coordinates are taken from the corner of the bins.
+        """
         self._ordered(axes)
         wide = np.array([axes[a].tolerance for a in self.axes])
-        lows = np.array([[b.low[b.axes.index(a)] for a in self.axes] for b in boxes]) - wide
-        highs = np.array([[b.high[b.axes.index(a)] for a in self.axes] for b in boxes]) + wide
-        first, width, bins = _binned(lows[:, 0], highs[:, 0])
-        table = _table([[np.stack([lows[i], highs[i]], axis=1).ravel() for i in own] for own in bins])
-        x = [axes[a].numeric() for a in self.axes]
-        test = " AND ".join(f"{c} >= b[{2 * i}] AND {c} <= b[{2 * i + 1}]" for i, c in enumerate(x))
-        return _in_bin(x[0], first, width, len(bins), table, test)
+        boxes = [s.bounds() for s in members]
+        lows = np.array([[b[a][0] for a in self.axes] for b in boxes]) - wide
+        highs = np.array([[b[a][1] for a in self.axes] for b in boxes]) + wide
+        origin = lows.min(axis=0)
+        spaces = [_inequalities(s, self.axes, low, high, origin) for s, low, high in zip(members, lows, highs)]
+        flat, starts = np.concatenate(spaces), np.cumsum([0, *map(len, spaces)])
+        used = min(2, len(self.axes))
+        count = int(min(512, 2 * len(members))) if used == 1 else int(min(64, 2 * math.isqrt(len(members))))
+        sides = np.maximum((highs.max(axis=0) - origin) / count, np.maximum(1e-300, np.abs(origin) * 1e-15))[:used]
+        first, last = (np.clip(np.floor((v[:, :used] - origin[:used]) / sides + d), 0, count - 1).astype(int) for v, d in ((lows, -1e-6), (highs, 1e-6)))
+        bins: list[list[int]] = [[] for _ in range(count**used)]
+        for m, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
+            for i in range(a[0], b[0] + 1):
+                for k in range(a[-1], b[-1] + 1) if used == 2 else (0,):
+                    bins[i * (count if used == 2 else 1) + k].append(m)
+        x = [f"({axes[a].numeric()} - {double(o)})" for a, o in zip(self.axes, origin)]
+        at = [f"CAST(least(greatest(floor({c} / {double(w)}), 0), {count - 1}) AS INT)" for c, w in zip(x, sides)]
+        number = f"{at[0]} * {count} + {at[1]}" if used == 2 else at[0]
+        d = len(self.axes) + 1
+        own, from_to, spans = _listed([m for b in bins for m in b], "int"), _listed(np.cumsum([0, *map(len, bins)]), "int"), _listed(starts, "int")
+        between = lambda bounds, i: (f"element_at({bounds}, {i} + 1)", f"element_at({bounds}, {i} + 2)")
+        (start, stop), (begin, end) = between(from_to, f"({number})"), between(spans, "m")
+        met = f"slice({own}, {start} + 1, {stop} - {start})"
+        holds = f"{' + '.join(f'r[h * {d} + {i}] * {c}' for i, c in enumerate(x))} <= r[h * {d} + {d - 1}]"
+        test = f"exists({met}, m -> forall(sequence({begin}, {end} - 1), h -> {holds}))"
+        return f"exists(array({_listed(flat.ravel(), 'double')}), r -> {test})"  # the numbers stand in the text once
+
+
+def _listed(values: Sequence[float], kind: str) -> str:
+    """A literal array as one text, which is folded into a constant before anything runs."""
+    write = (lambda v: repr(float(v))) if kind == "double" else (lambda v: str(int(v)))
+    return f"cast(split('{','.join(map(write, values))}', ',') as array<{kind}>)" if len(values) else f"cast(array() as array<{kind}>)"
+
+
+def _is_convex(shape: Shape) -> bool:
+    """Whether a shape is an intersection of half-spaces of bounded size over numbers."""
+    if isinstance(shape, Disk) and shape.exact and all(shape.radius):
+        return False
+    if isinstance(shape, Point):
+        return shape.method is None and not any(isinstance(v, str) for v in shape.point)
+    if not isinstance(shape, (Box, BoxSweep, ConvexHull)):
+        return False
+    bounds = shape.bounds()
+    return bool(bounds) and all(math.isfinite(v) for b in bounds.values() for v in b)
+
+
+def _inequalities(shape: Shape, axes: Sequence[str], low: np.ndarray, high: np.ndarray, origin: np.ndarray) -> np.ndarray:
+    """Rows (n, b) with n @ (x - origin) <= b for all points of a convex shape between two corners, in the order of ``axes``."""
+    unit = np.eye(len(axes))
+    rows = [np.column_stack([unit, high - origin]), np.column_stack([-unit, origin - low])]
+    at = [shape.axes.index(a) for a in axes]
+    if isinstance(shape, BoxSweep):  # some moment suits each two axes that move
+        way = (shape.end - shape.start)[at]
+        near = np.where(way > 0, shape.high[at], shape.low[at]) + shape.start[at]
+        far = np.where(way > 0, shape.low[at], shape.high[at]) + shape.start[at]
+        moving = np.flatnonzero(way)
+        for i in moving:  # (x_i - near_i) / way_i <= (x_j - far_j) / way_j, where the moment is between 0 and 1
+            rows.append(np.append(unit[i] / way[i], (near[i] - origin[i]) / way[i] + 1 + geometry.EPSILON)[None])
+            rows.append(np.append(-unit[i] / way[i], -(far[i] - origin[i]) / way[i] + geometry.EPSILON)[None])
+            for j in moving:
+                if i != j:
+                    rows.append(np.append(unit[i] / way[i] - unit[j] / way[j], (near[i] - origin[i]) / way[i] - (far[j] - origin[j]) / way[j] + geometry.EPSILON)[None])
+    elif isinstance(shape, ConvexHull) and not shape.is_box():
+        h = geometry.half_spaces(shape.points[:, at])
+        for n, b in [*zip(h.normals, h.offsets), *[(s * n, 0.0) for n in h.flat for s in (1, -1)]]:
+            if (np.abs(n) > 1e-12).sum() > 1:  # the others are in the box
+                rows.append(np.append(n / h.scale, b + geometry.EPSILON + n @ ((h.centre - origin) / h.scale))[None])
+    return np.concatenate(rows)
 
 
 class Product(Shape):

@@ -212,3 +212,31 @@ def test_streams_and_views(spark, tmp_path):
     assert spark.sql("select count(*) n from some_cells").first().n == 3
     with pytest.raises(ValueError):
         registry.shape("blob")
+
+
+def test_ranges_are_read_by_their_axis(spark):
+    days = [dt.datetime(2024, 1, d) for d in range(1, 10)]
+    rows = spark.createDataFrame([(d, f"{d:%Y%m%d}", f"{100 * d.day:04d}", d.day, str(d.day)) for d in days], "t timestamp, day string, code string, n int, short string")
+    cube = L.Cube(rows, ["t", "day", "code", "n", "short"])
+
+    def got(axis, value):
+        rest = [L.All(a) for a in cube.axes if a != axis]
+        return sorted(r.n for r in cube.retrieve(L.Request(features.axis_shape(axis, value), *rest)).collect())
+
+    ends = {"start": "20240103", "end": "20240105"}
+    for value, want in (
+        ("20240103/to/20240105", [3, 4, 5]), (ends, [3, 4, 5]), ("20240103/to/20240105/by/1", [3, 4, 5]), ({**ends, "interval": 2}, [3, 5]), ("20240103", [3]), (["20240103", "20240107"], [3, 7]), ("20240105/to/20240103", [3, 4, 5]),
+    ):
+        assert got("t", value) == got("day", value) == want, value
+    assert got("t", "2024-01-03/to/2024-01-05") == got("t", "2024-01-03T00:00:00Z/to/2024-01-05T01:00+01:00") == [3, 4, 5]
+    assert got("t", "2024-01-03/to/2024-01-05/by/12h") == [3, 4, 5] and got("t", 20240103) == got("t", dt.datetime(2024, 1, 3)) == got("t", dt.datetime(2024, 1, 3).replace(tzinfo=dt.timezone.utc).timestamp()) == [3]
+    assert got("code", "0200/0600") == got("code", "0200/to/0600/by/400") == [2, 6] and got("code", "0200/to/0400") == [2, 3, 4] and got("code", "0350/to/0800/by/50") == [4, 5, 6, 7, 8]
+    assert got("short", "2/to/10") == list(range(2, 10)) and got("short", 3) == got("short", 3.0) == [3] and got("short", "7/to/9/by/2") == [7, 9] and got("short", "a/to/z") == []
+    assert got("n", "2/to/6/by/2") == [2, 4, 6] and got("n", "3/5") == got("n", [3, "5"]) == [3, 5] and got("n", "2.5/to/4.5") == [3, 4] and got("n", "5/to/2/by/1") == []
+    with pytest.raises(ValueError, match="no value"):
+        got("code", "200")  # a code as it is written, not its number
+    for axis, bad in (("n", "soon"), ("t", "soon"), ("day", "a/to/b/by/1"), ("n", "0/to/9/by/x"), ("n", "0/to/1e9/by/1"), ("t", "20240103/to/20240105/by/0")):
+        with pytest.raises(BadRequest):
+            got(axis, bad)
+    text = features.axis_shape("code", "it's/to/x\\y").sql({"code": Axis("code", "category")})
+    assert rows.where(text).count() == 0
