@@ -15,6 +15,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,14 +24,19 @@ from .errors import AxisNotFound, BadRequest, MissingValue
 from .operators.neighbours import nearest_join
 from .plans.ranges import Ranged
 from .plans.request import ENGINES, Branch, Request, prune_branches
-from .shapes import Bounds, Point, Product, Select, Shape, Span, Union, opened
+from .shapes import All, Bounds, Point, Product, Select, Shape, Span, Union, opened
+from .sources.grids import RANGES, coalesced
 
 log = logging.getLogger(__name__)
 
 #: A period is repeated at most so often on one side before a request is refused.
 LAPS = 10_000
+#: Combinations of laps that are written out, each as comparisons of columns; more are counted by arithmetic.
+WRITTEN = 8
 #: Places that are looked up in a table of points by one scan; more are joined with it.
 FEW = 32
+#: Blocks of cell numbers that a table of points is asked for.
+CELLS = 4096
 EVERYWHERE = (-math.inf, math.inf)
 
 
@@ -331,22 +337,60 @@ class Cube:
         if not distinct:
             return rows.where(planned.sql(unwrapped)).select(*names, *[f"{a.name}_unwrapped" for a in cyclic])
         # a cell is in the request if any lap's copy is: an OR over the laps, no explode and no exchange
+        laps = [self._laps(a, planned.bounds()[a.name]) for a in cyclic]
+        if math.prod(map(len, laps)) > WRITTEN:
+            return rows.where(self._any_lap(planned, unwrapped, cyclic, laps)).select(*names)
         text, parts = planned.sql(unwrapped), []
-        for laps in itertools.product(*[self._laps(a, planned.bounds()[a.name]) for a in cyclic]):
+        for each in itertools.product(*laps):
             moved = text
-            for a, k in zip(cyclic, laps):
+            for a, k in zip(cyclic, each):
                 low, high = a.period  # type: ignore[misc]
                 place = f"`{a.name}`" if k == 0 else f"round(`{a.name}` + {double(k * (high - low))}, 12)"
                 moved = moved.replace(f"`{a.name}_unwrapped`", place)
                 moved = f"({self._lap_holds(a, k)} AND {moved})"
             parts.append(moved)
-        return rows.where(" OR ".join(parts)).select(*names)
+        return rows.where(" OR ".join(parts) or "false").select(*names)
+
+    def _any_lap(self, planned: Request, unwrapped: Mapping[str, Axis], cyclic: Sequence[Axis], laps: Sequence[range]) -> str:
+        """Whether any of many laps' copies of a cell is in the request, in a text whose size doesn't follow the laps.
+
+        For a span of one axis the laps that bring a cell into it are counted by arithmetic; other shapes are asked at these laps.
+        """
+        rest, tests = list(planned.shapes), []
+        shaped = []
+        for i, (a, own) in enumerate(zip(cyclic, laps)):
+            low, high = a.period  # type: ignore[misc]
+            (first, last), size, x = planned.bounds()[a.name], high - low, a.numeric()
+            slack = max(a.tolerance, 1e-12 * max(abs(first), abs(last), size)) / size
+            begin = f"CAST(least(greatest(ceil(({double(first)} - {x}) / {double(size)} - {double(slack)}), {own.start}), {own.stop}) AS INT)"
+            end = f"CAST(least(greatest(floor(({double(last)} - {x}) / {double(size)} + {double(slack)}), {own.start - 1}), {own.stop - 1}) AS INT)"
+            span = next((s for s in rest if isinstance(s, Span) and s.axes == (a.name,)), None)
+            if math.isinf(first) or math.isinf(last):
+                shaped.append((f"lap{i}", a, "array(0)"))
+                continue
+            if span is None:
+                shaped.append((f"lap{i}", a, f"if({begin} <= {end}, sequence({begin}, {end}), cast(array() as array<int>))"))
+                continue
+            rest.remove(span)
+            tests.append(f"{begin} <= {end}")
+            if self._both_ends(a):  # seams come from the lower end, but for the end of the period itself
+                tests.append(f"CASE WHEN {x} >= {double(high - a.tolerance)} THEN {begin} <= 0 AND {end} >= 0 WHEN {x} <= {double(low + a.tolerance)} THEN NOT ({begin} = 1 AND {end} = 1) ELSE true END")
+        text = Request(*rest).sql(unwrapped)
+        for lap, a, among in shaped:
+            low, high = a.period  # type: ignore[misc]
+            text = text.replace(f"`{a.name}_unwrapped`", f"round(`{a.name}` + {lap} * {double(high - low)}, 12)")
+            if self._both_ends(a):
+                x = a.numeric()
+                text = f"({lap} = 0 OR {x} < {double(high - a.tolerance)} AND ({lap} <> 1 OR {x} > {double(low + a.tolerance)})) AND {text}"
+            text = f"exists({among}, {lap} -> {text})"
+        return " AND ".join([*tests, f"({text})"])
 
     def _narrowed(self, planned: Request) -> DataFrame:
         """The rows of the cells that mapped axes may be asked for, as ranges of cell numbers that reach the scan."""
         rows = self.df
         for m in self.mapped:
             if m.grid is None:
+                rows = self._among_points(rows, m, planned)
                 continue
             asked = [regions(s) for s in planned.shapes if set(s.axes) & set(m.axes)]
             boxes = [tuple(next((b[a] for b in own if a in b), EVERYWHERE) for a in m.axes) for own in itertools.product(*asked)]
@@ -356,6 +400,29 @@ class Cube:
                 rows = rows.where(test or "false")
         return rows
 
+    def _among_points(self, rows: DataFrame, m: Mapped, planned: Request) -> DataFrame:
+        """``rows`` in ranges of numbers with all cells whose points are in the request: these reach the scan of the facts before they are joined.
+
+        The points are asked first, by the same cut as the cube; ``CELLS`` blocks of their numbers are counted, not
+        the numbers themselves. Cells that are numbered along space make few ranges, others wide ones.
+        """
+        shapes: list[Shape] = []
+        for s in planned.shapes:
+            if set(s.axes) <= set(m.axes):
+                shapes.append(s)
+            elif set(s.axes) & set(m.axes):
+                shapes += [Span(a, *s.bounds().get(a, EVERYWHERE)) for a in s.axes if a in m.axes]
+        if all(isinstance(s, All) for s in shapes):
+            return rows
+        cells = Cube(m.points, [self.axes[a] for a in m.axes], [m.cell]).retrieve(Request(*shapes)).select(F.col(m.cell).cast("bigint").alias("cell"))
+        first, last = cells.agg(F.min("cell"), F.max("cell")).first()
+        if first is None:
+            return rows.where("false")
+        width = (last - first) // CELLS + 1
+        blocks = cells.groupBy(F.expr(f"(cell - {first}) div {width}").alias("block")).agg(F.min("cell").alias("first"), (F.max("cell") + 1).alias("stop"))
+        found = np.array([(r["first"], r["stop"]) for r in blocks.collect()], np.int64)
+        return rows.where(" OR ".join(f"(`{m.cell}` >= {a} AND `{m.cell}` < {b})" for a, b in coalesced(found, RANGES)))
+
     def _laps(self, a: Axis, bounds: tuple[float, float]) -> range:
         low, high = a.period  # type: ignore[misc]
         if math.isinf(bounds[0]) or math.isinf(bounds[1]):

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from ..errors import BadRequest
 from ..shapes import All, Box, Disk, Ellipsoid, Path, Point, Polygon, Shape, Union
 from .ranges import Ranged, is_day, parts, stepped
 from .request import Request
 
 GEO = ("lat", "lon")
+#: Kinds of coverages, and the axes that tell one coverage of a kind from another.
+PLACES: dict[str, tuple[str, ...]] = {"PointSeries": ("x", "y", "z"), "VerticalProfile": ("x", "y", "t"), "Trajectory": (), "MultiPoint": ()}
 
 
 def expand_range(value: Any) -> Any:
@@ -127,9 +133,9 @@ def coverage_json(rows: Sequence[Mapping[str, Any]], kind: str, axes: Mapping[st
 
     For the answer to one request, as a service sends it. A timeseries or profile has one coverage for each place.
     """
-    place = {"PointSeries": ("x", "y", "z"), "VerticalProfile": ("x", "y", "t")}.get(kind)
-    if kind not in ("PointSeries", "VerticalProfile", "Trajectory", "MultiPoint"):
+    if kind not in PLACES:
         raise BadRequest(f"no kind of coverage: {kind}")
+    place = PLACES[kind]
     show = lambda v: v.isoformat() + "Z" if isinstance(v, dt.datetime) else v
     groups: dict[tuple, list] = {}
     for r in rows:
@@ -151,3 +157,47 @@ def coverage_json(rows: Sequence[Mapping[str, Any]], kind: str, axes: Mapping[st
         coverages.append({"type": "Coverage", "domain": {"type": "Domain", "axes": domain}, "ranges": ranges})
     parameters = {v: {"type": "Parameter", "observedProperty": {"label": {"en": v}}} for v in values}
     return json.dumps({"type": "CoverageCollection", "domainType": kind, "parameters": parameters, "coverages": coverages})
+
+
+def _json(value: Column, kind: T.DataType) -> Column:
+    """A value as JSON text: times as ``coverage_json`` shows them, what is missing or isn't finite as null."""
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        whole = F.date_format(value, "SSSSSS") == "000000"
+        value = F.when(whole, F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        value = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    text = F.to_json(F.array(value))
+    return F.substring(text, 2, F.length(text) - 2)
+
+
+def coverages(rows: DataFrame, kind: str, axes: Mapping[str, str], values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """CoverageJSON by the executors: a row for each coverage with ``by`` and ``coverage``, its JSON text.
+
+    As ``coverage_json``: a timeseries or profile has a coverage for each place (and each of ``by``), along its own axis in order; a trajectory or
+    points have one for each of ``by``, in the order of their coordinates. The driver sees no row; texts can be written as they are.
+    """
+    if kind not in PLACES:
+        raise BadRequest(f"no kind of coverage: {kind}")
+    place = [a for a in PLACES[kind] if a in axes]
+    free = {"PointSeries": ["t"], "VerticalProfile": ["z"]}.get(kind) or [a for a in ("t", "x", "y", "z") if a in axes]
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    shown = lambda name: _json(F.col(f"`{name}`"), types[name])
+    entry = F.struct(*[F.col(f"`{axes[a]}`").alias(f"o{i}") for i, a in enumerate(free)], *[shown(axes[a]).alias(f"a{i}") for i, a in enumerate(free)], *[shown(v).alias(f"v{i}") for i, v in enumerate(values)])
+    groups = rows.groupBy(*[F.col(f"`{b}`") for b in by], *[F.col(f"`{axes[a]}`").alias(f"__{a}") for a in place]).agg(F.array_sort(F.collect_list(entry)).alias("__all"))
+    listed = lambda of: F.concat(F.lit("["), F.array_join(F.transform("__all", of), ","), F.lit("]"))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    name = lambda n: json.dumps(n)
+    if place:
+        own = [text(name(a), ':{"values":[', _json(F.col(f"__{a}"), types[axes[a]]), "]}") for a in place]
+        domain, along = F.concat_ws(",", *own, text(name(free[0]), ':{"values":', listed(lambda e: e["a0"]), "}")), free[0]
+    else:
+        tuples = listed(lambda e: F.concat(F.lit("["), F.concat_ws(",", *[e[f"a{i}"] for i in range(len(free))]), F.lit("]")))
+        domain, along = text('"composite":{"dataType":"tuple","coordinates":', json.dumps(free), ',"values":', tuples, "}"), "composite"
+    size = F.size("__all").cast("string")
+    ranges = [text(name(v), ':{"type":"NdArray","dataType":"float","axisNames":[', name(along), '],"shape":[', size, '],"values":', listed(_nth(i)), "}") for i, v in enumerate(values)]
+    coverage = text('{"type":"Coverage","domain":{"type":"Domain","axes":{', domain, '}},"ranges":{', F.concat_ws(",", *ranges), "}}")
+    return groups.select(*[F.col(f"`{b}`") for b in by], coverage.alias("coverage"))
+
+
+def _nth(i: int) -> Callable[[Column], Column]:
+    return lambda e: e[f"v{i}"]

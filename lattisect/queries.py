@@ -442,6 +442,31 @@ def nearest_of_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.retrieve(Request(Union(["lat", "lon"], Point(["lat", "lon"], [[1, 2]], "nearest", 3), Point(["lat", "lon"], [[-9.5, 31]], "nearest"))))
 
 
+_STATIONS = "SELECT p_partkey AS cell, 80 - (p_partkey // 25) * 2e0 AS lat, p_partkey % 25 * 14.4 AS lon FROM part"
+
+
+@_query("gridded_cloud", f"""SELECT o_orderpriority, lat, lon, o_orderkey, o_totalprice FROM orders JOIN ({_STATIONS}) ON cell = o_orderkey
+  WHERE {_gon('lat', 'lon', 60, 0, 15, 40)} OR {_gon('lat', 'lon', 60, 360, 15, 40)}""")
+def gridded_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as fields on a list of points that is a table: a disk over the seam."""
+    points_of = _table(spark, sf_dir, "part").selectExpr("p_partkey AS cell", "80 - floor(p_partkey / 25) * 2e0 AS lat", "p_partkey % 25 * 14.4e0 AS lon")
+    return _gridded(spark, sf_dir, {"type": "unstructured", "points": points_of}, cyclic=True).retrieve(Request(All("o_orderpriority"), Disk(["lat", "lon"], [60, 0], [15, 40])))
+
+
+@_query("wire_tree", f"""SELECT o_orderpriority, round(lat, 6) AS lat, round(lon, 6) AS lon, o_orderkey, o_totalprice, n FROM orders JOIN ({_around(_OCTAHEDRAL_16)}) ON cell = o_orderkey
+  JOIN (SELECT o_orderpriority, count(DISTINCT o_orderkey - r) AS n FROM (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS r FROM orders
+    JOIN ({_around(_OCTAHEDRAL_16)}) ON cell = o_orderkey WHERE lat BETWEEN 10 AND 50 AND lon BETWEEN 20 AND 80) GROUP BY 1) USING (o_orderpriority)
+  WHERE lat BETWEEN 10 AND 50 AND lon BETWEEN 20 AND 80""")
+def wire_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box as a tree whose last level is runs of cells, read back; n is how many runs its branch has."""
+    cube = _gridded(spark, sf_dir, _O16)
+    found = cube.retrieve(Request(All("o_orderpriority"), Box(["lat", "lon"], [10, 20], [50, 80])))
+    trees = results.wired(found.withColumn("cell", F.col("o_orderkey")), ["o_orderpriority"], "cell", ["o_orderkey", "o_totalprice"])
+    runs = trees.select(F.explode("tree").alias("t")).select(F.col("t.value").alias("o_orderpriority"), F.size("t.below.runs").cast("bigint").alias("n"))
+    rows = results.unwired(trees, ["o_orderpriority"], "cell", ["o_orderkey", "o_totalprice"], grid=grids.octahedral(16))
+    return rows.withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)}).drop("cell").join(runs, "o_orderpriority")
+
+
 @_query("grid_locate", "SELECT p_partkey, (p_size * 32 + p_partkey % 32)::BIGINT AS cell FROM part WHERE p_size < 16")
 def grid_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = 11.25
@@ -560,6 +585,18 @@ def compressed_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves.select(FLAG, "cells", F.size(QTY).cast("bigint").alias("quantities"), F.array_min(QTY).alias("low"), F.array_max(QTY).alias("high"))
 
 
+@_query("compressed_values", f"""WITH c AS (SELECT {FLAG} AS f, {QTY} AS q, {DISC} AS d, max(l_orderkey) AS v FROM lineitem WHERE {_SHIP} AND l_partkey % 5 < 2 GROUP BY ALL),
+  a AS (SELECT f, q, d FROM (SELECT DISTINCT f, q FROM c) JOIN (SELECT DISTINCT f, d FROM c) USING (f))
+  SELECT f AS {FLAG}, count(DISTINCT q)::BIGINT AS quantities, count(DISTINCT d)::BIGINT AS discounts, string_agg(coalesce(v::VARCHAR, '-'), ',' ORDER BY q, d) AS orders FROM a LEFT JOIN c USING (f, q, d) GROUP BY f""")
+def compressed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest order in each cell of quantity and discount, as arrays with their holes."""
+    cells = Cube(_table(spark, sf_dir, "lineitem").where("l_partkey % 5 < 2"), [FLAG, QTY, DISC], ["l_orderkey"]).retrieve(Request(All(FLAG), *_CELLS.shapes))
+    largest = cells.groupBy(FLAG, QTY, DISC).agg(F.max("l_orderkey").alias("orders"))
+    blocks = results.value_blocks(largest, [FLAG], [QTY, DISC], ["orders"])
+    text = F.array_join(F.transform("orders", lambda v: F.coalesce(v.cast("string"), F.lit("-"))), ",")
+    return blocks.select(FLAG, F.size(QTY).cast("bigint").alias("quantities"), F.size(DISC).cast("bigint").alias("discounts"), text.alias("orders"))
+
+
 @_query("decompressed_requests", f"""SELECT f AS l_returnflag, q AS l_quantity, t AS l_tax FROM (SELECT DISTINCT {FLAG} AS f, {QTY} AS q FROM lineitem WHERE {_SHIP})
   JOIN (SELECT DISTINCT {FLAG} AS g, {TAX} AS t FROM lineitem WHERE {_SHIP}) ON f = g""")
 def decompressed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -727,6 +764,25 @@ _asked("feature_range_text", {"day": _DAY, "code": _CODE}, {"day": {"start": "20
 _asked("feature_day_steps", {"day": _DAY, "code": _CODE}, {"day": "20231230/to/20240112/by/3", "code": "0002/to/0020/by/6"}, "day IN ('20231230', '20240102', '20240105', '20240108', '20240111') AND code IN ('0002', '0008', '0014', '0020')")
 
 
+@_query("coverage_by_executors", """SELECT user_id, count(*)::BIGINT AS points, min(strftime(ts, '%Y-%m-%dT%H:%M:%S')) AS first, sum(value)::DECIMAL(18,4)::DOUBLE AS total FROM events
+  WHERE user_id BETWEEN 3 AND 12 AND event_type = 'click' GROUP BY user_id""")
+def coverage_by_executors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A timeseries of each of ten users as CoverageJSON, read back."""
+    cells = _cube(spark, sf_dir, "events", ["ts", "user_id", "event_type"]).retrieve(Request(All("ts"), Span("user_id", 3, 12), Select("event_type", ["click"])))
+    made = features.coverages(cells, "PointSeries", {"t": "ts", "x": "user_id"}, ["value"])
+    read = F.from_json("coverage", "domain struct<axes: struct<t: struct<values: array<string>>, x: struct<values: array<bigint>>>>, ranges struct<value: struct<values: array<double>>>")
+    rows = made.select(read.alias("c")).select(F.col("c.domain.axes.x.values")[0].alias("user_id"), F.col("c.domain.axes.t.values").alias("t"), F.col("c.ranges.value.values").alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x).cast("decimal(18,4)").cast("double")
+    return rows.select("user_id", F.size("t").cast("bigint").alias("points"), F.substring(F.array_min("t"), 1, 19).alias("first"), total.alias("total"))
+
+
+@_query("cyclic_thousand_laps", "SELECT lon, p_partkey FROM (SELECT p_partkey, p_size % 8 / 8e0 AS lon FROM part) WHERE lon BETWEEN 0.25 - 1e-12 AND 0.75 + 1e-12")
+def cyclic_thousand_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A union of a thousand ranges, one in each lap: an axis of a period of one is in them or isn't, whatever the lap."""
+    rows = _table(spark, sf_dir, "part").select((F.col("p_size") % 8 / 8).alias("lon"), "p_partkey")
+    return Cube(rows, [Axis("lon", period=(0.0, 1.0))], ["p_partkey"]).retrieve(Request(Union(["lon"], *[Box(["lon"], [k + 0.25], [k + 0.75]) for k in range(1000)])))
+
+
 # --- what composition with Spark gives ------------------------------------------------------------------------
 
 

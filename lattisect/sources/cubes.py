@@ -86,7 +86,7 @@ class Mapper:
     resolution: int | tuple[int, int] = 0
     local: tuple[float, float, float, float] | None = None
     counts: tuple[int, ...] = ()
-    points: tuple[tuple[float, float], ...] = ()
+    points: tuple[tuple[float, float], ...] | str | DataFrame = ()
     parameters: Mapping[str, float] = field(default_factory=dict)
     ascending: bool = False
     hash: str | None = None
@@ -221,7 +221,7 @@ def configured(df: DataFrame, axes: Sequence[str], values: Sequence[str], option
                 lat, lon = made.places(f"`{o.axis_name}`")
                 df = df.select("*", F.expr(lat).alias(first), F.expr(lon).alias(second)).where(F.col(first).isNotNull())
                 mapped.append(Mapped(o.axis_name, (first, second), made))
-            else:  # co-located if the store is bucketed by cell; Spark broadcasts the points if they are few
+            else:  # a request's points are looked for first, and ranges of their cells reach the scan of the facts
                 cells = grids.unstructured(df.sparkSession, made).select(F.col("cell").alias(o.axis_name), F.col("lat").alias(first), F.col("lon").alias(second))
                 df = df.join(cells, o.axis_name)
                 mapped.append(Mapped(o.axis_name, (first, second), points=cells))

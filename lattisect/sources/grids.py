@@ -562,8 +562,11 @@ def _series(e: float) -> list[tuple[int, float]]:
     return list(weights) if e else []
 
 
-def unstructured(spark: SparkSession, points: Sequence[tuple[float, float]] | DataFrame) -> DataFrame:
-    """(cell, lat, lon) of given points: their places in a list, or a table (of an external grid, say) that has these columns."""
+def unstructured(spark: SparkSession, points: Sequence[tuple[float, float]] | str | DataFrame) -> DataFrame:
+    """(cell, lat, lon) of given points: a table (of an external grid, say) that has these columns, the path of one as Parquet, or a list, whose
+    places are the numbers. A list goes through the driver, so it is for small grids."""
+    if isinstance(points, str):
+        points = spark.read.parquet(points)
     if isinstance(points, DataFrame):
         return points.select(F.col("cell").cast("bigint").alias("cell"), "lat", "lon")
     return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "cell bigint, lat double, lon double")
