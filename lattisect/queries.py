@@ -427,6 +427,15 @@ _on_grid("gridded_nested", {"type": "healpix_nested", "resolution": 16}, Union([
 _on_grid("gridded_reduced_ll", {"type": "reduced_ll", "counts": list(_REDUCED)}, Box(["lat", "lon"], [-50, 0], [50, 200]), cells=_around(_REDUCED_LL), sql="lat BETWEEN -50 AND 50 AND lon BETWEEN 0 AND 200")
 _on_grid("gridded_lambert", {"type": "lambert_conformal", "parameters": {"nx": 60, "ny": 50, "dx": 50_000, "dy": 50_000, "first_lat": 30.0, "first_lon": 350.0, "lad": 45.0, "lov": 10.0, "latin1": 45.0, "latin2": 45.0}},
          Box(["lat", "lon"], [35, 2], [45, 14]), cells=_LAMBERT, sql="lat BETWEEN 35 AND 45 AND lon BETWEEN 2 AND 14")
+_LL_1441 = """SELECT lat, n, (sum(n) OVER (ORDER BY i) - n)::BIGINT AS base FROM (SELECT i, 90 - i * 0.125e0 AS lat, greatest(2, 2 * ceil(1440 * sin(radians(i * 0.125e0)) - 0.25))::BIGINT AS n FROM range(1345) r(i))"""
+_on_grid("gridded_reduced_ll_1441", {"type": "reduced_ll", "resolution": 1441}, Box(["lat", "lon"], [81, 30], [87.5, 200]), cells=_around(_LL_1441), sql="lat BETWEEN 81 AND 87.5 AND lon BETWEEN 30 AND 200")
+_on_grid("gridded_regular", {"type": "regular", "resolution": 32}, Span("lat", 60, 80), Span("lon", -25, 25), cells="SELECT i * 128 + j AS cell, 90 - i * 2.8125e0 AS lat, j * 2.8125e0 AS lon FROM range(64) a(i), range(128) b(j)",
+         sql="lat BETWEEN 60 AND 80 AND (lon >= 335 OR lon <= 25)", cyclic=True)
+_on_grid("gridded_local", {"type": "local_regular", "resolution": [40, 50], "local": [35, 45, 5, 15]}, Disk(["lat", "lon"], [40, 10], [3, 4]), cells="SELECT i * 51 + j AS cell, 35 + i * 0.25e0 AS lat, 5 + j * 0.2e0 AS lon FROM range(41) a(i), range(51) b(j)",
+         sql=_gon("lat", "lon", 40, 10, 3, 4))
+_GAUSS_16 = [20, 27, 36, 40, 45, 50, 60, 64, 64, 72, 72, 75, 80, 80, 80, 80]
+_on_grid("gridded_gaussian", {"type": "reduced_gaussian", "resolution": 16, "counts": _GAUSS_16}, Polygon(["lat", "lon"], [[10, 20], [70, 20], [70, 200], [40, 60]]), cells=_around(_gaussian(NODES_32, _GAUSS_16)),
+         sql="lat <= 70 AND lon >= 20 AND lon <= CASE WHEN lat <= 40 THEN 20 + (lat - 10) * 4 / 3 ELSE 60 + (lat - 40) * 14 / 3 END + 1e-9")
 # the nearest of all cells, around the circle; of two as near the one with the least coordinates
 _NEAR = "(lat - ({a})) * (lat - ({a})) + pow(least(abs(lon - {o}), 360 - abs(lon - {o})), 2)"
 _nearest = lambda a, o: f"cell IN (SELECT cell FROM ({_around(_OCTAHEDRAL_16)}) ORDER BY round({_NEAR.format(a=a, o=o)}, 9), lat, lon LIMIT 1)"
@@ -704,6 +713,15 @@ def configured_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cubes.configured(rows, ["day", "user_id"], ["event_id"], options).retrieve(Request(All("day"), Span("user_id", 5, 6)))
 
 
+@_query("catalogue_values", """SELECT event_type, axis, count(DISTINCT value)::BIGINT AS size, min(value) AS first, max(value) AS last FROM (
+  SELECT event_type, 'user' AS axis, lpad(user_id::VARCHAR, 5, '0') AS value FROM events UNION ALL SELECT event_type, 'day', strftime(ts, '%Y%m%d') FROM events) GROUP BY event_type, axis""")
+def catalogue_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue of what is stored for each type of event: its users and days."""
+    listed = F.array(F.struct(F.lit("user").alias("axis"), F.lpad(F.col("user_id").cast("string"), 5, "0").alias("value")), F.struct(F.lit("day").alias("axis"), F.date_format("ts", "yyyyMMdd").alias("value")))
+    rows = _table(spark, sf_dir, "events").select("event_type", F.explode(listed).alias("e")).select("event_type", "e.axis", "e.value")
+    return cubes.catalogue(rows, path=["event_type"]).select("event_type", "axis", "size", F.col("values")[0].alias("first"), F.element_at("values", -1).alias("last"))
+
+
 # --- features -------------------------------------------------------------------------------------------------
 
 

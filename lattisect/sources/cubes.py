@@ -55,12 +55,24 @@ def discovered_axes(df: DataFrame, axes: Sequence[str], most: int = 100_000) ->
     return out
 
 
-def catalogue_axes(spark: SparkSession, table: str, axis: str = "axis", value: str = "value") -> dict[str, list[object]]:
-    """Axes and their values as a table of the catalogue lists them."""
-    rows = spark.table(table).groupBy(axis).agg(F.sort_array(F.collect_set(value)).alias("v")).collect()
-    if not rows:
+def catalogue(rows: DataFrame, axis: str = "axis", value: str = "value", path: Sequence[str] = ()) -> DataFrame:
+    """What the table of a catalogue lists: a row for each combination of ``path`` and each axis, with its sorted ``values`` and how many these are.
+
+    Rows without an axis or a value list nothing.
+    """
+    some = rows.where(F.col(axis).isNotNull() & F.col(value).isNotNull())
+    return some.groupBy(*path, F.col(axis).alias("axis")).agg(F.sort_array(F.collect_set(value)).alias("values")).withColumn("size", F.size("values").cast("bigint"))
+
+
+def catalogue_axes(spark: SparkSession, table: str, axis: str = "axis", value: str = "value", most: int = 100_000) -> dict[str, list[object]]:
+    """Axes and their values as a table of the catalogue lists them; more than ``most`` values together are refused before they are sent."""
+    rows = spark.table(table).where(F.col(axis).isNotNull() & F.col(value).isNotNull()).select(axis, value).distinct()
+    n = rows.count()
+    if not n:
         raise BadRequest(f"{table} lists no axes")
-    return {r[axis]: list(r["v"]) for r in rows}
+    if n > most:
+        raise BadRequest(f"{table} lists {n} values, more than {most}")
+    return {r["axis"]: list(r["values"]) for r in catalogue(rows, axis, value).collect()}
 
 
 # --- options --------------------------------------------------------------------------------------------------
@@ -102,7 +114,7 @@ class Mapper:
         elif self.type == "reduced_gaussian":
             made = grids.reduced_gaussian(int(self.resolution), self.counts)  # type: ignore[call-overload]
         elif self.type == "reduced_ll":
-            made = grids.reduced_ll(self.counts)
+            made = grids.reduced_ll(self.counts or int(self.resolution))  # type: ignore[call-overload]
         elif self.type == "lambert_conformal":
             return grids.Lambert(**self.parameters)  # type: ignore[arg-type]
         elif self.type in ("unstructured", "icon"):

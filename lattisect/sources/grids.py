@@ -21,6 +21,8 @@ from ..errors import BadGrid
 Box = tuple[tuple[float, float], tuple[float, float]]
 #: Ranges of cell numbers that a scan is asked for at most; degrees within which a place is one of a grid's.
 RANGES, NEAR = 64, 1e-9
+#: Runs of rows with a pattern in their counts that are told apart by comparisons; more are looked up in bins.
+BRANCHES = 32
 ROW_SCHEMA = "row int, lat double, points bigint, first_lon double, step double, base bigint"
 
 
@@ -143,8 +145,22 @@ class RowGrid:
             at = to
         if len(branches) == 1:
             return f"({branches[0][1]})"
+        if len(branches) > BRANCHES:
+            return self._row_in_bins(cell)
         return "(CASE " + " ".join(f"WHEN {cell} < {stop} THEN {row}" for stop, row in branches[:-1]) + f" ELSE {branches[-1][1]} END)"
 
+    def _row_in_bins(self, cell: str) -> str:
+        """As ``row_sql`` where rows follow no pattern: a bin of numbers has its first and last row, and those between are counted."""
+        bases, width = self.bases, -(-self.size // (2 * len(self.points)))
+        cuts = np.arange(0, self.size, width)
+        firsts, lasts = (np.searchsorted(bases, c, "right") - 1 for c in (cuts, np.minimum(cuts + width, self.size) - 1))
+        listed = lambda values: f"cast(split('{','.join(map(str, values.tolist()))}', ',') as array<int>)"
+        at = lambda values: f"try_element_at({listed(values)}, bin)"
+        between = f"slice(rows, {at(firsts)} + 2, {at(lasts)} - {at(firsts)})"
+        inner = f"{at(firsts)} + size(filter({between}, b -> b <= {cell}))"
+        by_bin = f"transform(array(CAST(least(greatest(CAST({cell} AS BIGINT) div {width}, 0), {len(cuts) - 1}) AS INT) + 1), bin -> {inner})[0]"
+        return f"transform(array({numbers(bases.tolist())}), rows -> {by_bin})[0]"
+
     def places(self, cell: str) -> tuple[str, str]:
         """Latitude and longitude of a cell by its number, as SQL; null for a number that is none of the grid's."""
         here = f"CASE WHEN {cell} >= 0 AND {cell} < {self.size} THEN CAST({self.row_sql(cell)} AS INT) + 1 END"
@@ -260,10 +276,25 @@ def reduced_gaussian(n: int, counts: Sequence[int]) -> RowGrid:
     return _around(gaussian_latitudes(n).tolist(), own, "reduced_gaussian")
 
 
-def reduced_ll(counts: Sequence[int], start: float = 90.0) -> RowGrid:
-    """Equally spaced latitudes from ``start`` to the other pole with the points of each row as given."""
-    n = len(counts)
-    return _around([round(start - i * 180 / (n - 1), 12) for i in range(n)], list(counts), "reduced_ll")
+#: Fixed values of the reduced grids of latitudes and longitudes that are known by their number of rows: how many of these have points, and
+#: the first latitude. The rows south of the seas have none.
+REDUCED_LL = {1441: (1345, 90.0), 3601: (3361, 89.973092)}
+
+
+def reduced_ll(counts: Sequence[int] | int, start: float = 90.0) -> RowGrid:
+    """Equally spaced latitudes from ``start`` to the other pole with the points of each row as given.
+
+    A number of rows in place of the counts names a known grid: there a row has as many points as keep them as far apart as
+    rows are, in pairs, a quarter of a pair being left out.
+    """
+    if isinstance(counts, int):
+        if counts not in REDUCED_LL:
+            raise BadGrid(f"the points of each row of a grid of {counts} rows aren't known")
+        (rows, start), n = REDUCED_LL[counts], counts
+        counts = [max(2, 2 * math.ceil((n - 1) * math.sin(math.radians(i * 180 / (n - 1))) - 0.25)) for i in range(rows)]
+    else:
+        n = len(counts)
+    return _around([round(start - i * 180 / (n - 1), 12) for i in range(len(counts))], list(counts), "reduced_ll")
 
 
 def _around(lats: Sequence[float], counts: Sequence[int], name: str) -> RowGrid:
@@ -365,6 +396,18 @@ class Nested:
     def cells(self, spark: SparkSession, lat: tuple[float, float] | None = None, lon: tuple[float, float] | None = None) -> DataFrame:
         return healpix_nested_cells(spark, self.n, lat, lon)
 
+    def _row_in_bins(self, cell: str) -> str:
+        """As ``row_sql`` where rows follow no pattern: a bin of numbers has its first and last row, and those between are counted."""
+        bases, width = self.bases, -(-self.size // (2 * len(self.points)))
+        cuts = np.arange(0, self.size, width)
+        firsts, lasts = (np.searchsorted(bases, c, "right") - 1 for c in (cuts, np.minimum(cuts + width, self.size) - 1))
+        listed = lambda values: f"cast(split('{','.join(map(str, values.tolist()))}', ',') as array<int>)"
+        at = lambda values: f"try_element_at({listed(values)}, bin)"
+        between = f"slice(rows, {at(firsts)} + 2, {at(lasts)} - {at(firsts)})"
+        inner = f"{at(firsts)} + size(filter({between}, b -> b <= {cell}))"
+        by_bin = f"transform(array(CAST(least(greatest(CAST({cell} AS BIGINT) div {width}, 0), {len(cuts) - 1}) AS INT) + 1), bin -> {inner})[0]"
+        return f"transform(array({numbers(bases.tolist())}), rows -> {by_bin})[0]"
+
     def places(self, cell: str) -> tuple[str, str]:
         """Latitude and longitude of a cell by its number, as SQL; null for a number that is none of the grid's."""
         n, ring = self.n, self.ring
@@ -474,6 +517,18 @@ class Lambert:
         turn = math.radians((self.first_lon - self.lov + 180) % 360 - 180)
         return rho * math.sin(n * turn), rho0 - rho * math.cos(n * turn), rho0
 
+    def _row_in_bins(self, cell: str) -> str:
+        """As ``row_sql`` where rows follow no pattern: a bin of numbers has its first and last row, and those between are counted."""
+        bases, width = self.bases, -(-self.size // (2 * len(self.points)))
+        cuts = np.arange(0, self.size, width)
+        firsts, lasts = (np.searchsorted(bases, c, "right") - 1 for c in (cuts, np.minimum(cuts + width, self.size) - 1))
+        listed = lambda values: f"cast(split('{','.join(map(str, values.tolist()))}', ',') as array<int>)"
+        at = lambda values: f"try_element_at({listed(values)}, bin)"
+        between = f"slice(rows, {at(firsts)} + 2, {at(lasts)} - {at(firsts)})"
+        inner = f"{at(firsts)} + size(filter({between}, b -> b <= {cell}))"
+        by_bin = f"transform(array(CAST(least(greatest(CAST({cell} AS BIGINT) div {width}, 0), {len(cuts) - 1}) AS INT) + 1), bin -> {inner})[0]"
+        return f"transform(array({numbers(bases.tolist())}), rows -> {by_bin})[0]"
+
     def places(self, cell: str) -> tuple[str, str]:
         """Latitude and longitude of a cell by its number, as SQL; null for a number that is none of the grid's."""
         a, e, n, f, _ = self._constants()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import lattisect as L
 from lattisect.axes import Axis
-from lattisect.errors import BadRequest, MissingValue
+from lattisect.errors import BadGrid, BadRequest, MissingValue
 from lattisect.sources import cubes, grids
 
 GRIDS = {
@@ -166,3 +166,37 @@ def test_selections_of_any_size_have_one_tolerance(spark):
     plane = L.Cube(spark.createDataFrame(points.tolist(), "x double, y double"), ["x", "y"])
     want = {tuple(p) for p in points.tolist() if any((b.low <= p).all() and (p <= b.high).all() for b in boxes)}
     assert {(r.x, r.y) for r in plane.retrieve(L.Request(L.Union(["x", "y"], *boxes))).collect()} == want and len(want) > 100
+
+
+def test_known_reduced_grids():
+    """Published sizes, the first rows and the last one."""
+    for n, size, most in ((1441, 2612294, 2880), (3601, 16323354, 7200)):
+        grid = grids.reduced_ll(n)
+        assert grid.size == size and max(grid.points) == most and grid.points[:6] == (2, 6, 14, 20, 26, 32)
+        assert grid.lats[-1] < -77.9 and len(grid.lats) == grids.REDUCED_LL[n][0]
+    assert cubes.Mapper("reduced_ll", resolution=1441).grid() == grids.reduced_ll(1441)
+    with pytest.raises(BadGrid):
+        grids.reduced_ll(721)
+
+
+def test_rows_without_a_pattern_are_found_in_bins(spark):
+    grid = grids.reduced_ll(1441)
+    rng = np.random.default_rng(2)
+    cells = np.unique(np.concatenate([rng.integers(0, grid.size, 3000), grid.bases, grid.bases[1:] - 1, [grid.size - 1]]))
+    rows = spark.createDataFrame([(int(c),) for c in [*cells, -1, grid.size, 10**12]], "cell bigint")
+    lat, lon = grid.places("cell")
+    found = {r.cell: (r.lat, r.lon) for r in rows.select("cell", F.expr(lat).alias("lat"), F.expr(lon).alias("lon")).collect()}
+    row = np.searchsorted(grid.bases, cells, "right") - 1
+    for c, r in zip(cells.tolist(), row.tolist()):
+        assert found[c][0] == grid.lats[r] and math.isclose(found[c][1], (c - grid.bases[r]) * grid.steps[r], abs_tol=1e-9)
+    assert found[-1] == found[grid.size] == found[10**12] == (None, None)
+
+
+def test_catalogue(spark):
+    rows = spark.createDataFrame([("a", "2", "x"), ("a", "1", "x"), ("a", "1", "x"), ("b", "z", "y"), ("b", None, "y"), (None, "q", "y")], "axis string, value string, p string")
+    rows.createOrReplaceTempView("listed")
+    assert cubes.catalogue_axes(spark, "listed") == {"a": ["1", "2"], "b": ["z"]}
+    assert sorted((r.p, r.axis, r["values"], r.size) for r in cubes.catalogue(rows, path=["p"]).collect()) == [("x", "a", ["1", "2"], 2), ("y", "b", ["z"], 1)]
+    for bad in (lambda: cubes.catalogue_axes(spark, "listed", most=2), lambda: (rows.limit(0).createOrReplaceTempView("none"), cubes.catalogue_axes(spark, "none"))):
+        with pytest.raises(BadRequest):
+            bad()
