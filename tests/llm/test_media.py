@@ -99,3 +99,38 @@ def test_search_finds_copies_cut_off_the_grid(spark):
     found = {r.id: r for r in media.search(media.fingerprints(df, "id", "audio"), "id", F.col("id") < 12).collect()}
     assert [(found[i].n_matches, found[i].best_match) for i in range(12)] == [(1, 100 + i) for i in range(12)]
     assert all(found[i].best_offset in (-5, -6) and found[i].best_errors <= media.ERRORS for i in range(12))
+
+
+def test_search_recalls_what_a_comparison_at_all_offsets_finds(spark):
+    """Recall against brute force: queries against all, at every offset, by all bits."""
+    rng = np.random.default_rng(8)
+    vectors = [rng.normal(0, 0.125, 64) for _ in range(60)]
+    for i in range(0, 60, 3):  # the same tune, begun later, with changed notes, or shortened
+        base = np.roll(vectors[i], 0).copy()
+        base[rng.integers(0, 64, rng.integers(0, 6))] = 0.3
+        vectors.append(base[rng.integers(0, 12) : 64 - rng.integers(0, 12)])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id bigint, e array<double>")
+    prints = media.fingerprints(df, "id", "e", media.read_tune)
+    codes = {r.id: np.array(r.codes, np.int32).view(np.uint32) for r in prints.collect()}
+    asked = [i for i in codes if i % 2 == 0]
+    want = {}
+    for i in asked:
+        for j in codes:
+            if i == j or np.array_equal(codes[i], codes[j]):
+                continue
+            a, b, best = codes[i], codes[j], None
+            for shift in range(-len(a) + media.OVERLAP, len(b) - media.OVERLAP + 1):
+                first = max(-shift, 0)
+                n = min(len(a), len(b) - shift) - first
+                bits = int(np.bitwise_count(a[first : first + n] ^ b[first + shift : first + shift + n]).sum())
+                if bits <= media.allowed(np.array(n)):
+                    best = min(best or (9.0, 0), (bits / (32 * n), shift))
+            if best:
+                want.setdefault(i, {})[j] = best
+    found = {r.id: r for r in media.search(prints, "id", F.col("id") % 2 == 0).collect()}
+    total = sum(len(m) for m in want.values())
+    got = sum(found[i].n_matches for i in asked)
+    assert total >= 20 and 0.9 * total <= got <= total
+    right = [found[i].best_match is not None and abs(found[i].best_errors - min(m.values())[0]) < 1e-12 for i, m in want.items()]
+    assert sum(right) >= 0.9 * len(right)
+    assert all(found[i].n_matches == 0 for i in asked if i not in want)
