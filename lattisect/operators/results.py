@@ -244,6 +244,20 @@ def nested(rows: DataFrame, axes: Sequence[str], values: Sequence[str] = (), roo
     return out.withColumnRenamed("__tree", "tree")
 
 
+def tree_leaves(trees: DataFrame, axes: Sequence[str], values: Sequence[str] = (), root: Sequence[str] = ()) -> DataFrame:
+    """The leaves of trees of ``nested`` as rows, by the executors: a text for each axis that isn't a root's, and for each value."""
+    inner, rows = [a for a in axes if a not in root], trees.select(*root, F.col("tree").alias("__tree"))
+    for i, a in enumerate(inner):
+        level = F.explode(F.from_json("__tree", "map<string,string>")).alias("__key", "__below")
+        rows = rows.select(*root, *inner[:i], level).select(*root, *inner[:i], F.col("__key").alias(a), F.col("__below").alias("__tree"))
+    read = F.from_json("__tree", "map<string,string>")
+    return rows.select(*root, *inner, *[F.get(F.map_values(F.map_filter(read, _is_key(v))), 0).alias(v) for v in values])
+
+
+def _is_key(name: str) -> Callable[[Column, Column], Column]:
+    return lambda k, _: k == name
+
+
 def encode(rows: DataFrame, path: str) -> None:
     """Writes a result; ``decode`` gives the same rows."""
     rows.write.parquet(path)

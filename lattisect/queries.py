@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import datetime as dt
 
+from . import store
 from .axes import Axis
 from .cube import Cube
 from .operators import areas, neighbours, points, results, transforms
@@ -462,6 +463,25 @@ def gridded_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gridded(spark, sf_dir, {"type": "unstructured", "points": points_of}, cyclic=True).retrieve(Request(All("o_orderpriority"), Disk(["lat", "lon"], [60, 0], [15, 40])))
 
 
+@_query("gridded_icon", f"""SELECT o_orderpriority, lat, lon, o_orderkey, o_totalprice FROM orders JOIN ({_STATIONS}) ON cell = o_orderkey
+  WHERE (lat, lon) IN (SELECT (lat, lon) FROM ({_STATIONS}) ORDER BY pow(lat - 33.3, 2) + pow(lon - 100, 2), lat, lon LIMIT 4)""")
+def gridded_icon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four points of a list that are nearest to a place."""
+    points_of = _table(spark, sf_dir, "part").selectExpr("p_partkey AS cell", "80 - floor(p_partkey / 25) * 2e0 AS lat", "p_partkey % 25 * 14.4e0 AS lon")
+    return _gridded(spark, sf_dir, {"type": "icon", "points": points_of}).retrieve(Request(All("o_orderpriority"), Point(["lat", "lon"], [[33.3, 100]], "nearest", 4)))
+
+
+@_query("dynamic_grid", f"SELECT o_orderpriority, round(lat, 6) AS lat, round(lon, 6) AS lon, o_orderkey, o_totalprice FROM orders JOIN ({_around(_OCTAHEDRAL_16)}) ON cell = o_orderkey WHERE lat BETWEEN 30 AND 40 AND lon BETWEEN 0 AND 90")
+def dynamic_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid that the store's description names, in place of the one that the options name."""
+    mapper = {"name": "mapper", "type": "regular", "resolution": 8, "axes": ["lat", "lon"]}
+    options = cubes.Options.parse({"dynamic_grid": True, "axis_config": [{"axis_name": "o_orderkey", "transformations": [mapper]}]}).with_grid(lambda: {"type": "octahedral", "resolution": 16})
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    cube = cubes.configured(orders, ["o_orderpriority", "o_orderkey"], ["o_orderkey", "o_totalprice"], options)
+    found = cube.retrieve(Request(All("o_orderpriority"), Box(["lat", "lon"], [30, 0], [40, 90])))
+    return found.withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
+
+
 @_query("wire_tree", f"""SELECT o_orderpriority, round(lat, 6) AS lat, round(lon, 6) AS lon, o_orderkey, o_totalprice, n FROM orders JOIN ({_around(_OCTAHEDRAL_16)}) ON cell = o_orderkey
   JOIN (SELECT o_orderpriority, count(DISTINCT o_orderkey - r) AS n FROM (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS r FROM orders
     JOIN ({_around(_OCTAHEDRAL_16)}) ON cell = o_orderkey WHERE lat BETWEEN 10 AND 50 AND lon BETWEEN 20 AND 80) GROUP BY 1) USING (o_orderpriority)
@@ -671,6 +691,43 @@ def nested_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.select(FLAG, F.size(read).cast("bigint").alias("branches"), F.aggregate(inner, F.lit(0).cast("bigint"), lambda a, m: a + F.size(F.map_keys(m))).alias("leaves"))
 
 
+@_query("tree_leaves", f"SELECT DISTINCT {FLAG}, {QTY}, {DISC}::DECIMAL(5,2)::DOUBLE AS {DISC} FROM lineitem WHERE {_SHIP}")
+def tree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of flags taken apart again."""
+    cells = Cube(_table(spark, sf_dir, "lineitem"), [FLAG, QTY, DISC]).index(Request(All(FLAG), *_CELLS.shapes))
+    found = results.tree_leaves(results.nested(cells, [FLAG, QTY, DISC], root=[FLAG]), [FLAG, QTY, DISC], root=[FLAG])
+    return found.select(FLAG, F.col(QTY).cast("double"), F.col(DISC).cast("double"))
+
+
+@_query("encoded_and_decoded", f"SELECT {QTY}, {DISC}, l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE {_SHIP}")
+def encoded_and_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{store.shared_folder(spark)}/result"
+    results.encode(_cube(spark, sf_dir, "lineitem", [QTY, DISC]).retrieve(_CELLS), path)
+    return results.decode(spark, path)
+
+
+@_query("stored_for_ranges", f"SELECT {QTY}, {DISC}, {TAX}, l_orderkey, l_linenumber FROM lineitem WHERE {_SHIP} AND {within(TAX, .01, .03)}")
+def stored_for_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box out of a store that was written for boxes on three axes."""
+    path = f"{store.shared_folder(spark)}/cube"
+    results.store(_table(spark, sf_dir, "lineitem").select(QTY, DISC, TAX, *SHIP_KEY), path, [QTY, DISC, TAX])
+    return Cube.from_parquet(spark, path, [QTY, DISC, TAX], SHIP_KEY).retrieve(Request(Box([QTY, DISC, TAX], [10, 0.02, 0.01], [11, 0.03, 0.03])))
+
+
+@_query("explicit_axes", "SELECT p_size, p_retailprice, p_partkey FROM part WHERE p_size IN (7, 49) AND p_retailprice <= 950")
+def explicit_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes snapped to values that the options list, without a look into the store."""
+    options = cubes.Options.parse({"alternative_axes": [{"axis_name": "p_size", "values": list(range(1, 50, 3))}]})
+    cube = cubes.configured(_table(spark, sf_dir, "part"), ["p_size", "p_retailprice"], ["p_partkey"], options)
+    return cube.retrieve(Request(Select("p_size", [7.4, 80], method="nearest"), Span("p_retailprice", 0, 950)))
+
+
+@_query("has_index", f"SELECT x::DOUBLE AS value, EXISTS (SELECT 1 FROM lineitem WHERE {QTY} = x) AS found FROM (VALUES (1), (17), (50.5), (51), (-3)) v(x)")
+def has_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = _cube(spark, sf_dir, "lineitem", [QTY])
+    return spark.createDataFrame([(float(v), cube.has_index(QTY, v)) for v in (1, 17, 50.5, 51, -3)], "value double, found boolean")
+
+
 @_query("sub_cube", f"SELECT {DISC}, l_extendedprice, l_orderkey, l_linenumber FROM lineitem WHERE {QTY} = 33 AND {DISC} <= 0.01 + 1e-12")
 def sub_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cube(spark, sf_dir, "lineitem", [QTY, DISC]).select(**{QTY: 33}).retrieve(Request(Span(DISC, 0, 0.01)))
