@@ -33,3 +33,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discarded(table: DataFrame) -> None:
+    """Removes the files of a table that ``written`` made, once nothing reads it any more: what was made of it must have been written too."""
+    spark = table.sparkSession
+    files = table.inputFiles()
+    if files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(os.path.dirname(files[0]))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
