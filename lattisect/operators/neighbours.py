@@ -16,6 +16,8 @@ from ..store import written
 
 #: Points of an average cell of the finest grid, for each of the k that are asked for; points of a block of a cell.
 POINTS, BLOCK = 4, 20_000
+#: Pairs of points and queries that are compared without grids.
+FEW = 20_000_000
 #: What rounding may take from the side of a cell.
 SLACK = 1 - 1e-9
 #: Levels at most: the finest cells are a part of the extent that a whole number of 30 bits can count.
@@ -30,14 +32,15 @@ def _top(rows: DataFrame, by: list[str], k: int) -> DataFrame:
 
 def nearest_join(
     points: DataFrame, queries: DataFrame, k: int = 1, idx: str | Column = "idx", lat: str = "lat", lon: str = "lon", query: str = "query",
-    period: tuple[float, float] | None = None, block: int = BLOCK,
+    period: tuple[float, float] | None = None, block: int = BLOCK, few: int = FEW,
 ) -> DataFrame:
     """For each row of ``queries``, its k nearest points: (query, idx, lat, lon, dist2, rank), without a radius and exact.
 
     Distances are squared degrees in the plane, or with a ``period`` of longitudes, the short way round it. Ties go by ``idx``. Where there are
     fewer than k points a query has all of them. Points and queries with a null coordinate, or one that isn't finite, are left out;
     a query that stands there twice has its rows once, if its coordinates are the same. The number of jobs follows that of the
-    rounds, which is the logarithm of the unevenness of the points at most, and not the number of queries.
+    rounds, which is the logarithm of the unevenness of the points at most, and not the number of queries; where points times queries
+    are ``few``, one round compares them all, in blocks.
     """
     size = (period[1] - period[0]) if period else None
     own = idx if isinstance(idx, Column) else F.col(idx)
@@ -57,7 +60,7 @@ def nearest_join(
         extent = size * 2 ** max(0, math.ceil(math.log2(max(extent / size, 1))))
     parts = max(1.0, seen["n"] / (POINTS * k))
     area = max(high_x - low_x, 1e-9 * extent) * max(high_y - low_y, 1e-9 * extent)
-    levels = max(0, min(LEVELS - 1, round(math.log2(extent / math.sqrt(area / parts)))))
+    levels = 0 if seen["n"] * asked.count() <= few else max(0, min(LEVELS - 1, round(math.log2(extent / math.sqrt(area / parts)))))
     # a query off the extent is looked for from the point of it that is nearest; its way there adds to all distances
     clamp = lambda c, low, high: F.greatest(F.lit(low), F.least(F.lit(high), c))
     px, py = clamp(F.col("qx"), low_x, high_x), F.col("qy") if period else clamp(F.col("qy"), low_y, high_y)
@@ -86,10 +89,11 @@ def nearest_join(
         dx, dy = F.col("x") - F.col("qx"), F.abs(F.col("y") - F.col("qy"))
         dy = F.least(dy, F.lit(size) - dy) if period else dy
         met = spread.join(copied, ["ci", "cj", "block"]).select("query", "qx", "qy", "idx", "lat", "lon", (dx * dx + dy * dy).alias("dist2"))
-        best = written(_top(met, ["query", "qx", "qy"], k), "best")
+        best = _top(met, ["query", "qx", "qy"], k)
         if level == 0:  # all points have been seen
             done = best.drop("qx", "qy")
             return done if out is None else out.unionByName(done)
+        best = written(best, "best")
         bound = F.col("off") + (side * SLACK) ** 2
         sure = best.where(F.col("rank") == k).select("query", "qx", "qy", F.col("dist2").alias("far"))
         judged = left.join(sure, ["query", "qx", "qy"], "left").withColumn("done", F.coalesce(F.col("far") < bound, F.lit(False)))
