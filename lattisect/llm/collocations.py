@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..store import discarded
 from .common import written
 
 WORDS, LEAST, TOP = 5, 100, 2000
 #: Words of a shard, about; bytes of a text that are cut into words at once; words that a task holds in unfinished shards.
-SHARD, STEP, HELD = 2_000_000, 4_000_000, 4_000_000
+SHARD, STEP, HELD = 1_000_000, 1_000_000, 2_000_000
 #: Bytes of frequent phrases that are sent to every task at most; more are joined by an exchange.
-SENT = 32_000_000
+SENT = 8_000_000
 #: What parts pieces (it becomes a full stop, which no word has), and what parts words.
 _CUT = bytes(ord(".") if chr(b) in ".,;:!?\n\v\f\r" else ord(" ") if chr(b) == "\t" else b + 32 if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else b for b in range(256))
 
@@ -158,70 +159,142 @@ def _around(last: np.ndarray, known: np.ndarray, size: np.ndarray) -> np.ndarray
 _FOUND = "shard bigint, first int, last int, size int, p bigint, s bigint"
 
 
-def _found(shard: int, index: Index, first: np.ndarray, last: np.ndarray, size: np.ndarray, names: np.ndarray) -> pa.Table:
-    """(shard, first, last, size, p, s): the intervals of the phrases one word longer, with the names of the known phrases p that each begins and s that it ends with."""
-    order = np.argsort(last)
-    first, last, size, names = (v[order] for v in (first, last, size, names))
+def _grown(index: Index, first: np.ndarray, last: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first, last, size, p, s) of the phrases one word longer than those of some intervals, whose ``last`` ascend: p and s are the places among
+    these of the phrase that each begins with and of the one that it ends with."""
     of, more_first, more_last, count = index.extended(first, last, size)
     ends = _around(more_last, last, size)
     some = ends >= 0
-    numbers = [pa.array(v[some].astype(np.int32)) for v in (more_first, more_last, count)]
-    return pa.table([pa.array(np.full(int(some.sum()), shard, np.int64)), *numbers, pa.array(names[of[some]]), pa.array(names[ends[some]])], names=["shard", "first", "last", "size", "p", "s"])
+    return more_first[some], more_last[some], count[some], of[some], ends[some]
+
+
+def _rows(shard: int, first: np.ndarray, last: np.ndarray, size: np.ndarray, p: np.ndarray, s: np.ndarray) -> pa.Table:
+    numbers = [pa.array(v.astype(np.int32)) for v in (first, last, size)]
+    return pa.table([pa.array(np.full(len(p), shard, np.int64)), *numbers, pa.array(p), pa.array(s)], names=["shard", "first", "last", "size", "p", "s"])
 
 
 def _numpy(table: pa.Table, *names: str) -> list[np.ndarray]:
     return [table.column(n).to_numpy().astype(np.int64) for n in names]
 
 
+_INDEX = "shard bigint, after array<int>, names array<bigint>"
+
+
+def _index_of(shard: int, seq: np.ndarray, at: np.ndarray, names: np.ndarray) -> pa.Table:
+    """The index of a shard over its words at the places ``at`` of its list, renumbered in that order; all others are separators."""
+    number = np.zeros(int(max(seq.max(initial=0), at.max(initial=0) + 1)) + 1, np.int32)
+    number[at + 1] = np.arange(1, len(at) + 1)
+    seq = np.append(np.int32(0), number[seq])
+    seq = seq[np.append(True, (seq[1:] != 0) | (seq[:-1] != 0))]  # one separator is as good as many
+    return pa.table({"shard": pa.array([shard], pa.int64()), "after": pa.array([transformed(seq)], pa.list_(pa.int32())), "names": pa.array([names], pa.list_(pa.int64()))})
+
+
 def _indexed(made: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(shard, after, word, name): the index of each shard of ``made`` over its words in ``frequent`` (lang, phrase, name), which are numbered by ``word``."""
+    """(shard, after, names): the index of each shard of ``made`` over its words in ``frequent`` (lang, phrase, name).
+
+    The words are sent to every task if they have SENT bytes at most, and else joined by an exchange."""
+    own = frequent.select("lang", "phrase", "name")
+    if _bytes(own) <= SENT:
+        known: dict[str, dict[str, int]] = {}
+        for r in own.collect():
+            known.setdefault(r["lang"], {})[r["phrase"]] = r["name"]
+        shared = made.sparkSession.sparkContext.broadcast(known)
+
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    get = shared.value.get(batch.column(1)[i].as_py(), {}).get
+                    names = np.array([-1 if n is None else n for n in map(get, batch.column(2)[i].as_py())], np.int64)
+                    at = np.flatnonzero(names >= 0)
+                    yield from _index_of(batch.column(0)[i].as_py(), batch.column(3)[i].values.to_numpy(), at, names[at]).to_batches()
+                    pa.default_memory_pool().release_unused()
+
+        return made.select("shard", "lang", "words", "seq").mapInArrow(of, _INDEX)
     words = made.select("shard", "lang", F.posexplode("words").alias("at", "word"))
-    own = words.join(_sent(frequent.select(F.col("lang").alias("of"), "phrase", "name")), (F.col("lang") == F.col("of")) & (F.col("word") == F.col("phrase")))
+    met = words.join(own.withColumnRenamed("lang", "of"), (F.col("lang") == F.col("of")) & (F.col("word") == F.col("phrase")))
 
-    def of(texts: pa.Table, known: pa.Table) -> pa.Table:
-        if not texts.num_rows or not known.num_rows:
-            return pa.table({"shard": pa.array([], pa.int64()), "after": pa.array([], pa.list_(pa.int32())), "names": pa.array([], pa.list_(pa.int64()))})
-        seq = texts.column("seq").combine_chunks().flatten().to_numpy()
-        at, names = _numpy(known, "at", "name")
-        number = np.zeros(int(max(seq.max(initial=0), at.max() + 1)) + 1, np.int32)
-        number[at + 1] = np.arange(1, len(at) + 1)
-        seq = np.append(np.int32(0), number[seq])
-        seq = seq[np.append(True, (seq[1:] != 0) | (seq[:-1] != 0))]  # one separator is as good as many
-        return pa.table({"shard": texts.column("shard"), "after": pa.array([transformed(seq)], pa.list_(pa.int32())), "names": pa.array([names], pa.list_(pa.int64()))})
+    def both(texts: pa.Table, found: pa.Table) -> pa.Table:
+        if not texts.num_rows or not found.num_rows:
+            return _index_of(0, np.zeros(1, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)).slice(0, 0)
+        return _index_of(texts.column("shard")[0].as_py(), texts.column("seq").combine_chunks().flatten().to_numpy(), *_numpy(found, "at", "name"))
 
-    return made.select("shard", "seq").groupBy("shard").cogroup(own.select(F.col("shard").alias("of"), "at", "name").groupBy("of")).applyInArrow(of, "shard bigint, after array<int>, names array<bigint>")
+    return made.select("shard", "seq").groupBy("shard").cogroup(met.select(F.col("shard").alias("to"), "at", "name").groupBy("to")).applyInArrow(both, _INDEX)
 
 
-def _pairs(indexed: DataFrame) -> DataFrame:
-    """The intervals of phrases of two words in every shard."""
+def _enumerated(indexed: DataFrame, tables: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """The intervals of phrases of ``len(tables) + 1`` words in every shard; p and s are places in the last of ``tables``, which has for each length
+    the names of its frequent phrases and, in their order, what tells them: the places of the two phrases that each extends, as one number."""
+    shared = indexed.sparkSession.sparkContext.broadcast(tables)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
                 index = Index(batch.column(1)[i].values.to_numpy())
-                names = batch.column(2)[i].values.to_numpy()
-                yield from _found(batch.column(0)[i].as_py(), index, *_first(index, np.arange(1, len(names) + 1)), names).to_batches()
+                place = np.searchsorted(known[0][0], batch.column(2)[i].values.to_numpy())
+                spans = _first(index, np.arange(1, len(place) + 1))
+                for (names, _), (_, keys) in zip(known, known[1:]):
+                    *spans, p, s = _grown(index, *spans)
+                    key = place[p] * len(names) + place[s]
+                    at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+                    some = np.flatnonzero(keys[at] == key) if len(keys) else np.empty(0, np.int64)
+                    some = some[np.argsort(spans[1][some])]
+                    place, spans = at[some], [v[some] for v in spans]
+                *spans, p, s = _grown(index, *spans)
+                yield from _rows(batch.column(0)[i].as_py(), *spans, place[p], place[s]).to_batches()
+                pa.default_memory_pool().release_unused()
 
     return indexed.select("shard", "after", "names").mapInArrow(of, _FOUND)
 
 
+def _singles(indexed: DataFrame) -> DataFrame:
+    """(shard, first, last, size, name): the intervals of single words."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                names = batch.column(2)[i].values.to_numpy()
+                spans = _first(Index(batch.column(1)[i].values.to_numpy()), np.arange(1, len(names) + 1))
+                yield from _rows(batch.column(0)[i].as_py(), *spans, names, names).to_batches()
+
+    return indexed.select("shard", "after", "names").mapInArrow(of, _FOUND).select("shard", "first", "last", "size", F.col("p").alias("name"))
+
+
 def _longer(indexed: DataFrame, known: DataFrame) -> DataFrame:
-    """The intervals of phrases one word longer than those of ``known`` (shard, first, last, size, name)."""
+    """As ``_enumerated``, one word longer than the phrases of ``known`` (shard, first, last, size, name), which come to their shards by an exchange."""
 
     def of(shard: pa.Table, own: pa.Table) -> pa.Table:
         if not shard.num_rows or not own.num_rows:
-            return _found(0, Index(np.zeros(1, np.int32)), *[np.empty(0, np.int64)] * 4)
+            return _rows(0, *[np.empty(0, np.int64)] * 5)
         index = Index(shard.column("after").combine_chunks().flatten().to_numpy())
-        return _found(shard.column("shard")[0].as_py(), index, *_numpy(own, "first", "last", "size", "name"))
+        first, last, size, name = _numpy(own, "first", "last", "size", "name")
+        order = np.argsort(last)
+        *spans, p, s = _grown(index, first[order], last[order], size[order])
+        return _rows(shard.column("shard")[0].as_py(), *spans, name[order][p], name[order][s])
 
-    return indexed.select("shard", "after").groupBy("shard").cogroup(known.select(F.col("shard").alias("of"), "first", "last", "size", "name").groupBy("of")).applyInArrow(of, _FOUND)
+    return indexed.select("shard", "after").groupBy("shard").cogroup(known.select(F.col("shard").alias("to"), "first", "last", "size", "name").groupBy("to")).applyInArrow(of, _FOUND)
 
 
-def _sent(rows: DataFrame) -> DataFrame:
-    """``rows``, to be sent to every task of a join if they have SENT bytes at most."""
+def _bytes(rows: DataFrame) -> int:
+    """About how many bytes a table of numbers and texts has."""
     texts = [F.octet_length(f.name) for f in rows.schema.fields if f.dataType.simpleString() == "string"]
-    each = sum(texts, F.lit(8 * (len(rows.columns) - len(texts))))
-    return F.broadcast(rows) if (rows.agg(F.sum(each)).first()[0] or 0) <= SENT else rows
+    return rows.agg(F.sum(sum(texts, F.lit(8 * (len(rows.columns) - len(texts)))))).first()[0] or 0
+
+
+def _table(level: DataFrame, names: np.ndarray | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """The frequent phrases of a length as ``_enumerated`` takes them, where ``names`` are those of the phrases a word shorter, in order.
+    None if they have more than SENT bytes."""
+    own = level.select("name", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("s", F.lit(0)).alias("s"))
+    if _bytes(own) > SENT:
+        return None
+    name, p, s = np.array(own.collect(), np.int64).reshape(-1, 3).T
+    if names is None:
+        return np.sort(name), np.empty(0, np.int64)
+    by_name = np.argsort(names)
+    p, s = (by_name[np.searchsorted(names, v, sorter=by_name)] for v in (p, s)) if len(p) else (p, s)
+    key = p * len(names) + s
+    order = np.argsort(key)
+    return name[order], key[order]
 
 
 def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", words: int = WORDS, least: int = LEAST, size: int = SHARD) -> tuple[list[DataFrame], DataFrame]:
@@ -230,25 +303,43 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", wor
     ``f`` is how often a phrase stands in the pieces of its language, ``least`` times or more; ``starts`` and ``ends`` are how often its first and
     its last 1, 2, ... words do, ``p`` and ``s`` the names of the phrases without its last and without its first word. Texts and
     languages that are null count as empty and as ``und``. Other columns don't matter.
+
+    While the frequent phrases have SENT bytes at most, each length's pass goes through a shard's index anew, told which phrases are frequent, and only
+    sums are exchanged. Beyond that the intervals of frequent phrases are joined, written and brought to their shards.
     """
     made = written(shards(docs, lang_col, text_col, size), "shards")
     totals = made.select("lang", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0")
     counts = made.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("f"))
     name, nothing = F.monotonically_increasing_id().alias("name"), F.lit(None).cast("bigint")
     single = counts.where(F.col("f") >= least).select(name, "lang", "phrase", F.col("phrase").alias("last"), "f", F.array("f").alias("starts"), F.array("f").alias("ends"), nothing.alias("p"), nothing.alias("s"))
-    levels = [written(single, "frequent")]
+    levels, totals = [written(single, "frequent")], written(totals, "totals")
     indexed = written(_indexed(made, levels[0]), "index")
+    discarded(made)
+    table = _table(levels[0], None)
+    tables = [table] if table else []
+    found: DataFrame | None = None
     for k in range(2, words + 1):
-        found = written(_pairs(indexed) if k == 2 else _longer(indexed, known), "found")
-        sums = found.groupBy("p", "s").agg(F.sum("size").alias("f")).where(F.col("f") >= least)
+        if told := len(tables) == k - 1:
+            found, names = _enumerated(indexed, tables), tables[-1][0]
+            sums = found.groupBy((F.col("p") * len(names) + F.col("s")).alias("key")).agg(F.sum("size").alias("f")).where(F.col("f") >= least)
+            numbered = docs.sparkSession.createDataFrame(list(enumerate(names.tolist())), "place bigint, name bigint")  # as many as are told
+            p, s = (numbered.select(F.col("place").alias(f"at_{c}"), F.col("name").alias(c)) for c in "ps")
+            sums = sums.select("f", F.expr(f"key div {max(1, len(names))}").alias("at_p"), F.expr(f"key % {max(1, len(names))}").alias("at_s")).join(p, "at_p").join(s, "at_s").select("p", "s", "f")
+        else:
+            found = _longer(indexed, written(_singles(indexed) if found is None else found.join(frequent, ["p", "s"]).select("shard", "first", "last", "size", "name"), "known"))
+            sums = found.groupBy("p", "s").agg(F.sum("size").alias("f")).where(F.col("f") >= least)
         left = levels[-1].select(F.col("name").alias("p"), "lang", "phrase", "starts")
         right = levels[-1].select(F.col("name").alias("s"), "last", "ends")
         both = written(sums, "sums").join(left, "p").join(right, "s")
         made_of = [F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f", F.concat("starts", F.array("f")).alias("starts"), F.concat("ends", F.array("f")).alias("ends"), "p", "s"]
         levels.append(written(both.select(name, "lang", *made_of), "frequent"))
-        if k < words:
-            known = found.join(_sent(levels[-1].select("p", "s", "name")), ["p", "s"])
-    return levels, written(totals, "totals")
+        frequent = levels[-1].select("p", "s", "name")
+        if told and k < words:
+            if table := _table(levels[-1], names):
+                tables.append(table)
+            else:  # what is joined next has places in place of names
+                frequent = frequent.join(p, "p").join(s, "s").select(F.col("at_p").alias("p"), F.col("at_s").alias("s"), "name")
+    return levels, totals
 
 
 def scored(levels: list[DataFrame], totals: DataFrame) -> DataFrame:

@@ -3,54 +3,27 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import shared_folder, written
+
+__all__ = ["SPACE", "SPACES", "ascii_lower", "cleaned", "let", "running_sums", "sha256_hex", "shared_folder", "words", "written"]
+
 #: ASCII white space, the separator of words everywhere in this package.
 SPACE = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that the driver and every executor see, in one of the application's own.
-
-    It lies under ``spark.checkpoint.dir``. Only a local master may do without that setting; it
-    gets a temporary folder, since there the driver and the executor are one process.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "lattisect-checkpoints")
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-
-
 def cleaned(spark: SparkSession) -> None:
     """Removes all that this application has written under ``shared_folder``: once its results have been read or written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(os.path.dirname(shared_folder(spark)))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back.
-
-    It cuts the lineage: a lost executor costs the re-reading of a file and never the stages
-    before it, and a table that is used twice is computed once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` applied to ``value``, which is evaluated once however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

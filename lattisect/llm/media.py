@@ -286,7 +286,7 @@ def search(prints: DataFrame, id_col: str, is_query: Column) -> DataFrame:
     Recordings with the same codes are a class, named by the least id; those without codes are classes of their own
     and match nothing. The representatives of the queries' classes vote for offsets of all representatives: n_matches other
     classes match, best_match (least differing bits; then the least id) at best_offset, with best_errors. Repeated
-    rows come out as often as they went in. A null id stays in its class and is no query.
+    rows come out as often as they went in. A null id stays in its class and is no query, and a class that has no other id isn't searched for.
     """
     rows = written(prints.select(F.col(id_col).alias("id"), "codes", F.sha2(F.array_join(F.col("codes").cast("array<string>"), ","), 256).alias("same"), F.coalesce(is_query, F.lit(False)).alias("asks")), "prints")
     some = F.size("codes") > 0

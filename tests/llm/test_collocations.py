@@ -81,6 +81,21 @@ def test_exchanges_where_phrases_are_too_many_to_send(spark, monkeypatch):
     assert got == brute(rows, 4, 2000)
 
 
+def test_changes_to_exchanges_at_any_length(spark, monkeypatch):
+    """The first lengths are told to the tasks, and from the one on that has too many phrases they are joined."""
+    rows = [("en", sentences(30, i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    sizes = [level.count() for level in collocations.phrases(df, least=4, size=100)[0]]
+    assert sizes[0] < sizes[1] < sizes[2] or sizes[1] > max(sizes[0], sizes[2])
+    told = []
+    monkeypatch.setattr(collocations, "_enumerated", lambda indexed, tables, f=collocations._enumerated: (told.append(len(tables)), f(indexed, tables))[1])
+    for sent in {24 * sizes[0], 24 * max(sizes[:2])} - ({24 * max(sizes)}):
+        monkeypatch.setattr(collocations, "SENT", sent)
+        told.clear()
+        assert sorted(tuple(r) for r in collocations.ranked(df, least=4, size=100).collect()) == brute(rows, 4, 2000)
+        assert told == ([1] if sent < 24 * sizes[1] else [1, 2])
+
+
 def test_scores_beyond_64_bits(spark):
     n = 10**13
     level = spark.createDataFrame([(1, "en", "a", "a", 3 * 10**11, [3 * 10**11], [3 * 10**11], None, None)], "name bigint, lang string, phrase string, last string, f bigint, starts array<bigint>, ends array<bigint>, p bigint, s bigint")
