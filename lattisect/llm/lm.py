@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: States of the model, those of endings among them; words of context; length of vectors.
-VOCABULARY, ENDINGS, CONTEXT, SIZE = 16_384, 255, 3, 24
+VOCABULARY, ENDINGS, CONTEXT, SIZE = 16_384, 255, 3, 16
 #: Noise classes for a minibatch, noise words for a token, tokens of a minibatch, and the rate of learning.
 NOISE_CLASSES, NOISE_WORDS, BATCH, RATE = 32, 2, 1024, 0.1
 #: The training text is dealt into rounds, with an average after each, and goes through them so many times. A task takes
