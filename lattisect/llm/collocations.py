@@ -26,7 +26,7 @@ from .common import written
 
 WORDS, LEAST, TOP = 5, 100, 2000
 #: Words of a shard, about; bytes of a text that are cut into words at once; words that a task holds in unfinished shards.
-SHARD, STEP, HELD = 1_000_000, 1_000_000, 2_000_000
+SHARD, STEP, HELD = 500_000, 1_000_000, 1_000_000
 #: Bytes of frequent phrases that are sent to every task at most; more are joined by an exchange.
 SENT = 8_000_000
 #: What parts pieces (it becomes a full stop, which no word has), and what parts words.
