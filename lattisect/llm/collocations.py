@@ -27,6 +27,8 @@ from .common import written
 WORDS, LEAST, TOP = 5, 100, 2000
 #: Words of a shard, about; bytes of a text that are cut into words at once; words that a task holds in unfinished shards.
 SHARD, STEP, HELD = 500_000, 1_000_000, 1_000_000
+#: Shards of a row group: what a task that reads or writes shards holds of them in the JVM.
+ROWS = 4
 #: Bytes of frequent phrases that are sent to every task at most; more are joined by an exchange.
 SENT = 8_000_000
 #: What parts pieces (it becomes a full stop, which no word has), and what parts words.
@@ -307,13 +309,13 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", wor
     While the frequent phrases have SENT bytes at most, each length's pass goes through a shard's index anew, told which phrases are frequent, and only
     sums are exchanged. Beyond that the intervals of frequent phrases are joined, written and brought to their shards.
     """
-    made = written(shards(docs, lang_col, text_col, size), "shards")
+    made = written(shards(docs, lang_col, text_col, size), "shards", ROWS)
     totals = made.select("lang", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0")
     counts = made.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("f"))
     name, nothing = F.monotonically_increasing_id().alias("name"), F.lit(None).cast("bigint")
     single = counts.where(F.col("f") >= least).select(name, "lang", "phrase", F.col("phrase").alias("last"), "f", F.array("f").alias("starts"), F.array("f").alias("ends"), nothing.alias("p"), nothing.alias("s"))
     levels, totals = [written(single, "frequent")], written(totals, "totals")
-    indexed = written(_indexed(made, levels[0]), "index")
+    indexed = written(_indexed(made, levels[0]), "index", ROWS)
     discarded(made)
     table = _table(levels[0], None)
     tables = [table] if table else []

@@ -23,15 +23,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     It cuts the lineage: a lost executor costs the re-reading of a file and never the stages
-    before it, and a table that is used twice is computed once.
+    before it, and a table that is used twice is computed once. A row group has ``rows`` at most: readers and writers
+    hold a batch of thousands of rows unless a row group ends before, which is too much where a row is large.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
-    df.write.parquet(path)
+    (df.write if rows is None else df.write.option("parquet.block.row.count.limit", rows)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

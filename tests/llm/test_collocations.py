@@ -3,9 +3,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from lattisect import store
 from lattisect.llm import collocations
 
 
@@ -128,3 +130,21 @@ def test_intervals_in_both_orders():
         known = {(*phrases[o], w): (f, l, s) for o, w, f, l, s in zip(of, word, first, last, size)}
         k += 1
         assert {p for p in known} == {tuple(ring[i : i + k]) for i in range(n) if 0 not in ring[i : i + k]}
+
+
+def test_row_groups_hold_few_shards(spark, monkeypatch):
+    """A reader's batch is as long as a row group: a file of many shards isn't read, or buffered by its writer, at once."""
+    groups: dict[str, list[int]] = {}
+
+    def spied(df, name, *more):
+        table = store.written(df, name, *more)
+        for file in table.inputFiles():
+            made = pq.ParquetFile(file.removeprefix("file://")).metadata
+            groups.setdefault(name, []).extend(made.row_group(i).num_rows for i in range(made.num_row_groups))
+        return table
+
+    monkeypatch.setattr(collocations, "written", spied)
+    docs = spark.createDataFrame([(f"x{i % 3} y z. y z w{i % 5}", "de") for i in range(400)], "text string, lang string").coalesce(1)
+    collocations.phrases(docs, least=20, size=100)
+    for name in ("shards", "index"):
+        assert sum(groups[name]) > 3 * collocations.ROWS and max(groups[name]) <= collocations.ROWS
