@@ -24,7 +24,7 @@ from .errors import AxisNotFound, BadRequest, MissingValue
 from .operators.neighbours import nearest_join
 from .plans.ranges import Ranged
 from .plans.request import ENGINES, Branch, Request, prune_branches
-from .shapes import All, Bounds, Point, Product, Select, Shape, Span, Union, opened
+from .shapes import All, Bounds, Point, Product, Select, Shape, Span, Union, members, merged, opened, shifted
 from .sources.grids import RANGES, coalesced
 
 log = logging.getLogger(__name__)
@@ -339,7 +339,13 @@ class Cube:
         # a cell is in the request if any lap's copy is: an OR over the laps, no explode and no exchange
         laps = [self._laps(a, planned.bounds()[a.name]) for a in cyclic]
         if math.prod(map(len, laps)) > WRITTEN:
-            return rows.where(self._any_lap(planned, unwrapped, cyclic, laps)).select(*names)
+            planned, tests = self._folded(planned, axes, cyclic)
+            for test in tests:
+                rows = rows.where(test)
+            if cyclic := [a for a in cyclic if a.name in planned.bounds()]:
+                laps = [self._laps(a, planned.bounds()[a.name]) for a in cyclic]
+                return rows.where(self._any_lap(planned, unwrapped, cyclic, laps)).select(*names)
+            return rows.where(planned.sql(axes)).select(*names) if planned.shapes else rows.select(*names)
         text, parts = planned.sql(unwrapped), []
         for each in itertools.product(*laps):
             moved = text
@@ -351,6 +357,41 @@ class Cube:
             parts.append(moved)
         return rows.where(" OR ".join(parts) or "false").select(*names)
 
+    def _folded(self, planned: Request, axes: Mapping[str, Axis], cyclic: Sequence[Axis]) -> tuple[Request, list[str]]:
+        """(what is left of a request, tests of the cells themselves): many values, boxes and hulls over one cyclic axis are brought into its
+        period, each by the laps that it lies away, so a cell is compared once and not at every lap. Shapes with members of other kinds are left.
+        """
+        rest, tests = [], []
+        for s in [part for s in planned.shapes for part in (s.shapes if isinstance(s, Product) else (s,))]:
+            own = [a for a in cyclic if a.name in s.axes]
+            test = self._in_period(s, own[0], axes) if len(own) == 1 and isinstance(s, (Union, Select)) else None
+            if test is None:
+                rest.append(s)
+            else:
+                tests.append(test)
+        return Request(*rest), tests
+
+    def _in_period(self, shape: Shape, a: Axis, axes: Mapping[str, Axis]) -> str | None:
+        low, high = a.period  # type: ignore[misc]
+        both = self._both_ends(a)
+        by_lap: dict[int, dict[tuple, Shape]] = {}  # laps 0 and 1 treat the ends of a stored period unlike all others
+        for m in members(shape):
+            bounds = m.bounds().get(a.name, EVERYWHERE)
+            if not all(map(math.isfinite, bounds)):
+                return None
+            laps: Sequence[int] = self._laps(a, bounds)
+            if len(laps) > WRITTEN:  # those between the ends have all of the period
+                laps = sorted({*laps[:2], *laps[-2:], *(k for k in (0, 1) if k in laps)})
+            for k in laps:
+                moved = shifted(m, a.name, -k * (high - low))
+                if moved is None:
+                    return None
+                by_lap.setdefault(k if both and k in (0, 1) else 2, {}).setdefault(*moved)
+        x = a.numeric()
+        inner = {0: [], 1: [f"{x} < {double(high - a.tolerance)}", f"{x} > {double(low + a.tolerance)}"], 2: [f"{x} < {double(high - a.tolerance)}"] if both else []}
+        parts = [" AND ".join([*inner[k], Union(shape.axes, *merged(list(own.values()))).sql(axes)]) for k, own in by_lap.items()]
+        return " OR ".join(f"({p})" for p in parts) or "false"
+
     def _any_lap(self, planned: Request, unwrapped: Mapping[str, Axis], cyclic: Sequence[Axis], laps: Sequence[range]) -> str:
         """Whether any of many laps' copies of a cell is in the request, in a text whose size doesn't follow the laps.
 

@@ -515,6 +515,55 @@ def opened(shape: Shape) -> Shape:
     return Polygon(shape.axes, geometry.convex_ring(shape.points).tolist(), border=False)
 
 
+def members(shape: Shape) -> list[Shape]:
+    """The members of a union, also of unions in it; values as one box each."""
+    if isinstance(shape, Union):
+        return [m for s in shape.shapes for m in members(s)]
+    if isinstance(shape, Select) and not any(isinstance(v, str) for v in shape.values):
+        return [Box(shape.axes, [v], [v]) for v in shape.values]
+    return [shape]
+
+
+def shifted(shape: Shape, axis: str, by: float) -> tuple[tuple, Shape] | None:
+    """(what tells it, the shape moved along an axis), or None for a shape that isn't a point, box, hull or sweep of a box.
+
+    Boxes are as much wider as the place that they come from was rounded, if that is more than the twelfth decimal.
+    """
+    i = shape.axes.index(axis)
+    way = by * np.eye(len(shape.axes))[i]
+    if isinstance(shape, Point) and shape.method is None and not any(isinstance(v, str) for v in shape.point):
+        shape = Box(shape.axes, shape.point, shape.point)
+    if isinstance(shape, Box):
+        low, high = shape.low.copy(), shape.high.copy()
+        ulp = math.ulp(max(abs(low[i]), abs(high[i])))
+        wide = ulp if by and ulp > 4e-13 else 0.0
+        if by:
+            low[i], high[i] = round(low[i] + by, 12) - wide, round(high[i] + by, 12) + wide
+        return ("box", *low, *high), Box(shape.axes, low, high)
+    if isinstance(shape, BoxSweep):
+        moved = BoxSweep(shape.axes, Box(shape.axes, shape.low, shape.high), shape.start + way, shape.end + way)
+        return ("sweep", *shape.low, *shape.high, *np.round([*moved.start, *moved.end], 12)), moved
+    if isinstance(shape, Disk) and shape.exact:
+        centre = np.array(shape.centre) + way
+        return ("disk", *np.round(centre, 12), *shape.radius), Disk(shape.axes, centre, shape.radius, exact=True)
+    if isinstance(shape, ConvexHull) and len(shape.points):
+        return ("hull", *np.round(shape.points + way, 12).ravel()), ConvexHull(shape.axes, (shape.points + way).tolist())
+    return None
+
+
+def merged(shapes: Sequence[Shape]) -> list[Shape]:
+    """The same points, of one axis in as few boxes as there can be if all are boxes."""
+    if not all(isinstance(s, Box) and len(s.axes) == 1 for s in shapes):
+        return list(shapes)
+    out: list[list[float]] = []
+    for low, high in sorted((float(s.low[0]), float(s.high[0])) for s in shapes):  # type: ignore[attr-defined]
+        if out and low <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], high)
+        else:
+            out.append([low, high])
+    return [Box(shapes[0].axes, [low], [high]) for low, high in out]
+
+
 #: Shapes by name, for requests that come as data.
 SHAPES: dict[str, Callable[..., Shape]] = {
     "hull": ConvexHull, "select": Select, "point": Point, "span": Span, "all": All, "box": Box, "disk": Disk,

@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
@@ -177,3 +178,38 @@ def test_bounds_reach_the_scan(spark, tmp_path):
     spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     plan = cube.retrieve(L.Request(L.Disk(["x", "y"], [20, 20], [5, 5])))._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(x" in plan and "LessThanOrEqual(y" in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("both", [False, True])
+def test_unions_of_many_laps_are_brought_into_the_period(spark, both):
+    """A cell is compared with the members of a union once, not at every lap; ends of a stored period are still one place."""
+    xs = [i / 8 for i in range(0, 80 if not both else 81)]  # a period of ten, with or without its upper end
+    cells = spark.createDataFrame([(x, float(y)) for x in xs for y in range(3)], "x double, y double")
+    cube = L.Cube(cells, [L.Axis("x", period=(0.0, 10.0)), "y"], [])
+    rng = random.Random(5)
+
+    def inside(x, y, boxes):
+        for (a, b), (c, d) in boxes:
+            for k in range(math.floor((a - x) / 10) - 1, math.ceil((b - x) / 10) + 2):
+                seam = both and ((k != 0 and x >= 10) or (k == 1 and x <= 0))
+                if not seam and a - 1e-12 <= round(x + 10 * k, 12) <= b + 1e-12 and c <= y <= d:
+                    return True
+        return False
+
+    for boxes in (
+        [((10.0 * k + 2.5, 10.0 * k + 2.75), (1, 1)) for k in range(-100, 150)],
+        [(((a := rng.randrange(-8000, 8000) / 8), a + rng.choice([0, 0, 0.1, 12.5])), (0, rng.randrange(2))) for _ in range(12)],
+        [((10.0, 10.0), (0, 0)), ((-990.0, -990.0), (1, 1)), ((1000.0, 1000.0), (2, 2)), ((0.0, 0.0), (2, 2))],
+        [((-500.1, 499.9), (2, 2)), ((1003.3, 1003.5), (0, 0))],
+    ):
+        found = cube.retrieve(L.Request(L.Union(["x", "y"], *[L.Box(["x", "y"], [a, c], [b, d]) for (a, b), (c, d) in boxes])))
+        assert sorted(map(tuple, found.collect())) == [(x, float(y)) for x in xs for y in range(3) if inside(x, y, boxes)]
+        assert "ceil" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    line = L.Cube(cells.select("x").distinct(), [L.Axis("x", period=(0.0, 10.0))], [])
+    values = [10.0 * k + 2.5 for k in range(-200, 200)] + [773.375]
+    found = line.retrieve(L.Request(L.Select("x", values)))
+    assert sorted(r[0] for r in found.collect()) == [2.5, 3.375]
+    assert "exists" not in found._jdf.queryExecution().optimizedPlan().toString()
+    boxes = line.retrieve(L.Request(L.Union(["x"], *[L.Box(["x"], [10 * k + 2], [10 * k + 3]) for k in range(1000)])))
+    assert sorted(r[0] for r in boxes.collect()) == [x for x in xs if 2 <= x <= 3]
+    assert "exists" not in boxes._jdf.queryExecution().optimizedPlan().toString()
