@@ -1,4 +1,4 @@
-"""A table of areas against points: each area is covered by cells of a quadtree, and cells are joined by their numbers.
+"""A table of areas against points: each different area is covered by cells of a quadtree, and cells are joined by their numbers.
 
 Cells that an area fills take their points without a test. Those on its border keep the few sides that a ray from inside them can meet, and
 points are tested against these alone. An area has at most ``CELLS`` cells, of whatever sizes suit it, so a point
@@ -19,6 +19,8 @@ from ..store import written
 
 #: Cells of an area's cover, about; levels of the quadtree; how far outside its sides' ranges a point of a border may be.
 CELLS, LEVELS, TOLERANCE = 128, 28, 1e-12
+#: Areas that are covered at once, and by a task.
+STEP, TASK = 64, 256
 _SIDE = "struct<x1:double,y1:double,x2:double,y2:double,slope:double,nx:double,ny:double>"
 
 
@@ -77,10 +79,9 @@ def cover(sides: np.ndarray, low: np.ndarray, extent: float, cells: int = CELLS)
         level += 1
         todo = (2 * todo[:, None] + np.array([(0, 0), (0, 1), (1, 0), (1, 1)])[None]).reshape(-1, 2)
     side = extent / 2**level
-    for i, j in todo:
-        x, y = low + np.array((i, j)) * side
-        ahead = (np.maximum(sides[:, 0], sides[:, 2]) >= x - wide - 1e-9 * side) & (np.minimum(sides[:, 1], sides[:, 3]) <= y + side * (1 + 1e-9) + wide) & (np.maximum(sides[:, 1], sides[:, 3]) >= y - 1e-9 * side - wide)
-        out.append((level, int(i), int(j), False, sides[ahead]))
+    x, y = (low + todo * side).T[:, :, None]
+    ahead = (np.maximum(sides[:, 0], sides[:, 2]) >= x - wide - 1e-9 * side) & (np.minimum(sides[:, 1], sides[:, 3]) <= y + side * (1 + 1e-9) + wide) & (np.maximum(sides[:, 1], sides[:, 3]) >= y - 1e-9 * side - wide)
+    out += [(level, i, j, False, sides[own]) for (i, j), own in zip(todo.tolist(), ahead)]
     return out
 
 
@@ -94,24 +95,26 @@ def covers(areas: DataFrame, area: str, ring: str, low: tuple[float, float], ext
     corner = np.array(low)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, numbers, levels, filled, lists = [], [], [], [], []
+        sides_type = pa.struct([(n, pa.float64()) for n in ("x1", "y1", "x2", "y2", "slope", "nx", "ny")])
+        for batch in (whole.slice(at, STEP) for whole in batches for at in range(0, whole.num_rows, STEP)):
+            found, spans = [], []
             for row, rings in enumerate(batch.column(1).to_pylist()):
                 sides = _sides([np.array([p for p in r], float).reshape(-1, 2) for r in rings if r])
-                span = np.maximum(np.ptp(sides.reshape(-1, 2), axis=0), 1e-300) if len(sides) else np.ones(2)
-                for level, i, j, full, own in cover(sides, corner, extent, cells):
-                    d = own[:, 2:] - own[:, :2]
-                    unit = d / span
-                    length = np.hypot(unit[:, 0], unit[:, 1])
-                    unit = unit / np.where(length > 0, length, 1)[:, None] / span[::-1]
-                    slope = np.where(d[:, 1] != 0, d[:, 0] / np.where(d[:, 1] != 0, d[:, 1], 1), 0)
-                    rows.append(row)
-                    numbers.append(_number(level, i, j))
-                    levels.append(level)
-                    filled.append(full)
-                    lists.append([dict(zip(("x1", "y1", "x2", "y2", "slope", "nx", "ny"), v)) for v in np.column_stack([own, slope, unit[:, 1], unit[:, 0]]).tolist()])
-            sides_type = pa.list_(pa.struct([(n, pa.float64()) for n in ("x1", "y1", "x2", "y2", "slope", "nx", "ny")]))
-            arrays = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int64()), pa.array(levels, pa.int32()), pa.array(filled, pa.bool_()), pa.array(lists, sides_type)]
+                own = [(row, *c) for c in cover(sides, corner, extent, cells)]
+                found += own
+                spans += [np.maximum(np.ptp(sides.reshape(-1, 2), axis=0), 1e-300) if len(sides) else np.ones(2)] * len(own)
+            counts = [len(c[-1]) for c in found]
+            own, span = np.concatenate([np.empty((0, 4)), *[c[-1] for c in found]]), np.repeat(np.array(spans).reshape(-1, 2), counts, axis=0)
+            d = own[:, 2:] - own[:, :2]
+            unit = d / span
+            length = np.hypot(unit[:, 0], unit[:, 1])
+            unit = unit / np.where(length > 0, length, 1)[:, None] / span[:, ::-1]
+            slope = np.where(d[:, 1] != 0, d[:, 0] / np.where(d[:, 1] != 0, d[:, 1], 1), 0)
+            flat = pa.StructArray.from_arrays([pa.array(v) for v in np.column_stack([own, slope, unit[:, 1], unit[:, 0]]).T.copy()], fields=list(sides_type))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), flat)
+            take = lambda i, kind: pa.array([c[i] for c in found], kind)  # noqa: B023, E731
+            numbers = pa.array([_number(*c[1:4]) for c in found], pa.int64())
+            arrays = [batch.column(0).take(take(0, pa.int64())), numbers, take(1, pa.int32()), take(4, pa.bool_()), lists]
             yield pa.RecordBatch.from_arrays(arrays, names=["area", "cell", "level", "filled", "sides"])
 
     return areas.select(F.col(area).alias("area"), F.col(ring).alias("rings")).mapInArrow(of, f"area {id_type}, cell bigint, level int, filled boolean, sides array<{_SIDE}>")
@@ -136,7 +139,11 @@ def in_areas(points: DataFrame, areas: DataFrame, x: str = "lat", y: str = "lon"
         return points.select(*out, F.lit(None).cast(areas.schema[area].dataType).alias("area")).where("false")
     wide = 1e-9 * max(box[1] - box[0], box[3] - box[2], 1e-3)
     low, extent = (box[0] - wide, box[2] - wide), max(box[1] - box[0], box[3] - box[2]) + 4 * wide
-    cover_of = written(covers(known, "area", "rings", low, extent, cells), "covers")
+    # areas with the same rings are covered and met once
+    known = known.withColumn("digest", F.sha2(F.col("rings").cast("string"), 256))
+    alike = written(known.groupBy("digest").agg(F.first("rings").alias("rings")).withColumn("shape", F.monotonically_increasing_id()), "shapes")
+    owners = written(known.select("area", "digest"), "owners").join(alike.select("digest", "shape"), "digest").select("shape", "area")
+    cover_of = written(covers(alike.repartition(alike.count() // TASK + 1), "shape", "rings", low, extent, cells), "covers")
     levels = sorted(r["level"] for r in cover_of.select("level").distinct().collect())  # as many as the quadtree has
     px, py = F.col(f"`{x}`").cast("double"), F.col(f"`{y}`").cast("double")
     at = lambda v, start, level: F.floor((v - start) / (extent / 2**level))
@@ -148,5 +155,6 @@ def in_areas(points: DataFrame, areas: DataFrame, x: str = "lat", y: str = "lon"
     reached = lambda v, a, b: (v >= F.least(a, b) - TOLERANCE) & (v <= F.greatest(a, b) + TOLERANCE)
     touched = F.exists("sides", lambda s: reached(X, s["x1"], s["x2"]) & reached(Y, s["y1"], s["y2"]) & (F.abs((X - s["x1"]) * s["nx"] - (Y - s["y1"]) * s["ny"]) <= EPSILON))
     test = (odd | touched) if border else (odd & ~touched)
-    found = rows.join(cover_of.select("area", "cell", "filled", "sides"), "cell").where(F.col("filled") | test)
+    met = rows.join(cover_of.select(F.col("area").alias("shape"), "cell", "filled", "sides"), "cell").where(F.col("filled") | test)
+    found = met.select("row", "shape").join(owners, "shape")
     return found.select(*[F.col(f"row.`{c}`").alias(c) for c in points.columns], "area")

@@ -12,6 +12,7 @@ import lattisect as L
 from lattisect.axes import Axis
 from lattisect.errors import BadRequest
 from lattisect.operators import areas, neighbours
+from lattisect.store import written
 
 
 def knn(points, queries, k, size=None):
@@ -178,3 +179,20 @@ def test_a_path_of_a_thousand_segments(spark):
     found = L.Cube(rows, ["a", "b"]).retrieve(L.Request(path)).collect()
     assert time.time() - began < 30
     assert 4000 < len(found) < 12_000 and all(abs(r.b - 10 - 8 * math.sin(r.a * 10 / 40)) < 0.6 for r in found)
+
+
+def test_areas_with_the_same_rings_are_covered_once(spark, monkeypatch):
+    """Every copy of an area has its points, and only different areas are cut into cells."""
+    tables = {}
+
+    def spied(df, name, *more):
+        tables[name] = written(df, name, *more)
+        return tables[name]
+
+    monkeypatch.setattr(areas, "written", spied)
+    points = spark.createDataFrame([(i, i % 9 + 0.5, i // 9 + 0.5) for i in range(81)], "idx int, lat double, lon double")
+    rings = [[[float(k), 0.0], [k + 3.0, 0.0], [k + 3.0, 5.0], [float(k), 5.0]] for k in range(4)]
+    table = spark.createDataFrame([(i, rings[i % 4]) for i in range(40)], "area int, ring array<array<double>>")
+    got = sorted((r["idx"], r["area"]) for r in areas.in_areas(points, table).collect())
+    assert got == sorted((i, a) for i in range(81) for a in range(40) if a % 4 < i % 9 + 0.5 < a % 4 + 3 and i // 9 + 0.5 < 5)
+    assert tables["covers"].select("area").distinct().count() == 4
