@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import CACHED, LONG, encoded, tokenizer_file
+from .packing import CACHED, LONG, PARTS, Recent, encoded, tokenizer_file
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Pairs of tokens that a worker keeps judged.
@@ -75,8 +75,7 @@ class Bpe:
         self.follows: dict[int, bool] = {}
         self._library = Tokenizer.from_file(path)
         self._to_byte = {c: b for b, c in _byte_chars().items()}
-        self.words: dict[bytes, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.words, self.known = Recent(CACHED), Recent(PARTS)
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether the encoding of the bytes of two tokens is these two."""
@@ -188,14 +187,13 @@ class Bpe:
             else:
                 cut[p] = [w for s, i in self._segments(p) for w in (self._cut(s) if i is None else [i])]
         used = {w for ws in cut.values() for w in ws if type(w) is bytes}
-        if len(self.words) + len(used) > CACHED // 2:
-            self.words = {w: self.words[w] for w in used if w in self.words}
-        self.words.update(self.encode_words(used.difference(self.words)))
-        words = self.words
+        self.words.now.update(self.encode_words(self.words.lacking(used)))
+        words = self.words.now
         out = {p: b"".join([words[w] if type(w) is bytes else w.to_bytes(4, "little") for w in ws]) for p, ws in cut.items()}
         for w in used:
             if len(w) > LONG:
                 del words[w]
+        self.words.aged()
         return out
 
     def _odd(self, text: str) -> bool:
@@ -207,7 +205,7 @@ class Bpe:
         A text is cut before each space that stands between two characters that are no white space, or after one
         that is: the splitter never joins what stands on either side. Distinct parts are encoded once.
         """
-        return encoded([_parts(t) for t in texts], self.known, self._learn)
+        return encoded(texts, _parts, self.known, self._learn)
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: the bytes of all tokens, special ones included, together; what is no UTF-8 becomes U+FFFD."""

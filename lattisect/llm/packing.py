@@ -29,8 +29,8 @@ END_ID = 1
 GROUP = 40_000
 #: A sequence gives up its pieces if at least one in so many of its tokens is free.
 FREE_PART = 128
-#: Words kept encoded by a worker, and the length from which a word isn't kept.
-CACHED, LONG = 1_000_000, 100
+#: Parts of texts, and words, that a worker keeps encoded in each of two generations; the length from which one isn't kept.
+PARTS, CACHED, LONG = 200_000, 100_000, 100
 #: New words that are learned together.
 STEP = 10_000
 _MARK = "\x01"
@@ -51,18 +51,49 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoded(texts: list[list[str]], known: dict[str, bytes], learn: Callable[[list[str]], dict[str, bytes]]) -> list[bytes]:
-    """The ids of texts that are cut into parts: what ``known`` lacks is learned at once, and kept up to CACHED parts."""
-    new = list(set().union(*texts).difference(known))
+class Recent:
+    """What was made of words, in two generations: when ``now`` is full it becomes the elder one, and the words of that which are
+    asked for again come back. Frequent words stay, and rare ones, without end in a large table, go."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.now: dict = {}
+        self.elder: dict = {}
+
+    def lacking(self, words: set) -> list:
+        """Those of ``words`` that must be made; the others are in ``now``."""
+        new = []
+        for word in words.difference(self.now):
+            made = self.elder.get(word)
+            if made is None:
+                new.append(word)
+            else:
+                self.now[word] = made
+        return new
+
+    def aged(self) -> None:
+        """To be called once what was asked for has been used."""
+        if len(self.now) > self.most:
+            self.now, self.elder = {}, self.now
+
+
+def encoded(texts: list[str], cut: Callable[[str], list[str]], known: Recent, learn: Callable[[list[str]], dict[str, bytes]]) -> list[bytes]:
+    """The ids of texts that ``cut`` takes apart: what ``known`` lacks is learned at once, and kept unless it is long.
+
+    Texts are cut twice, so that the parts of one text live at a time and what is kept doesn't lie scattered between them.
+    """
+    asked: set[str] = set()
+    for text in texts:
+        asked.update(cut(text))
+    new = known.lacking(asked)
     if new:
-        known.update(learn(new))
-    out = [b"".join(map(known.__getitem__, parts)) for parts in texts]
-    if len(known) > CACHED:
-        known.clear()
-    else:
-        for part in new:
-            if len(part) > LONG:
-                del known[part]
+        known.now.update(learn(new))
+    of_part = known.now.__getitem__
+    out = [b"".join(map(of_part, cut(text))) for text in texts]
+    for part in new:
+        if len(part) > LONG:
+            del known.now[part]
+    known.aged()
     return out
 
 
@@ -82,8 +113,7 @@ def word_encoder(name: str = TOKENIZER) -> Callable[[list[str]], list[bytes]]:
     tok = Tokenizer.from_file(tokenizer_file(name))
     tok.no_truncation()
     tok.no_padding()
-    known: dict[str, bytes] = {}
-    words: dict[str, bytes] = {}
+    known, words = Recent(PARTS), Recent(CACHED)
     encode = lambda text: np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
     mark = encode(_MARK)
     last = np.zeros(tok.get_vocab_size() + 1, bool)
@@ -97,10 +127,10 @@ def word_encoder(name: str = TOKENIZER) -> Callable[[list[str]], list[bytes]]:
             some = parts[at : at + STEP]
             cut = {p: TOKENS.findall(p.lower()) for p in some if len(p) <= LONG and PLAIN.fullmatch(p) and "<|" not in p}
             need = set().union(*cut.values())
-            if len(words) + len(need) > CACHED // 2:
-                words.clear()
-            words.update(plain(list(need.difference(words))))
-            out.update({p: words[ws[0]] if len(ws) == 1 else b"".join(map(words.__getitem__, ws)) for p, ws in cut.items()})
+            words.now.update(plain(words.lacking(need)))
+            of_word = words.now
+            out.update({p: of_word[ws[0]] if len(ws) == 1 else b"".join(map(of_word.__getitem__, ws)) for p, ws in cut.items()})
+            words.aged()
             out.update(whole([p for p in some if p not in cut]))
         return out
 
@@ -132,7 +162,7 @@ def word_encoder(name: str = TOKENIZER) -> Callable[[list[str]], list[bytes]]:
         return out
 
     def of(texts: list[str]) -> list[bytes]:
-        return encoded([t.replace("\n", " ").split(" ") for t in texts], known, learn)
+        return encoded(texts, lambda t: t.replace("\n", " ").split(" "), known, learn)
 
     _encoders[name] = of
     return of

@@ -31,6 +31,22 @@ def test_encoder_on_words_of_every_shape():
     assert [np.frombuffer(b, "<u4").tolist() for b in packing.word_encoder()(texts)] == library(texts)
 
 
+def test_cache_keeps_frequent_words_and_few_others():
+    learned, known = [], packing.Recent(50)
+
+    def learn(parts):
+        learned.extend(parts)
+        return {p: p.encode() for p in parts}
+
+    for i in range(100):
+        texts = [f"the word{i}-{k} of the" for k in range(20)]
+        assert packing.encoded(texts, str.split, known, learn) == [t.replace(" ", "").encode() for t in texts]
+        assert len(known.now) <= 72 and len(known.elder) <= 72
+    assert learned.count("the") == learned.count("of") == 1 and len(learned) == 2002
+    packing.encoded(["x" * (packing.LONG + 1)], str.split, known, learn)
+    assert not any(len(w) > packing.LONG for w in [*known.now, *known.elder])
+
+
 def test_packs_whole_table(spark):
     rng = random.Random(3)
     texts = ODD + [" ".join(rng.choice(["alpha", "beta", "xq", "z9!"]) for _ in range(rng.randrange(1, 900))) for _ in range(150)] + ["same text"] * 40
