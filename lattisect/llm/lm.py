@@ -19,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 from copy import copy
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -135,6 +136,8 @@ class LogBilinear:
     The column after the vector is the row's bias, the last one the sum of squared slopes that slows its learning.
     """
 
+    PART = 1024
+
     def __init__(self, tokens: np.ndarray, context: int = CONTEXT, size: int = SIZE, seed: int = 5):
         n, self.context, self.size = len(tokens), context, size
         self.width = max(2, int(np.ceil(np.sqrt(n))))
@@ -162,34 +165,45 @@ class LogBilinear:
         """The context's vector for each row of the numbers of the words before, nearest first."""
         return sum(self.rows.take(before[:, j], axis=0)[:, : self.size] @ m for j, m in enumerate(self.places()))
 
-    def log10(self, before: np.ndarray, state: np.ndarray, block: int = 8192) -> np.ndarray:
-        """log10 P(state | before), normalised over all classes and over the states of the class."""
+    def log10(self, before: np.ndarray, state: np.ndarray, block: int = 65_536) -> np.ndarray:
+        """log10 P(state | before), normalised over all classes and over the states of the class.
+
+        A block is sorted by class, so that the tokens of one meet its states together; products are made for ``PART`` tokens at most.
+        """
         out = np.empty(len(state))
         classes, states = self.rows[self.first_class : self.first_place], self.rows[self.first_state : self.first_class]
         size, width = self.size, self.width
 
         largest = [np.sqrt(np.square(x[:, :size]).sum(axis=1).max()) for x in (classes, states)]
         biases = [np.abs(x[x[:, size] > -1e3, size]).max() for x in (classes, states)]
-
-        def chosen(q: np.ndarray, among: np.ndarray, which: np.ndarray, safe: bool) -> np.ndarray:
-            scores = q @ among[:, : size + 1].T
-            if not safe:
-                scores -= scores.max(axis=1, keepdims=True)
-            picked = scores[np.arange(len(which)), which]
-            return picked - np.log(np.exp(scores, out=scores).sum(axis=1))
-
+        turned = [np.ascontiguousarray(x[:, : size + 1].T) for x in (classes, *np.split(states, self.classes))]
+        room = np.empty((self.PART, max(self.classes, width)), np.float32)
+        ones, flat = np.ones(room.shape[1], np.float32), room.ravel()
+
+        def chosen(q: np.ndarray, among: np.ndarray, which: np.ndarray, safe: bool, into: np.ndarray, sums: np.ndarray) -> None:
+            n = among.shape[1]
+            for at in range(0, len(q), self.PART):
+                some = q[at : at + self.PART]
+                scores = np.matmul(some, among, out=flat[: len(some) * n].reshape(len(some), n))
+                if not safe:
+                    scores -= scores.max(axis=1, keepdims=True)
+                into[at : at + self.PART] += scores[line[: len(some)], which[at : at + self.PART]]
+                sums[at : at + self.PART] *= np.exp(scores, out=scores) @ ones[:n]
+
+        line = np.arange(self.PART)
         for at in range(0, len(state), block):
             here = state[at : at + block]
-            q, group = np.ones((len(here), size + 1), np.float32), here // width  # the one is for the bias
-            q[:, :size] = self.predicted(before[at : at + block])
+            order = np.argsort((here // width).astype(np.int16 if self.classes < 1 << 15 else np.int64), kind="stable")
+            here = here[order]
+            q, group, within = np.ones((len(here), size + 1), np.float32), here // width, here % width  # the one is for the bias
+            q[:, :size] = self.predicted(before[at : at + block][order])
             longest = np.sqrt(np.square(q[:, :size]).sum(axis=1).max())
             safe = [longest * r + b < 80 for r, b in zip(largest, biases)]  # no exponential can leave the numbers' range
-            found = chosen(q, classes, group, safe[0])
-            order = np.argsort(group, kind="stable")
-            q, within = q[order], here[order] % width
-            for c, start, stop in _runs(group[order]):
-                found[order[start:stop]] += chosen(q[start:stop], states[c * width : (c + 1) * width], within[start:stop], safe[1])
-            out[at : at + block] = found
+            picked, sums = np.zeros(len(here)), np.ones(len(here))
+            chosen(q, turned[0], group, safe[0], picked, sums)
+            for c, start, stop in _runs(group):
+                chosen(q[start:stop], turned[1 + c], within[start:stop], safe[1], picked[start:stop], sums[start:stop])
+            out[at + order] = picked - np.log(sums)
         return out / np.log(10)
 
 
@@ -251,18 +265,23 @@ class Trainer:
         parts.append((m.first_class + group, pull[:, None] * q, pull))
         parts.append((m.first_class + noise, push.T @ q, push.sum(axis=0)))
         index = np.concatenate([p[0] for p in parts])
-        slopes = np.zeros((len(index), size + 1), np.float32)
+        slopes = np.empty((len(index), size + 1), np.float32)
         at = 0
         for where, vector, bias in parts:
             slopes[at : at + len(where), :size] = vector
-            if bias is not None:
-                slopes[at : at + len(where), size] = bias
+            slopes[at : at + len(where), size] = 0 if bias is None else bias
             at += len(where)
-        order = np.argsort(index)
+        order = np.argsort(index.astype(np.uint16) if len(rows) <= 1 << 16 else index, kind="stable")  # by digits where they are few
         index = index[order]
         first = np.flatnonzero(np.diff(index, prepend=-1))
-        sums = np.add.reduceat(np.ascontiguousarray(slopes.take(order, axis=0).T), first, axis=1).T
-        self._move(index[first], sums, np.diff(first, append=len(index)))
+        uses = np.diff(first, append=len(index))
+        sums = slopes.take(order[first], axis=0)
+        more = uses > 1  # most rows come once: only the others are added up
+        if more.any():
+            again = order[np.repeat(more, uses)]
+            starts = np.cumsum(uses[more]) - uses[more]
+            sums[more] = np.add.reduceat(np.ascontiguousarray(slopes.take(again, axis=0).T), starts, axis=1).T
+        self._move(index[first], sums, uses)
         turned = np.zeros((m.context * size, size + 1), np.float32)
         turned[:, :size] = np.concatenate([w.T @ slope_q for w in words])
         self._move(np.arange(m.first_place, len(rows)), turned, n)
@@ -280,7 +299,7 @@ class _Tokens:
     """Gathers texts as states; gives for all tokens gathered the states before them, nearest first, and their own."""
 
     def __init__(self, end: int, context: int):
-        self.start, self.end, self.context = [end] * context, end, context
+        self.end, self.context = end, context
         self.clear()
 
     def clear(self) -> None:
@@ -288,15 +307,22 @@ class _Tokens:
         self.lengths: list[int] = []
 
     def add(self, states: list[int]) -> None:
-        self.flat += self.start
         self.flat += states
-        self.flat.append(self.end)
-        self.lengths.append(len(states) + 1)
+        self.lengths.append(len(states))
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        flat, lengths = np.array(self.flat, np.int64), np.array(self.lengths, np.int64)
-        at = np.arange(lengths.sum()) + np.repeat(self.context * np.arange(1, len(lengths) + 1), lengths)
-        return np.stack([flat[at - j] for j in range(1, self.context + 1)], axis=1), flat[at]
+        return self.of(np.array(self.flat, np.int64), np.array(self.lengths, np.int64))
+
+    def of(self, states: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the words' states of texts of these numbers of words, end to end."""
+        texts = np.arange(len(lengths))
+        flat = np.full(len(states) + (self.context + 1) * len(lengths), self.end, np.int64)
+        flat[np.arange(len(states)) + np.repeat(self.context + (self.context + 1) * texts, lengths)] = states
+        at = np.arange(len(states) + len(lengths)) + np.repeat(self.context * (texts + 1), lengths + 1)
+        before = np.empty((len(at), self.context), np.int64)
+        for j in range(self.context):
+            before[:, j] = flat[at - (j + 1)]
+        return before, flat[at]
 
 
 def found_states(counts: DataFrame, frequent: list[str], number: np.ndarray, ends: int, vocabulary: int = VOCABULARY, endings: int = ENDINGS) -> States:
@@ -383,7 +409,7 @@ class _Scorer:
         state = np.array(self.states.numbers(self.words), np.int64)
         several = self.states.weight[state] > 0
         own = np.where(several, np.log10(self.counts + 1) - mass[state], 0.0)
-        return ids, np.append(self.base(self.counts), 0.0), np.append(own, 0.0), state, mass
+        return ids, np.append(self.base(self.counts), 0.0), np.append(own, 0.0), np.append(state, 0), mass
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, head: int = HEAD, endings: int = ENDINGS, passes: int = PASSES) -> DataFrame:
@@ -416,26 +442,22 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         for whole in batches:
             for first in range(0, whole.num_rows, 500):
                 batch = whole.slice(first, 500)
-                made: list[list] = [[], [], [], [], []]
-                outside = np.zeros(batch.num_rows)
-                for i, text in enumerate(batch.column(2)):
-                    words = _words(text.as_py())
-                    at = np.fromiter((ids.get(w, rare) for w in words), np.int64, len(words))
-                    seen, mine = at[at < rare], np.empty(len(at), np.int64)
-                    mine[at < rare] = state[seen]
-                    tail = [words[k] for k in np.flatnonzero(at == rare)]
-                    mine[at == rare] = numbers = own.states.numbers(tail)
-                    held.add(mine.tolist())
-                    left = Counter(tail)
-                    made[0].append(len(words) + 1)
-                    made[1].append(len(seen) + end_known)
-                    made[2].append(float(base[seen].sum()) + end_base)
-                    made[3].append([w.decode() for w in left])
-                    made[4].append(list(left.values()))
-                    outside[i] = share[seen].sum() - mass[numbers].sum()
-                starts = np.cumsum([0, *held.lengths[:-1]])
-                inside = np.add.reduceat(own.model.log10(*held.arrays()), starts)
-                held.clear()
+                lists = [_words(text) for text in batch.column(2).to_pylist()]
+                lengths = np.array([len(words) for words in lists], np.int64)
+                flat = list(chain.from_iterable(lists))
+                at = np.fromiter(map(ids.get, flat, repeat(rare)), np.int64, len(flat))
+                row, last = np.repeat(np.arange(len(lists)), lengths), np.flatnonzero(at == rare)
+                tail = [flat[k] for k in last.tolist()]
+                numbers, of_tail = np.array(own.states.numbers(tail), np.int64), row[last]
+                mine = state[at]
+                mine[last] = numbers
+                sums = lambda which, x: np.bincount(which, x, len(lists))  # noqa: B023, E731
+                outside = sums(row, share[at]) - sums(of_tail, mass[numbers])
+                few = np.bincount(of_tail, minlength=len(lists))
+                ends_ = np.cumsum(few).tolist()
+                left = [Counter(tail[b - n : b]) for b, n in zip(ends_, few.tolist())]
+                made = [lengths + 1, lengths - few + end_known, sums(row, base[at]) + end_base, [[w.decode() for w in c] for c in left], [list(c.values()) for c in left]]
+                inside = np.add.reduceat(own.model.log10(*held.of(mine, lengths)), np.cumsum(lengths + 1) - lengths - 1)
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64())]
                 arrays = [pa.array(m, t) for m, t in zip(made, types)]
                 arrays.insert(3, pa.array(inside + outside))

@@ -107,6 +107,26 @@ def test_log_probabilities_by_plain_loops():
         assert math.isclose(10**got, classes[of] / sum(classes) * states[w % model.width] / sum(states), rel_tol=1e-4)
 
 
+def test_blocks_and_parts_make_no_difference(monkeypatch):
+    rng = np.random.default_rng(6)
+    model = lm.LogBilinear(rng.integers(1, 50, 40), context=3, size=4)
+    model.rows[:, :5] += rng.normal(0, 0.5, model.rows[:, :5].shape)
+    lengths = np.array([0, 5, 1, 0, 60])
+    before, own = lm._Tokens(2, 3).of(rng.integers(0, 40, lengths.sum()), lengths)
+    want = model.log10(before, own)
+    monkeypatch.setattr(lm.LogBilinear, "PART", 3)
+    assert np.allclose(model.log10(before, own, block=10), want, atol=1e-6)
+
+
+def test_states_before_those_of_texts():
+    gathered = lm._Tokens(9, 2)
+    for text in ([1, 2, 3], [], [4]):
+        gathered.add(text)
+    for before, own in (gathered.arrays(), gathered.of(np.array([1, 2, 3, 4]), np.array([3, 0, 1]))):
+        assert own.tolist() == [1, 2, 3, 9, 9, 4, 9]
+        assert before.tolist() == [[9, 9], [1, 9], [2, 1], [3, 2], [9, 9], [9, 9], [4, 9]]
+
+
 def test_words_of_all_states_sum_to_one():
     counts = {"aa": 9, "ba": 5, "ca": 3, "db": 2, "eb": 1, "x": 1, "é": 1}
     states = lm.States.of([("aa", 9)], [(b"ba", 5, 1), (b"ca", 3, 1)], (5, 4), 4)
