@@ -2,7 +2,8 @@
 
 A round looks at the nine cells around each query, which have all points up to the side of a cell away. A query is done once its
 k-th distance is less than what it hasn't seen can be; the others go on to cells of twice the side. Only points of cells that are still
-asked for are joined, those of a dense cell in blocks, and each task keeps k rows for a query and block before anything is exchanged.
+asked for are joined, points and queries of a dense cell in blocks, and each task keeps k rows for a query and block before anything is exchanged.
+To keep them it sorts its pairs, so tasks follow the count of pairs and not the small tables that these come from.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 
 from ..store import written
 
-#: Points of an average cell of the finest grid, for each of the k that are asked for; points of a block of a cell.
-POINTS, BLOCK = 4, 20_000
+#: Points of an average cell of the finest grid, for each of the k that are asked for; points, and queries, of a block of a cell.
+POINTS, BLOCK = 4, 1000
+#: Pairs of points and queries that a task sorts, about.
+PAIRS = 1_000_000
 #: Pairs of points and queries that are compared without grids.
 FEW = 20_000_000
 #: What rounding may take from the side of a cell.
@@ -81,14 +84,19 @@ def nearest_join(
         near = written(near, "asked")
         ci, cj = cell(F.col("x"), F.col("y"))
         there = written(some.withColumns({"ci": ci, "cj": cj}).join(near.select("ci", "cj").distinct(), ["ci", "cj"], "left_semi"), "there")
-        counts = written(there.groupBy("ci", "cj").agg(F.count("*").alias("n")), "cells")
-        # a cell's points go to as many blocks as they fill, and its queries to all of these
-        blocks = counts.select("ci", "cj", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-        spread = there.join(blocks, ["ci", "cj"]).withColumn("block", F.pmod(F.xxhash64("idx", "x", "y"), F.col("blocks")).cast("int")).drop("blocks")
-        copied = near.join(blocks, ["ci", "cj"]).select("query", "qx", "qy", "ci", "cj", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        counts = there.groupBy("ci", "cj").agg(F.count("*").alias("n")).join(near.groupBy("ci", "cj").agg(F.count("*").alias("q")), ["ci", "cj"])
+        counts = written(counts, "cells")
+        tasks = max(1, math.ceil((counts.agg(F.sum(F.col("n").cast("double") * F.col("q"))).first()[0] or 0) / PAIRS))
+        # a cell's points and queries go to as many blocks as they fill, and each block of points meets each of queries
+        blocks = counts.select("ci", "cj", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil(F.col("q") / block).cast("int").alias("lots"))
+        each = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+        own_of = lambda many, *of: F.pmod(F.xxhash64(*of), F.col(many)).cast("int")
+        spread = there.join(blocks, ["ci", "cj"]).withColumn("block", own_of("blocks", "idx", "x", "y")).withColumn("lot", each("lots")).drop("blocks", "lots")
+        copied = near.join(blocks, ["ci", "cj"]).withColumn("lot", own_of("lots", "query", "qx", "qy")).withColumn("block", each("blocks")).drop("blocks", "lots")
+        keys = ["ci", "cj", "block", "lot"]
         dx, dy = F.col("x") - F.col("qx"), F.abs(F.col("y") - F.col("qy"))
         dy = F.least(dy, F.lit(size) - dy) if period else dy
-        met = spread.join(copied, ["ci", "cj", "block"]).select("query", "qx", "qy", "idx", "lat", "lon", (dx * dx + dy * dy).alias("dist2"))
+        met = spread.repartition(tasks, *keys).join(copied.repartition(tasks, *keys), keys).select("query", "qx", "qy", "idx", "lat", "lon", (dx * dx + dy * dy).alias("dist2"))
         best = _top(met, ["query", "qx", "qy"], k)
         if level == 0:  # all points have been seen
             done = best.drop("qx", "qy")

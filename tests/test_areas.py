@@ -48,6 +48,17 @@ def test_nearest_join(spark, k, period, block):
     assert "CartesianProduct" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
 
 
+def test_tasks_of_a_nearest_join_follow_its_pairs(spark, monkeypatch):
+    """A task sorts its pairs, which are many where the tables that they come from are small."""
+    monkeypatch.setattr(neighbours, "PAIRS", 500)
+    points, rng = cloud(97, 3), random.Random(4)
+    asked = [(i, rng.uniform(-90, 90), rng.uniform(0, 360)) for i in range(40)]
+    p, q = spark.createDataFrame(points, "idx int, lat double, lon double"), spark.createDataFrame(asked, "query int, lat double, lon double")
+    got = neighbours.nearest_join(p, q, 2, block=7)  # 15 blocks of points meet 6 of queries
+    assert sorted((r.query, r.idx, round(r.dist2, 9), r["rank"]) for r in got.collect()) == knn(points, asked, 2, None)
+    assert "), REPARTITION_BY_NUM" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 8), REPARTITION_BY_NUM" in plan  # 4000 pairs
+
+
 def test_nearest_join_of_few_points(spark):
     p = spark.createDataFrame([(1, 5.0, 5.0), (2, 5.0, 5.0)], "idx int, lat double, lon double")
     q = spark.createDataFrame([(1, 0.0, 0.0), (2, 9.0, 9.0)], "query int, lat double, lon double")
