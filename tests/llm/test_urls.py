@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from lattisect.llm import urls
 
 
@@ -55,6 +57,34 @@ def test_score_is_the_sum_over_bytes():
         assert math.isclose(model.score(url), want, abs_tol=1e-12) and math.isclose(model.score(url), want, abs_tol=1e-12)
 
 
+@pytest.mark.parametrize("sent", [500_000, 300])
+def test_models_learn_from_all_urls(spark, monkeypatch, sent):
+    """Scores are those of the plain models on all different URLs, however few a sample would hold."""
+    import xxhash
+
+    monkeypatch.setattr(urls, "SAMPLE_URLS", 20)
+    monkeypatch.setattr(urls, "LONGEST", 40)
+    monkeypatch.setattr(urls, "SENT", sent, raising=False)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijé") for _ in range(rng.randrange(1, 9)))
+    good = [f"https://{word()}.shop.com/{word()}" for _ in range(90)] + ["http://a.com/" + "y" * 200]
+    bad = [f"http://{word()}.casino.net/es/{word()}" for _ in range(130)]
+    open_ = [f"https://{word()}.{rng.choice(['shop', 'casino'])}.org/es/{word()}" for _ in range(40)] + ["", "x", None]
+    pages = spark.createDataFrame(list(enumerate(good + bad + bad[:9] + open_ + open_[:3])), "page_id bigint, url string")
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    in_order = lambda some: [u.encode() for u in sorted(set(some), key=lambda u: signed(xxhash.xxh64_intdigest(u.encode(), 42)))]
+    model = urls.RatioModel(in_order(good), in_order(bad))
+    got = urls.filtered(pages).collect()
+    assert len(got) == pages.count()
+    for r in got:
+        text = (good + bad + bad[:9] + open_ + open_[:3])[r.page_id]
+        if r.rule is None:
+            assert math.isclose(r.score, model.score((text or "").encode()), abs_tol=1e-9)
+            assert r.verdict == ("block" if r.score < model.threshold else "allow")
+        else:
+            assert r.score is None
+
+
 def test_verdicts_of_a_table_against_plain_python(spark):
     """Every verdict: by the rules, else by models that are fitted in plain Python on the sample that the docstring names."""
     import xxhash
