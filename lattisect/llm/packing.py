@@ -30,7 +30,7 @@ GROUP = 40_000
 #: A sequence gives up its pieces if at least one in so many of its tokens is free.
 FREE_PART = 128
 #: Parts of texts, and words, that a worker keeps encoded in each of two generations; the length from which one isn't kept.
-PARTS, CACHED, LONG = 200_000, 100_000, 100
+PARTS, CACHED, LONG = 300_000, 150_000, 100
 #: New words that are learned together.
 STEP = 10_000
 _MARK = "\x01"
