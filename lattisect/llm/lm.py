@@ -5,9 +5,9 @@ of words with its last two bytes, or, where that ending is uncommon, to one of a
 and then by its share in it. States are dealt into classes of equal size by frequency, so a token's probability is its
 class's and its own in the class: both are normalised by matrix products over a batch.
 
-The model is trained by noise-contrastive estimation on all training text. Each task takes its text through minibatches with
-sampled noise, starting from the parameters of the round before; the changes, weighted by how often a task used a
-row of parameters, are averaged by an aggregate over rows.
+The model is trained by the exact gradient of the log probability, on all training text. Each task takes its text through
+minibatches, starting from the parameters of the round before; the changes, weighted by how often a task used a row of
+parameters, are averaged by an aggregate over rows.
 
 Counts of the ``HEAD`` most frequent words go to every worker, a bounded table. The rest, which no text holds
 often, is joined: one row for each different rare word of a text.
@@ -23,7 +23,6 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +30,8 @@ from .common import written
 
 #: States of the model, those of endings among them; words of context; length of vectors.
 VOCABULARY, ENDINGS, CONTEXT, SIZE = 16_384, 255, 3, 16
-#: Noise classes for a minibatch, noise words for a token, tokens of a minibatch, and the rate of learning.
-NOISE_CLASSES, NOISE_WORDS, BATCH, RATE = 32, 2, 1024, 0.1
+#: Tokens of a minibatch, at least and at most: a task has ``STEPS`` of them or more if it can. The rate of learning.
+LEAST_BATCH, BATCH, STEPS, RATE = 1024, 32_768, 128, 0.1
 #: The training text is dealt into rounds, with an average after each, and goes through them so many times. A task takes
 #: about so many tokens.
 ROUNDS, PASSES, TASK_TOKENS = 2, 1, 4_000_000
@@ -60,7 +59,7 @@ def count_words(texts: DataFrame) -> DataFrame:
         counts: Counter[bytes] = Counter()
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
             counts.clear()
             return made
 
@@ -125,8 +124,13 @@ class States:
         )
 
     def numbers(self, words: list[bytes]) -> list[int]:
-        name, ending, other = self.names.get, self.endings.get, self.other
-        return [i if (i := name(w)) is not None else ending(w[-2:], other) for w in words]
+        return self.array(words).tolist()
+
+    def array(self, words: list[bytes]) -> np.ndarray:
+        found, ending = np.fromiter(map(self.names.get, words, repeat(-1)), np.int64, len(words)), self.endings.get
+        left = np.flatnonzero(found < 0)
+        found[left] = [ending(words[k][-2:], self.other) for k in left.tolist()]
+        return found
 
 
 class LogBilinear:
@@ -207,92 +211,108 @@ class LogBilinear:
         return out / np.log(10)
 
 
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where the runs of a sorted array start."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+
+
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(value, start, stop) of each run of a sorted array."""
-    starts = np.flatnonzero(np.diff(values, prepend=-1))
+    starts = _starts(values)
     yield from zip(values[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(values)])
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
 class Trainer:
-    """Noise-contrastive estimation, minibatch by minibatch, on a copy of a model; ``used`` counts the uses of each row.
+    """Gradient ascent on the log probability, minibatch by minibatch, on a copy of a model; ``used`` counts the uses of each row.
 
-    A token's class is to be told from classes drawn by frequency (the same for a whole minibatch), and its state from
-    states of its class drawn by frequency. Each row learns the slower the steeper it has been.
+    Slopes are exact: a token's class is told from all classes, and its state from all states of the class. A minibatch is
+    sorted by state, so that the tokens of a class meet its states together; products are made for ``part`` tokens at most.
+    Each row learns the slower the steeper it has been.
     """
 
-    DRAWS = 4096
-
-    def __init__(self, model: LogBilinear, seed: int):
-        self.model, self.rng = copy(model), np.random.default_rng(seed)
+    def __init__(self, model: LogBilinear, part: int = 512):
+        self.model, self.part = copy(model), part
         self.model.rows = model.rows.copy()
         self.used = np.zeros(len(model.rows), np.int64)
-        at = (np.arange(self.DRAWS) + 0.5) / self.DRAWS
-        table = [np.searchsorted(np.cumsum(s), at) for s in model.share.reshape(model.classes, model.width)]
-        self.draws = np.minimum(np.array(table), model.width - 1) + np.arange(model.classes)[:, None] * model.width
-        self.draws = self.draws.astype(np.int32)
-        self.class_ends = np.cumsum(model.class_share)
+        self.ones = np.ones(max(model.classes, model.width), np.float32)
 
     def step(self, before: np.ndarray, state: np.ndarray) -> None:
-        m, rows, size, n = self.model, self.model.rows, self.model.size, len(state)
-        group = state // m.width
-        words = [rows.take(before[:, j], axis=0)[:, :size] for j in range(m.context)]
-        places = m.places().copy()
-        q = sum(w @ p for w, p in zip(words, places))
-
-        noise = np.minimum(np.searchsorted(self.class_ends, self.rng.random(NOISE_CLASSES)), m.classes - 1)
-        shift = m.log_class_share + np.float32(np.log(NOISE_CLASSES))
-        own, drawn = rows.take(m.first_class + group, axis=0), rows.take(m.first_class + noise, axis=0)
-        pull = _sigmoid(-(np.einsum("ns,ns->n", q, own[:, :size]) + own[:, size] - shift[group]))
-        push = -_sigmoid(q @ drawn[:, :size].T + (drawn[:, size] - shift[noise]))
-        slope_q = pull[:, None] * own[:, :size] + push @ drawn[:, :size]
-
-        tried = np.empty((n, 1 + NOISE_WORDS), np.int64)
-        tried[:, 0] = state
-        tried[:, 1:] = self.draws[group[:, None], self.rng.integers(0, self.DRAWS, (n, NOISE_WORDS))]
-        met = rows.take(m.first_state + tried, axis=0)
-        odds = np.einsum("nks,ns->nk", met[:, :, :size], q) + met[:, :, size]
-        odds -= m.log_share[tried] + np.float32(np.log(NOISE_WORDS))
-        both = -_sigmoid(odds)
-        both[:, 0] += 1
-        slope_q += np.einsum("nk,nks->ns", both, met[:, :, :size])
-
-        parts = [(before[:, j], slope_q @ p.T, None) for j, p in enumerate(places)]
-        parts.append((m.first_state + tried.ravel(), (both[:, :, None] * q[:, None, :]).reshape(-1, size), both.ravel()))
-        parts.append((m.first_class + group, pull[:, None] * q, pull))
-        parts.append((m.first_class + noise, push.T @ q, push.sum(axis=0)))
-        index = np.concatenate([p[0] for p in parts])
-        slopes = np.empty((len(index), size + 1), np.float32)
-        at = 0
-        for where, vector, bias in parts:
-            slopes[at : at + len(where), :size] = vector
-            slopes[at : at + len(where), size] = 0 if bias is None else bias
-            at += len(where)
-        order = np.argsort(index.astype(np.uint16) if len(rows) <= 1 << 16 else index, kind="stable")  # by digits where they are few
-        index = index[order]
-        first = np.flatnonzero(np.diff(index, prepend=-1))
-        uses = np.diff(first, append=len(index))
-        sums = slopes.take(order[first], axis=0)
-        more = uses > 1  # most rows come once: only the others are added up
-        if more.any():
-            again = order[np.repeat(more, uses)]
-            starts = np.cumsum(uses[more]) - uses[more]
-            sums[more] = np.add.reduceat(np.ascontiguousarray(slopes.take(again, axis=0).T), starts, axis=1).T
-        self._move(index[first], sums, uses)
-        turned = np.zeros((m.context * size, size + 1), np.float32)
-        turned[:, :size] = np.concatenate([w.T @ slope_q for w in words])
-        self._move(np.arange(m.first_place, len(rows)), turned, n)
-
-    def _move(self, at: np.ndarray, slopes: np.ndarray, uses: np.ndarray | int) -> None:
-        """Moves rows along the sums of their slopes."""
-        rows = self.model.rows.take(at, axis=0)
-        rows[:, -1] += np.einsum("rc,rc->r", slopes, slopes) / slopes.shape[1]
-        rows[:, :-1] += (RATE / np.sqrt(rows[:, -1:] + 1e-6)) * slopes
-        self.model.rows[at] = rows
-        self.used[at] += uses
+        """Learns states from those before them, nearest first."""
+        flat = np.concatenate([before[:, ::-1], state[:, None]], axis=1)
+        self.learn(flat.ravel(), np.arange(1, len(state) + 1) * flat.shape[1] - 1)
+
+    def learn(self, flat: np.ndarray, at: np.ndarray) -> None:
+        """Learns the states at the places ``at`` of ``flat``, each from those just before it.
+
+        Slopes have a row's columns, the last one being 0. Those of the tokens after a place are added up before they go to its row.
+        """
+        m, rows, size, far, length = self.model, self.model.rows, self.model.size, self.model.context, len(flat)
+        at = at[self._order(flat[at])]
+        state = flat[at]
+        group, n = state // m.width, len(at)
+        near, places = np.arange(1, far + 1), np.zeros((far, size + 2, size + 2), np.float32)
+        places[:, :size, :size] = m.places()
+        words = rows.take(flat[at[:, None] - near], axis=0).reshape(n, -1)
+        q = words @ places.reshape(-1, size + 2)
+        q[:, size] = 1  # for the bias
+
+        classes, states = rows[m.first_class : m.first_place], rows[m.first_state : m.first_class]
+        of_classes, of_states, of_places = np.zeros_like(classes), np.zeros_like(states), np.zeros_like(rows[m.first_place :])
+        slope_q = classes.take(group, axis=0)
+        slope_q += states.take(state, axis=0)
+        first = _starts(state)
+        here, sums = state[first], np.add.reduceat(q, first)
+        of_states[here] = sums
+        first = _starts(here // m.width)
+        of_classes[here[first] // m.width] = np.add.reduceat(sums, first)
+        with np.errstate(over="ignore"):
+            self._less_expected(q, classes, slope_q, of_classes)
+            for c, start, stop in _runs(group):
+                of = slice(c * m.width, (c + 1) * m.width)
+                self._less_expected(q[start:stop], states[of], slope_q[start:stop], of_states[of])
+
+        of_places.reshape(far, size, -1)[:, :, :size] = (words.T @ slope_q).reshape(places.shape)[:, :size, :size]
+        steep, aims, order = np.zeros((length + far, size + 2), np.float32), np.zeros(length + far, np.int64), self._order(flat)
+        steep[at], aims[at] = slope_q, 1
+        uses = sum(aims[j : j + length] for j in near)
+        of_words = steep.take(order[:, None] + near, axis=0).reshape(length, -1) @ places.transpose(0, 2, 1).reshape(-1, size + 2)
+        sorted_flat = flat[order]
+        first = _starts(sorted_flat)
+        word, sums = sorted_flat[first], np.add.reduceat(of_words, first)
+        self.used[: m.first_state] += np.bincount(flat, uses, m.first_state).astype(np.int64)
+        self.used[m.first_state : m.first_class] += np.bincount(state, minlength=len(states)) + np.repeat(np.bincount(group, minlength=m.classes) > 0, m.width)
+        self.used[m.first_class :] += n
+        rows[word] = self._moved(rows.take(word, axis=0), sums)
+        for mine, slopes in ((states, of_states), (classes, of_classes), (rows[m.first_place :], of_places)):
+            mine[:] = self._moved(mine, slopes)
+
+    def _order(self, states: np.ndarray) -> np.ndarray:
+        return np.argsort(states.astype(np.uint16) if self.model.first_state <= 1 << 16 else states, kind="stable")  # by digits where they are few
+
+    def _less_expected(self, q: np.ndarray, among: np.ndarray, slope_q: np.ndarray, slopes: np.ndarray) -> None:
+        """Takes what is expected by the probabilities of all rows from the slopes of the contexts and of the rows."""
+        for at in range(0, len(q), self.part):
+            some = q[at : at + self.part]
+            p = some @ among.T
+            np.exp(p, out=p)
+            sums = p @ self.ones[: len(among)]
+            if not (sums.min() > 1e-30 and sums.max() < 1e30):  # an exponential has left the numbers' range
+                p = some @ among.T
+                p -= p.max(axis=1, keepdims=True)
+                np.exp(p, out=p)
+                sums = p @ self.ones[: len(among)]
+            share = (1 / sums)[:, None]
+            slope_q[at : at + self.part] -= (p @ among) * share
+            slopes -= p.T @ (some * share)
+
+    @staticmethod
+    def _moved(rows: np.ndarray, slopes: np.ndarray) -> np.ndarray:
+        """The rows moved along their slopes, which it uses up."""
+        steep = np.einsum("rc,rc->r", slopes, slopes) / (slopes.shape[1] - 1)
+        slopes *= (RATE / np.sqrt(rows[:, -1] + steep + 1e-6))[:, None]
+        slopes[:, -1] = steep
+        slopes += rows
+        return slopes
 
 
 class _Tokens:
@@ -303,22 +323,32 @@ class _Tokens:
         self.clear()
 
     def clear(self) -> None:
-        self.flat: list[int] = []
-        self.lengths: list[int] = []
+        self.flat: list[np.ndarray] = []
+        self.lengths: list[np.ndarray] = []
+        self.held = 0
 
-    def add(self, states: list[int]) -> None:
-        self.flat += states
-        self.lengths.append(len(states))
+    def add(self, states: list[int] | np.ndarray, lengths: np.ndarray | None = None) -> None:
+        """The states of a text, or of texts of these numbers of words, end to end."""
+        self.flat.append(np.array(states, np.int64))
+        self.lengths.append(np.array([len(states)]) if lengths is None else lengths)
+        self.held += len(states) + len(self.lengths[-1])
+
+    def gathered(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(self.flat), np.concatenate(self.lengths)
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.of(np.array(self.flat, np.int64), np.array(self.lengths, np.int64))
+        return self.of(*self.gathered())
 
-    def of(self, states: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same for the words' states of texts of these numbers of words, end to end."""
+    def placed(self, states: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts of these numbers of words, end to end, with ends before and after each; and the places of their tokens."""
         texts = np.arange(len(lengths))
         flat = np.full(len(states) + (self.context + 1) * len(lengths), self.end, np.int64)
         flat[np.arange(len(states)) + np.repeat(self.context + (self.context + 1) * texts, lengths)] = states
-        at = np.arange(len(states) + len(lengths)) + np.repeat(self.context * (texts + 1), lengths + 1)
+        return flat, np.arange(len(states) + len(lengths)) + np.repeat(self.context * (texts + 1), lengths + 1)
+
+    def of(self, states: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same as of texts gathered for texts of these numbers of words, end to end."""
+        flat, at = self.placed(states, lengths)
         before = np.empty((len(at), self.context), np.int64)
         for j in range(self.context):
             before[:, j] = flat[at - (j + 1)]
@@ -351,26 +381,29 @@ def trained(texts: DataFrame, states: States, tokens: int, passes: int = PASSES,
     fields = [f"d{i}" for i in range(model.rows.shape[1])]
     schema = "row int, uses bigint, " + ", ".join(f"{f} float" for f in fields)
     parts = max(1, round(tokens / TASK_TOKENS / rounds))
+    size = min(max(tokens // (rounds * parts * STEPS), LEAST_BATCH), BATCH)
     for turn in range(passes * rounds):
         shared = context.broadcast((states, model))
 
-        def of(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+        def of(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             numbers, start = shared.value
-            trainer = Trainer(start, seed=(TaskContext.get().partitionId() << 16) + turn)
+            trainer = Trainer(start)
             held = _Tokens(numbers.end, start.context)
 
             def learn() -> None:
-                before, own = held.arrays()
+                flat, places = held.placed(*held.gathered())
                 held.clear()
-                for at in range(0, len(own), BATCH):
-                    trainer.step(before[at : at + BATCH], own[at : at + BATCH])
+                for at in np.array_split(places, -(-len(places) // size)):
+                    first = at[0] - start.context
+                    trainer.learn(flat[first : at[-1] + 1], at - first)
 
             for batch in batches:
-                for text in batch.column(0):
-                    held.add(numbers.numbers(_words(text.as_py())))
-                    if len(held.flat) > 200_000:
+                for i in range(0, batch.num_rows, 100):
+                    lists = [_words(text) for text in batch.column(0).slice(i, 100).to_pylist()]
+                    held.add(numbers.array(list(chain.from_iterable(lists))), np.array([len(words) for words in lists], np.int64))
+                    if held.held > 200_000:
                         learn()
-            if held.lengths:
+            if held.held:
                 learn()
             at = np.flatnonzero(trainer.used)
             moved = trainer.model.rows[at] - start.rows[at]
@@ -406,7 +439,7 @@ class _Scorer:
         is that of rare words. Last, by state: what a rare word's score loses to the state's mass."""
         ids = {w: i for i, w in enumerate(self.words)}
         mass = np.log10(np.maximum(self.states.weight, 1))
-        state = np.array(self.states.numbers(self.words), np.int64)
+        state = self.states.array(self.words)
         several = self.states.weight[state] > 0
         own = np.where(several, np.log10(self.counts + 1) - mass[state], 0.0)
         return ids, np.append(self.base(self.counts), 0.0), np.append(own, 0.0), np.append(state, 0), mass
@@ -448,7 +481,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                 at = np.fromiter(map(ids.get, flat, repeat(rare)), np.int64, len(flat))
                 row, last = np.repeat(np.arange(len(lists)), lengths), np.flatnonzero(at == rare)
                 tail = [flat[k] for k in last.tolist()]
-                numbers, of_tail = np.array(own.states.numbers(tail), np.int64), row[last]
+                numbers, of_tail = own.states.array(tail), row[last]
                 mine = state[at]
                 mine[last] = numbers
                 sums = lambda which, x: np.bincount(which, x, len(lists))  # noqa: B023, E731

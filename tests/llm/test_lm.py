@@ -154,3 +154,49 @@ def test_scores_by_plain_loops(spark, monkeypatch):
         for at in range(3, len(numbers)):
             want += float(model.log10(np.array([[numbers[at - 1], numbers[at - 2], numbers[at - 3]]]), np.array([numbers[at]]))[0])
         assert math.isclose(got[i], want, rel_tol=1e-6)
+
+
+def learner():
+    rng = np.random.default_rng(12)
+    model = lm.LogBilinear(rng.integers(1, 50, 11), context=3, size=4)
+    model.rows[:, :5] += rng.normal(0, 0.5, model.rows[:, :5].shape)
+    flat, at = lm._Tokens(2, 3).placed(rng.integers(0, 11, 45), np.array([0, 20, 1, 24]))
+    return model, flat, at
+
+
+@pytest.mark.parametrize("part", [4, 512])
+def test_slopes_are_those_of_the_log_probability(monkeypatch, part):
+    """Nothing is sampled: a minibatch's slopes are the derivatives of its log probability."""
+    model, flat, at = learner()
+    monkeypatch.setattr(lm.Trainer, "_moved", staticmethod(lambda rows, slopes: rows + slopes))
+    trainer = lm.Trainer(model, part)
+    trainer.learn(flat, at)
+    before = np.stack([flat[at - j] for j in (1, 2, 3)], axis=1)
+    moved = trainer.model.rows - model.rows
+    used = [*range(11), *range(model.first_state, model.first_state + 11), *range(model.first_class, len(model.rows))]
+    for r in used:
+        for c in range(5):
+            if c == 4 and (r < model.first_state or r >= model.first_place):
+                assert moved[r, c] == 0  # these have no bias
+                continue
+            old, sums = model.rows[r, c], []
+            for step in (0.01, -0.01):
+                model.rows[r, c] = old + np.float32(step)
+                sums.append(model.log10(before, flat[at]).sum() * math.log(10))
+            model.rows[r, c] = old
+            assert math.isclose(moved[r, c], (sums[0] - sums[1]) / 0.02, rel_tol=1e-2, abs_tol=2e-2)
+
+
+def test_learning_by_places_or_parts_or_from_far_makes_no_difference():
+    model, flat, at = learner()
+    trainers = [lm.Trainer(model), lm.Trainer(model, 3), lm.Trainer(model)]
+    for trainer in trainers[:2]:
+        trainer.learn(flat, at)
+    trainers[2].step(np.stack([flat[at - j] for j in (1, 2, 3)], axis=1), flat[at])
+    for trainer in trainers[1:]:
+        assert np.allclose(trainer.model.rows, trainers[0].model.rows, atol=1e-4)
+        assert np.array_equal(trainer.used, trainers[0].used)
+    model.rows[:, :4] *= 60  # exponentials beyond the numbers' range
+    trainer = lm.Trainer(model)
+    trainer.learn(flat, at)
+    assert np.isfinite(trainer.model.rows).all()
